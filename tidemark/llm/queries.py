@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import substring
+from tidemark.llm import bitplanes, langid, packing, substring
+from tidemark.llm.common import shared_dir
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tidemark/ids-{uuid.uuid4().hex[:12]}"
+    bitplanes.write_ids(_table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=2)
+    return bitplanes.read_report(spark, path)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bit_planes": op2_bit_planes,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
