@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch given to Python; texts can be long, so batches stay short.
 ARROW_ROWS = 500
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
@@ -42,15 +43,19 @@ def _remove_all() -> None:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    Shuffle files of the finished job are released at once, so that peak disk is that of one step.
+    The job's shuffle files go when it ends (where Spark can), so that peak disk is that of one step.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}-{name}"
     _STAGED.append((spark, path))
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
@@ -77,7 +82,7 @@ def space_words(text: Column) -> Column:
 
 def letter_words(text: Column) -> Column:
     """Lower-cased runs of letters and digits (any script)."""
-    return F.expr("filter(split(lower(coalesce({}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), w -> w != '')".format(text._jc.toString()))
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
 def hashes(words: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitplanes, langid, packing, substring
+from tidemark.llm import bitplanes, jaccard, langid, packing, substring
 from tidemark.llm.common import shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bit_planes": op2_bit_planes,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
 }
