@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitplanes, jaccard, langid, packing, substring
+from tidemark.llm import bitplanes, decontaminate, jaccard, langid, licenses, packing, preference, substring
 from tidemark.llm.common import shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark/ids-{uuid.uuid4().hex[:12]}"
     bitplanes.write_ids(_table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=2)
@@ -28,6 +32,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(_table(spark, sf_dir, "documents"))
 
@@ -40,22 +48,31 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(_table(spark, sf_dir, "documents"))
 
 
+def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.report(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_bit_planes": op2_bit_planes,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op3_decontaminate": op3_decontaminate,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_preference": op10_preference,
 }
 
 SQL: dict[str, str] = {
+    "op1_license_scan": licenses.oracle(),
+    "op10_preference": preference.ORACLE,
     "op7_substring_dedup": r"""
-with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') as w from documents),
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
 g as (select doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 12)) as i from d where len(w) >= 13)),
 low as (select g, min(doc_id) as low from g group by g),
 hit as (select g.doc_id, list(distinct i) as starts from g join low using (g) where g.doc_id > low.low group by g.doc_id),
 k as (select d.doc_id, len(w) as n, case when starts is null then w else
-  list_filter(w, (x, j) -> len(list_filter(starts, s -> s < j and j <= s + 13)) = 0) end as kept from d left join hit using (doc_id))
+  list_filter(w, lambda x, j: len(list_filter(starts, lambda s: s < j and j <= s + 13)) = 0) end as kept from d left join hit using (doc_id))
 select doc_id, n::bigint as n_words, (n - len(kept))::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
 """,
 }
