@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitplanes, decontaminate, jaccard, langid, licenses, packing, preference, substring
+from tidemark.llm import bitplanes, decontaminate, jaccard, langid, licenses, packing, preference, substring, toxicity, vectors
 from tidemark.llm.common import shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,10 @@ def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_report(spark, path)
 
 
+def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
 
@@ -36,6 +40,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(_table(spark, sf_dir, "documents"))
 
@@ -57,9 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bit_planes": op2_bit_planes,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_vector_graph": op8_vector_graph,
     "op10_preference": op10_preference,
 }
 
