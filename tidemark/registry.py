@@ -26,8 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    import tidemark.plans  # noqa: F401  registers all queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import tidemark.plans  # noqa: F401  registers all queries
+
     return dict(_SQL)
