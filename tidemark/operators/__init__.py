@@ -1 +1,7 @@
+"""Operators on DataFrames: as-of and range joins, ordered folds, throttles, nearest-rank picks."""
 
+from tidemark.operators.asof import asof_join, nearest_join, range_join
+from tidemark.operators.folds import fold_per_key
+from tidemark.operators.ordered import excursions, keep_last, nearest_rank, seq_gaps, systematic_sample, throttle
+
+__all__ = ["asof_join", "excursions", "fold_per_key", "keep_last", "nearest_join", "nearest_rank", "range_join", "seq_gaps", "systematic_sample", "throttle"]
