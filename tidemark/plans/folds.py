@@ -1,0 +1,207 @@
+"""Ordered folds and dense statistics: online heads, prequential model, books, HAR, logistic regressions, HMM, pricing."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from tidemark.functions import models
+from tidemark.functions.statistics import fama_macbeth, gennorm_up, har_walk, hmm_fit, implied_scale, irls, viterbi
+from tidemark.operators import fold_per_key, throttle
+from tidemark.plans.dialect import view
+from tidemark import registry
+from tidemark.registry import query
+
+
+def _calib(spark, sf):
+    return view(spark, sf, "calib").join(view(spark, sf, "decisions").select("id", "z_dist", "confidence", "move_prob", "regime").dropDuplicates(["id"]), "id")
+
+
+@query("throttle")
+def _throttle(spark, sf):
+    return throttle(view(spark, sf, "ticks").select("asset", "ts_s", "seq"), ["asset"], "ts_s", "seq", 900.0)
+
+
+@query("online_head")
+def _online_head(spark, sf):
+    def step(head, r):
+        p = head.learn({"z": r.z_dist, "c": r.confidence}, int(r.outcome_up))
+        return {"asset": r.asset, "id": r.id, "p": p, "reliability": head.reliability}
+
+    return fold_per_key(_calib(spark, sf).select("asset", "ts_us", "id", "z_dist", "confidence", "outcome_up"), ["asset"], ["ts_us", "id"], lambda: models.Head({"z": 1.8, "c": 0.0}), step, "asset string, id long, p double, reliability double")
+
+
+@query("fair_value_head")
+def _fair(spark, sf):
+    def step(head, r):
+        p = head.learn(r.market_mid, r.z_dist, int(r.outcome_up))
+        return {"asset": r.asset, "id": r.id, "p": p, "k": head.k}
+
+    return fold_per_key(_calib(spark, sf).select("asset", "ts_us", "id", "market_mid", "z_dist", "outcome_up"), ["asset"], ["ts_us", "id"], models.FairValueHead, step, "asset string, id long, p double, k double")
+
+
+@query("prequential_model")
+def _prequential(spark, sf):
+    """Predict at a row's time, learn when its market settles an hour later: both as events of one ordered stream."""
+    x = _calib(spark, sf).select("asset", "ts_us", "id", "market_mid", "z_dist", "confidence", "move_prob", "regime", "outcome_up")
+    events = x.select("*", F.explode(F.array(F.lit(1), F.lit(0))).alias("kind")).withColumn("at_us", F.col("ts_us") + F.when(F.col("kind") == 0, 3_605_000_000).otherwise(0))
+
+    def step(state, r):
+        model, open_ = state
+        f = {"z": r.z_dist, "momentum": r.confidence, "imbalance": r.move_prob}
+        if r.kind == 1:
+            p, p_cal = model.predict(f, r.market_mid)
+            open_[r.id] = (p, p_cal)
+            return {"asset": r.asset, "id": r.id, "p_up": p, "p_cal": p_cal}
+        if r.id in open_:
+            p, p_cal = open_.pop(r.id)
+            model.learn(f, r.market_mid, p, p_cal, r.regime, int(r.outcome_up))
+        return None
+
+    return fold_per_key(events, ["asset"], ["at_us", "kind", "id"], lambda: (models.Predictor(), {}), step, "asset string, id long, p_up double, p_cal double")
+
+
+@query("l2_book_fold")
+def _l2(spark, sf):
+    """A snapshot every 50th event, changes between: best bid and ask after each."""
+
+    def step(book, r):
+        p, size = round(0.01 + (r.k % 98) / 100, 2), float(r.user_id % 9)
+        if r.seq % 50 == 0:
+            bid, ask = models.l2_apply(book, "book", [(0.4, 10), (0.39, 5)], [(0.6, 10), (0.61, 5)], [])
+        else:
+            bid, ask = models.l2_apply(book, "price_change", [], [], [("BUY" if p < 0.5 else "SELL", p, size)])
+        return {"asset": r.asset, "seq": r.seq, "bid": bid, "ask": ask}
+
+    return fold_per_key(view(spark, sf, "ticks").select("asset", "ts_us", "seq", "k", "user_id"), ["asset"], ["ts_us", "seq"], dict, step, "asset string, seq long, bid double, ask double")
+
+
+@query("exposure_fold")
+def _exposure(spark, sf):
+    """Trades accepted one after the other while open cost stays under 5 % of equity an asset."""
+    x = view(spark, sf, "settlements").where("filled = 1").select("asset", "ts_us", "id", "pnl")
+
+    def step(s, r):
+        cost = 20.0
+        blocked = s["open"] + cost > 0.05 * s["equity"]
+        if not blocked:
+            s["open"] += cost
+        if r.id % 2 == 0:
+            s["open"] = max(0.0, s["open"] - cost)
+        s["equity"] += r.pnl
+        return {"asset": r.asset, "id": r.id, "blocked": bool(blocked), "equity": s["equity"]}
+
+    return fold_per_key(x, ["asset"], ["ts_us", "id"], lambda: {"open": 0.0, "equity": 1000.0}, step, "asset string, id long, blocked boolean, equity double")
+
+
+@query("har_walkforward")
+def _har(spark, sf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar")
+        f, r2 = har_walk(pdf["rv"].to_numpy(), pdf["ret"].to_numpy())
+        return pd.DataFrame({"asset": pdf["asset"].iloc[:1], "n": [len(f)], "r2": [r2], "last_forecast": [f[-1] if len(f) else math.nan]})
+
+    return registry.queries()["bar_rv"](spark, sf).groupBy("asset").applyInPandas(run, "asset string, n long, r2 double, last_forecast double")
+
+
+@query("har_ols")
+def _har_ols(spark, sf):
+    """Normal equations in one aggregation, the 4 x 4 system solved with numpy."""
+    d = registry.queries()["har_design"](spark, sf).where("target is not null").withColumn("one", F.lit(1.0))
+    cols = ["one", "rv", "rv5", "rv22"]
+    row = d.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(cols) for b in cols[i:]], *[F.sum(F.col(a) * F.col("target")).alias(f"y_{a}") for a in cols]).first()
+    xtx = np.array([[row[f"{min(a, b, key=cols.index)}_{max(a, b, key=cols.index)}"] or 0.0 for b in cols] for a in cols])
+    beta = np.linalg.pinv(xtx + 1e-9 * np.eye(4)) @ np.array([row[f"y_{a}"] or 0.0 for a in cols])
+    return spark.createDataFrame([(c, float(b)) for c, b in zip(cols, beta, strict=True)], "term string, beta double")
+
+
+_X = ["market_logit", "z_dist", "edge"]
+
+
+def _design(spark, sf):
+    return _calib(spark, sf).selectExpr("ts_us - ts_us % (86400000000 * 30) as period", "ln(market_mid / (1 - market_mid)) as market_logit", "z_dist", "p_cal - market_mid as edge", "outcome_up as y", "ts_us", "id")
+
+
+@query("irls_logit")
+def _irls(spark, sf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = irls(np.column_stack([np.ones(len(pdf)), pdf[_X]]), pdf["y"].to_numpy())
+        return pd.DataFrame({"period": pdf["period"].iloc[0], "term": ["one", *_X], "beta": b if b is not None else [math.nan] * 4, "n": len(pdf)})
+
+    return _design(spark, sf).groupBy("period").applyInPandas(run, "period long, term string, beta double, n long")
+
+
+@query("fama_macbeth")
+def _fm(spark, sf):
+    """Mean, standard error and t of the coefficients over periods."""
+    b = _irls(spark, sf).where("not isnan(beta)")
+    return fama_macbeth(b)
+
+
+@query("oos_validation")
+def _oos(spark, sf):
+    """Expanding folds in time order: coefficients and scaling from the past, scores on the next fold."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, k = pdf.sort_values(["ts_us", "id"]), 5
+        size, out = len(pdf) // k, []
+        for f in range(1, k):
+            train, test = pdf.iloc[: f * size], pdf.iloc[f * size : (f + 1) * size if f < k - 1 else len(pdf)]
+            mu, sd = train[_X].mean(), train[_X].std().replace(0, 1).fillna(1)
+            b = irls(np.column_stack([np.ones(len(train)), (train[_X] - mu) / sd]), train["y"].to_numpy()) if len(train) > 10 else None
+            if b is None or not len(test):
+                continue
+            p = 1 / (1 + np.exp(-np.column_stack([np.ones(len(test)), (test[_X] - mu) / sd]) @ b))
+            y, q = test["y"].to_numpy(), np.clip(p, 1e-6, 1 - 1e-6)
+            out.append((f, len(test), float(np.mean((p - y) ** 2)), float(np.mean(-(y * np.log(q) + (1 - y) * np.log(1 - q))))))
+        return pd.DataFrame(out, columns=["fold", "n", "brier", "logloss"])
+
+    return _design(spark, sf).groupBy(F.lit("all").alias("model")).applyInPandas(run, "fold long, n long, brier double, logloss double")
+
+
+def _returns(spark, sf):
+    return registry.queries()["log_returns"](spark, sf)
+
+
+@query("hmm_fit")
+def _hmm(spark, sf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = hmm_fit(pdf.sort_values("seq")["r"].to_numpy(), 2)
+        return pd.DataFrame({"asset": pdf["asset"].iloc[0], "state": [0, 1], "mu": m["mu"], "sigma": m["sigma"], "stay": np.diag(m["trans"]), "loglik": m["loglik"]})
+
+    return _returns(spark, sf).groupBy("asset").applyInPandas(run, "asset string, state long, mu double, sigma double, stay double, loglik double")
+
+
+@query("hmm_viterbi")
+def _viterbi(spark, sf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        x = pdf["r"].to_numpy()
+        return pd.DataFrame({"asset": pdf["asset"], "seq": pdf["seq"], "state": viterbi(x, hmm_fit(x, 2))})
+
+    return _returns(spark, sf).groupBy("asset").applyInPandas(run, "asset string, seq long, state long")
+
+
+@query("hmm_bic")
+def _bic(spark, sf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("seq")["r"].to_numpy()
+        ll = [hmm_fit(x, k)["loglik"] for k in (1, 2, 3)]
+        return pd.DataFrame({"asset": pdf["asset"].iloc[0], "k": [1, 2, 3], "loglik": ll, "bic": [-2 * v + (k * k + k - 1) * math.log(len(x)) for k, v in zip((1, 2, 3), ll, strict=True)], "lr": [0.0, 2 * (ll[1] - ll[0]), 2 * (ll[2] - ll[1])]})
+
+    return _returns(spark, sf).groupBy("asset").applyInPandas(run, "asset string, k long, loglik double, bic double, lr double")
+
+
+@query("gennorm_prob")
+def _gennorm(spark, sf):
+    up = F.pandas_udf(lambda z, b: pd.Series([gennorm_up(x, s, 1.0) for x, s in zip(z, b, strict=True)]), "double")
+    return view(spark, sf, "decisions").select("id", up("z_dist", 1.2 + F.col("confidence")).alias("p"))
+
+
+@query("implied_scale")
+def _implied(spark, sf):
+    solve = F.pandas_udf(lambda z, p: pd.Series([implied_scale(x, y, 1.5) for x, y in zip(z, p, strict=True)]), "double")
+    return view(spark, sf, "decisions").where("abs(z_dist) > 0.05").select("id", solve("z_dist", "p_cal").alias("scale"))

@@ -49,7 +49,7 @@ select seq, asset, n, round(case when n >= 5 then sr / sdt else 0e0 end, 8) as m
 KAPPA = RET + """, v as (select asset, seq, ts_us, ts_s, price, r, var_samp(r) over (partition by asset order by ts_us, seq rows between 59 preceding and current row) as v60, var_samp(r) over (partition by asset order by ts_us, seq rows between 59 preceding and 30 preceding) as old30,
   sum(r * r) over f as rr, sum(dt) over f as sdt, sum(r) over f as sr, count(*) over f as n from r where r is not null window f as (partition by asset order by ts_us, seq rows between 119 preceding and current row)),
 q as (select *, case when n >= 120 and old30 > 0e0 then round(v60 / old30 + 1.234567e-9, 5) end as kappa from v)"""
-sql_query("kappa_regime", KAPPA + f" select seq, asset, round(kappa, 4) as kappa, {x.kappa_regime('kappa')} as regime, round({x.sigma_multiplier('coalesce(kappa, 1e0)')}, 4) as mult from q")
+sql_query("kappa_regime", KAPPA + f" select seq, asset, round(kappa + 1.234567e-9, 4) as kappa, {x.kappa_regime('kappa')} as regime, round({x.sigma_multiplier('coalesce(kappa, 1e0)')} + 1.234567e-9, 4) as mult from q")
 sql_query("structural_alpha", KAPPA + f""", s as (select seq, asset, price, price * 1.001e0 as strike, 1.25e0 * sqrt(rr / sdt) * {x.sigma_multiplier('coalesce(kappa, 1e0)')} as sigma, 0e0 as mu, 900e0 - (seq % 900) as tau from q where n >= 12)
 select seq, asset, round({x.digital_prob('price', 'strike', 'sigma', 'tau')}, 7) as alpha_up from s""")
 sql_query("per_minute_vol", """
