@@ -176,3 +176,14 @@ def test_stream_equals_batch(spark, split, tmp_path):
     run_once(fold_stream(t, "asset", "seq", models.Moments, step, "asset string, seq long, mean double").writeStream.format("parquet").option("path", str(tmp_path / "fold")), str(tmp_path / "c4"))
     want = {(r.asset, r.seq): r.mean for r in fold_per_key(batch.select("asset", "seq", "price"), ["asset"], ["seq"], models.Moments, step, "asset string, seq long, mean double").collect()}
     assert {(r.asset, r.seq): r.mean for r in spark.read.parquet(str(tmp_path / "fold")).collect()} == want
+
+
+def test_position():
+    p = models.Position("up", 0.4, passive=10, aggressive=5, aggressive_price=0.5, fee=0.018)
+    assert p.on_quote(0.45, 0.47) == "open" and not p.filled
+    assert p.on_quote(0.38, 0.40) == "open" and p.filled
+    assert p.on_quote(0.91, 0.93, {"t": 3}) == "took_profit" and p.on_quote(0.7, 0.72) == "took_profit"
+    assert (p.peak, p.trough, p.after_peak, p.peak_row) == (0.91, 0.38, 0.7, {"t": 3})
+    r = p.settle(101.0, 100.0)
+    assert r["pnl"] == pytest.approx((1 - 0.5 - 0.018) * 5 + 0.6 * 10) and r["tp_pnl"] == pytest.approx((0.9 - 0.5 - 0.018) * 5 + 0.5 * 10)
+    assert models.Position("down", 0.3, passive=2).settle(100.0, 100.0) == {"outcome_up": 0, "filled": 0, "won": None, "pnl": None, "tp_pnl": None}

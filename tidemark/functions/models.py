@@ -187,3 +187,56 @@ def l2_apply(book: dict[str, dict[float, float]], kind: str, bids: list, asks: l
                 level.pop(float(p), None)
     bid, ask = book.get("bid") or {}, book.get("ask") or {}
     return (max(bid) if bid else None), (min(ask) if ask else None)
+
+
+@dataclass
+class Position:
+    """One market's ghost position: a resting limit order that fills, runs an excursion, takes profit and settles.
+
+    `on_quote` takes a path row in time order, `settle` the end price. Sizes are contracts of the passive and the
+    aggressive leg; the passive one counts only once a row has traded through its limit.
+    """
+
+    side: str
+    limit_price: float
+    passive: float = 0.0
+    aggressive: float = 0.0
+    aggressive_price: float = 0.0
+    fee: float = 0.0
+    take_profit: float = 0.9
+    filled: bool = False
+    took_profit: bool = False
+    peak: float = 0.0
+    trough: float | None = None
+    after_peak: float | None = None
+    peak_row: dict | None = None
+
+    def on_quote(self, bid: float | None, ask: float | None, row: dict | None = None) -> str:
+        """State after a quote of the up contract: resting, open or took_profit."""
+        own_bid = bid if self.side == "up" else (None if ask is None else 1 - ask)
+        own_ask = ask if self.side == "up" else (None if bid is None else 1 - bid)
+        if self.passive and not self.filled and own_ask is not None and own_ask <= self.limit_price + 1e-9:
+            self.filled = True
+        if not (self.filled or self.aggressive):
+            return "resting"
+        if own_bid is not None:
+            if own_bid > self.peak:
+                self.peak, self.after_peak, self.peak_row = own_bid, own_bid, row
+            else:
+                self.after_peak = own_bid if self.after_peak is None else min(self.after_peak, own_bid)
+            self.trough = own_bid if self.trough is None else min(self.trough, own_bid)
+            self.took_profit = self.took_profit or own_bid >= self.take_profit - 1e-9
+        return "took_profit" if self.took_profit else "open"
+
+    def settle(self, end_price: float, strike: float) -> dict:
+        """Ledger row; a tie is down. Without any entry it is a no-fill row with null results."""
+        outcome = int(end_price > strike)
+        size = self.aggressive + (self.passive if self.filled else 0.0)
+        if size <= 0:
+            return {"outcome_up": outcome, "filled": 0, "won": None, "pnl": None, "tp_pnl": None}
+        won = outcome if self.side == "up" else 1 - outcome
+
+        def pay(value: float) -> float:
+            return (value - self.aggressive_price - self.fee) * self.aggressive + ((value - self.limit_price) * self.passive if self.filled else 0.0)
+
+        return {"outcome_up": outcome, "filled": 1, "won": won, "pnl": pay(won), "tp_pnl": pay(self.take_profit if self.took_profit else won)}

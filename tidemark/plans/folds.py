@@ -205,3 +205,17 @@ def _gennorm(spark, sf):
 def _implied(spark, sf):
     solve = F.pandas_udf(lambda z, p: pd.Series([implied_scale(x, y, 1.5) for x, y in zip(z, p, strict=True)]), "double")
     return view(spark, sf, "decisions").where("abs(z_dist) > 0.05").select("id", solve("z_dist", "p_cal").alias("scale"))
+
+
+@query("position_machine")
+def _positions(spark, sf):
+    """Each market's ghost position after every quote: state, peak, trough and lowest bid after the peak."""
+
+    def step(held, r):
+        mid = 0.5 if r.up_bid is None or r.up_ask is None or math.isnan(r.up_bid) or math.isnan(r.up_ask) else (r.up_bid + r.up_ask) / 2
+        p = held.setdefault("p", models.Position("up" if r.seq % 2 else "down", mid - 0.02, passive=5.0))
+        clean = lambda v: None if v is None or math.isnan(v) else v
+        state = p.on_quote(clean(r.up_bid), clean(r.up_ask))
+        return {"market": r.market, "seq": r.seq, "state": state, "peak": p.peak, "trough": p.trough, "after_peak": p.after_peak}
+
+    return fold_per_key(view(spark, sf, "quotes").select("market", "ts_us", "seq", "up_bid", "up_ask"), ["market"], ["ts_us", "seq"], dict, step, "market string, seq long, state string, peak double, trough double, after_peak double")
