@@ -28,7 +28,7 @@ WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 16
 DIM, HIDDEN, ATTEND = 6, 12, 8
 #: Labelled rows of each class that training reads at most; more labels don't change the model's cost.
-PER_CLASS = 2000
+PER_CLASS = 1500
 #: Words whose projected inputs a worker remembers; when full it starts anew.
 MEMORY = 150_000
 EMPTY_LOGIT = -20.0
@@ -62,11 +62,11 @@ def word_id(word: str) -> int:
     return zlib.crc32(word.encode(), 7) & (WORD_BUCKETS - 1)
 
 
-def _log_odds(docs: list[set[int]], y: np.ndarray, buckets: int) -> np.ndarray:
+def _log_odds(docs: list[np.ndarray], y: np.ndarray, buckets: int) -> np.ndarray:
     """Shrunken log-odds of toxic against other documents that hold a bucket."""
     n = np.zeros((2, buckets))
     for ids, label in zip(docs, y, strict=True):
-        n[label, list(ids)] += 1
+        n[label, ids] += 1
     size = np.bincount(y, minlength=2)[:, None] + 1.0
     rate = (n + 0.5) / size
     total = n.sum(0)
@@ -254,10 +254,12 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 5, b
         net.scale, net.shift = 0.0, 0.0
         net.bias = -5.0
         return net
-    found = [words_of(t) for t in texts]
+    shared: dict[str, str] = {}
+    found = [[shared.setdefault(v, v) for v in words_of(t)] for t in texts]
     some = [sorted(set(f)) for f in found]
-    word_sets = [{word_id(x) for x in v} for v in some]
-    char_sets = [set(char_ids(v)[0].tolist()) if v else set() for v in some]
+    none = np.zeros(0, np.int32)
+    word_sets = [np.unique([word_id(x) for x in v]).astype(np.int32) if v else none for v in some]
+    char_sets = [np.unique(char_ids(v)[0]).astype(np.int32) if v else none for v in some]
 
     def odds(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _log_odds([word_sets[i] for i in docs], y[docs], WORD_BUCKETS), _log_odds([char_sets[i] for i in docs], y[docs], CHAR_BUCKETS)
