@@ -22,7 +22,7 @@ from tidemark.llm.common import components, stage, unstage
 
 #: Members of a shard, and rows dealt to one task while shards are cut.
 SHARD, DEAL = 2048, 20_000
-DEGREE, CANDIDATES, BEAM, SLACK = 16, 40, 20, 0.08
+DEGREE, CANDIDATES, BEAM, SLACK = 16, 40, 20, 0.2
 
 
 def _matrix(rows) -> np.ndarray:
@@ -250,7 +250,7 @@ def _audit(rows: DataFrame, links: DataFrame, threshold: float, queries: int) ->
     return 1.0 if not both["n"] else both["found"] / both["n"]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.99, queries: int = 256, overlap: int = 3) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.99, queries: int = 256, overlap: int = 2) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors(vec_id, embedding, label).
 
     Only vectors with one label, not null, are compared. A vector that is null or zero or holds null or non-finite
