@@ -91,5 +91,5 @@ def test_packing(spark):
         part = part.sort_values("offset")
         assert part.offset.tolist() == [0, *part.length.cumsum()[:-1]] and part.length.sum() <= 64
     c = packing.certificate(packing.pack(df, queries.WORD_BPE, end_id=1, capacity=64, per_partition=50), 64)
-    assert c["bound"] <= c["sequences"] == got.sequence_id.nunique() <= c["bound"] + 3
+    assert c["bound"] <= c["sequences"] == got.sequence_id.nunique() <= c["bound"] + 6  # partitions of 50 pieces, many of them large
     assert packing.pack(df.limit(0), queries.WORD_BPE).count() == 0
