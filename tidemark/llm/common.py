@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +42,20 @@ def _remove_all() -> None:
             continue
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session ends."""
+    path = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}-{name}"
+    _STAGED.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
     The job's shuffle files go when it ends (where Spark can), so that peak disk is that of one step.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}-{name}"
-    _STAGED.append((spark, path))
+    path = scratch(spark, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -67,6 +75,27 @@ def unstage(df: DataFrame) -> None:
         _STAGED[:] = [x for x in _STAGED if x[1] != path]
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """A worker's one large thing (automata, encoder): made once, and let go as soon as another operator needs its own.
+
+    Workers live on from stage to stage, so what earlier stages remembered would otherwise add up.
+    """
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what earlier stages left in this worker."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+
+
 def short_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

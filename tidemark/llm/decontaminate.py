@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import short_batches
+from tidemark.llm.common import release, short_batches
 from tidemark.llm.recompress import U, rolling
 from tidemark.llm.tokens import text_slices
 
@@ -38,8 +38,8 @@ MOST_WORDS = 1_000_000
 def canonical(text: str | None) -> tuple[list[str], list[str]]:
     """Template tokens and the tokens they stand for.
 
-    Numbers are <num>; a unit word or sign next to a number is <unit>; a capitalised word that doesn't begin a sentence
-    or line is <name>. All else is lower-cased. Sentence ends are dropped.
+    Numbers are <num>; a unit word or sign next to a number is <unit>; a capitalised word (one capital, then small
+    letters) that doesn't begin a sentence or line is <name>. All else is lower-cased. Sentence ends are dropped.
     """
     out: list[str] = []
     raw: list[str] = []
@@ -57,7 +57,7 @@ def canonical(text: str | None) -> tuple[list[str], list[str]]:
         else:
             if number and low in UNITS:
                 out.append(UNIT)
-            elif not begins and t[0].isupper():
+            elif not begins and low != t and t[0].isupper() and t[1:].islower():
                 out.append(NAME)
             else:
                 out.append(low)
@@ -88,6 +88,7 @@ def _windows(widths: list[int], words: frozenset[str] | None):
     codes: dict[str, int] = {}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in text_slices(texts):

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,12 +18,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import short_batches
+from tidemark.llm.common import held, short_batches
 from tidemark.llm.tokens import text_slices
 
 WORD = regex.compile(r"\p{L}+")
 #: Words whose parses a worker remembers; when full it starts anew.
-MEMORY = 300_000
+MEMORY = 200_000
 
 
 class SuffixAutomaton:
@@ -79,7 +78,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def training_text(docs: DataFrame, per_language: int = 150, letters: int = 40_000) -> dict[str, str]:
+def training_text(docs: DataFrame, per_language: int = 150, letters: int = 30_000) -> dict[str, str]:
     """Training text of each language from a bounded sample of labelled documents that are not held out.
 
     About 2 * `per_language` documents a language, those of smallest id hash, give words until there are `letters`
@@ -147,21 +146,9 @@ class Model:
         return [self.langs[b] if s else "und" for b, s in zip(best, sums[:, k], strict=True)], score, phrases.min(1) / letters
 
 
-@lru_cache(maxsize=2)
-def _model(items: tuple[tuple[str, str], ...]) -> Model:
-    return Model(dict(items))
-
-
-_LOCAL: dict[int, Model] = {}
-
-
 def _from_broadcast(b: Broadcast) -> Model:
-    texts = tuple(sorted(b.value.items()))
-    key = zlib.crc32(repr(texts).encode())
-    if key not in _LOCAL:
-        _LOCAL.clear()
-        _LOCAL[key] = _model(texts)
-    return _LOCAL[key]
+    texts = b.value
+    return held(("language", zlib.crc32(repr(sorted(texts.items())).encode())), lambda: Model(texts))
 
 
 def identify(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:

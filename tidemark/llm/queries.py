@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bitplanes, decontaminate, jaccard, langid, licenses, packing, preference, substring, toxicity, vectors
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,7 +22,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tidemark/ids-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, "ids")
     bitplanes.write_ids(_table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=2)
     return bitplanes.read_report(spark, path)
 
