@@ -186,8 +186,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     """
     short_batches(docs.sparkSession)
     bands = bands_for(threshold, recall)
-    words = docs.select("doc_id", F.hash("text").alias("rk"), letter_words(F.col("text")).alias("w")).where("doc_id is not null and size(w) > 0").select("doc_id", "rk", hashes(F.col("w")).alias("h"))
-    sig = words.mapInArrow(_signatures(n, bands, ROWS), "doc_id long, rk int, n int, a long, b long, bands array<long>")
+    keyed = docs.where("doc_id is not null").select("doc_id", F.hash("text").alias("rk"), "text")
+    words = keyed.select("doc_id", "rk", letter_words(F.col("text")).alias("w")).where("size(w) > 0")
+    sig = words.select("doc_id", "rk", hashes(F.col("w")).alias("h")).mapInArrow(_signatures(n, bands, ROWS), "doc_id long, rk int, n int, a long, b long, bands array<long>")
     sig = stage(sig.withColumn("node", F.xxhash64("n", "a", "b")), "signatures")
     row = F.struct("doc_id", "rk")
     classes = stage(sig.groupBy("node").agg(F.min(row).alias("row"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
@@ -196,7 +197,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     full = full.groupBy("m", "sum", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
     active = banded.join(full, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "m")).alias("in"))
     active = stage(active.join(classes.select("node", "row", "copies"), "node").select("node", "row.doc_id", "row.rk", "copies", F.col("in.bucket").alias("buckets"), F.col("in.m").alias("sizes")), "active")
-    sets = words.join(active, ["doc_id", "rk"]).select("node", "copies", "buckets", "sizes", "h")
+    # a merge join at any size: the texts move once, and only those of active nodes are read again
+    sets = keyed.join(active.hint("merge"), ["doc_id", "rk"]).select("node", "copies", "buckets", "sizes", hashes(letter_words(F.col("text"))).alias("h"))
     sets = sets.mapInArrow(_sets(n), "node long, copies long, buckets array<long>, sizes array<long>, shingles array<long>")
     sets = sets.withColumn("at", F.explode(F.arrays_zip("buckets", "sizes"))).withColumn("blocks", F.ceil(F.col("at.sizes") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("node", F.lit(3)), "blocks"))
     sets = sets.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
@@ -217,7 +219,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 def report(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, copies; a document without words or id is its own class."""
     found = near_duplicates(docs.select("doc_id", "text"), n, threshold, recall).select("doc_id", "class_id", "n_links", "copies")
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[\\p{L}\\p{N}]")) > 0
+    words = F.coalesce("text", F.lit("")).rlike("[\\p{L}\\p{N}]")
     rest = docs.where(~words | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
     return found.unionByName(rest)
 
