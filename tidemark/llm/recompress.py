@@ -104,10 +104,10 @@ def rolling(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(a), mix(b)
 
 
-def anchors(h: np.ndarray, offsets: np.ndarray, width: int, levels: int = 3):
+def anchors(h: np.ndarray, offsets: np.ndarray, width: int, levels: int = 2):
     """Anchor of each window of `width` words: a symbol that every occurrence of the window holds.
 
-    The symbol is of the highest level that fits, the one of smallest name among those; a window that holds none
+    The symbol is of the highest level that fits, of most words, and then of smallest hash; a window that holds none
     (it lies in a long run) is named by itself. Runs of windows with one anchor come as one row.
     Returns (anchor, document, first window, last window), positions counted over all documents.
     """
@@ -133,7 +133,7 @@ def anchors(h: np.ndarray, offsets: np.ndarray, width: int, levels: int = 3):
         if not has.any():
             continue
         lo, hi, who = lo[has], hi[has], left[has]
-        key = mix(x.sym + U(level + 77))
+        key = (mix(x.sym + U(level + 77)) >> U(5)) | ((31 - np.minimum(x.e - x.s, 31)).astype(U) << U(59))
         best, where = key[lo], lo.copy()
         for j in range(1, int((hi - lo).max()) + 1):
             i = np.flatnonzero(lo + j <= hi)

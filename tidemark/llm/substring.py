@@ -15,23 +15,25 @@ equi-join on a hash, whose hot keys adaptive execution can split.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hashes, short_batches, space_words, stage, unstage
+from tidemark.llm.common import hashes, release, short_batches, space_words, stage, unstage
 from tidemark.llm.recompress import U, anchors, long_symbols, rolling
 
 #: Words handled at once in a Python worker.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 120_000
 LEAST_LONG = 64
 
 
 def _chunks(batch: pa.RecordBatch, column: str = "h") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch of about CHUNK_WORDS words with their hashes and offsets."""
     lists = batch.column(batch.schema.get_field_index(column))
+    release()
     off = lists.offsets.to_numpy().astype(np.int64)
     i = 0
     while i < batch.num_rows:
@@ -47,7 +49,10 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def _symbol_rows(width: int):
-    """(kind, a, b, rk, doc_id, first, last): kind 0 anchors with their windows, kind 1 long symbols with their span."""
+    """(a, check, doc_id, rk, span): anchors with their windows (check 0), long symbols with their words.
+
+    span packs the first position and the last window, or the end, as first * 2**31 + last.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,23 +61,18 @@ def _symbol_rows(width: int):
                 ids = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
                 name, doc, first, last = anchors(h, off, width)
                 sym, check, d2, s, e = long_symbols(h, off, max(LEAST_LONG, width))
-                kinds = np.concatenate([np.zeros(len(name), np.int32), np.ones(len(sym), np.int32)])
-                both = np.concatenate([doc, d2])
-                yield pa.record_batch(
-                    [pa.array(kinds), _longs(np.concatenate([name, sym])), _longs(np.concatenate([np.zeros(len(name), U), check])), _longs(rk[both]), _longs(ids[both]),
-                     pa.array((np.concatenate([first, s]) - off[both]).astype(np.int32)), pa.array((np.concatenate([last, e]) - off[both]).astype(np.int32))],
-                    names=["kind", "a", "b", "rk", "doc_id", "first", "last"],
-                )
+                doc = np.concatenate([doc, d2])
+                span = ((np.concatenate([first, s]) - off[doc]) << 31) + np.concatenate([last, e]) - off[doc]
+                yield pa.record_batch([_longs(np.concatenate([name, sym])), _longs(np.concatenate([np.zeros(len(name), U), check | U(1)])), _longs(ids[doc]), pa.array(rk[doc]), _longs(span)], names=["a", "check", "doc_id", "rk", "span"])
 
     return rows
 
 
 def _spans(lists: pa.Array, i: int) -> np.ndarray:
-    """Row i of an array of structs (first, last) as an n x 2 matrix."""
+    """Row i of an array of packed spans as an n x 2 matrix."""
     v = lists[i].values
-    if v is None or not len(v):
-        return np.zeros((0, 2), np.int64)
-    return np.stack([v.field("first").to_numpy(zero_copy_only=False), v.field("last").to_numpy(zero_copy_only=False)], 1).astype(np.int64)
+    v = np.zeros(0, np.int64) if v is None else v.to_numpy(zero_copy_only=False)
+    return np.stack([v >> 31, v & (2**31 - 1)], 1)
 
 
 def _window_rows(width: int):
@@ -95,7 +95,7 @@ def _window_rows(width: int):
                 p = np.flatnonzero((np.cumsum(open_)[:-1] > 0) & (np.cumsum(shut)[:-1] == 0))
                 a, b = rolling(h, width)
                 doc = np.searchsorted(off, p, "right") - 1
-                yield pa.record_batch([_longs(a[p]), _longs(b[p]), _longs(rk[doc]), _longs(ids[doc]), pa.array((p - off[doc]).astype(np.int32))], names=["a", "b", "rk", "doc_id", "first"])
+                yield pa.record_batch([_longs(a[p]), _longs(b[p]), pa.array(rk[doc]), _longs(ids[doc]), pa.array((p - off[doc]).astype(np.int32))], names=["a", "b", "rk", "doc_id", "first"])
 
     return rows
 
@@ -110,45 +110,56 @@ def _kept_runs(starts, spans, n_words, width: int):
         p = np.asarray(p if p is not None else [], np.int64)
         np.add.at(x, p, 1)
         np.add.at(x, np.minimum(p + width, n), -1)
-        for r in q if q is not None else []:
-            x[r["first"]] += 1
-            x[r["last"]] -= 1
+        q = np.asarray(q if q is not None else [], np.int64)
+        np.add.at(x, q >> 31, 1)
+        np.add.at(x, q & (2**31 - 1), -1)
         keep = np.concatenate([[False], np.cumsum(x)[:-1] == 0, [False]])
         edge = np.flatnonzero(keep[1:] != keep[:-1])
         out.append([{"at": int(s) + 1, "n": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
     return pd.Series(out)
 
 
-def kept_words(docs: DataFrame, width: int = 13) -> DataFrame:
+def kept_words(docs: DataFrame, width: int = 13, slices: int = 2) -> DataFrame:
     """docs(doc_id, text, ...) with `words`, `n_words` and `kept` (the words that stay) added.
 
     A word goes if a window of `width` words over it also starts in a document with a smaller doc_id. Windows are
     judged on the input. Null texts have no words. A row whose doc_id is null neither removes nor loses words. Rows
     with one doc_id don't remove each other's words; identical rows get identical results. Columns besides doc_id and
-    text are carried along untouched.
+    text are carried along untouched. Symbols are matched in `slices` passes over ranges of their names, which bounds
+    the disk that shuffles take at once.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
-    base = docs.withColumn("__rk", F.xxhash64("doc_id", "text"))
-    slim = base.where("doc_id is not null").select("doc_id", F.col("__rk").alias("rk"), space_words(F.col("text")).alias("w"))
-    longer = slim.where(F.size("w") >= width).select("doc_id", "rk", hashes(F.col("w")).alias("h"))
-    symbols = longer.mapInArrow(_symbol_rows(width), "kind int, a long, b long, rk long, doc_id long, first int, last int")
-    symbols = stage(symbols, "symbols")
-    seen = symbols.groupBy("kind", "a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    hit = symbols.join(seen, ["kind", "a", "b"]).where("kind = 0 or doc_id > low")
-    span = F.struct("first", "last")
-    found = stage(hit.groupBy("rk").agg(F.collect_set(F.when(F.col("kind") == 0, span)).alias("anchored"), F.collect_set(F.when(F.col("kind") == 1, span)).alias("proved")), "found")
+    short_batches(docs.sparkSession)
+    base = docs.withColumn("__rk", F.hash("text"))
+    slim = base.where("doc_id is not null").select("doc_id", F.col("__rk").alias("rk"), "text")
+    longer = slim.withColumn("w", space_words(F.col("text"))).where(F.size("w") >= width).select("doc_id", "rk", hashes(F.col("w")).alias("h"))
+    symbols = stage(longer.mapInArrow(_symbol_rows(width), "a long, check long, doc_id long, rk int, span long"), "symbols")
+    hits = []
+    for k in range(slices):
+        some = symbols.where(F.pmod("a", F.lit(slices)) == k)
+        seen = some.groupBy("a", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+        hits.append(stage(some.join(seen, ["a", "check"]).where("check = 0 or doc_id > low").select("doc_id", "rk", (F.col("check") == 0).alias("anchor"), "span"), "hits"))
     unstage(symbols)
-    windows = longer.join(found.where(F.size("anchored") > 0), "rk").mapInArrow(_window_rows(width), "a long, b long, rk long, doc_id long, first int")
-    windows = stage(windows, "windows")
-    low = windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    gone = windows.join(low, ["a", "b"]).where("doc_id > low").groupBy("rk").agg(F.collect_set("first").alias("starts"))
-    runs = F.pandas_udf(lambda p, q, n: _kept_runs(p, q, n, width), "array<struct<at: int, n: int>>")
-    marks = gone.join(found.where(F.size("proved") > 0).select("rk", "proved"), "rk", "full")
-    marks = stage(marks.select(F.col("rk").alias("__rk"), "starts", "proved"), "marks")
+    hit = reduce(DataFrame.union, hits)
+    lists = [F.collect_list(F.when(F.col("anchor") == yes, F.col("span"))).alias(name) for yes, name in ((True, "anchored"), (False, "proved"))]
+    found = stage(hit.groupBy("doc_id", "rk").agg(*lists), "found")
+    for x in hits:
+        unstage(x)
+    anchored = found.where(F.size("anchored") > 0)
+    windows = slim.join(anchored.hint("merge"), ["doc_id", "rk"]).select("doc_id", "rk", "anchored", "proved", hashes(space_words(F.col("text"))).alias("h"))
+    windows = stage(windows.mapInArrow(_window_rows(width), "a long, b long, rk int, doc_id long, first int"), "windows")
+    gone = []
+    for k in range(slices):
+        some = windows.where(F.pmod("a", F.lit(slices)) == k)
+        low = some.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+        gone.append(stage(some.join(low, ["a", "b"]).where("doc_id > low").select("doc_id", "rk", "first"), "gone"))
+    starts = reduce(DataFrame.union, gone).groupBy("doc_id", "rk").agg(F.collect_list("first").alias("starts"))
     unstage(windows)
-    unstage(found)
-    out = base.join(marks, "__rk", "left").withColumn("words", space_words(F.col("text")))
+    runs = F.pandas_udf(lambda p, q, n: _kept_runs(p, q, n, width), "array<struct<at: int, n: int>>")
+    marks = starts.join(found.where(F.size("proved") > 0).select("doc_id", "rk", "proved"), ["doc_id", "rk"], "full").withColumnRenamed("rk", "__rk")
+    marks = stage(marks, "marks")
+    for x in (*gone, found):
+        unstage(x)
+    out = base.join(marks, ["doc_id", "__rk"], "left").withColumn("words", space_words(F.col("text")))
     touched = F.col("starts").isNotNull() | F.col("proved").isNotNull()
     out = out.withColumn("n_words", F.size("words").cast("long"))
     out = out.withColumn("__runs", F.when(touched, runs(F.when(touched, F.col("starts")), F.when(touched, F.col("proved")), F.when(touched, F.col("n_words")).otherwise(F.lit(0)))))
