@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Benchmark items and documents become token sequences in which numbers, units and names are typed placeholders. Windows
-of item templates are hashed and joined with the windows of all documents; neighbouring hits on one diagonal form a
-passage. Within a passage the slots decide: a slot value of the item must always answer to one value of the document
-(and differently filled slots may not all collapse), so a question with new numbers is caught and chance hits are not.
+of item templates are hashed and joined with the windows of all documents; around the diagonals of the hits, item and
+document are aligned within a band, so a slot may take more or fewer tokens and words may come or go. The tokens aligned
+in the best passage give its coverage; its slots decide where coverage alone does not.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import release, short_batches
-from tidemark.llm.recompress import U, rolling
+from tidemark.llm.recompress import U, mix
 from tidemark.llm.tokens import text_slices
 
 # Unit words and signs that become <unit>.
@@ -31,8 +31,14 @@ UNITS = frozenset(
 TOKEN = regex.compile(r"\p{N}+(?:[.,:/]\p{N}+)*|\p{L}+|[%$€£¥°]|[.!?\n]")
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 WINDOW = 8
-#: Words of benchmark templates that may be sent to every executor; with more, windows are not prefiltered by word.
-MOST_WORDS = 1_000_000
+#: Windows of benchmark templates that may be sent to every executor; with more, windows are not prefiltered.
+MOST_WINDOWS = 1_000_000
+#: Aligned tokens that make a leak also below the share asked for.
+LONG = 13
+#: Widest band of diagonals that is aligned at once.
+BAND = 512
+END, IS_NUMBER, IS_UNIT, IS_SIGN, IS_CAPITAL = 1, 2, 4, 8, 16
+MULTIPLIER = U(0x9E3779B97F4A7C15)
 
 
 def canonical(text: str | None) -> tuple[list[str], list[str]]:
@@ -71,46 +77,106 @@ def _code(token: str) -> int:
     return xxhash.xxh64_intdigest(token)
 
 
+#: Kinds of slots, by number, and what stands for them in a window.
+KINDS = ("", NUMBER, UNIT, NAME)
+CODES = np.array([0, *(_code(k) for k in KINDS[1:])], U)
+
+
+class Tokens:
+    """Tokens of many texts in a row: `raw` (hash of the lower-cased token), `kind` (index in KINDS; as canonical()),
+    `text` (which text)."""
+
+    __slots__ = ("kind", "raw", "text")
+
+    def __init__(self, known: dict[str, tuple[int, int]], texts: list[str | None]):
+        if len(known) > 500_000:
+            known.clear()
+        found = [TOKEN.findall(t or "") for t in texts]
+        every = [t for f in found for t in f]
+        for t in set(every) - known.keys():
+            low = t.lower()
+            flag = END if t in ".!?\n" else IS_NUMBER if t[0].isdigit() or t[0].isnumeric() else 0
+            flag |= IS_UNIT * (low in UNITS) | IS_SIGN * (low in UNITS and not low.isalpha()) | IS_CAPITAL * (low != t and t[0].isupper() and t[1:].islower())
+            known[t] = (_code(low), flag)
+        both = [known[t] for t in every]
+        raw, flag = np.array([x[0] for x in both], U), np.array([x[1] for x in both], np.uint8)
+        text = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        inside = flag & END == 0
+        begins = np.ones(len(flag), bool)
+        begins[1:] = ~inside[:-1] | (text[1:] != text[:-1])
+        raw, flag, text, begins = raw[inside], flag[inside], text[inside], begins[inside]
+        number, same = flag & IS_NUMBER > 0, text[1:] == text[:-1]
+        unit = np.zeros(len(flag), bool)
+        unit[1:] = (flag[1:] & IS_UNIT > 0) & number[:-1] & same
+        unit[:-1] |= (flag[:-1] & IS_SIGN > 0) & number[1:] & same
+        name = (flag & IS_CAPITAL > 0) & ~begins & ~unit
+        self.raw, self.text, self.kind = raw, text, (number * 1 + unit * 2 + name * 3).astype(np.int8)
+
+    def forms(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(codes, token each stands at) of each form that is hashed."""
+        return [(np.where(self.kind > 0, CODES[self.kind], self.raw), np.arange(len(self.raw)))]
+
+
+def _width(n: int, width: int) -> int:
+    """Tokens of a window of an item of n: a third of it, from 4 (or all) to `width`, so that one change leaves some whole."""
+    return min(n, width, max(4, n // 3))
+
+
+def _rolled(h: np.ndarray, form: int, widths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(w, hashes of the windows of w tokens) for each of the rising widths."""
+    x = h * MULTIPLIER + U(form + 1)
+    for w in range(1, widths[-1] + 1):
+        if w > 1:
+            if len(h) < w:
+                return
+            x = x[:-1] * MULTIPLIER + h[w - 1 :]
+        if w in widths:
+            yield w, mix(x + U(w)).view(np.int64)
+
+
 def template_windows(bench: list[tuple], width: int) -> pd.DataFrame:
-    """(h, item_id, at, size): the windows of each item's template; a shorter item is one window of all its tokens."""
+    """(h, item_id, at, w): the windows of each item's template."""
     rows = []
     for item, text in bench:
-        t, _ = canonical(text)
-        if len(t) < 2:
+        t = Tokens({}, [text])
+        n = len(t.raw)
+        if n < 2:
             continue
-        h = np.array([_code(x) for x in t], U)
-        w = min(width, len(t))
-        rows += [(int(v), item, at, w, len(t)) for at, v in enumerate(rolling(h, w)[0].view(np.int64))]
-    return pd.DataFrame(rows, columns=["h", "item_id", "at", "w", "size"])
+        for form, (codes, at) in enumerate(t.forms()):
+            for w, h in _rolled(codes, form, [min(_width(n, width), len(codes))]):
+                rows += [(int(v), item, int(at[i]), w) for i, v in enumerate(h) if w > 1]
+    return pd.DataFrame(rows, columns=["h", "item_id", "at", "w"]).drop_duplicates()
 
 
-def _windows(widths: list[int], words: frozenset[str] | None):
-    codes: dict[str, int] = {}
+def _windows(widths: list[int], hashes: np.ndarray | None):
+    known: dict[str, tuple[int, int]] = {}
+    bits = min(24, max(16, int(64 * len(hashes)).bit_length())) if hashes is not None else 0
+    mask = np.int64((1 << bits) - 1)
+    table = []  # made once in a worker: which low bits of hashes occur
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        if hashes is not None and not table:
+            table.append(np.zeros(1 << bits, bool))
+            table[0][hashes & mask] = True
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for i, j in text_slices(texts):
-                out = ([], [], [], [])
-                for key, text in zip(keys[i:j], texts[i:j], strict=True):
-                    t, _ = canonical(text)
-                    known = np.fromiter((x in words for x in t), bool, len(t)) if words is not None else np.ones(len(t), bool)
-                    if known.sum() < widths[0]:
-                        continue
-                    if len(codes) > 500_000:
-                        codes.clear()
-                    h = np.fromiter((codes.get(x) or codes.setdefault(x, _code(x)) for x in t), U, len(t))
-                    total = np.concatenate([[0], np.cumsum(known)])
-                    for w in widths:
-                        at = np.flatnonzero(total[w:] - total[:-w] == w) if len(t) >= w else np.zeros(0, int)
-                        if len(at):
-                            out[0].extend([key] * len(at))
-                            out[1].extend(at.tolist())
-                            out[2].extend([w] * len(at))
-                            out[3].append(rolling(h, w)[0].view(np.int64)[at])
-                if out[0]:
-                    yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(np.concatenate(out[3]))], names=["doc_id", "pos", "w", "h"])
+                t = Tokens(known, texts[i:j])
+                first = np.searchsorted(t.text, np.arange(j - i))
+                out = []
+                for form, (codes, at) in enumerate(t.forms()):
+                    for w, h in _rolled(codes, form, widths):
+                        ok = table[0][h & mask] if table else np.ones(len(h), bool)
+                        k = np.flatnonzero(ok)
+                        k = k[t.text[at[k]] == t.text[at[k + w - 1]]]
+                        if table:
+                            k = k[np.isin(h[k], hashes)]
+                        of = t.text[at[k]]
+                        out.append((keys[i:j][of], at[k] - first[of], h[k]))
+                if sum(len(x[0]) for x in out):
+                    key, pos, h = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.record_batch([pa.array(key, pa.int64()), pa.array(pos, pa.int32()), pa.array(h, pa.int64())], names=["doc_id", "pos", "h"])
 
     return rows
 
@@ -129,26 +195,88 @@ def _slots_agree(slots: list[tuple[str, str, str]]) -> bool:
     return True
 
 
-def _judge(bench: dict, coverage: float):
-    """For each (document, item) with hits: the best passage on one diagonal, its coverage and its slots."""
-    templates = {i: canonical(t) for i, t in bench.items()}
+def _bands(diagonals: list[int], reach: int) -> list[tuple[int, int]]:
+    """Ranges of diagonals that hold the hits and `reach` more on either side; hits further apart are apart."""
+    out: list[tuple[int, int]] = []
+    for d in sorted(set(diagonals)):
+        if out and d - out[-1][1] <= reach and d - out[-1][0] < BAND:
+            out[-1] = (out[-1][0], d)
+        else:
+            out.append((d, d))
+    return [(a - reach, b + reach) for a, b in out]
+
+
+def _same(a: Tokens, b: Tokens, k: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Tokens k of a and j of b are equal, or slots of one kind."""
+    return (a.raw[k] == b.raw[j]) | ((a.kind[k] > 0) & (a.kind[k] == b.kind[j]))
+
+
+def _align(a: Tokens, t: Tokens, low: int, high: int) -> list[tuple[int, int]]:
+    """Pairs (token of the item, token of the document) of the best passage on the diagonals low to high: 2 for a pair,
+    -1 for a token that differs or that one side lacks."""
+    n, d = len(a.raw), np.arange(low, high + 1)
+    j = np.arange(n)[:, None] + d[None, :]
+    there = (j >= 0) & (j < len(t.raw))
+    pair = there & _same(a, t, np.arange(n)[:, None], np.where(there, j, 0))
+    gain = np.where(pair, 2, -1).astype(np.int32)
+    rise = np.arange(len(d), dtype=np.int32)
+    best = np.zeros((n + 1, len(d) + 1), np.int32)
+    for k in range(n):
+        x = np.maximum(best[k, :-1] + gain[k], best[k, 1:] - 1)
+        np.maximum(x, 0, out=x)
+        best[k + 1, :-1] = np.maximum.accumulate(x + rise) - rise
+    k, c = np.unravel_index(int(best.argmax()), best.shape)
+    k, c = int(k), int(c)
+    out = []
+    while k > 0 and best[k, c] > 0:
+        v = best[k, c]
+        if v == best[k - 1, c] + gain[k - 1, c]:
+            if pair[k - 1, c]:
+                out.append((k - 1, k - 1 + low + c))
+            k -= 1
+        elif c and v == best[k, c - 1] - 1:
+            c -= 1
+        else:
+            k, c = k - 1, c + 1
+    return out[::-1]
+
+
+def _slots(a: Tokens, t: Tokens, k: np.ndarray, j: np.ndarray) -> list[tuple[str, int, int]]:
+    """Slots (kind, value in the item, value in the document) among aligned tokens."""
+    return [(KINDS[x], int(p), int(q)) for x, p, q in zip(a.kind[k], a.raw[k], t.raw[j], strict=True) if x]
+
+
+def _leak(a: Tokens, t: Tokens, k: np.ndarray, j: np.ndarray, width: int, coverage: float) -> bool:
+    """The aligned tokens make a leak: a window of them or all the item, and the share asked for or LONG."""
+    n = len(a.raw)
+    return len(k) >= min(n, width) and (len(k) >= coverage * n or len(k) >= LONG) and _slots_agree(_slots(a, t, k, j))
+
+
+def _judge(bench: dict, width: int, coverage: float):
+    """For each (document, item) with hits: the best passage, its coverage and its slots."""
+    templates: dict = {}
+    known: dict[str, tuple[int, int]] = {}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples(index=False):
-            t, raw = canonical(r.text)
+            t = Tokens(known, [r.text])
             for item, diagonals in zip(r.items, r.diagonals, strict=True):
-                a, b = templates[item]
-                best = None
-                for d in sorted(set(diagonals)):
-                    same = [k for k in range(len(a)) if 0 <= k + d < len(t) and a[k] == t[k + d]]
-                    slots = [(a[k], b[k], raw[k + d]) for k in same if a[k] in (NUMBER, UNIT, NAME)]
-                    agree = _slots_agree(slots)
-                    key = (agree, len(same) / len(a), -d)
+                if item not in templates:
+                    templates[item] = Tokens(known, [bench[item]])
+                a, best = templates[item], None
+                n = len(a.raw)
+                for low, high in _bands(diagonals, min(max(8, n // 4), 64)):
+                    pairs = _align(a, t, low, high)
+                    if not pairs:
+                        continue
+                    k, j = np.array(pairs).T
+                    key = (_leak(a, t, k, j, width, coverage), len(k) / n, int(k[0] - j[0]))
                     if best is None or key > best[0]:
-                        best = (key, d, len(slots), sum(x != y for _, x, y in slots))
-                if best and best[0][0] and best[0][1] >= coverage:
-                    out.append((r.doc_id, item, best[0][1], best[1], best[2], best[3]))
+                        slots = _slots(a, t, k, j)
+                        best = (key, len(slots), sum(x != y for _, x, y in slots))
+                if best and best[0][0]:
+                    out.append((r.doc_id, item, best[0][1], -best[0][2], best[1], best[2]))
         return pd.DataFrame(out, columns=["doc_id", "item_id", "coverage", "diagonal", "n_slots", "n_changed"])
 
     return run
@@ -157,11 +285,12 @@ def _judge(bench: dict, coverage: float):
 def leaks(docs: DataFrame, bench: DataFrame, width: int = WINDOW, coverage: float = 0.5) -> DataFrame:
     """Documents that hold a benchmark item, also with other numbers, names or units: one row per (doc_id, item_id).
 
-    coverage: share of the item's template tokens that stand in one passage of the document with consistent slots;
-    n_slots of them are placeholders, n_changed filled otherwise than in the item; diagonal: token of the document
+    coverage: share of the item's template tokens that are aligned with one passage of the document; `width` of them (or
+    all of a shorter item) must be. A passage below the share asked for counts from LONG aligned tokens on. n_slots of
+    the aligned tokens are placeholders, n_changed filled otherwise than in the item; diagonal: token of the document
     where the item's first token stands or would stand. Items of fewer than two tokens, null texts and null doc_ids
     match nothing. Rows with one doc_id are judged each and the best row stays. The benchmark is collected (it is the
-    query set of this join); its vocabulary prefilters windows only while it has MOST_WORDS words at most.
+    query set of this join); its windows prefilter those of documents only while they are MOST_WINDOWS at most.
     """
     spark: SparkSession = docs.sparkSession
     short_batches(spark)
@@ -170,15 +299,13 @@ def leaks(docs: DataFrame, bench: DataFrame, width: int = WINDOW, coverage: floa
     shape = "doc_id long, item_id long, coverage double, diagonal long, n_slots long, n_changed long"
     if not len(table):
         return spark.createDataFrame([], shape)
-    vocabulary = {x for t in items.values() for x in canonical(t)[0]}
-    words = frozenset(vocabulary) if len(vocabulary) <= MOST_WORDS else None
+    hashes = np.unique(table["h"].to_numpy(np.int64))
     widths = sorted(set(table["w"].tolist()))
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = keyed.mapInArrow(_windows(widths, words), "doc_id long, pos int, w int, h long")
-    right = spark.createDataFrame(table)
-    hit = found.join(right, ["h", "w"]).select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("d")).distinct()
+    found = keyed.mapInArrow(_windows(widths, hashes if len(hashes) <= MOST_WINDOWS else None), "doc_id long, pos int, h long")
+    hit = found.join(spark.createDataFrame(table), "h").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("d")).distinct()
     by_doc = hit.groupBy("doc_id", "item_id").agg(F.collect_set("d").alias("diagonals")).groupBy("doc_id").agg(F.collect_list("item_id").alias("items"), F.collect_list("diagonals").alias("diagonals"))
-    judge = _judge(items, coverage)
+    judge = _judge(items, width, coverage)
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
