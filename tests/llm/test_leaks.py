@@ -22,3 +22,11 @@ def test_other_diagonals(spark):
 def test_slot_of_more_tokens(spark):
     item = "Today the teacher told the pupil Alice to bring 12 books and asked the boy Bob to carry 30 pens home"
     assert found(spark, item, ["Today the teacher told the pupil Mary Ann to bring 15 books and asked the boy Tim Lee to carry 31 pens home"]) == [0]
+
+
+def test_any_context(spark):
+    france = "What is the capital of France?"
+    assert found(spark, france, ["Question: " + france, 'He asked "' + france + '"', "(" + france + ")", france.upper(), "so what is the capital of Italy", "Question: What is the capital of Italy?", "Paris is the capital of France."]) == [0, 1, 2, 3, 4, 5]
+    more = "Tom has 5 apples. Anna has 3 apples. Who has more?"
+    assert found(spark, more, ["Ben has 7 apples. Lucy has 4 apples. Who has more?", "Well: Mary Ann has 7 apples. Lucy has 4 apples. Who has more?", more.lower(), "Ben sold 7 pears. Lucy took 4 plums. Who went home?"]) == [0, 1, 2]
+    assert found(spark, "Mary Ann has 5 apples left", ["and Tom has 7 apples left", "and tom has no apples left"]) == [0]

@@ -29,6 +29,13 @@ UNITS = frozenset(
     "cent cents dollar dollars euro euros pound pounds percent degree degrees hz khz mhz ghz w kw j kj v volt volts amp amps pa kpa".split()
 )
 TOKEN = regex.compile(r"\p{N}+(?:[.,:/]\p{N}+)*|\p{L}+|[%$€£¥°]|[.!?\n]")
+#: Words that are no names where they begin a sentence.
+OPENERS = frozenset(
+    "a an the this that these those there here it its he she we you they i my your his her our their what who whom whose which when where why how if then so "
+    "and but or nor as at by for from in into of off on onto to with without after before during until while since because although though each every "
+    "all any some no not none both few many most more one two is are was were be been am do does did has have had can could will would shall should may "
+    "might must let given suppose assume find consider calculate compute determine solve show prove explain describe".split()
+)
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 WINDOW = 8
 #: Windows of benchmark templates that may be sent to every executor; with more, windows are not prefiltered.
@@ -37,7 +44,7 @@ MOST_WINDOWS = 1_000_000
 LONG = 13
 #: Widest band of diagonals that is aligned at once.
 BAND = 512
-END, IS_NUMBER, IS_UNIT, IS_SIGN, IS_CAPITAL = 1, 2, 4, 8, 16
+END, IS_NUMBER, IS_UNIT, IS_SIGN, IS_CAPITAL, IS_OPENER = 1, 2, 4, 8, 16, 32
 MULTIPLIER = U(0x9E3779B97F4A7C15)
 
 
@@ -84,9 +91,10 @@ CODES = np.array([0, *(_code(k) for k in KINDS[1:])], U)
 
 class Tokens:
     """Tokens of many texts in a row: `raw` (hash of the lower-cased token), `kind` (index in KINDS; as canonical()),
-    `text` (which text)."""
+    `capital` (may be a name wherever it stands), `run` (neighbouring numbers or capitalised words have one), `text`
+    (which text)."""
 
-    __slots__ = ("kind", "raw", "text")
+    __slots__ = ("capital", "kind", "raw", "run", "text")
 
     def __init__(self, known: dict[str, tuple[int, int]], texts: list[str | None]):
         if len(known) > 500_000:
@@ -96,7 +104,7 @@ class Tokens:
         for t in set(every) - known.keys():
             low = t.lower()
             flag = END if t in ".!?\n" else IS_NUMBER if t[0].isdigit() or t[0].isnumeric() else 0
-            flag |= IS_UNIT * (low in UNITS) | IS_SIGN * (low in UNITS and not low.isalpha()) | IS_CAPITAL * (low != t and t[0].isupper() and t[1:].islower())
+            flag |= IS_UNIT * (low in UNITS) | IS_SIGN * (low in UNITS and not low.isalpha()) | IS_CAPITAL * (low != t and t[0].isupper() and t[1:].islower()) | IS_OPENER * (low in OPENERS)
             known[t] = (_code(low), flag)
         both = [known[t] for t in every]
         raw, flag = np.array([x[0] for x in both], U), np.array([x[1] for x in both], np.uint8)
@@ -111,10 +119,23 @@ class Tokens:
         unit[:-1] |= (flag[:-1] & IS_SIGN > 0) & number[1:] & same
         name = (flag & IS_CAPITAL > 0) & ~begins & ~unit
         self.raw, self.text, self.kind = raw, text, (number * 1 + unit * 2 + name * 3).astype(np.int8)
-
-    def forms(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(codes, token each stands at) of each form that is hashed."""
-        return [(np.where(self.kind > 0, CODES[self.kind], self.raw), np.arange(len(self.raw)))]
+        self.capital = (flag & IS_CAPITAL > 0) & (flag & IS_OPENER == 0) & ~unit
+        more = ((self.capital[1:] & self.capital[:-1]) | (number[1:] & number[:-1])) & ~begins[1:]
+        self.run = np.concatenate([np.zeros(min(1, len(flag)), int), np.cumsum(~more)])
+
+    def forms(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(codes, token each stands at, is it no slot) of each form that is hashed.
+
+        The template as canonical() has it; lower-cased words with numbers alone as slots, which doesn't depend on case
+        or context; and capitalised words as names also where they begin a sentence, with one slot for a run.
+        """
+        every = np.arange(len(self.raw))
+        last = np.flatnonzero(np.diff(self.run, append=-1) != 0)
+        free = np.where(self.capital, 3, np.where(self.kind == 3, 0, self.kind))
+        out = []
+        for kind, at in ((self.kind, every), (np.where(self.kind == 1, 1, 0), every), (free[last], last)):
+            out.append((np.where(kind > 0, CODES[kind], self.raw[at]), at, kind == 0))
+        return out
 
 
 def _width(n: int, width: int) -> int:
@@ -142,9 +163,10 @@ def template_windows(bench: list[tuple], width: int) -> pd.DataFrame:
         n = len(t.raw)
         if n < 2:
             continue
-        for form, (codes, at) in enumerate(t.forms()):
+        for form, (codes, at, word) in enumerate(t.forms()):
             for w, h in _rolled(codes, form, [min(_width(n, width), len(codes))]):
-                rows += [(int(v), item, int(at[i]), w) for i, v in enumerate(h) if w > 1]
+                # a window of names at any place needs as many words
+                rows += [(int(v), item, int(at[i]), w) for i, v in enumerate(h) if w > 1 and (form < 2 or 2 * word[i : i + w].sum() >= w)]
     return pd.DataFrame(rows, columns=["h", "item_id", "at", "w"]).drop_duplicates()
 
 
@@ -165,7 +187,7 @@ def _windows(widths: list[int], hashes: np.ndarray | None):
                 t = Tokens(known, texts[i:j])
                 first = np.searchsorted(t.text, np.arange(j - i))
                 out = []
-                for form, (codes, at) in enumerate(t.forms()):
+                for form, (codes, at, _) in enumerate(t.forms()):
                     for w, h in _rolled(codes, form, widths):
                         ok = table[0][h & mask] if table else np.ones(len(h), bool)
                         k = np.flatnonzero(ok)
@@ -208,7 +230,11 @@ def _bands(diagonals: list[int], reach: int) -> list[tuple[int, int]]:
 
 def _same(a: Tokens, b: Tokens, k: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Tokens k of a and j of b are equal, or slots of one kind."""
-    return (a.raw[k] == b.raw[j]) | ((a.kind[k] > 0) & (a.kind[k] == b.kind[j]))
+    return (a.raw[k] == b.raw[j]) | ((a.kind[k] > 0) & (a.kind[k] == b.kind[j])) | (_named(a)[k] & _named(b)[j])
+
+
+def _named(x: Tokens) -> np.ndarray:
+    return x.capital | (x.kind == 3)
 
 
 def _align(a: Tokens, t: Tokens, low: int, high: int) -> list[tuple[int, int]]:
@@ -243,13 +269,23 @@ def _align(a: Tokens, t: Tokens, low: int, high: int) -> list[tuple[int, int]]:
 
 def _slots(a: Tokens, t: Tokens, k: np.ndarray, j: np.ndarray) -> list[tuple[str, int, int]]:
     """Slots (kind, value in the item, value in the document) among aligned tokens."""
-    return [(KINDS[x], int(p), int(q)) for x, p, q in zip(a.kind[k], a.raw[k], t.raw[j], strict=True) if x]
+    kind = np.where(a.raw[k] != t.raw[j], np.where(a.kind[k] > 0, a.kind[k], 3), a.kind[k])
+    return [(KINDS[x], int(p), int(q)) for x, p, q in zip(kind, a.raw[k], t.raw[j], strict=True) if x]
+
+
+def _covered(a: Tokens, k: np.ndarray) -> int:
+    """Tokens of the item that are aligned, or belong to a slot of which a token is."""
+    return int(np.isin(a.run, a.run[k]).sum())
 
 
 def _leak(a: Tokens, t: Tokens, k: np.ndarray, j: np.ndarray, width: int, coverage: float) -> bool:
-    """The aligned tokens make a leak: a window of them or all the item, and the share asked for or LONG."""
-    n = len(a.raw)
-    return len(k) >= min(n, width) and (len(k) >= coverage * n or len(k) >= LONG) and _slots_agree(_slots(a, t, k, j))
+    """The aligned tokens make a leak: a window of them or all the item, and the share asked for or LONG; names that
+    only their capital tells, as they begin a sentence, need as many equal words."""
+    n, m, same = len(a.raw), _covered(a, k), a.raw[k] == t.raw[j]
+    words = int((same & (a.kind[k] == 0)).sum())
+    if m < min(n, width) or (~same & (a.kind[k] != t.kind[j])).sum() > words:
+        return False
+    return (m >= coverage * n or (m >= LONG and 2 * words >= LONG)) and _slots_agree(_slots(a, t, k, j))
 
 
 def _judge(bench: dict, width: int, coverage: float):
@@ -271,7 +307,7 @@ def _judge(bench: dict, width: int, coverage: float):
                     if not pairs:
                         continue
                     k, j = np.array(pairs).T
-                    key = (_leak(a, t, k, j, width, coverage), len(k) / n, int(k[0] - j[0]))
+                    key = (_leak(a, t, k, j, width, coverage), _covered(a, k) / n, int(k[0] - j[0]))
                     if best is None or key > best[0]:
                         slots = _slots(a, t, k, j)
                         best = (key, len(slots), sum(x != y for _, x, y in slots))
