@@ -30,3 +30,13 @@ def test_any_context(spark):
     more = "Tom has 5 apples. Anna has 3 apples. Who has more?"
     assert found(spark, more, ["Ben has 7 apples. Lucy has 4 apples. Who has more?", "Well: Mary Ann has 7 apples. Lucy has 4 apples. Who has more?", more.lower(), "Ben sold 7 pears. Lucy took 4 plums. Who went home?"]) == [0, 1, 2]
     assert found(spark, "Mary Ann has 5 apples left", ["and Tom has 7 apples left", "and tom has no apples left"]) == [0]
+
+
+def test_slots_that_do_not_agree(spark):
+    item = "He packs 3 crates on each of the first 3 days and then 5 crates on the last of the days"
+    roles = "He packs 4 crates on each of the first 2 days and then 5 crates on the last of the days"
+    edited = item.replace("first 3", "first 9")
+    alike = item.replace("3", "7").replace("5", "7")
+    part = "He packs 3 crates on each of the first 3 days and then 5 crates in 1 of 2 other ways to the 4 shops"
+    chance = "He packs 4 crates on each of the first 6 days so say 7 and 9"
+    assert found(spark, item, [roles, edited, alike, part, chance]) == [0, 1, 2, 3]
