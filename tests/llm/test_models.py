@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.llm import toxicity, vectors
@@ -47,6 +48,18 @@ def test_vectors(spark, monkeypatch, shard):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_link_that_one_of_two_shards_missed(spark):
+    x = np.eye(4)[[0, 0, 1, 1, 1, 2]] + 0.01 * np.arange(6)[:, None]
+    rows = {"node": np.arange(6), "copies": np.array([1, 5, 1, 1, 1, 1]), "vec": list(x), "shards": [[1, 2]] * 6}
+    run = vectors._search(0.98)
+    blind = run(pd.DataFrame(rows | {"shard": 1, "near": [np.zeros(0, np.int64)] * 6}))
+    whole = run(pd.DataFrame(rows | {"shard": 2, "near": [np.arange(6)] * 6}))
+    assert 0 not in set(blind.node) and 0 in set(whole.node)
+    both = [(int(r.node), int(r.links), int(r.peer), r.shared.tolist(), r.copies.tolist()) for part in (blind, whole) for r in part.itertuples()]
+    got = {r.node: r.links for r in vectors._count(spark.createDataFrame(both, vectors.FOUND)).collect()}
+    assert got == {0: 5, 1: 1, 2: 2, 3: 2, 4: 2}
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     H, A = toxicity.HIDDEN, toxicity.ATTEND

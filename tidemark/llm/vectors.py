@@ -3,8 +3,8 @@
 Vectors of a label are dealt to overlapping cluster shards of bounded size; each shard builds a graph by robust
 pruning, and the lists of a vector from all its shards are united. In each shard every member then searches the united
 graph: greedily from the shard's medoid, then expanding through all that lies near the range until nothing more does.
-Every link is verified by cosine in double precision. A pair of vectors that shares several shards is counted in the
-first. A bounded sample of queries is compared with all vectors of its labels to audit recall; short of the target, the
+Every link is verified by cosine in double precision. A pair of vectors that shares several shards is found by any of
+them and counted once. A bounded sample of queries is compared with all vectors of its labels to audit recall; short of the target, the
 shards are cut again with more overlap.
 
 Vectors that agree in label and all components are one node. A shard that clustering can't split (its members lie too
@@ -22,6 +22,7 @@ from tidemark.llm.common import components, stage, unstage
 
 #: Members of a shard, and rows dealt to one task while shards are cut.
 SHARD, DEAL = 2048, 20_000
+FOUND = "node long, links long, peer long, shared array<long>, copies array<long>"
 DEGREE, CANDIDATES, BEAM, SLACK = 16, 40, 20, 0.2
 
 
@@ -205,16 +206,6 @@ def _search(threshold: float):
             at = np.minimum(at, len(node) - 1)
             lists.append(at[node[at] == near])
         q, v = search(_matrix(pdf["vec"]), lists, threshold)
-        # pairs that share an earlier shard were counted there
-        earlier = [[s for s in x if s < shard] for x in pdf["shards"]]
-        names = {s: i for i, s in enumerate(sorted({s for x in earlier for s in x}))}
-        if names:
-            met = np.zeros((len(node), len(names)), np.float32)
-            for i, x in enumerate(earlier):
-                met[i, [names[s] for s in x]] = 1
-            keep = np.einsum("ij,ij->i", met[q], met[v]) == 0
-            q, v = q[keep], v[keep]
-        links = np.bincount(q, copies[v], minlength=len(node)).astype(np.int64)
         root = np.arange(len(node))
         while True:  # smallest neighbour until nothing changes
             low = root.copy()
@@ -223,12 +214,36 @@ def _search(threshold: float):
             if (low == root).all():
                 break
             root = low
-        some = np.flatnonzero(links)
-        return pd.DataFrame({"node": node[some], "links": links[some], "peer": node[root[some]]})
+        # pairs that share other shards may be found there too: they are counted apart, once
+        others = [[s for s in x if s != shard] for x in pdf["shards"]]
+        names = {s: i for i, s in enumerate(sorted({s for x in others for s in x}))}
+        once = np.zeros(len(q), bool)
+        if names:
+            met = np.zeros((len(node), len(names)), np.float32)
+            for i, x in enumerate(others):
+                met[i, [names[s] for s in x]] = 1
+            for k in range(0, len(q), 100_000):
+                once[k : k + 100_000] = np.einsum("ij,ij->i", met[q[k : k + 100_000]], met[v[k : k + 100_000]]) > 0
+        links = np.bincount(q[~once], copies[v[~once]], minlength=len(node)).astype(np.int64)
+        shared = np.split(v[once], np.searchsorted(q[once], np.arange(1, len(node))))
+        some = np.flatnonzero((links > 0) | np.fromiter(map(len, shared), np.int64, len(node)))
+        return pd.DataFrame({"node": node[some], "links": links[some], "peer": node[root[some]], "shared": pd.Series([node[shared[i]] for i in some], dtype=object), "copies": pd.Series([copies[shared[i]] for i in some], dtype=object)})
 
     return run
 
 
+def _count(found: DataFrame) -> DataFrame:
+    """(node, links) of each node; links that several shards can find are counted once."""
+
+    def run(batches):
+        for pdf in batches:
+            once = [c[np.unique(v, return_index=True)[1]].sum() if len(v) else 0 for v, c in zip(pdf["shared"], pdf["copies"], strict=True)]
+            yield pd.DataFrame({"node": pdf["node"], "links": pdf["links"] + np.array(once, np.int64)})
+
+    lists = found.groupBy("node").agg(F.sum("links").alias("links"), F.collect_list(F.struct("shared", "copies")).alias("x"))
+    return lists.select("node", "links", F.flatten("x.shared").alias("shared"), F.flatten("x.copies").alias("copies")).mapInPandas(run, "node long, links long")
+
+
 def _audit(rows: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
     """Share of true links of a bounded sample of nodes that were found, by comparing them with all vectors."""
     sample = rows.select("shard", "node", "vec").orderBy(F.xxhash64("node", F.lit(5))).limit(queries).toPandas()
@@ -270,18 +285,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
         cut = stage(_shards(nodes.drop("low"), overlap), "cut")
         lists = cut.groupBy("shard").applyInPandas(_build, "node long, near array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
         where = cut.groupBy("node").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
-        links = stage(cut.join(lists, "node").join(where, "node").groupBy("shard").applyInPandas(_search(threshold), "node long, links long, peer long"), "links")
+        found = stage(cut.join(lists, "node").join(where, "node").groupBy("shard").applyInPandas(_search(threshold), FOUND), "found")
+        links = stage(_count(found), "links")
         if attempt == 2 or _audit(nodes, links, threshold, queries) >= recall:
             break
         overlap *= 2
-    whole = components(links.where("node <> peer"), "node", "peer")
-    found = nodes.select("node", "low", "copies").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lows = found.groupBy("component").agg(F.min("low").alias("component_id"))
-    found = found.join(lows, "component").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
-    found = found.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    named = base.select("vec_id", F.xxhash64("shard", "key").alias("node")).join(found, "node").select("vec_id", "n_links", "component_id")
+    whole = components(found.where("node <> peer"), "node", "peer")
+    near = nodes.select("node", "low", "copies").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lows = near.groupBy("component").agg(F.min("low").alias("component_id"))
+    near = near.join(lows, "component").join(links, "node", "left")
+    near = near.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    named = base.select("vec_id", F.xxhash64("shard", "key").alias("node")).join(near, "node").select("vec_id", "n_links", "component_id")
     rest = v.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = stage(named.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "named")
-    for x in (base, nodes, cut, links):
+    for x in (base, nodes, cut, found, links):
         unstage(x)
     return out
