@@ -60,6 +60,13 @@ def test_link_that_one_of_two_shards_missed(spark):
     assert got == {0: 5, 1: 1, 2: 2, 3: 2, 4: 2}
 
 
+def test_recall_below_target_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "_audit", lambda *a: 0.5)
+    df = spark.createDataFrame([(i, [1.0, 0.01 * i], 0) for i in range(4)], "vec_id long, embedding array<float>, label int")
+    with pytest.raises(RuntimeError, match="recall 0.5"):
+        vectors.near_duplicates(df)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     H, A = toxicity.HIDDEN, toxicity.ATTEND

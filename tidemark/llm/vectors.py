@@ -5,7 +5,7 @@ pruning, and the lists of a vector from all its shards are united. In each shard
 graph: greedily from the shard's medoid, then expanding through all that lies near the range until nothing more does.
 Every link is verified by cosine in double precision. A pair of vectors that shares several shards is found by any of
 them and counted once. A bounded sample of queries is compared with all vectors of its labels to audit recall; short of the target, the
-shards are cut again with more overlap.
+shards are cut again with more overlap, and an error is raised if that is not enough.
 
 Vectors that agree in label and all components are one node. A shard that clustering can't split (its members lie too
 close) is dealt to blocks, and every pair of blocks becomes a shard, so that no pair is lost.
@@ -287,8 +287,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
         where = cut.groupBy("node").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
         found = stage(cut.join(lists, "node").join(where, "node").groupBy("shard").applyInPandas(_search(threshold), FOUND), "found")
         links = stage(_count(found), "links")
-        if attempt == 2 or _audit(nodes, links, threshold, queries) >= recall:
+        share = _audit(nodes, links, threshold, queries)
+        if share >= recall:
             break
+        if attempt == 2:
+            raise RuntimeError(f"audited recall {share:.4f} is below {recall} also with {overlap} shards a vector")
         overlap *= 2
     whole = components(found.where("node <> peer"), "node", "peer")
     near = nodes.select("node", "low", "copies").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
