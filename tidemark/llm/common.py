@@ -103,12 +103,6 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def space_words(text: Column) -> Column:
-    """Words `[^\\x20\\x09-\\x0D]+` of a text, unchanged; null and blank texts give an empty array."""
-    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[\\x20\\x09-\\x0D]+"))
-
-
 def letter_words(text: Column) -> Column:
     """Lower-cased runs of letters and digits (any script)."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")

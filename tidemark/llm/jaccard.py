@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, hashes, letter_words, short_batches, stage, unstage
+from tidemark.llm.common import components, hashes, letter_words, release, short_batches, stage, unstage
 from tidemark.llm.recompress import U, mix, rolling
-from tidemark.llm.substring import _chunks
 
 #: Members of a bucket that meet in one block; a place holds two blocks at most.
 BLOCK = 256
+#: Words handled at once in a Python worker.
+CHUNK_WORDS = 120_000
 ROWS = 5
 
 
@@ -36,7 +37,21 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     """Distinct names of n-word shingles; a text of fewer words has one shingle of all its words."""
     if not len(h):
         return np.zeros(0, U)
-    return np.unique(rolling(h, min(n, len(h)))[0])
+    return np.unique(rolling(h, min(n, len(h))))
+
+
+def _chunks(batch: pa.RecordBatch, column: str = "h") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of about CHUNK_WORDS words with their hashes and offsets."""
+    lists = batch.column(batch.schema.get_field_index(column))
+    release()
+    off = lists.offsets.to_numpy().astype(np.int64)
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK_WORDS, "right")) - 1)
+        part = lists.slice(i, j - i)
+        o = part.offsets.to_numpy().astype(np.int64)
+        yield batch.slice(i, j - i), part.values.slice(o[0], o[-1] - o[0]).to_numpy(zero_copy_only=False).view(np.uint64), o - o[0]
+        i = j
 
 
 def _signatures(n: int, bands: int, rows: int):

@@ -91,24 +91,30 @@ def pairs(x: Symbols, salt: int) -> tuple[Symbols, np.ndarray]:
     return Symbols(sym, x.s[keep], e, cs, ce, x.doc[keep]), new
 
 
-def rolling(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit names of each window of `width` words (windows over document ends included)."""
+def rolling(h: np.ndarray, width: int, factor: np.uint64 = C1) -> np.ndarray:
+    """64-bit name of each window of `width` words (windows over document ends included)."""
     n = max(0, len(h) - width + 1)
-    a, b = np.full(n, U(width)), np.full(n, C2)
+    a = np.full(n, U(width))
     for k in range(width):
-        w = h[k : k + n]
-        a = (a ^ w) * C1
+        a = (a ^ h[k : k + n]) * factor
         a ^= a >> U(32)
-        b = (b + w) * C3
-        b ^= b >> U(29)
-    return mix(a), mix(b)
+    return mix(a)
+
+
+def stretches(h: np.ndarray):
+    """A function (s, e) -> 64-bit names of the words s to e, by prefix sums; equal words, equal names."""
+    power = np.cumprod(np.concatenate([[U(1)], np.full(len(h), C1)]))
+    back = np.cumprod(np.concatenate([[U(1)], np.full(len(h), U(pow(int(C1), -1, 1 << 64)))]))
+    sums = np.concatenate([[U(0)], np.cumsum(mix(h + C3) * power[:-1])])
+    return lambda s, e: mix((sums[e] - sums[s]) * back[s]) + (e - s).astype(U)
 
 
 def anchors(h: np.ndarray, offsets: np.ndarray, width: int, levels: int = 2):
-    """Anchor of each window of `width` words: a symbol that every occurrence of the window holds.
+    """Anchor of each window of `width` words: a symbol with its context, which every occurrence of the window holds.
 
-    The symbol is of the highest level that fits, of most words, and then of smallest hash; a window that holds none
-    (it lies in a long run) is named by itself. Runs of windows with one anchor come as one row.
+    The symbol is of the highest level that fits, of most words, and then of smallest hash. Its context (all words that
+    its making looked at) is in the window too and gives the anchor its name, which is rarer than the symbol's. A window
+    that holds no symbol (it lies in a long run) is named by itself. Runs of windows with one anchor come as one row.
     Returns (anchor, document, first window, last window), positions counted over all documents.
     """
     n = len(h)
@@ -121,8 +127,9 @@ def anchors(h: np.ndarray, offsets: np.ndarray, width: int, levels: int = 2):
     tower = [base]
     for r in range(levels):
         tower.append(pairs(tower[-1], r + 1)[0])
-    name = np.zeros(len(starts), U)
+    named = stretches(h)
     spot = np.full(len(starts), -1, np.int64)
+    at, to, level_of = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), np.zeros(len(starts), U)
     left = np.arange(len(starts))
     for level in range(len(tower) - 1, -1, -1):
         x = tower[level]
@@ -141,21 +148,19 @@ def anchors(h: np.ndarray, offsets: np.ndarray, width: int, levels: int = 2):
             less = k < best[i]
             best[i[less]] = k[less]
             where[i[less]] = lo[i[less]] + j
-        name[who] = best
         spot[who] = where * 8 + level
+        at[who], to[who], level_of[who] = x.cs[where], x.ce[where], U(level + 1)
         left = left[~has]
         if not len(left):
             break
-    if len(left):
-        a, _ = rolling(h, width)
-        name[left] = a[starts[left]]
-        spot[left] = -2 - starts[left]
+    spot[left] = -2 - starts[left]
+    at[left], to[left] = starts[left], starts[left] + width
     cut = np.ones(len(starts), bool)
     cut[1:] = (spot[1:] != spot[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(cut)
     last = np.append(first[1:], len(starts)) - 1
     doc = np.searchsorted(offsets, starts[first], "right") - 1
-    return name[first], doc, starts[first], starts[last]
+    return named(at[first], to[first]) ^ (level_of[first] * C2), doc, starts[first], starts[last]
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:
@@ -166,10 +171,10 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return out - np.repeat(ends - counts, counts)
 
 
-def long_symbols(h: np.ndarray, offsets: np.ndarray, least: int, rounds: int = 40):
+def long_symbols(h: np.ndarray, other: np.ndarray, offsets: np.ndarray, least: int, rounds: int = 40):
     """Symbols of at least `least` words from further rounds, and each document as a whole: (name, check, doc, s, e).
 
-    The name fixes the content; `check` is a second, independent name from prefix sums.
+    The name fixes the content; `check` is a second name, from other word hashes.
     """
     x = words_level(h, offsets)
     out = []
@@ -183,11 +188,6 @@ def long_symbols(h: np.ndarray, offsets: np.ndarray, least: int, rounds: int = 4
         if len(x) <= len(lens) or (len(x) == n and r > 8):
             break
     whole = np.flatnonzero(lens >= least)
-    out.append((np.full(len(whole), C1), whole, offsets[whole], offsets[whole + 1]))
+    out.append((stretches(h)(offsets[whole], offsets[whole + 1]) ^ C2, whole, offsets[whole], offsets[whole + 1]))
     sym, doc, s, e = (np.concatenate(v) for v in zip(*out, strict=True))
-    power = np.cumprod(np.concatenate([[U(1)], np.full(len(h), C1)]))
-    back = U(pow(int(C1), -1, 1 << 64))
-    sums = np.concatenate([[U(0)], np.cumsum(mix(h + C3) * power[:-1])])
-    unshift = np.cumprod(np.concatenate([[U(1)], np.full(len(h), back)]))
-    check = mix((sums[e] - sums[s]) * unshift[s]) + (e - s).astype(U)
-    return sym, check, doc, s, e
+    return sym, stretches(other)(s, e), doc, s, e
