@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expressions as x
 from tidemark.functions import models, statistics
-from tidemark.operators import asof_join, excursions, fold_per_key, keep_last, nearest_join, nearest_rank, range_join, seq_gaps, systematic_sample, throttle
+from tidemark.operators import asof_join, excursions, fold_per_key, keep_last, nearest_join, nearest_rank, range_join, running_sum, seq_gaps, systematic_sample, throttle
 from tidemark.sources import append_rows, candles, lane_config, lanes, settled_jsonl, simulated_returns, write_snapshot
 from tidemark.streaming import bars, event_stream, fold_stream, insert_first, run_once, upsert_latest
 
@@ -41,6 +41,7 @@ def test_asof_and_nearest(spark):
     lt, r = spark.createDataFrame(left, "k string, t long, i long"), spark.createDataFrame(right, "k string, t long, v long")
     for direction, strict, tol in (("backward", False, None), ("backward", True, 5), ("forward", False, 4), ("forward", True, None)):
         got = {row.i: row.r_v for row in asof_join(lt, r, ["k"], "t", ["v"], tol, direction, strict, tie="v").collect()}
+        assert got == {row.i: row.r_v for row in asof_join(lt, r, ["k"], "t", ["v"], tol, direction, strict, tie="v", bucket=7).collect()}
         for k, t, i in left:
             sign = 1 if direction == "backward" else -1
             ok = [(sign * b, sign * v, v) for a, b, v in right if a == k and (sign * b < sign * t if strict else sign * b <= sign * t) and (tol is None or abs(t - b) <= tol)]
@@ -74,12 +75,17 @@ def test_ordered(spark):
 
 def test_fold_matches_a_loop(spark):
     rows = [(k, i, random.Random(i * 7 + ord(k)).gauss(0, 1), i % 2) for k in "ab" for i in range(200)]
-    step = lambda h, r: {"k": r.k, "i": r.i, "p": h.learn({"z": r.z}, int(r.y))}
-    got = {(r.k, r.i): r.p for r in fold_per_key(spark.createDataFrame(rows, "k string, i long, z double, y int"), ["k"], ["i"], lambda: models.Head({"z": 1.8}), step, "k string, i long, p double").collect()}
+    step = lambda h, r: {"k": r.k, "i": r.i, "p": h.learn((r.z,), None, int(r.y))[0]}
+    start = lambda: models.Ensemble(uses=((0,),), weight=[[1.8]])
+    got = {(r.k, r.i): r.p for r in fold_per_key(spark.createDataFrame(rows, "k string, i long, z double, y int"), ["k"], ["i"], start, step, "k string, i long, p double").collect()}
     for k in "ab":
-        head = models.Head({"z": 1.8})
+        w, b, seen = 1.8, 0.0, []
         for _, i, z, y in (r for r in rows if r[0] == k):
-            assert got[k, i] == pytest.approx(head.learn({"z": z}, y), rel=1e-12)
+            seen.append(z)
+            x = (z - np.mean(seen)) / np.std(seen) if len(seen) > 5 else z
+            p = 1 / (1 + math.exp(-(b + w * x)))
+            assert got[k, i] == pytest.approx(p, rel=1e-9)
+            w, b = w - 0.04 * (p - y) * x, b - 0.04 * (p - y)
 
 
 @given(st.floats(0.02, 0.98), st.lists(st.tuples(st.floats(-3, 3), st.integers(0, 1)), max_size=40))
@@ -87,10 +93,80 @@ def test_fold_matches_a_loop(spark):
 def test_tilt_is_capped(mid, history):
     m = models.Predictor()
     for z, y in history:
-        f = {"z": z, "momentum": z, "imbalance": -z}
-        p, c = m.predict(f, mid)
-        assert abs(models.logit(p) - models.logit(mid)) <= 0.6 + 1e-6 and 0 <= c <= 1
-        m.learn(f, mid, p, c, "calm", y)
+        made = m.predict((z, 2.0, z, 0.3, -z, 0.1), mid)
+        assert abs(models.logit(made["p_up"]) - models.logit(mid)) <= 0.4 + 1e-6 and 0 <= made["p_cal"] <= 1
+        m.learn(made, y)
+
+
+def plain_predictor(rows):
+    """The prequential model from its equations, every moment taken anew over all rows learned from."""
+    sig, clip = (lambda v: 1 / (1 + math.exp(-v))), (lambda p, e: min(max(p, e), 1 - e))
+    lo = lambda p: math.log(p / (1 - p))
+    heads = {"m": {"z_dist": 1.8, "log_tau": 0.0}, "o": {"momentum": 0.4, "efficiency": 0.0}, "b": {"ob_imbalance": 0.6}}
+    bias, score, k = dict.fromkeys(heads, 0.0), dict.fromkeys([*heads, "f"], -0.6931), 0.5
+    past, cal, err, trans, last, out = [], {b: [1.0, 0.5] for b in range(10)}, 0.1, {}, None, []
+
+    def std(name, x):
+        v = [r[name] for r in past]
+        sd = np.std(v) if len(v) > 5 else 1.0
+        return (x[name] - np.mean(v)) / (sd if sd > 1e-9 else 1.0) if len(v) > 5 else x[name]
+
+    def probs(x, mid):
+        p = {h: sig(bias[h] + sum(w * std(n, x) for n, w in ws.items())) for h, ws in heads.items()}
+        return p | {"f": sig(lo(clip(mid, 1e-4)) + k * std("z_dist", x))}
+
+    for x, mid, y in rows:
+        vols = [r["realized_vol"] for r in past]
+        mean, sd = (np.mean(vols), np.std(vols)) if vols else (0, 1)
+        if len(vols) > 10 and x["realized_vol"] > mean + 2 * sd:
+            regime = "panic"
+        else:
+            hi, low = (mean + 0.5 * sd, mean - 0.5 * sd) if len(vols) > 5 else (x["realized_vol"],) * 2
+            regime = ("high_vol" if x["realized_vol"] >= hi else "low_vol" if x["realized_vol"] <= low else "mid_vol") + "/" + ("trend" if x["efficiency"] >= 0.45 else "mean_revert" if x["efficiency"] <= 0.2 else "chop")
+        row = trans.get(last, {})
+        n = sum(row.values())
+        calm = 1 + sum(c / n * math.log(c / n) for c in row.values()) / math.log(max(2, len(row))) if n > 3 else 0.3
+        heat = (1 + 2 * (1 - calm) + 3 * max(0, err - 0.1)) * (1.5 if regime == "panic" else 1)
+        p = probs(x, mid)
+        rel = {h: math.exp(s) for h, s in score.items()}
+        own = sum(rel[h] * lo(clip(p[h], 1e-6)) for h in p) / sum(rel.values()) / heat
+        anchor = lo(clip(mid, 1e-4))
+        up = sig(anchor + max(-0.4, min(0.4, own - anchor)))
+        c = cal[min(9, int(up * 10))]
+        u = min(1, c[0] / 30)
+        p_cal = u * (c[1] + 0.5) / (c[0] + 1) + (1 - u) * up
+        out.append((up, p_cal, heat, regime))
+        past.append(x)
+        p = probs(x, mid)
+        for h, ws in heads.items():
+            z = {name: std(name, x) for name in ws}
+            for name in ws:
+                ws[name] -= 0.04 * (p[h] - y) * z[name]
+            bias[h] -= 0.04 * (p[h] - y)
+        k = min(4, max(0, k - 0.03 * (p["f"] - y) * std("z_dist", x)))
+        for h in score:
+            score[h] = 0.97 * score[h] + 0.03 * math.log(clip(p[h] if y else 1 - p[h], 1e-6))
+        c = cal[min(9, int(up * 10))]
+        c[0], c[1] = 0.995 * c[0] + 1, 0.995 * c[1] + y
+        err = 0.97 * err + 0.03 * abs(p_cal - y)
+        if last is not None:
+            trans.setdefault(last, {})
+            trans[last][regime] = trans[last].get(regime, 0) + 1
+        last = regime
+    return out
+
+
+def test_predictor_matches_its_equations():
+    rng = random.Random(8)
+    rows = [(dict(zip(models.FEATURES, (rng.gauss(0, 2), rng.uniform(0, 6), rng.gauss(0, 1), rng.random(), rng.uniform(-1, 1), abs(rng.gauss(0.1, 0.1))), strict=True)), rng.uniform(0.05, 0.95), rng.randrange(2)) for _ in range(250)]
+    m, got = models.Predictor(), []
+    for x, mid, y in rows:
+        made = m.predict(tuple(x[f] for f in models.FEATURES), mid)
+        got.append((made["p_up"], made["p_cal"], made["temperature"], made["regime"]))
+        m.learn(made, y, "b")
+    for a, b in zip(got, plain_predictor(rows), strict=True):
+        assert a[:3] == pytest.approx(b[:3], rel=1e-7) and a[3] == b[3]
+    assert m.buckets["b"][0] == 250 and {g[3] for g in got} > {"panic", "high_vol/trend"}
 
 
 def test_models():
@@ -121,13 +197,106 @@ def test_statistics(spark):
     xs = np.column_stack([np.ones(4000), rng.normal(size=4000)])
     b = statistics.irls(xs, (rng.random(4000) < 1 / (1 + np.exp(-(0.3 + 0.8 * xs[:, 1])))).astype(float))
     assert b == pytest.approx([0.3, 0.8], abs=0.15) and statistics.irls(xs[:9], np.ones(9)) is None
-    assert statistics.lower_gamma(1.0, 2.0) == pytest.approx(1 - math.exp(-2)) and statistics.lower_gamma(0.5, 9.0) == pytest.approx(math.erf(3.0))
-    assert statistics.gennorm_up(1.0, 2.0, math.sqrt(2)) == pytest.approx(0.5 * math.erfc(-1 / math.sqrt(2)))
-    for z, p in ((0.7, 0.8), (-0.7, 0.3)):
-        assert statistics.gennorm_up(z, 1.5, statistics.implied_scale(z, p, 1.5)) == pytest.approx(p)
+    assert float(statistics.lower_gamma(1.0, 2.0)) == pytest.approx(1 - math.exp(-2)) and float(statistics.lower_gamma(0.5, 9.0)) == pytest.approx(math.erf(3.0))
+    # shape 2 is the normal, shape 1 the Laplace distribution; another shape by integrating its density
+    z = np.array([-3.0, -0.4, 0.0, 0.7, 2.5])
+    assert statistics.gennorm_up(z, 2.0, 1.0) == pytest.approx([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+    assert statistics.gennorm_up(z, 1.0, 0.5) == pytest.approx([1 - 0.5 * math.exp(-2 * v) if v >= 0 else 0.5 * math.exp(2 * v) for v in z])
+    t = np.linspace(-60, 60, 2_000_001)
+    density = np.exp(-np.abs(t) ** 1.5 / 1.5)
+    assert statistics.gennorm_up(z, 1.5, 1.0) == pytest.approx([density[t >= -v].sum() / density.sum() for v in z], abs=5e-5)
+    assert statistics.gennorm_up(1.0, 0.0, 1.0) == statistics.gennorm_up(1.0, 1.5, 0.0) == 0.5
+    for r, p in ((0.02, 0.2), (0.3, 0.05)):
+        assert statistics.gennorm_up(-r, 1.5, statistics.implied_scale(r, p, 1.5)) == pytest.approx(p)
+    assert np.isnan(statistics.implied_scale([0.0, 0.1], [0.3, 1.0], 1.5)).all()
     assert abs(simulated_returns(spark, 2000).agg(F.stddev("r").alias("s")).first()["s"] - 0.01) < 0.001
 
 
+def plain_forward(x, m):
+    """Log-likelihood and smoothed states, row by row with plain sums over states."""
+    k, n = len(m["mu"]), len(x)
+    e = [[math.exp(-0.5 * ((v - m["mu"][s]) / m["sigma"][s]) ** 2) / (m["sigma"][s] * math.sqrt(2 * math.pi)) for s in range(k)] for v in x]
+    a, ll = [], 0.0
+    for t in range(n):
+        row = [e[t][s] * (m["pi"][s] if t == 0 else sum(a[-1][r] * m["trans"][r][s] for r in range(k))) for s in range(k)]
+        ll += math.log(sum(row))
+        a.append([v / sum(row) for v in row])
+    return ll
+
+
+def test_hidden_markov_scan():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, 150), rng.normal(3, 0.5, 83), rng.normal(0, 1, 70)])
+    m = statistics.hmm_fit(x, 2, rounds=7, restarts=3)
+    e = statistics._emission(x, m["mu"], m["sigma"])
+    rows, scale = statistics._scan(m["pi"], m["trans"], e)
+    assert np.log(scale).sum() == pytest.approx(plain_forward(x, m), rel=1e-9) and rows.sum(1) == pytest.approx(np.ones(len(x)))
+    path = statistics.viterbi(x, m)
+    assert (path[:140] == 0).all() and (path[160:225] == 1).all()
+    # a round of learning never lowers the likelihood
+    ll = [statistics._hmm_once(x, 2, r, 0.0, None)["loglik"] for r in range(1, 12)]
+    assert all(b >= a - 1e-9 for a, b in zip(ll, ll[1:], strict=False))
+    assert statistics.hmm_fit(x, 2, restarts=3)["loglik"] >= statistics.hmm_fit(x, 2)["loglik"]
+
+
+def test_har_walk_matches_a_loop():
+    rng = np.random.default_rng(3)
+    rv, ret = rng.gamma(2, 1, 140), rng.normal(0, 1, 140)
+    for window in (60, 400):
+        beta, want = None, []
+        for t in range(len(rv)):
+            held = list(range(max(0, t - window), t))
+            if beta is not None and len(held) >= 22 and t >= 23:
+                f = beta @ [1, rv[t - 1], np.mean(rv[t - 5 : t]), np.mean(rv[t - 22 : t]), min(ret[t - 1], 0) ** 2]
+                want.append(min(max(f, 0), 5 * rv[: t + 1].max()))
+            held = list(range(max(0, t + 1 - window), t + 1))
+            rows = [i for i in held if i - held[0] >= 22 and i < t]
+            if t % 5 == 0 and len(held) >= 27 and len(rows) >= 7:
+                x = np.array([[1, rv[i], np.mean(rv[i - 4 : i + 1]), np.mean(rv[i - 21 : i + 1]), min(ret[i], 0) ** 2] for i in rows])
+                beta = np.linalg.lstsq(x, rv[np.array(rows) + 1], rcond=None)[0]
+        got, r2 = statistics.har_walk(rv, ret, window=window)
+        assert got == pytest.approx(want, rel=1e-6) and r2 < 1
+    assert statistics.har_walk(rv[:25], ret[:25])[0] == []
+
+
+def test_regressions(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2)) * [1, 30] + [0, 5]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.4 + x[:, 0] - 0.03 * x[:, 1])))).astype(float)
+    rows = [(i // 80, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "fold int, a double, b double, y double")
+    fits = statistics.expanding_logit(df, "fold", ["a", "b"], "y", 5)
+    assert set(fits) == {1, 2, 3, 4}
+    for f, b in fits.items():
+        assert b == pytest.approx(statistics.irls(np.column_stack([np.ones(80 * f), x[: 80 * f]]), y[: 80 * f]), rel=1e-3)
+    assert statistics.expanding_logit(df.withColumn("y", F.lit(1.0)), "fold", ["a"], "y", 5) == {} and statistics.expanding_logit(df.limit(0), "fold", ["a"], "y", 5) == {}
+    got = statistics.ols(df.withColumn("one", F.lit(1.0)), ["one", "a", "b"], "y")
+    assert list(got.values()) == pytest.approx(np.linalg.lstsq(np.column_stack([np.ones(400), x]), y, rcond=None)[0], rel=1e-8)
+    betas = spark.createDataFrame([(p, "u", v) for p, v in enumerate([1.0, 2.0, 4.0])], "period int, term string, beta double")
+    (r,) = statistics.fama_macbeth(betas).collect()
+    assert (r.periods, r.mean, r.t) == (3, pytest.approx(7 / 3), pytest.approx((7 / 3) / (np.std([1, 2, 4], ddof=1) / math.sqrt(3))))
+
+
+def test_running_sum_and_throttle(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(400), i, rng.choice([None, 1.5, -2.0, 3.0])) for i in range(300)]
+    df = spark.createDataFrame(rows, "t long, i long, v double")
+    got = {r.i: r.s for r in running_sum(df, ["t", "i"], "v", F.floor(F.col("t") / 50), "s").collect()}
+    total = 0.0
+    for _, i, v in sorted(rows, key=lambda r: r[:2]):
+        total += v or 0.0
+        assert got[i] == pytest.approx(total)
+    assert running_sum(df.limit(0), ["t", "i"], "v", F.floor(F.col("t") / 50), "s").count() == 0
+    events = [(rng.choice("abc"), rng.randrange(2000), i) for i in range(700)] + [("a", None, 9999)]
+    got = sorted((r.k, r.i) for r in throttle(spark.createDataFrame(events, "k string, t long, i long"), ["k"], "t", "i", 40).collect())
+    want, last = [], {}
+    for k, t, i in sorted((e for e in events if e[1] is not None), key=lambda e: (e[0], e[1], e[2])):
+        if t - last.get(k, -1e9) >= 40:
+            last[k] = t
+            want.append((k, i))
+    assert got == sorted(want)
+
+
 def test_sources(spark, tmp_path):
     d = tmp_path / "runs" / "run1" / "BTC"
     d.mkdir(parents=True)

@@ -32,56 +32,75 @@ class Moments:
     @property
     def sd(self) -> float:
         s = math.sqrt(self.m2 / self.n) if self.n > 1 else 1.0
-        return s if s >= 1e-9 else 1.0
-
-    def z(self, x: float) -> float:
-        return (x - self.mean) / self.sd if self.n > 5 else x
+        return s if s > 1e-9 else 1.0
 
 
 @dataclass
-class Head:
-    """Online logistic head: moments first, then one gradient step, then the decayed log score."""
-
-    weights: dict[str, float]
-    rate: float = 0.04
-    bias: float = 0.0
-    log_score: float = -0.6931
-    moments: dict[str, Moments] = field(default_factory=dict)
-
-    def predict(self, x: dict[str, float]) -> float:
-        return sigmoid(self.bias + sum(w * self.moments.setdefault(k, Moments()).z(x[k]) for k, w in self.weights.items()))
-
-    def learn(self, x: dict[str, float], y: int) -> float:
-        for k in self.weights:
-            self.moments.setdefault(k, Moments()).add(x[k])
-        p = self.predict(x)
-        err = p - y
-        for k in self.weights:
-            self.weights[k] -= self.rate * err * self.moments[k].z(x[k])
-        self.bias -= self.rate * err
-        self.log_score = 0.97 * self.log_score + 0.03 * math.log(max(p if y else 1 - p, 1e-6))
-        return p
-
-    @property
-    def reliability(self) -> float:
-        return math.exp(self.log_score)
+class Ensemble:
+    """Online logistic heads over shared features, and one that tilts the market's log-odds by k times the first feature.
 
+    One record of arrays: `uses` lists each head's features; `n`, `mean`, `m2` are moments of all features (every row
+    moves them alike, so heads share them), `weight`, `bias` and `score` (decayed log score) belong to heads, the last
+    score to the tilting one. Learning moves the moments first, then standardises (from six rows on), then takes one
+    gradient step with the probabilities from before it.
+    """
 
-@dataclass
-class FairValueHead:
-    """Tilts the market's log-odds by k times a standardised signal; k stays in [0, 4]."""
-
+    uses: tuple[tuple[int, ...], ...]
+    weight: list[list[float]]
+    n: int = 0
+    mean: list[float] = field(default_factory=list)
+    m2: list[float] = field(default_factory=list)
+    bias: list[float] = field(default_factory=list)
+    score: list[float] = field(default_factory=list)
     k: float = 0.5
-    rate: float = 0.03
-    moments: Moments = field(default_factory=Moments)
-
-    def predict(self, mid: float, x: float) -> float:
-        return sigmoid(logit(mid, 1e-4) + self.k * self.moments.z(x))
-
-    def learn(self, mid: float, x: float, y: int) -> float:
-        self.moments.add(x)
-        p = self.predict(mid, x)
-        self.k = min(4.0, max(0.0, self.k - self.rate * (p - y) * self.moments.z(x)))
+    # fixed values: learning rates, decay of the log score, its start (log one half), bounds of k
+    rate: float = 0.04
+    tilt_rate: float = 0.03
+
+    def __post_init__(self) -> None:
+        width = 1 + max(f for u in self.uses for f in u)
+        self.mean, self.m2 = self.mean or [0.0] * width, self.m2 or [0.0] * width
+        self.bias, self.score = self.bias or [0.0] * len(self.uses), self.score or [-0.6931] * (len(self.uses) + 1)
+
+    def standard(self, x: tuple[float, ...]) -> list[float]:
+        """Features in standard deviations from their mean; as they are while there are five rows or fewer."""
+        if self.n <= 5:
+            return list(x)
+        out = []
+        for v, mean, m2 in zip(x, self.mean, self.m2, strict=False):
+            sd = math.sqrt(m2 / self.n)
+            out.append((v - mean) / (sd if sd > 1e-9 else 1.0))
+        return out
+
+    def odds(self, z: list[float], mid: float | None) -> list[float]:
+        """Log-odds of each head for standardised features; of the tilting one only where there is a mid."""
+        out = [b + sum(c * z[f] for c, f in zip(w, u, strict=True)) for b, w, u in zip(self.bias, self.weight, self.uses, strict=True)]
+        return out if mid is None else [*out, logit(mid, 1e-4) + self.k * z[0]]
+
+    def mixed(self, x: tuple[float, ...], mid: float | None) -> float:
+        """Mean log-odds of the heads by reliability exp(score), each within those of 1e-6."""
+        most = logit(1 - 1e-6)
+        odds = [min(most, max(-most, o)) for o in self.odds(self.standard(x), mid)]
+        trust = [math.exp(s) for s in self.score[: len(odds)]]
+        return sum(t * o for t, o in zip(trust, odds, strict=True)) / (sum(trust) or 1.0)
+
+    def learn(self, x: tuple[float, ...], mid: float | None, y: int) -> list[float]:
+        """Probabilities of the heads after the moments moved and before the step."""
+        self.n += 1
+        for f, v in enumerate(x[: len(self.mean)]):
+            d = v - self.mean[f]
+            self.mean[f] += d / self.n
+            self.m2[f] += d * (v - self.mean[f])
+        z = self.standard(x)
+        p = [sigmoid(o) for o in self.odds(z, mid)]
+        for h, u in enumerate(self.uses):
+            step = self.rate * (p[h] - y)
+            self.weight[h] = [c - step * z[f] for c, f in zip(self.weight[h], u, strict=True)]
+            self.bias[h] -= step
+        if mid is not None:
+            self.k = min(4.0, max(0.0, self.k - self.tilt_rate * (p[-1] - y) * z[0]))
+        for h, q in enumerate(p):
+            self.score[h] = 0.97 * self.score[h] + 0.03 * math.log(min(max(q if y else 1 - q, 1e-6), 1 - 1e-6))
         return p
 
 
@@ -132,19 +151,44 @@ class Skill:
         return ("NOSKILL" if abs(gap) < margin else "SKILL" if gap > 0 else "INVERTED"), gap
 
 
+#: Features of the prequential model, in the order of its records; the last drives regimes and move probability only.
+FEATURES = ("z_dist", "log_tau", "momentum", "efficiency", "ob_imbalance", "realized_vol")
+
+
+def _four_heads() -> Ensemble:
+    # fixed values: which features each head sees, and the weights it starts from
+    return Ensemble(uses=((0, 1), (2, 3), (4,)), weight=[[1.8, 0.0], [0.4, 0.0], [0.6]])
+
+
 @dataclass
 class Predictor:
-    """Three heads, a fair-value head, regime transitions and calibration: predict, then learn from the outcome."""
+    """The prequential model: four heads, regime transitions, volatility and move scales, calibration and edge by bucket.
 
-    cap: float = 0.6
-    heads: dict[str, Head] = field(default_factory=lambda: {"markov": Head({"z": 1.8}), "momentum": Head({"momentum": 0.4}), "micro": Head({"imbalance": 0.6})})
-    fair: FairValueHead = field(default_factory=FairValueHead)
+    `predict` uses what has been learned so far; `learn` takes a prediction back with its outcome, in any order. The
+    calibrated probability stays within `cap` log-odds of the market's before calibration.
+    """
+
+    cap: float = 0.4
+    heads: Ensemble = field(default_factory=_four_heads)
     calibration: Calibration = field(default_factory=Calibration)
+    vol: Moments = field(default_factory=Moments)
+    move: Moments = field(default_factory=Moments)
     error: float = 0.1
     transitions: dict[str, dict[str, float]] = field(default_factory=dict)
     last_regime: str | None = None
+    buckets: dict[str, list[float]] = field(default_factory=dict)
+
+    def regime(self, realized_vol: float, efficiency: float) -> str:
+        """Volatility against its running mean and deviation, and trend by path efficiency; panic two deviations up."""
+        v, wide = self.vol, self.vol.n > 5
+        if v.n > 10 and realized_vol > v.mean + 2 * v.sd:
+            return "panic"
+        high, low = (v.mean + 0.5 * v.sd, v.mean - 0.5 * v.sd) if wide else (realized_vol, realized_vol)
+        state = "high_vol" if realized_vol >= high else "low_vol" if realized_vol <= low else "mid_vol"
+        return f"{state}/{'trend' if efficiency >= 0.45 else 'mean_revert' if efficiency <= 0.2 else 'chop'}"
 
     def stability(self) -> float:
+        """One minus the normalised entropy of what followed the last regime; 0.3 with three transitions or fewer."""
         row = self.transitions.get(self.last_regime or "", {})
         total = sum(row.values())
         if total <= 3:
@@ -152,25 +196,42 @@ class Predictor:
         h = -sum(v / total * math.log(v / total) for v in row.values())
         return 1 - h / math.log(max(2, len(row)))
 
-    def predict(self, x: dict[str, float], mid: float, panic: bool = False) -> tuple[float, float]:
-        """(p_up, calibrated p)."""
-        t = (1 + 2 * (1 - self.stability()) + 3 * max(0.0, self.error - 0.1)) * (1.5 if panic else 1.0)
-        total = sum(h.reliability for h in self.heads.values())
-        own = sum(h.reliability / total * logit(h.predict(x)) for h in self.heads.values()) / t
-        tilt = min(self.cap, max(-self.cap, own - logit(mid, 1e-4)))
-        p = sigmoid(logit(mid, 1e-4) + tilt)
-        return p, self.calibration(p)
-
-    def learn(self, x: dict[str, float], mid: float, p: float, p_cal: float, regime: str, y: int) -> None:
-        for h in self.heads.values():
-            h.learn(x, y)
-        self.fair.learn(mid, x["z"], y)
-        self.calibration.learn(p, y)
-        self.error = 0.97 * self.error + 0.03 * abs(p_cal - y)
+    @staticmethod
+    def scale(x: tuple[float, ...]) -> float:
+        """Volatility over what is left of the window."""
+        return x[5] * math.sqrt(max(1.0, math.exp(x[1])))
+
+    def predict(self, x: tuple[float, ...], mid: float | None) -> dict:
+        """p_up, p_cal, move_prob, regime, temperature and confidence for features in the order of FEATURES."""
+        regime, calm = self.regime(x[5], x[3]), self.stability()
+        heat = (1 + 2 * (1 - calm) + 3 * max(0.0, self.error - 0.1)) * (1.5 if regime == "panic" else 1.0)
+        own = self.heads.mixed(x, mid) / heat
+        if mid is not None:
+            anchor = logit(mid, 1e-4)
+            own = anchor + min(self.cap, max(-self.cap, own - anchor))
+        p = sigmoid(own)
+        p_cal = self.calibration(p)
+        move = sigmoid(0.9 * (self.scale(x) - self.move.mean) / self.move.sd) if self.move.n > 10 else 0.5
+        q = min(max(p_cal, 1e-9), 1 - 1e-9)
+        doubt = -(q * math.log2(q) + (1 - q) * math.log2(1 - q))
+        return {"x": x, "mid": mid, "p_up": p, "p_cal": p_cal, "move_prob": move, "regime": regime, "temperature": heat, "confidence": (1 - doubt) * (0.4 + 0.6 * calm) * (0.5 + 0.5 * move)}
+
+    def learn(self, made: dict, y: int, bucket: str | None = None) -> None:
+        """Take the outcome of an earlier prediction into all parts of the model."""
+        x, mid = made["x"], made["mid"]
+        self.vol.add(x[5])
+        self.move.add(self.scale(x))
+        self.heads.learn(x, mid, y)
+        self.calibration.learn(made["p_up"], y)
+        self.error = 0.97 * self.error + 0.03 * abs(made["p_cal"] - y)
         if self.last_regime is not None:
             row = self.transitions.setdefault(self.last_regime, {})
-            row[regime] = row.get(regime, 0.0) + 1
-        self.last_regime = regime
+            row[made["regime"]] = row.get(made["regime"], 0.0) + 1
+        self.last_regime = made["regime"]
+        if bucket is not None:
+            seen = self.buckets.setdefault(bucket, [0.0, 0.0])
+            seen[0] += 1
+            seen[1] += y if made["p_cal"] >= 0.5 else 1 - y
 
 
 def l2_apply(book: dict[str, dict[float, float]], kind: str, bids: list, asks: list, changes: list) -> tuple[float | None, float | None]:

@@ -2,6 +2,6 @@
 
 from tidemark.operators.asof import asof_join, nearest_join, range_join
 from tidemark.operators.folds import fold_per_key
-from tidemark.operators.ordered import excursions, keep_last, nearest_rank, seq_gaps, systematic_sample, throttle
+from tidemark.operators.ordered import excursions, keep_last, nearest_rank, running_sum, seq_gaps, systematic_sample, throttle
 
-__all__ = ["asof_join", "excursions", "fold_per_key", "keep_last", "nearest_join", "nearest_rank", "range_join", "seq_gaps", "systematic_sample", "throttle"]
+__all__ = ["asof_join", "excursions", "fold_per_key", "keep_last", "nearest_join", "nearest_rank", "range_join", "running_sum", "seq_gaps", "systematic_sample", "throttle"]

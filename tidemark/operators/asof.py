@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], tolerance: int | None = None, direction: str = "backward", strict: bool = False, prefix: str = "r_", tie: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], tolerance: int | None = None, direction: str = "backward", strict: bool = False, prefix: str = "r_", tie: str | None = None, bucket: int | None = None) -> DataFrame:
     """Each left row with the last right row at or before it (forward: first at or after), per key.
 
     Union of both sides and one window over (by, on): one shuffle, one sort, no row pairs. `strict` leaves out equal
     times. Left rows without a match within `tolerance` keep nulls. `tie` orders right rows of one time (the last wins
     backward, the first forward). Result: left columns, prefix + on and prefix + each of values.
+
+    With `bucket`, a key's rows are cut into stretches of so many units of `on`, each a window of its own, so a few keys
+    with very many rows spread over the cluster. Each stretch's last right row is carried to the later ones by a window
+    over one row a stretch.
     """
     forward = direction == "forward"
     r = right.select(*by, F.col(on).alias("__on"), F.lit(0 if not strict else 2).alias("__side"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("__tie"), F.struct(F.col(on), *values).alias("__r"), F.lit(None).cast(left_struct(left)).alias("__l"))
@@ -20,9 +26,20 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
     order = [F.col("__on"), F.col("__side"), F.col("__tie")]
     if forward:
         order = [F.col("__on").desc(), F.col("__side"), F.col("__tie").desc()]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = list(by)
+    if bucket:
+        both = both.withColumn("__b", F.floor(F.col("__on") / F.lit(bucket)))
+        keys.append("__b")
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = F.last("__r", ignorenulls=True).over(w)
     out = both.withColumn("__m", seen).where(F.col("__l").isNotNull())
+    if bucket:
+        at = F.when(F.col("__r").isNotNull(), F.struct("__on", "__tie"))
+        ends = both.groupBy(*keys).agg((F.min_by if forward else F.max_by)("__r", at).alias("__end"))
+        earlier = Window.partitionBy(*by).orderBy(F.col("__b").desc() if forward else F.col("__b")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.last("__end", ignorenulls=True).over(earlier).alias("__c"))
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+        out = out.join(carried, same, "left").withColumn("__m", F.coalesce("__m", "__c"))
     gap = F.abs(F.col("__on") - F.col(f"__m.{on}"))
     ok = F.col("__m").isNotNull() if tolerance is None else gap <= tolerance
     return out.select("__l.*", *[F.when(ok, F.col(f"__m.{c}")).alias(prefix + c) for c in (on, *values)])
@@ -33,10 +50,10 @@ def left_struct(df: DataFrame):
     return df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType
 
 
-def nearest_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], tolerance: int, tie: str | None = None) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], tolerance: int, tie: str | None = None, bucket: int | None = None) -> DataFrame:
     """Each left row with the nearest right row in either direction within `tolerance`; of equal distances the earlier."""
-    back = asof_join(left, right, by, on, values, tolerance, "backward", prefix="b_", tie=tie)
-    both = asof_join(back, right, by, on, values, tolerance, "forward", prefix="f_", tie=tie)
+    back = asof_join(left, right, by, on, values, tolerance, "backward", prefix="b_", tie=tie, bucket=bucket)
+    both = asof_join(back, right, by, on, values, tolerance, "forward", prefix="f_", tie=tie, bucket=bucket)
     before, after = F.col(on) - F.col(f"b_{on}"), F.col(f"f_{on}") - F.col(on)
     take = before.isNotNull() & (after.isNull() | (before <= after))
     pick = lambda c: F.when(take, F.col(f"b_{c}")).otherwise(F.col(f"f_{c}")).alias(f"r_{c}")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +52,44 @@ def excursions(path: DataFrame, by: list[str], order: list[str], bid: str, snaps
     )
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, bucket: Column, name: str) -> DataFrame:
+    """df with the running sum of `value` over the whole table in `order`, without one task that reads it all.
+
+    `bucket` is a function of the first column of `order` that never falls (a day of a time, say). Sums of buckets are
+    summed up first, one row a bucket; each bucket then runs on its own from the sum before it.
+    """
+    x = df.withColumn("__b", bucket)
+    before = F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    sums = x.groupBy("__b").agg(F.sum(value).alias("__s")).select("__b", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.sum(value).over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return x.join(sums, "__b").withColumn(name, F.col("__before") + F.coalesce(inside, F.lit(0))).drop("__b", "__before")
+
+
 def throttle(df: DataFrame, by: list[str], time: str, seq: str, least_gap: float) -> DataFrame:
-    """Rows that a greedy throttle lets pass: at least `least_gap` after the last one that passed, per key.
+    """(by, seq) of the rows that a greedy throttle lets pass: at least `least_gap` after the last one that passed, per key.
 
-    Sequential by nature: a fold over each key's sorted (time, seq) pairs, in the JVM.
+    Sequential by nature: each key's rows stream in time order through Arrow batches; only the time of the last row
+    that passed is held, and a batch is left from row to row that passes, not row by row. Rows without a time don't pass.
     """
-    item = F.struct(F.col(time).cast("double").alias("t"), F.col(seq).cast("long").alias("s"))
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda acc, x: F.when(x["t"] - acc["last"] >= least_gap, F.struct(x["t"].alias("last"), F.array_append(acc["kept"], x["s"]).alias("kept"))).otherwise(acc)
-    kept = df.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step).alias("a"))
-    return kept.select(*by, F.explode("a.kept").alias(seq))
+    shape = df.select(*by, seq).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, -np.inf
+        for pdf in batches:
+            t = pdf["__t"].to_numpy()
+            kept = []
+            changed = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy()
+            cuts = np.unique([0, *np.flatnonzero(changed), len(t)])
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                k = tuple(pdf[by].iloc[lo])
+                if k != key:
+                    key, last = k, -np.inf
+                i = lo
+                while i < hi:
+                    i = lo + int(np.searchsorted(t[lo:hi], last + least_gap))
+                    if i < hi:
+                        kept.append(i)
+                        last = t[i]
+            yield pdf.iloc[kept][[*by, seq]]
+
+    return df.select(*by, seq, F.col(time).cast("double").alias("__t")).where("__t is not null").repartition(*by).sortWithinPartitions(*by, "__t", seq).mapInPandas(run, shape)

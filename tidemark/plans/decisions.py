@@ -70,7 +70,7 @@ with m as (select id, l_v as vol, avg(l_v) over w as mu, stddev_pop(l_v) over w
 select id, {x.classify_regime('n', 'vol', 'round(mu, 6)', 'round(sd, 6)', 'eff')} as regime from m""")
 sql_query("ensemble", f"""
 with h as (select id, book_mid_up as mid, p_cal as p1, {x.sigmoid('z_dist')} as p2, 0.5e0 + confidence / 4e0 as p3, 0.5e0 + move_prob / 2e0 as w1, 0.6e0 as w2, 0.4e0 as w3 from decisions),
-e as (select id, mid, (w1 * {x.logit('p1')} + w2 * {x.logit('p2')} + w3 * {x.logit('p3')}) / (w1 + w2 + w3) as l from h), t as (select id, mid, {x.clamp(f"l - {x.logit('mid', '1e-4')}", '-0.6e0', '0.6e0')} as tilt from e)
+e as (select id, mid, (w1 * {x.logit('p1')} + w2 * {x.logit('p2')} + w3 * {x.logit('p3')}) / (w1 + w2 + w3) as l from h), t as (select id, mid, {x.clamp(f"l - {x.logit('mid', '1e-4')}", '-0.4e0', '0.4e0')} as tilt from e)
 select id, R({x.sigmoid(f"{x.logit('mid', '1e-4')} + tilt")}) as p_up from t""")
 sql_query("weights_summary", "select concat(k.head, '.', k.feature) as name, R(avg(case k.feature when 'z' then z_dist when 'mid' then book_mid_up else confidence end)) as weight, count(*) as k from decisions cross join (values ('markov', 'z'), ('markov', 'mid'), ('momentum', 'z'), ('micro', 'conf')) as k(head, feature) group by k.head, k.feature")
 sql_query("cond_assess", f"""

@@ -68,8 +68,8 @@ def render(sql: str, engine: str, sf_dir: str = "") -> str:
     if engine == "spark":
         text = " ".join([*parts, sql])
         parts = [f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", text)] + parts
-    if re.match(r"with\s", sql, re.I):
-        head, sql = "with ", ", ".join([*parts, sql[4:].strip()])
+    if m := re.match(r"with\s+(recursive\s+)?", sql, re.I):
+        head, sql = m[0].strip() + " ", ", ".join([*parts, sql[m.end() :].strip()])
     else:
         head = "with " + ", ".join(parts) + " " if parts else ""
     out = head + sql

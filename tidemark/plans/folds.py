@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import models
-from tidemark.functions.statistics import fama_macbeth, gennorm_up, har_walk, hmm_fit, implied_scale, irls, viterbi
-from tidemark.operators import fold_per_key, throttle
-from tidemark.plans.dialect import view
+from tidemark.functions.statistics import expanding_logit, fama_macbeth, gennorm_up, har_walk, hmm_fit, implied_scale, irls, ols, standardize, viterbi
+from tidemark.operators import fold_per_key, running_sum, throttle
 from tidemark import registry
+from tidemark.plans.dialect import oracle, view
 from tidemark.registry import query
 
 
@@ -20,51 +22,65 @@ def _calib(spark, sf):
     return view(spark, sf, "calib").join(view(spark, sf, "decisions").select("id", "z_dist", "confidence", "move_prob", "regime").dropDuplicates(["id"]), "id")
 
 
-@query("throttle")
+# a row passes 900 s after the last that passed: pointers to the next such time, followed from the first
+@query("throttle", oracle("""
+with recursive f as (select asset, ts_us, min(seq) as seq from ticks group by asset, ts_us),
+n as materialized (select asset, ts_us, min(ts_us) over (partition by asset order by ts_us range between 900000000 following and unbounded following) as to_us from f),
+k as (select asset, min(ts_us) as ts_us from f group by asset union all select n.asset, n.to_us from k join n on k.asset = n.asset and k.ts_us = n.ts_us where n.to_us is not null)
+select f.asset, f.seq from k join f on k.asset = f.asset and k.ts_us = f.ts_us"""))
 def _throttle(spark, sf):
-    return throttle(view(spark, sf, "ticks").select("asset", "ts_s", "seq"), ["asset"], "ts_s", "seq", 900.0)
+    return throttle(view(spark, sf, "ticks").select("asset", "ts_us", "seq"), ["asset"], "ts_us", "seq", 900e6)
 
 
 @query("online_head")
 def _online_head(spark, sf):
     def step(head, r):
-        p = head.learn({"z": r.z_dist, "c": r.confidence}, int(r.outcome_up))
-        return {"asset": r.asset, "id": r.id, "p": p, "reliability": head.reliability}
+        p = head.learn((r.z_dist, r.confidence), None, int(r.outcome_up))[0]
+        return {"asset": r.asset, "id": r.id, "p": p, "reliability": math.exp(head.score[0])}
 
-    return fold_per_key(_calib(spark, sf).select("asset", "ts_us", "id", "z_dist", "confidence", "outcome_up"), ["asset"], ["ts_us", "id"], lambda: models.Head({"z": 1.8, "c": 0.0}), step, "asset string, id long, p double, reliability double")
+    start = lambda: models.Ensemble(uses=((0, 1),), weight=[[1.8, 0.0]])
+    return fold_per_key(_calib(spark, sf).select("asset", "ts_us", "id", "z_dist", "confidence", "outcome_up"), ["asset"], ["ts_us", "id"], start, step, "asset string, id long, p double, reliability double")
 
 
 @query("fair_value_head")
 def _fair(spark, sf):
     def step(head, r):
-        p = head.learn(r.market_mid, r.z_dist, int(r.outcome_up))
-        return {"asset": r.asset, "id": r.id, "p": p, "k": head.k}
+        p = head.learn((r.z_dist,), r.market_mid, int(r.outcome_up))[-1]
+        return {"asset": r.asset, "id": r.id, "p": p, "k": head.k, "reliability": math.exp(head.score[-1])}
 
-    return fold_per_key(_calib(spark, sf).select("asset", "ts_us", "id", "market_mid", "z_dist", "outcome_up"), ["asset"], ["ts_us", "id"], models.FairValueHead, step, "asset string, id long, p double, k double")
+    start = lambda: models.Ensemble(uses=((0,),), weight=[[0.0]])
+    return fold_per_key(_calib(spark, sf).select("asset", "ts_us", "id", "market_mid", "z_dist", "outcome_up"), ["asset"], ["ts_us", "id"], start, step, "asset string, id long, p double, k double, reliability double")
 
 
 @query("prequential_model")
 def _prequential(spark, sf):
     """Predict at a row's time, learn when its market settles an hour later: both as events of one ordered stream."""
-    x = _calib(spark, sf).select("asset", "ts_us", "id", "market_mid", "z_dist", "confidence", "move_prob", "regime", "outcome_up")
+    x = _calib(spark, sf).selectExpr(
+        "asset", "tf", "ts_us", "id", "market_mid", "outcome_up", "z_dist", "ln(case tf when '5m' then 5e0 when '15m' then 15e0 when '1h' then 60e0 when '4h' then 240e0 else 1440e0 end) as log_tau",
+        "10e0 * (p_cal - market_mid) as momentum", "move_prob as efficiency", "4e0 * confidence - 1e0 as ob_imbalance", "0.05e0 + abs(p_cal - market_mid) as realized_vol",
+    )
     events = x.select("*", F.explode(F.array(F.lit(1), F.lit(0))).alias("kind")).withColumn("at_us", F.col("ts_us") + F.when(F.col("kind") == 0, 3_605_000_000).otherwise(0))
 
     def step(state, r):
         model, open_ = state
-        f = {"z": r.z_dist, "momentum": r.confidence, "imbalance": r.move_prob}
         if r.kind == 1:
-            p, p_cal = model.predict(f, r.market_mid)
-            open_[r.id] = (p, p_cal)
-            return {"asset": r.asset, "id": r.id, "p_up": p, "p_cal": p_cal}
+            made = open_[r.id] = model.predict(tuple(getattr(r, f) for f in models.FEATURES), r.market_mid)
+            return {"asset": r.asset, "id": r.id, **{n: made[n] for n in ("p_up", "p_cal", "move_prob", "temperature", "confidence", "regime")}}
         if r.id in open_:
-            p, p_cal = open_.pop(r.id)
-            model.learn(f, r.market_mid, p, p_cal, r.regime, int(r.outcome_up))
+            made = open_.pop(r.id)
+            model.learn(made, int(r.outcome_up), f"{made['regime']}|{r.tf}")
         return None
 
-    return fold_per_key(events, ["asset"], ["at_us", "kind", "id"], lambda: (models.Predictor(), {}), step, "asset string, id long, p_up double, p_cal double")
+    return fold_per_key(events, ["asset"], ["at_us", "kind", "id"], lambda: (models.Predictor(), {}), step, "asset string, id long, p_up double, p_cal double, move_prob double, temperature double, confidence double, regime string")
 
 
-@query("l2_book_fold")
+# a level's size is that of its last change since the last snapshot; what a snapshot held counts as its changes
+@query("l2_book_fold", oracle("""
+with e as (select asset, seq, row_number() over w as i, sum(case when seq % 50 = 0 then 1 else 0 end) over w as g, seq % 50 = 0 as snap, round(0.01 + (k % 98) / 100e0, 2) as p, cast(user_id % 9 as double) as size from ticks window w as (partition by asset order by ts_us, seq)),
+c as (select asset, g, i, case when p < 0.5e0 then 'bid' else 'ask' end as side, p, size from e where not snap
+  union all select asset, g, i, s.side, s.p, s.size from e, (values ('bid', 0.4e0, 10e0), ('bid', 0.39e0, 5e0), ('ask', 0.6e0, 10e0), ('ask', 0.61e0, 5e0)) as s(side, p, size) where snap),
+l as (select e.asset, e.seq, c.side, c.p, max_by(c.size, c.i) as size from e join c on e.asset = c.asset and e.g = c.g and c.i <= e.i group by e.asset, e.seq, c.side, c.p)
+select e.asset, e.seq, max(case when side = 'bid' and l.size > 0 then l.p end) as bid, min(case when side = 'ask' and l.size > 0 then l.p end) as ask from e left join l on e.asset = l.asset and e.seq = l.seq group by e.asset, e.seq"""))
 def _l2(spark, sf):
     """A snapshot every 50th event, changes between: best bid and ask after each."""
 
@@ -79,22 +95,29 @@ def _l2(spark, sf):
     return fold_per_key(view(spark, sf, "ticks").select("asset", "ts_us", "seq", "k", "user_id"), ["asset"], ["ts_us", "seq"], dict, step, "asset string, seq long, bid double, ask double")
 
 
-@query("exposure_fold")
+# two trades at least stay open with each asset and eight over all of them, so that both caps bind
+@query("exposure_fold", oracle("""
+with recursive x as (select id, asset, pnl, 5e0 + id % 26 as cost, row_number() over (order by ts_us, id) as i, cast(floor(ts_us / 86400000000e0) as bigint) as day from settlements where filled = 1),
+d as (select day, min(i) as first from x group by day), o as (select x.*, row_number() over (partition by x.day order by i) as n from x),
+s as (select day, 0::bigint as n, 0::bigint as id, null::varchar as asset, false as blocked, 0e0 as total, map {}::map(varchar, double) as held, 1000e0 as equity from d
+  union all select s.day, o.n, o.id, o.asset, t.b, case when t.b then s.total else s.total + o.cost end, case when t.b then s.held else map_concat(s.held, map {o.asset: t.own + o.cost}) end, s.equity + o.pnl
+  from s join o on s.day = o.day and o.n = s.n + 1, lateral (select coalesce(s.held[o.asset], 0e0) as own, s.total + o.cost > 0.1e0 * s.equity or coalesce(s.held[o.asset], 0e0) + o.cost > 0.05e0 * s.equity as b) t)
+select day, id, asset, blocked, round(total, 6) as open_cost, round(equity, 6) as equity from s where n > 0"""))
 def _exposure(spark, sf):
-    """Trades accepted one after the other while open cost stays under 5 % of equity an asset."""
-    x = view(spark, sf, "settlements").where("filled = 1").select("asset", "ts_us", "id", "pnl")
+    """Trades of a day taken one after the other while open cost, theirs included, stays within a tenth of equity, and an
+    asset's within a twentieth; equity moves with each trade's result, and a day ends flat."""
+    x = view(spark, sf, "settlements").where("filled = 1").selectExpr("cast(floor(ts_us / 86400000000e0) as bigint) as day", "ts_us", "id", "asset", "pnl", "5e0 + id % 26 as cost")
 
     def step(s, r):
-        cost = 20.0
-        blocked = s["open"] + cost > 0.05 * s["equity"]
+        own = s["held"].get(r.asset, 0.0)
+        blocked = s["total"] + r.cost > 0.1 * s["equity"] or own + r.cost > 0.05 * s["equity"]
         if not blocked:
-            s["open"] += cost
-        if r.id % 2 == 0:
-            s["open"] = max(0.0, s["open"] - cost)
+            s["total"] += r.cost
+            s["held"][r.asset] = own + r.cost
         s["equity"] += r.pnl
-        return {"asset": r.asset, "id": r.id, "blocked": bool(blocked), "equity": s["equity"]}
+        return {"day": r.day, "id": r.id, "asset": r.asset, "blocked": bool(blocked), "open_cost": round(s["total"], 6), "equity": round(s["equity"], 6)}
 
-    return fold_per_key(x, ["asset"], ["ts_us", "id"], lambda: {"open": 0.0, "equity": 1000.0}, step, "asset string, id long, blocked boolean, equity double")
+    return fold_per_key(x, ["day"], ["ts_us", "id"], lambda: {"total": 0.0, "held": {}, "equity": 1000.0}, step, "day long, id long, asset string, blocked boolean, open_cost double, equity double")
 
 
 @query("har_walkforward")
@@ -109,26 +132,23 @@ def _har(spark, sf):
 
 @query("har_ols")
 def _har_ols(spark, sf):
-    """Normal equations in one aggregation, the 4 x 4 system solved with numpy."""
+    """Normal equations in one aggregation, the small system solved with numpy."""
     d = registry.queries()["har_design"](spark, sf).where("target is not null").withColumn("one", F.lit(1.0))
-    cols = ["one", "rv", "rv5", "rv22"]
-    row = d.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(cols) for b in cols[i:]], *[F.sum(F.col(a) * F.col("target")).alias(f"y_{a}") for a in cols]).first()
-    xtx = np.array([[row[f"{min(a, b, key=cols.index)}_{max(a, b, key=cols.index)}"] or 0.0 for b in cols] for a in cols])
-    beta = np.linalg.pinv(xtx + 1e-9 * np.eye(4)) @ np.array([row[f"y_{a}"] or 0.0 for a in cols])
-    return spark.createDataFrame([(c, float(b)) for c, b in zip(cols, beta, strict=True)], "term string, beta double")
+    beta = ols(d, ["one", "rv", "rv5", "rv22", "lev"], "target")
+    return spark.createDataFrame(list(beta.items()), "term string, beta double")
 
 
 _X = ["market_logit", "z_dist", "edge"]
 
 
 def _design(spark, sf):
-    return _calib(spark, sf).selectExpr("ts_us - ts_us % (86400000000 * 30) as period", "ln(market_mid / (1 - market_mid)) as market_logit", "z_dist", "p_cal - market_mid as edge", "outcome_up as y", "ts_us", "id")
+    return _calib(spark, sf).selectExpr("ts_us - ts_us % 86400000000 as period", "ln(market_mid / (1 - market_mid)) as market_logit", "z_dist", "p_cal - market_mid as edge", "outcome_up as y", "ts_us", "id")
 
 
 @query("irls_logit")
 def _irls(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = irls(np.column_stack([np.ones(len(pdf)), pdf[_X]]), pdf["y"].to_numpy())
+        b = irls(np.column_stack([np.ones(len(pdf)), standardize(pdf[_X].to_numpy())]), pdf["y"].to_numpy())
         return pd.DataFrame({"period": pdf["period"].iloc[0], "term": ["one", *_X], "beta": b if b is not None else [math.nan] * 4, "n": len(pdf)})
 
     return _design(spark, sf).groupBy("period").applyInPandas(run, "period long, term string, beta double, n long")
@@ -136,30 +156,36 @@ def _irls(spark, sf):
 
 @query("fama_macbeth")
 def _fm(spark, sf):
-    """Mean, standard error and t of the coefficients over periods."""
+    """Mean, standard error and t of the daily coefficients over days with five rows and both outcomes."""
     b = _irls(spark, sf).where("not isnan(beta)")
     return fama_macbeth(b)
 
 
 @query("oos_validation")
 def _oos(spark, sf):
-    """Expanding folds in time order: coefficients and scaling from the past, scores on the next fold."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, k = pdf.sort_values(["ts_us", "id"]), 5
-        size, out = len(pdf) // k, []
-        for f in range(1, k):
-            train, test = pdf.iloc[: f * size], pdf.iloc[f * size : (f + 1) * size if f < k - 1 else len(pdf)]
-            mu, sd = train[_X].mean(), train[_X].std().replace(0, 1).fillna(1)
-            b = irls(np.column_stack([np.ones(len(train)), (train[_X] - mu) / sd]), train["y"].to_numpy()) if len(train) > 10 else None
-            if b is None or not len(test):
-                continue
-            p = 1 / (1 + np.exp(-np.column_stack([np.ones(len(test)), (test[_X] - mu) / sd]) @ b))
-            y, q = test["y"].to_numpy(), np.clip(p, 1e-6, 1 - 1e-6)
-            out.append((f, len(test), float(np.mean((p - y) ** 2)), float(np.mean(-(y * np.log(q) + (1 - y) * np.log(1 - q))))))
-        return pd.DataFrame(out, columns=["fold", "n", "brier", "logloss"])
-
-    return _design(spark, sf).groupBy(F.lit("all").alias("model")).applyInPandas(run, "fold long, n long, brier double, logloss double")
+    """Expanding folds in time order: coefficients and scaling from the past, scores on the next fold.
+
+    Rows are numbered by days first, then within days. Every fold's moments and every step of its regression are sums
+    over rows, all folds at once, so only a few numbers a fold reach the driver.
+    """
+    k = 5
+    x = running_sum(_design(spark, sf).withColumn("one", F.lit(1)), ["ts_us", "id"], "one", F.floor(F.col("ts_us") / 86_400_000_000), "i")
+    n = x.count()
+    fold = F.least(F.floor((F.col("i") - 1) / F.lit(max(1, n // k))), F.lit(k - 1)).cast("int")
+    x = x.select(fold.alias("fold"), *[F.col(c).cast("double").alias(c) for c in (*_X, "y")]).persist()
+    try:
+        fits = expanding_logit(x, "fold", _X, "y", k) if n >= 5 * k else {}
+        if not fits:
+            return spark.createDataFrame([], "fold long, n long, brier double, logloss double")
+        table = spark.createDataFrame([(f, [float(v) for v in b]) for f, b in fits.items()], "fold int, b array<double>")
+        odds = reduce(Column.__add__, [F.col("b")[c + 1] * F.col(v) for c, v in enumerate(_X)], F.col("b")[0])
+        p = x.join(F.broadcast(table), "fold").withColumn("p", 1 / (1 + F.exp(-odds)))  # one row a fold
+        q = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
+        loss = -(F.col("y") * F.log(q) + (1 - F.col("y")) * F.log(1 - q))
+        rows = p.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), F.avg(loss).alias("logloss")).collect()  # k - 1 rows at most
+    finally:
+        x.unpersist()
+    return spark.createDataFrame(rows, "fold long, n long, brier double, logloss double")
 
 
 def _returns(spark, sf):
@@ -169,7 +195,7 @@ def _returns(spark, sf):
 @query("hmm_fit")
 def _hmm(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = hmm_fit(pdf.sort_values("seq")["r"].to_numpy(), 2)
+        m = hmm_fit(pdf.sort_values("seq")["r"].to_numpy(), 2, restarts=3)
         return pd.DataFrame({"asset": pdf["asset"].iloc[0], "state": [0, 1], "mu": m["mu"], "sigma": m["sigma"], "stay": np.diag(m["trans"]), "loglik": m["loglik"]})
 
     return _returns(spark, sf).groupBy("asset").applyInPandas(run, "asset string, state long, mu double, sigma double, stay double, loglik double")
@@ -180,7 +206,7 @@ def _viterbi(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         x = pdf["r"].to_numpy()
-        return pd.DataFrame({"asset": pdf["asset"], "seq": pdf["seq"], "state": viterbi(x, hmm_fit(x, 2))})
+        return pd.DataFrame({"asset": pdf["asset"], "seq": pdf["seq"], "state": viterbi(x, hmm_fit(x, 2, restarts=3))})
 
     return _returns(spark, sf).groupBy("asset").applyInPandas(run, "asset string, seq long, state long")
 
@@ -189,7 +215,7 @@ def _viterbi(spark, sf):
 def _bic(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("seq")["r"].to_numpy()
-        ll = [hmm_fit(x, k)["loglik"] for k in (1, 2, 3)]
+        ll = [hmm_fit(x, k, restarts=3)["loglik"] for k in (1, 2, 3)]
         return pd.DataFrame({"asset": pdf["asset"].iloc[0], "k": [1, 2, 3], "loglik": ll, "bic": [-2 * v + (k * k + k - 1) * math.log(len(x)) for k, v in zip((1, 2, 3), ll, strict=True)], "lr": [0.0, 2 * (ll[1] - ll[0]), 2 * (ll[2] - ll[1])]})
 
     return _returns(spark, sf).groupBy("asset").applyInPandas(run, "asset string, k long, loglik double, bic double, lr double")
@@ -197,14 +223,14 @@ def _bic(spark, sf):
 
 @query("gennorm_prob")
 def _gennorm(spark, sf):
-    up = F.pandas_udf(lambda z, b: pd.Series([gennorm_up(x, s, 1.0) for x, s in zip(z, b, strict=True)]), "double")
+    up = F.pandas_udf(lambda z, b: pd.Series(gennorm_up(z, b, 1.0)), "double")
     return view(spark, sf, "decisions").select("id", up("z_dist", 1.2 + F.col("confidence")).alias("p"))
 
 
 @query("implied_scale")
 def _implied(spark, sf):
-    solve = F.pandas_udf(lambda z, p: pd.Series([implied_scale(x, y, 1.5) for x, y in zip(z, p, strict=True)]), "double")
-    return view(spark, sf, "decisions").where("abs(z_dist) > 0.05").select("id", solve("z_dist", "p_cal").alias("scale"))
+    solve = F.pandas_udf(lambda z, p: pd.Series(implied_scale(z, p, 1.5)), "double")
+    return view(spark, sf, "decisions").where("abs(z_dist) > 0.05").select("id", solve(F.col("z_dist") / 100, "p_cal").alias("scale"))
 
 
 @query("position_machine")

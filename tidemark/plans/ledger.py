@@ -1,7 +1,15 @@
 """Reads of the ledger: scans, totals, groups, curves and top-k over decisions and settlements."""
 
+from pyspark.sql import functions as F
+
 from tidemark.functions import expressions as x
-from tidemark.plans.dialect import sql_query
+from tidemark.operators import running_sum
+from tidemark.plans.dialect import oracle, render, sql_query, view
+from tidemark.registry import query
+
+#: Running totals over a whole table go day by day (or by stretches of ids), so that no task reads the table.
+DAY = F.floor(F.col("ts_us") / 86_400_000_000)
+STRETCH = F.floor(F.col("id") / 1_000_000)
 
 sql_query("recent_rows", "select id, ts_us, market, asset, tf, side, filled, R(pnl) as pnl from settlements order by id desc limit 50")
 sql_query("recent_filled", "select id, ts_us, market, asset, side, R(fill_price) as fill_price, won, R(pnl) as pnl from settlements where filled = 1 order by id desc limit 50")
@@ -29,12 +37,12 @@ sql_query("equal_weight_days", """
 with d as (select cast(floor(ts_us / 86400000000e0) as bigint) as day, count(*) as n, avg(outcome_up) as r from settlements group by cast(floor(ts_us / 86400000000e0) as bigint))
 select count(*) as days, R(avg(r)) as mean_rate, max(day) as last_day, R(max_by(r, day)) as last_rate from d""")
 sql_query("asset_drift", """
-select asset, count(*) as n, R(min_by(price, ts_us)) as first_price, R(max_by(price, ts_us)) as last_price, R(100e0 * (max_by(price, ts_us) / min_by(price, ts_us) - 1e0)) as drift_pct from ticks group by asset""")
+select asset, count(*) as n, R(min_by(price, ts_us)) as first_price, R(max_by(price, ts_us)) as last_price, R(100e0 * case when min_by(price, ts_us) > 0e0 then max_by(price, ts_us) / min_by(price, ts_us) - 1e0 end) as drift_pct from ticks group by asset""")
 sql_query("down_regime", """
-with d as (select asset, max_by(price, ts_us) / min_by(price, ts_us) - 1e0 as drift from ticks group by asset)
+with d as (select asset, case when min_by(price, ts_us) > 0e0 then max_by(price, ts_us) / min_by(price, ts_us) - 1e0 end as drift from ticks group by asset)
 select count(*) as assets, R(avg(case when drift < 0e0 then 1e0 else 0e0 end)) as falling, avg(case when drift < 0e0 then 1e0 else 0e0 end) >= 0.6e0 as down from d""")
 sql_query("switch_check", f"""
-with d as (select asset, max_by(price, ts_us) / min_by(price, ts_us) - 1e0 as drift from ticks group by asset),
+with d as (select asset, case when min_by(price, ts_us) > 0e0 then max_by(price, ts_us) / min_by(price, ts_us) - 1e0 end as drift from ticks group by asset),
 r as (select cast(floor(ts_us / 86400000000e0) as bigint) as day, avg(outcome_up) as r, count(*) as n from settlements group by cast(floor(ts_us / 86400000000e0) as bigint)),
 u as (select avg(r) as up_rate, max_by(r, day) as last_rate, count(*) as days from r where n >= 5),
 f as (select avg(case when drift < 0e0 then 1e0 else 0e0 end) as falling from d),
@@ -43,24 +51,31 @@ select R(up_rate) as up_rate, R(last_rate) as last_rate, days, R(falling) as fal
   case when days is null or days < 3 then 'WAIT' when falling >= 0.6e0 and last_rate < up_rate then 'SWITCH' when model < market then 'KEEP' else 'HOLD' end as verdict from u, f, b""")
 
 # running ledgers
-sql_query("equity_curve", "select id, round(1000e0 + sum(coalesce(pnl, 0e0)) over (order by ts_us, id rows between unbounded preceding and current row), 4) as equity from settlements where filled = 1")
+query("equity_curve", oracle("select id, round(1000e0 + sum(coalesce(pnl, 0e0)) over (order by ts_us, id rows between unbounded preceding and current row), 4) as equity from settlements where filled = 1"))(
+    lambda spark, sf: running_sum(view(spark, sf, "settlements").where("filled = 1").select("id", "ts_us", "pnl"), ["ts_us", "id"], "pnl", DAY, "run").select("id", F.round(F.lit(1000.0) + F.col("run"), 4).alias("equity"))
+)
 sql_query("equity_curve_calc", """
 select id, asset, round(sum(coalesce(pnl, 0e0)) over w, 4) as cum_pnl, count(*) over w as settled_seq, R(avg(won) over w) as winrate, R(avg(cast(filled as double)) over w) as fill_rate from settlements
 window w as (partition by asset order by ts_us, id rows between unbounded preceding and current row)""")
 TP = """with t as (select *, case when won = 1 or (id * 31) % 4 = 0 then 1 else 0 end as tp_exited,
   case when filled = 1 and (won = 1 or (id * 31) % 4 = 0) then (0.9e0 - fill_price) * (20e0 / fill_price) when filled = 1 then pnl end as tp_pnl from settlements)"""
 sql_query("tp_curve", TP + """ select id, asset, round(100e0 + sum(tp_pnl) over (partition by asset order by ts_us, id rows between unbounded preceding and current row), 4) as tp_cum_pnl from t where tp_pnl is not null""")
-sql_query("tp_totals", TP + """, c as (select *, sum(tp_pnl) over (order by ts_us, id rows between unbounded preceding and current row) as cum from t where tp_pnl is not null)
-select cast(sum(tp_exited) as bigint) as exits, count(tp_pnl) as settled, cast(sum(case when tp_pnl > 0e0 then 1 else 0 end) as bigint) as wins, round(max_by(cum, id), 3) as last_cum from c""")
+TP_TOTALS = "select cast(sum(tp_exited) as bigint) as exits, count(tp_pnl) as settled, cast(sum(case when tp_pnl > 0e0 then 1 else 0 end) as bigint) as wins, round(max_by(cum, id), 3) as last_cum from {c}"
+query("tp_totals", oracle(TP + ", c as (select *, sum(tp_pnl) over (order by ts_us, id rows between unbounded preceding and current row) as cum from t where tp_pnl is not null) " + TP_TOTALS.format(c="c")))(
+    lambda spark, sf: spark.sql(TP_TOTALS, c=running_sum(spark.sql(render(TP + " select id, ts_us, tp_exited, tp_pnl from t where tp_pnl is not null", "spark", sf)), ["ts_us", "id"], "tp_pnl", DAY, "cum"))
+)
 sql_query("tp_ledger", TP + """ select asset, tp_exited, count(*) as n, round(sum(tp_pnl), 4) as tp_pnl, round(sum(pnl), 4) as hold_pnl, round(sum(tp_pnl - pnl), 4) as gain from t where filled = 1 group by asset, tp_exited""")
 sql_query("maxloss_trip", """
 with r as (select *, ts_us - ts_us % 86400000000 as day, sum(coalesce(pnl, 0e0)) over (partition by ts_us - ts_us % 86400000000 order by id rows between unbounded preceding and current row) as run from settlements),
 b as (select *, row_number() over (partition by day order by id) as k from r where run <= -40e0)
 select day, id, round(run, 4) as day_pnl, 40e0 as loss_limit from b where k = 1""")
-sql_query("error_streak", """
-with e as (select id, filled, row_number() over (order by id) as i, sum(filled) over (order by id rows between unbounded preceding and current row) as isle from settlements),
+query("error_streak", oracle("""
+with e as (select id, filled, sum(filled) over (order by id rows between unbounded preceding and current row) as isle from settlements),
 s as (select isle, count(*) as streak, min(id) as first_id, max(id) as last_id from e where filled = 0 group by isle)
-select first_id, last_id, streak, streak >= 2 as estop from s""")
+select first_id, last_id, streak, streak >= 2 as estop from s"""))(
+    lambda spark, sf: running_sum(view(spark, sf, "settlements").select("id", "filled"), ["id"], "filled", STRETCH, "isle").where("filled = 0")
+    .groupBy("isle").agg(F.count("*").alias("streak"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).selectExpr("first_id", "last_id", "streak", "streak >= 2 as estop")
+)
 sql_query("settle_pnl", f"""
 with p as (select s.*, 1e0 + id % 7 as agg, 2e0 + id % 5 as pas, case when id % 3 = 0 then 0 else 1 end as pass_filled, least(0.95e0, fill_price + 0.03e0) as agg_price from settlements s where filled = 1)
 select id, won, R(((won - agg_price - {x.venue_fee('venue', 'agg_price')}) * agg) + case when pass_filled = 1 then (won - fill_price) * pas else 0e0 end) as pnl,

@@ -5,11 +5,13 @@ from tidemark.operators.ordered import excursions, seq_gaps
 from tidemark.plans.dialect import oracle, sql_query, view
 from tidemark.registry import query
 
+#: Simple return of a price on the one before it; null where either is no positive number.
+SIMPLE = "case when price > 0e0 and lag(price) over w > 0e0 then price / lag(price) over w - 1e0 end"
 RET = """with r as (select asset, seq, ts_us, ts_s, price, user_id, k, case when price > 0e0 and lag(price) over w > 0e0 then ln(price / lag(price) over w) end as r, ts_s - lag(ts_s) over w as dt, row_number() over w as i
   from ticks window w as (partition by asset order by ts_us, seq))"""
 
 sql_query("log_returns", RET + " select seq, asset, R(r) as r from r where r is not null")
-sql_query("simple_returns", "select seq, asset, R(price / lag(price) over (partition by asset order by ts_us, seq) - 1e0) as r from ticks")
+sql_query("simple_returns", f"select seq, asset, R({SIMPLE}) as r from ticks window w as (partition by asset order by ts_us, seq)")
 sql_query("dedupe_consecutive", "select seq, asset, k from (select seq, asset, k, lag(k) over (partition by asset order by ts_us, seq) as prev from ticks) t where prev is null or k <> prev")
 sql_query("rolling_rv", RET + """ select seq, asset, count(r) over w as n, round(sum(r * r) over w, 6) as rv, round(avg(r) over w, 6) as mean from r window w as (partition by asset order by ts_us, seq rows between 119 preceding and current row)""")
 sql_query("running_moments", """
@@ -54,9 +56,9 @@ sql_query("structural_alpha", KAPPA + f""", s as (select seq, asset, price, pric
 select seq, asset, round({x.digital_prob('price', 'strike', 'sigma', 'tau')}, 7) as alpha_up from s""")
 sql_query("per_minute_vol", """
 with m as (select asset, cast(floor(ts_us / 3600000000e0) as bigint) as minute, max_by(price, ts_us) as close from ticks group by asset, cast(floor(ts_us / 3600000000e0) as bigint)),
-r as (select asset, minute, close / lag(close) over (partition by asset order by minute) - 1e0 as r, row_number() over (partition by asset order by minute desc) as back from m)
+r as (select asset, minute, case when close > 0e0 and lag(close) over w > 0e0 then close / lag(close) over w - 1e0 end as r, row_number() over (partition by asset order by minute desc) as back from m window w as (partition by asset order by minute))
 select asset, count(r) as n, round(stddev_samp(r), 7) as vol from r where back <= 720 group by asset""")
-VOL15 = """with m as (select asset, ts_us, seq, price / lag(price) over w - 1e0 as r, row_number() over w as i from ticks window w as (partition by asset order by ts_us, seq)),
+VOL15 = f"""with m as (select asset, ts_us, seq, {SIMPLE} as r, row_number() over w as i from ticks window w as (partition by asset order by ts_us, seq)),
 v as (select asset, cast(floor((i - 2) / 15e0) as bigint) as bin, stddev_samp(r) * sqrt(15e0) as vol, count(*) as n from m where r is not null group by asset, cast(floor((i - 2) / 15e0) as bigint)), f as (select asset, bin, vol from v where n = 15)"""
 sql_query("realized_vol_15m", VOL15 + " select asset, bin, round(vol, 7) as vol from f")
 REG = VOL15 + """, o as (select *, row_number() over (partition by asset order by vol, bin) as i, count(*) over (partition by asset) as c from f),
@@ -92,15 +94,15 @@ sql_query("transport_failover", """
 with f as (select seq, asset, ts_us, case when ts_us - lag(ts_us) over (partition by asset order by ts_us, seq) <= 3600000000 then 1 else 0 end as fresh from ticks), t as (select *, lag(fresh) over (partition by asset order by ts_us, seq) as was from f)
 select asset, cast(sum(case when was = 1 and fresh = 0 then 1 else 0 end) as bigint) as to_rest, cast(sum(case when was = 0 and fresh = 1 then 1 else 0 end) as bigint) as to_md from t group by asset""")
 sql_query("leadlag_ccf", """
-with p as (select asset, user_id % 20 as m, ts_us, seq, price, k / 100e0 as mid from ticks), r as (select asset, m, row_number() over w as i, ln(price / lag(price) over w) as a, mid - lag(mid) over w as b from p window w as (partition by asset, m order by ts_us, seq)),
+with p as (select asset, user_id % 20 as m, ts_us, seq, price, k / 100e0 as mid from ticks), r as (select asset, m, row_number() over w as i, case when price > 0e0 and lag(price) over w > 0e0 then ln(price / lag(price) over w) end as a, mid - lag(mid) over w as b from p window w as (partition by asset, m order by ts_us, seq)),
 s as (select asset, m, avg(a) as ma, stddev_samp(a) as sa, avg(b) as mb, stddev_samp(b) as sb, count(*) as n from r where a is not null group by asset, m having count(*) >= 5),
 z as (select r.asset, r.m, i, case when sa > 0e0 then (a - ma) / sa else 0e0 end as za, case when sb > 0e0 then (b - mb) / sb else 0e0 end as zb from r join s on r.asset = s.asset and r.m = s.m where a is not null),
 c as (select l.k as lag_k, x.za, y.zb from z x cross join (values (-4), (-3), (-2), (-1), (0), (1), (2), (3), (4)) as l(k) join z y on x.asset = y.asset and x.m = y.m and y.i = x.i + l.k)
 select lag_k, count(*) as n, R(corr(za, zb)) as ccf from c group by lag_k""")
 sql_query("build_features", f"""
-with p as (select seq, asset, ts_us, ts_s, price, k, price / lag(price) over w - 1e0 as r, abs(price - lag(price) over w) as step, row_number() over w as i from ticks window w as (partition by asset order by ts_us, seq)),
+with p as (select seq, asset, ts_us, ts_s, price, k, {SIMPLE} as r, abs(price - lag(price) over w) as step, row_number() over w as i from ticks window w as (partition by asset order by ts_us, seq)),
 f as (select *, stddev_samp(r) over h as sd, count(r) over h as n, first_value(price) over h as p0, first_value(ts_s) over h as t0, sum(step) over h as path, price * (1e0 + (k - 50) / 1000e0) as strike, 60e0 + seq % 840 as tau from p window h as (partition by asset order by ts_us, seq rows between 199 preceding and current row)),
-g as (select *, case when sd > 0e0 then sd else 1e-6 end as vol from f where i >= 5 and n >= 4)
+g as (select *, case when sd > 0e0 then sd else 1e-6 end as vol from f where i >= 5 and n >= 4 and price > 0e0 and p0 > 0e0)
 select seq, asset, round(ln(price / strike) / (vol * sqrt(greatest(1e0, tau / greatest(1e0, (ts_s - t0) / greatest(1, n))))), 5) as z_dist, round(100e0 * (price - p0) / p0, 5) as momentum, round(100e0 * vol, 5) as realized_vol,
   round(case when path > 0e0 then abs(price - p0) / path else 0e0 end, 6) as efficiency, round(ln(tau / 60e0 + 1e-6), 7) as log_tau from g""")
 # decayed sums in closed form: weight d ** (rows after this one)
@@ -116,7 +118,7 @@ select tf, cell, leg, count(*) as seen, round(sum(power(0.99e0, after)), 6) as n
 sql_query("ewma_drift_vol", RET + """, d as (select asset, r, dt, sum(dt) over (partition by asset order by ts_us desc, seq desc rows between unbounded preceding and current row) - dt as age from r where r is not null and dt > 0e0)
 select asset, count(*) as n, round(sum(r * power(0.5e0, age / 86400e0)) / sum(dt * power(0.5e0, age / 86400e0)), 9) as mu, round(sqrt(sum(r * r * power(0.5e0, age / 86400e0)) / sum(dt * power(0.5e0, age / 86400e0))), 7) as sigma from d group by asset""")
 sql_query("alpha_backtest", f"""
-with q as (select market, asset, seq, ts_us, underlying as price, {x.mid('up_bid', 'up_ask')} as mid, row_number() over (partition by market order by ts_us desc, seq desc) as back, count(*) over (partition by market) as n, ln(underlying / lag(underlying) over (partition by market order by ts_us, seq)) as r, first_value(underlying) over (partition by market order by ts_us, seq) as strike,
+with q as (select market, asset, seq, ts_us, underlying as price, {x.mid('up_bid', 'up_ask')} as mid, row_number() over (partition by market order by ts_us desc, seq desc) as back, count(*) over (partition by market) as n, case when underlying > 0e0 and lag(underlying) over (partition by market order by ts_us, seq) > 0e0 then ln(underlying / lag(underlying) over (partition by market order by ts_us, seq)) end as r, first_value(underlying) over (partition by market order by ts_us, seq) as strike,
   ts_us - lag(ts_us) over (partition by market order by ts_us, seq) as dt, (window_start_us + 86400000000 - ts_us) / 1e6 as tau from quotes),
 v as (select market, sum(r * r) as rv, sum(dt) / 1e6 as span from q where n >= 12 and back > 3 and r is not null group by market),
 e as (select q.market, q.price, q.strike, q.tau, q.mid, sqrt(v.rv / v.span) as sigma, o.close as fin from q join v on q.market = v.market join (select market, max_by(underlying, ts_us) as close from quotes group by market) o on q.market = o.market where q.back = 4 and v.rv > 0e0),
