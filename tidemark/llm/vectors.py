@@ -1,14 +1,19 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-Vectors of a label are dealt to overlapping cluster shards of bounded size; each shard builds a graph by robust
-pruning, and the lists of a vector from all its shards are united. In each shard every member then searches the united
-graph: greedily from the shard's medoid, then expanding through all that lies near the range until nothing more does.
-Every link is verified by cosine in double precision. A pair of vectors that shares several shards is found by any of
-them and counted once. A bounded sample of queries is compared with all vectors of its labels to audit recall; short of the target, the
-shards are cut again with more overlap, and an error is raised if that is not enough.
+Vectors of a label are dealt to overlapping cluster shards of bounded size; each shard builds a graph by robust pruning,
+and the lists of a vector from all its shards are united into one flat graph. A vector and its list live in one home
+shard, that of its nearest centre. A search is a round of visits: a query visits the home shards of its clusters, goes
+greedily from the shard's medoid along lists, then expands through all that lies near the range until nothing more does.
+Edges that lead out of the shard from vectors near the range make the next round's visits (query, shard, entries), a
+join on the shard, until no query has a shard left to visit. So a search follows the united lists wherever they lead,
+and rows are made for visits, never for pairs of vectors.
+
+Every link is verified by cosine in double precision, at the home of the vector that is found, hence once. A bounded
+sample of queries is compared with all vectors of its labels after each attempt to audit recall; short of the target,
+the shards are cut again with more overlap, and an error is raised if that is not enough.
 
 Vectors that agree in label and all components are one node. A shard that clustering can't split (its members lie too
-close) is dealt to blocks, and every pair of blocks becomes a shard, so that no pair is lost.
+close) is dealt to blocks, all of which each of its queries visits.
 """
 
 from __future__ import annotations
@@ -20,14 +25,20 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, stage, unstage
 
-#: Members of a shard, and rows dealt to one task while shards are cut.
+#: Members of a shard, and rows dealt to one task while shards are cut and visited.
 SHARD, DEAL = 2048, 20_000
-FOUND = "node long, links long, peer long, shared array<long>, copies array<long>"
+#: Queries of a shard that search at once.
+TOGETHER = 1024
+FOUND = "node long, at long, links long, peer long, to array<long>, via array<long>"
 DEGREE, CANDIDATES, BEAM, SLACK = 16, 40, 20, 0.2
+#: Rounds of visits; queries are seldom under way after the third.
+MOST_ROUNDS = 20
 
 
 def _matrix(rows) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square over- or underflows."""
     x = np.stack([np.asarray(v, np.float64) for v in rows])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -58,55 +69,41 @@ def build(x: np.ndarray, rng: np.random.Generator, alpha: float = 1.2) -> list[n
         alive[who] &= (alpha**2 * between > far[who]) & (cand[who] != pick[:, None])
     p = np.concatenate(pairs, axis=1)
     p = np.unique(np.concatenate([p, p[::-1]], axis=1), axis=1)
-    # a node that very many others chose keeps its nearest few and a random share
-    out = []
-    for i, nb in enumerate(np.split(p[1], np.searchsorted(p[0], np.arange(1, n)))):
-        if len(nb) > 4 * DEGREE:
-            nb = nb[np.argsort(-s[i, nb], kind="stable")]
-            nb = np.concatenate([nb[: 2 * DEGREE], rng.choice(nb[2 * DEGREE :], 2 * DEGREE, replace=False)])
-        out.append(nb)
-    return out
+    # no list is cut, however many rows chose one: a row that all its neighbours dropped could not be found
+    return np.split(p[1], np.searchsorted(p[0], np.arange(1, n)))
 
 
-def search(x: np.ndarray, lists: list[np.ndarray], threshold: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (query, member) found with cosine at the threshold or more; every row of x is a query."""
-    n = len(x)
-    if n < 2:
-        z = np.zeros(0, np.int64)
-        return z, z
-    width = max(1, max(map(len, lists)))
-    table = np.full((n, width), -1)
-    for i, nb in enumerate(lists):
-        table[i, : len(nb)] = nb
-    start = int((x @ x.mean(0)).argmax())
-    seen = np.zeros((n, n), bool)
-    ids, val, done = np.full((n, beam), -1), np.full((n, beam), -np.inf), np.zeros((n, beam), bool)
-    ids[:, 0], val[:, 0] = start, x @ x[start]
-    seen[:, start] = True
-    hits = [np.stack([np.arange(n), np.full(n, start)])[:, val[:, 0] >= threshold - SLACK]]
-
-    def fresh(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Unseen neighbours of v for q, their cosines, and the pair each comes from."""
-        nb = table[v]
-        new = (nb >= 0) & ~seen[q[:, None], nb]
-        at, _ = np.nonzero(new)
-        qq, vv = q[at], nb[new]
-        _, once = np.unique(qq * n + vv, return_index=True)
-        qq, vv, at = qq[once], vv[once], at[once]
+def _along(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index in `at`, edge) of all edges of the rows `at`; row i has the edges first[i] to first[i + 1]."""
+    size = first[at + 1] - first[at]
+    return np.repeat(np.arange(len(at)), size), np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def search(x: np.ndarray, first: np.ndarray, nears: np.ndarray, y: np.ndarray, start: np.ndarray, near: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, cosine) of all members that searches come upon with cosine at `near` or more.
+
+    x: members, with lists nears[first[i] : first[i + 1]], y: queries, start: members at which each query begins (-1: none).
+    """
+    n, m = len(y), len(x)
+    seen = np.zeros((n, m), bool)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def look(qq: np.ndarray, vv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unseen pairs, once each, with their cosines; those near the range are kept."""
+        new = (vv >= 0) & ~seen[qq, vv]
+        _, once = np.unique(qq[new] * m + vv[new], return_index=True)
+        qq, vv = qq[new][once], vv[new][once]
         seen[qq, vv] = True
-        return qq, vv, np.einsum("ij,ij->i", x[qq], x[vv]), at
+        s = np.einsum("ij,ij->i", y[qq], x[vv])
+        ok = s >= near
+        found.append((qq[ok], vv[ok], s[ok]))
+        return qq, vv, s
 
-    while True:
-        open_ = np.where(done | (ids < 0), -np.inf, val)
-        q = np.flatnonzero(np.isfinite(open_).any(1))
-        if not len(q):
-            break
-        best = open_[q].argmax(1)
-        done[q, best] = True
-        qq, vv, s, _ = fresh(q, ids[q, best])
-        near = s >= threshold - SLACK
-        hits.append(np.stack([qq[near], vv[near]]))
-        # merge into the beams: rank within each query
+    ids, val, done = np.full((n, beam), -1), np.full((n, beam), -np.inf), np.zeros((n, beam), bool)
+
+    def merge(qq: np.ndarray, vv: np.ndarray, s: np.ndarray) -> None:
+        """Put members into the beams of their queries."""
+        nonlocal ids, val, done
         order = np.lexsort((-s, qq))
         qq, vv, s = qq[order], vv[order], s[order]
         rank = np.arange(len(qq)) - np.searchsorted(qq, qq, "left")
@@ -116,28 +113,37 @@ def search(x: np.ndarray, lists: list[np.ndarray], threshold: float, beam: int =
         all_v, all_s, all_d = np.concatenate([ids, more_v], 1), np.concatenate([val, more_s], 1), np.concatenate([done, np.zeros_like(done)], 1)
         top = np.argsort(-all_s, axis=1, kind="stable")[:, :beam]
         ids, val, done = (np.take_along_axis(a, top, 1) for a in (all_v, all_s, all_d))
-    front = np.concatenate(hits, axis=1)
-    found = [front]
-    while front.shape[1]:
-        nxt = []
-        for k in range(0, front.shape[1], 100_000):
-            qq, vv, s, _ = fresh(front[0, k : k + 100_000], front[1, k : k + 100_000])
-            near = s >= threshold - SLACK
-            nxt.append(np.stack([qq[near], vv[near]]))
-        front = np.concatenate(nxt, axis=1)
-        found.append(front)
-    q, v = np.concatenate(found, axis=1)
-    ok = (q != v) & (np.einsum("ij,ij->i", x[q], x[v]) >= threshold)
-    # a link found from one end counts for both
-    both = np.unique(np.concatenate([q[ok] * n + v[ok], v[ok] * n + q[ok]]))
-    return both // n, both % n
-
-
-def _cut(key: tuple, rows: pd.DataFrame, centres: pd.DataFrame, overlap: int) -> pd.DataFrame:
+
+    merge(*look(np.repeat(np.arange(n), start.shape[1]), start.ravel()))
+    while True:
+        open_ = np.where(done | (ids < 0), -np.inf, val)
+        q = np.flatnonzero(np.isfinite(open_).any(1))
+        if not len(q):
+            break
+        best = open_[q].argmax(1)
+        done[q, best] = True
+        of, edge = _along(first, ids[q, best])
+        merge(*look(q[of], nears[edge]))
+    todo = list(found)
+    while todo:
+        qq, vv, _ = todo.pop()
+        for k in range(0, len(qq), 20_000):
+            before = len(found)
+            of, edge = _along(first, vv[k : k + 20_000])
+            look(qq[k + of], nears[edge])
+            todo += [f for f in found[before:] if len(f[0])]
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _cut(rows: pd.DataFrame, centres: pd.DataFrame, overlap: int) -> pd.DataFrame:
+    """Members with their nearest clusters: the nearest is the home of those at home so far, others get no more than one."""
     x, c = _matrix(rows["vec"]), _matrix(centres["vec"])
     top = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap]
-    names = centres["child"].to_numpy()
-    return pd.DataFrame({"shard": names[top].ravel(), "node": np.repeat(rows["node"].to_numpy(), top.shape[1]), "copies": np.repeat(rows["copies"].to_numpy(), top.shape[1]), "vec": [v for v in rows["vec"] for _ in range(top.shape[1])]})
+    rank = np.broadcast_to(np.arange(top.shape[1]), top.shape)
+    home = rows["home"].to_numpy()
+    i, k = np.nonzero(home[:, None] | (rank == 0))
+    vec = rows["vec"].to_numpy()
+    return pd.DataFrame({"shard": centres["child"].to_numpy()[top[i, k]], "node": rows["node"].to_numpy()[i], "copies": rows["copies"].to_numpy()[i], "home": home[i] & (k == 0), "vec": [vec[j] for j in i]})
 
 
 def _centres(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,30 +162,33 @@ def _centres(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": shard, "child": child, "vec": list(c)})
 
 
-def _shards(nodes: DataFrame, overlap: int, levels: int = 3) -> DataFrame:
-    """(shard, node, copies, vec) of at most SHARD members, each node in up to `overlap` shards a level."""
-    done, todo = [], nodes
-    for _ in range(levels):
+def _shards(nodes: DataFrame, overlap: int, levels: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Seats (shard, node, copies, home, vec) of at most SHARD members a shard, and the visits (shard, node) to begin with.
+
+    A node has a seat in up to `overlap` shards and is at home in one.
+    """
+    done, todo, shape = [], nodes.withColumn("home", F.lit(True)), "shard long, node long, copies long, home boolean, vec array<double>"
+    columns = ["shard", "node", "copies", "home", "vec"]
+    for level in range(levels + 1):
         size = todo.groupBy("shard").agg(F.count("*").alias("m"))
-        x = stage(todo.join(size, "shard"), "sized")
-        done.append(x.where(F.col("m") <= SHARD).drop("m"))
+        x = stage(todo.select(*columns).join(size, "shard"), "sized")
+        done.append(x.where(F.col("m") <= SHARD).select(*columns))
         x = x.where(F.col("m") > SHARD)
-        if x.isEmpty():
-            return _union(done)
+        if level == levels or x.isEmpty():
+            break
         k = F.least(F.ceil(overlap * F.col("m") * 4 / (3 * SHARD)), F.lit(256))
         some = x.withColumn("k", k).where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.col("k") * 12 / F.col("m") * (1 << 20))
         centres = stage(some.select("shard", "node", "vec", "k").groupBy("shard").applyInPandas(_centres, "shard long, child long, vec array<double>"), "centres")
         parts = F.ceil(F.col("m") / DEAL)
         dealt = x.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), parts))
         spread = centres.join(x.select("shard", parts.alias("p")).distinct(), "shard").withColumn("salt", F.explode(F.expr("sequence(0L, p - 1L)")))
-        todo = dealt.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(lambda key, a, b: _cut(key, a, b, overlap), "shard long, node long, copies long, vec array<double>")
-    size = todo.groupBy("shard").agg(F.count("*").alias("m"))
-    x = stage(todo.join(size, "shard"), "sized")
-    done.append(x.where(F.col("m") <= SHARD).drop("m"))
-    blocks = F.ceil(F.col("m") / (SHARD // 2))
-    tight = x.where(F.col("m") > SHARD).withColumn("n", blocks).withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), "n")).withColumn("j", F.explode(F.expr("sequence(0L, n - 1L)"))).where("i <> j")
-    done.append(tight.select(F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j")).alias("shard"), "node", "copies", "vec"))
-    return _union(done)
+        todo = dealt.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(lambda a, b: _cut(a, b, overlap), shape)
+    tight = x.withColumn("n", F.ceil(F.col("m") / (SHARD // 2)))
+    block = lambda i: F.xxhash64("shard", i)
+    done.append(tight.withColumn("shard", block(F.pmod(F.xxhash64("node", F.lit(2)), "n"))).select(*columns))
+    visits = [d.select("shard", "node") for d in done[:-1]]
+    visits.append(tight.withColumn("j", F.explode(F.expr("sequence(0L, n - 1L)"))).select(block(F.col("j")).alias("shard"), "node"))
+    return _union(done), _union(visits)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -190,58 +199,117 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Lists of a shard's seats, and among those at home there once more, so that a visit needs no way round others."""
     pdf = pdf.sort_values("node")
-    node = pdf["node"].to_numpy()
-    lists = build(_matrix(pdf["vec"]), np.random.default_rng(len(pdf)))
-    return pd.DataFrame({"node": node, "near": [node[x] for x in lists]})
-
-
-def _search(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        node, copies, shard = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), int(pdf["shard"].iloc[0])
-        lists = []
-        for near in pdf["near"]:
-            at = np.searchsorted(node, near)
-            at = np.minimum(at, len(node) - 1)
-            lists.append(at[node[at] == near])
-        q, v = search(_matrix(pdf["vec"]), lists, threshold)
-        root = np.arange(len(node))
-        while True:  # smallest neighbour until nothing changes
-            low = root.copy()
-            np.minimum.at(low, q, root[v])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-        # pairs that share other shards may be found there too: they are counted apart, once
-        others = [[s for s in x if s != shard] for x in pdf["shards"]]
-        names = {s: i for i, s in enumerate(sorted({s for x in others for s in x}))}
-        once = np.zeros(len(q), bool)
-        if names:
-            met = np.zeros((len(node), len(names)), np.float32)
-            for i, x in enumerate(others):
-                met[i, [names[s] for s in x]] = 1
-            for k in range(0, len(q), 100_000):
-                once[k : k + 100_000] = np.einsum("ij,ij->i", met[q[k : k + 100_000]], met[v[k : k + 100_000]]) > 0
-        links = np.bincount(q[~once], copies[v[~once]], minlength=len(node)).astype(np.int64)
-        shared = np.split(v[once], np.searchsorted(q[once], np.arange(1, len(node))))
-        some = np.flatnonzero((links > 0) | np.fromiter(map(len, shared), np.int64, len(node)))
-        return pd.DataFrame({"node": node[some], "links": links[some], "peer": node[root[some]], "shared": pd.Series([node[shared[i]] for i in some], dtype=object), "copies": pd.Series([copies[shared[i]] for i in some], dtype=object)})
+    node, at, x, rng = pdf["node"].to_numpy(), pdf["at"].to_numpy(), _matrix(pdf["vec"]), np.random.default_rng(len(pdf))
+    lists = build(x, rng)
+    home = np.flatnonzero(pdf["home"].to_numpy())
+    if 1 < len(home) < len(node):
+        for i, near in zip(home, build(x[home], rng), strict=True):
+            lists[i] = np.union1d(lists[i], home[near])
+    return pd.DataFrame({"node": node, "near": [node[i] for i in lists], "homes": [at[i] for i in lists]})
+
+
+def _ragged(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of each element of a column of arrays."""
+    size = np.fromiter((0 if v is None else len(v) for v in lists), np.int64, len(lists))
+    values = np.concatenate([np.asarray(v, np.int64) for v in lists if v is not None and len(v)]) if size.sum() else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(lists)), size), values
+
+
+def _padded(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Values of sorted rows as a matrix, -1 where a row has no more."""
+    rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+    out = np.full((n, int(rank.max()) + 1 if len(rank) else 1), -1)
+    out[row, rank] = value
+    return out
 
-    return run
 
+def _visit(threshold: float):
+    def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(members) or not len(queries):
+            return pd.DataFrame({"node": [], "at": [], "links": [], "peer": [], "to": [], "via": []})
+        members, queries = members.sort_values("node"), queries.sort_values("node")
+        shard = int(members["shard"].iloc[0])
+        node, copies, x, y = members["node"].to_numpy(), members["copies"].to_numpy(), _matrix(members["vec"]), _matrix(queries["vec"])
+        row, near = _ragged(members["near"])
+        homes = _ragged(members["homes"])[1]
+        at = np.minimum(np.searchsorted(node, near), len(node) - 1)
+        here = (homes == shard) & (node[at] == near)
+        first, nears = np.searchsorted(row[here], np.arange(len(node) + 1)), at[here]
+        away = homes != shard
+        out_row, out_node, out_home = row[away], near[away], homes[away]
+        first_out = np.searchsorted(out_row, np.arange(len(node) + 1))
+        medoid = int((x @ x.mean(0)).argmax())
+        who = queries["node"].to_numpy()
+        root, rows = np.arange(len(node)), []
+        for k in range(0, len(who), TOGETHER):
+            some = queries.iloc[k : k + TOGETHER]
+            r, entry = _ragged(some["entries"])
+            e = np.minimum(np.searchsorted(node, entry), len(node) - 1)
+            there = node[e] == entry
+            start = np.concatenate([np.full((len(some), 1), medoid), _padded(r[there], e[there], len(some))], 1)
+            q, v, s = search(x, first, nears, y[k : k + TOGETHER], start, threshold - SLACK)
+            linked = (s >= threshold) & (who[k + q] != node[v])
+            lq, lv = q[linked], v[linked]
+            links = np.bincount(lq, copies[lv], len(some)).astype(np.int64)
+            peer = np.full(len(some), len(node))
+            np.minimum.at(peer, lq, lv)
+            while len(lq):  # members linked with one query are of one component
+                low = np.full(len(some), len(node))
+                np.minimum.at(low, lq, root[lv])
+                new = root.copy()
+                np.minimum.at(new, root[lv], low[lq])
+                np.minimum.at(new, lv, low[lq])
+                new = new[new]
+                if (new == root).all():
+                    break
+                root = new
+            # edges that lead away from what lies near the range
+            close = s >= threshold - SLACK / 2
+            q, v = q[close], v[close]
+            of, edge = _along(first_out, v)
+            q = q[of]
+            pair = np.unique(np.stack([q, out_home[edge], out_node[edge]]), axis=1) if len(q) else np.zeros((3, 0), np.int64)
+            cut = np.searchsorted(pair[0], np.arange(1, len(some)))
+            to, via = np.split(pair[1], cut), np.split(pair[2], cut)
+            rows.append(pd.DataFrame({"node": who[k : k + TOGETHER], "at": shard, "links": links, "peer": np.where(peer < len(node), node[np.minimum(peer, len(node) - 1)], who[k : k + TOGETHER]), "to": to, "via": via}))
+        joined = np.flatnonzero(root != np.arange(len(node)))
+        rows.append(pd.DataFrame({"node": node[joined], "at": pd.Series([None] * len(joined), dtype="Int64"), "links": 0, "peer": node[root[joined]], "to": [np.zeros(0, np.int64)] * len(joined), "via": [np.zeros(0, np.int64)] * len(joined)}))
+        return pd.concat([r.astype({"at": "Int64"}) for r in rows if len(r)])
 
-def _count(found: DataFrame) -> DataFrame:
-    """(node, links) of each node; links that several shards can find are counted once."""
+    return run
 
-    def run(batches):
-        for pdf in batches:
-            once = [c[np.unique(v, return_index=True)[1]].sum() if len(v) else 0 for v, c in zip(pdf["shared"], pdf["copies"], strict=True)]
-            yield pd.DataFrame({"node": pdf["node"], "links": pdf["links"] + np.array(once, np.int64)})
 
-    lists = found.groupBy("node").agg(F.sum("links").alias("links"), F.collect_list(F.struct("shared", "copies")).alias("x"))
-    return lists.select("node", "links", F.flatten("x.shared").alias("shared"), F.flatten("x.copies").alias("copies")).mapInPandas(run, "node long, links long")
+def _search(members: DataFrame, vectors: DataFrame, visits: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links (node, links) and edges (node, peer) of components, from rounds of visits until none is left to make."""
+    visits = visits.withColumn("entries", F.array().cast("array<long>"))
+    made, found = [], []
+    for _ in range(MOST_ROUNDS):
+        visits = stage(visits, "visits")
+        if visits.isEmpty():
+            break
+        size = visits.groupBy("shard").agg(F.ceil(F.count("*") / DEAL).alias("parts"))
+        asked = visits.join(size, "shard").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(4)), "parts")).drop("parts").join(vectors, "node")
+        spread = members.join(size, "shard").withColumn("salt", F.explode(F.expr("sequence(0L, parts - 1L)"))).drop("parts")
+        now = spread.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInPandas(_visit(threshold), FOUND)
+        now = stage(now, "found")
+        made.append(visits.select("shard", "node"))
+        found.append(now)
+        ways = now.select("node", F.explode(F.arrays_zip("to", "via")).alias("w")).groupBy(F.col("w.to").alias("shard"), "node").agg(F.collect_set("w.via").alias("entries"))
+        # a shard of the first round is searched once more from where lists lead into it; after that, only new ones
+        visits = ways
+        if len(made) > 1:
+            visits = ways.join(_union(made).distinct(), ["shard", "node"], "left_anti")
+    else:
+        raise RuntimeError("searches did not come to an end")
+    every = _union([f.select("node", "at", "links", F.lit(r).alias("round")) for r, f in enumerate(found)]).where("at is not null")
+    last = every.groupBy("node", "at").agg(F.max_by("links", "round").alias("links"))
+    links = stage(last.groupBy("node").agg(F.sum("links").alias("links")).where("links > 0"), "links")
+    edges = stage(_union([f.select("node", "peer") for f in found]).where("node <> peer"), "edges")
+    for x in found:
+        unstage(x)
+    return links, edges
 
 
 def _audit(rows: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
@@ -265,13 +333,15 @@ def _audit(rows: DataFrame, links: DataFrame, threshold: float, queries: int) ->
     return 1.0 if not both["n"] else both["found"] / both["n"]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.99, queries: int = 256, overlap: int = 2) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row of vectors(vec_id, embedding, label).
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.99, queries: int = 256, overlap: int = 3) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, audited_recall) of each row of vectors(vec_id, embedding, label).
 
     Only vectors with one label, not null, are compared. A vector that is null or zero or holds null or non-finite
     components has no links and is its own component. Identical vectors are linked with each other. Repeated rows count
     as vectors of their own; rows with one vec_id share a component id if linked. Extra columns are not read; an empty
-    table gives no rows. `kept` marks the smallest vec_id of each component.
+    table gives no rows. `kept` marks the smallest vec_id of each component. `audited_recall` is the share of true links
+    of a sample of `queries` vectors that was found; below `recall` the shards are cut anew with twice the overlap, and
+    after the third such attempt an error is raised.
     """
     size = F.size("embedding")
     real = F.expr("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
@@ -282,25 +352,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     base = stage(base.withColumn("key", F.xxhash64("shard", "vec", F.hash("vec"))), "vectors")
     nodes = stage(base.groupBy("shard", "key").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("vec").alias("vec")).withColumn("node", F.xxhash64("shard", "key")).drop("key"), "nodes")
     for attempt in range(3):
-        cut = stage(_shards(nodes.drop("low"), overlap), "cut")
-        lists = cut.groupBy("shard").applyInPandas(_build, "node long, near array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        where = cut.groupBy("node").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
-        found = stage(cut.join(lists, "node").join(where, "node").groupBy("shard").applyInPandas(_search(threshold), FOUND), "found")
-        links = stage(_count(found), "links")
+        seats, visits = _shards(nodes.select("shard", "node", "copies", "vec"), overlap)
+        seats = stage(seats, "seats")
+        homes = seats.where("home").select("node", F.col("shard").alias("at"))
+        built = seats.join(homes, "node").groupBy("shard").applyInPandas(_build, "node long, near array<long>, homes array<long>")
+        united = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("near", "homes"))))
+        lists = built.groupBy("node").agg(united.alias("e")).select("node", F.col("e.near").alias("near"), F.col("e.homes").alias("homes"))
+        members = stage(seats.where("home").select("shard", "node", "copies", "vec").join(lists, "node"), "members")
+        links, edges = _search(members, nodes.select("node", "vec"), visits, threshold)
         share = _audit(nodes, links, threshold, queries)
         if share >= recall:
             break
         if attempt == 2:
             raise RuntimeError(f"audited recall {share:.4f} is below {recall} also with {overlap} shards a vector")
+        for x in (seats, members, links, edges):
+            unstage(x)
         overlap *= 2
-    whole = components(found.where("node <> peer"), "node", "peer")
+    whole = components(edges, "node", "peer")
     near = nodes.select("node", "low", "copies").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = near.groupBy("component").agg(F.min("low").alias("component_id"))
     near = near.join(lows, "component").join(links, "node", "left")
     near = near.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     named = base.select("vec_id", F.xxhash64("shard", "key").alias("node")).join(near, "node").select("vec_id", "n_links", "component_id")
     rest = v.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = stage(named.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "named")
-    for x in (base, nodes, cut, found, links):
+    named = named.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumn("audited_recall", F.lit(float(share)))
+    out = stage(named, "named")
+    for x in (base, nodes, seats, members, links, edges):
         unstage(x)
     return out
