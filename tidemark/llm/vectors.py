@@ -198,22 +198,41 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Lists of a shard's seats, and among those at home there once more, so that a visit needs no way round others."""
-    pdf = pdf.sort_values("node")
-    node, at, x, rng = pdf["node"].to_numpy(), pdf["at"].to_numpy(), _matrix(pdf["vec"]), np.random.default_rng(len(pdf))
-    lists = build(x, rng)
-    home = np.flatnonzero(pdf["home"].to_numpy())
-    if 1 < len(home) < len(node):
-        for i, near in zip(home, build(x[home], rng), strict=True):
-            lists[i] = np.union1d(lists[i], home[near])
-    return pd.DataFrame({"node": node, "near": [node[i] for i in lists], "homes": [at[i] for i in lists]})
+def _build(threshold: float):
+    """Lists of a shard's seats, with the neighbours' homes and the cosines of the edges. Those at home in the shard are
+    linked among themselves once more, so that a visit needs no way round others.
+
+    An edge out of a home is of use only where a search can follow it (see `_visit`): twice the angle of SLACK / 2 apart
+    at most. Others are left out.
+    """
+    most = 2 * np.arccos(min(1.0, threshold - SLACK / 2))
+    far = np.cos(most) if most < np.pi else -1.0
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        node, at, x = pdf["node"].to_numpy(), pdf["at"].to_numpy(), _matrix(pdf["vec"])
+        rng = np.random.default_rng(len(pdf))
+        lists = build(x, rng)
+        home = np.flatnonzero(pdf["home"].to_numpy())
+        if 1 < len(home) < len(node):
+            for i, j in zip(home, build(x[home], rng), strict=True):
+                lists[i] = np.union1d(lists[i], home[j])
+        near, homes, cosines = [], [], []
+        for i, j in enumerate(lists):
+            s = x[j] @ x[i]
+            j, s = (v[(at[j] == at[i]) | (s >= far)] for v in (j, s))
+            near.append(node[j])
+            homes.append(at[j])
+            cosines.append(s)
+        return pd.DataFrame({"node": node, "near": near, "homes": homes, "cosines": pd.Series(cosines, dtype=object)})
+
+    return run
 
 
 def _ragged(lists) -> tuple[np.ndarray, np.ndarray]:
     """Row and value of each element of a column of arrays."""
     size = np.fromiter((0 if v is None else len(v) for v in lists), np.int64, len(lists))
-    values = np.concatenate([np.asarray(v, np.int64) for v in lists if v is not None and len(v)]) if size.sum() else np.zeros(0, np.int64)
+    values = np.concatenate([np.asarray(v) for v in lists if v is not None and len(v)]) if size.sum() else np.zeros(0, np.int64)
     return np.repeat(np.arange(len(lists)), size), values
 
 
@@ -226,19 +245,21 @@ def _padded(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def _visit(threshold: float):
+    widest = np.arccos(min(1.0, threshold - SLACK / 2)) + 1e-9
+
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(members) or not len(queries):
-            return pd.DataFrame({"node": [], "at": [], "links": [], "peer": [], "to": [], "via": []})
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in ("node", "at", "links", "peer", "to", "via")})
         members, queries = members.sort_values("node"), queries.sort_values("node")
         shard = int(members["shard"].iloc[0])
         node, copies, x, y = members["node"].to_numpy(), members["copies"].to_numpy(), _matrix(members["vec"]), _matrix(queries["vec"])
         row, near = _ragged(members["near"])
-        homes = _ragged(members["homes"])[1]
+        homes, cosines = (_ragged(members[c])[1] for c in ("homes", "cosines"))
         at = np.minimum(np.searchsorted(node, near), len(node) - 1)
         here = (homes == shard) & (node[at] == near)
         first, nears = np.searchsorted(row[here], np.arange(len(node) + 1)), at[here]
         away = homes != shard
-        out_row, out_node, out_home = row[away], near[away], homes[away]
+        out_row, out_node, out_home, out_angle = row[away], near[away], homes[away], np.arccos(np.clip(cosines[away], -1, 1))
         first_out = np.searchsorted(out_row, np.arange(len(node) + 1))
         medoid = int((x @ x.mean(0)).argmax())
         who = queries["node"].to_numpy()
@@ -265,17 +286,18 @@ def _visit(threshold: float):
                 if (new == root).all():
                     break
                 root = new
-            # edges that lead away from what lies near the range
+            # edges that lead away from what lies near the range, unless the angles say that their end can't lie near it
             close = s >= threshold - SLACK / 2
-            q, v = q[close], v[close]
+            q, v, angle = q[close], v[close], np.arccos(np.clip(s[close], -1, 1))
             of, edge = _along(first_out, v)
-            q = q[of]
+            near_enough = out_angle[edge] <= angle[of] + widest
+            q, edge = q[of][near_enough], edge[near_enough]
             pair = np.unique(np.stack([q, out_home[edge], out_node[edge]]), axis=1) if len(q) else np.zeros((3, 0), np.int64)
             cut = np.searchsorted(pair[0], np.arange(1, len(some)))
             to, via = np.split(pair[1], cut), np.split(pair[2], cut)
-            rows.append(pd.DataFrame({"node": who[k : k + TOGETHER], "at": shard, "links": links, "peer": np.where(peer < len(node), node[np.minimum(peer, len(node) - 1)], who[k : k + TOGETHER]), "to": to, "via": via}))
+            rows.append(pd.DataFrame({"node": who[k : k + TOGETHER], "at": shard, "links": links, "peer": np.where(peer < len(node), node[np.minimum(peer, len(node) - 1)], who[k : k + TOGETHER]), "to": pd.Series(to, dtype=object), "via": pd.Series(via, dtype=object)}))
         joined = np.flatnonzero(root != np.arange(len(node)))
-        rows.append(pd.DataFrame({"node": node[joined], "at": pd.Series([None] * len(joined), dtype="Int64"), "links": 0, "peer": node[root[joined]], "to": [np.zeros(0, np.int64)] * len(joined), "via": [np.zeros(0, np.int64)] * len(joined)}))
+        rows.append(pd.DataFrame({"node": node[joined], "at": pd.Series([None] * len(joined), dtype="Int64"), "links": 0, "peer": node[root[joined]], "to": pd.Series([np.zeros(0, np.int64)] * len(joined), dtype=object), "via": pd.Series([np.zeros(0, np.int64)] * len(joined), dtype=object)}))
         return pd.concat([r.astype({"at": "Int64"}) for r in rows if len(r)])
 
     return run
@@ -303,6 +325,9 @@ def _search(members: DataFrame, vectors: DataFrame, visits: DataFrame, threshold
             visits = ways.join(_union(made).distinct(), ["shard", "node"], "left_anti")
     else:
         raise RuntimeError("searches did not come to an end")
+    if not found:
+        none = vectors.limit(0)
+        return stage(none.select("node", F.lit(0).cast("long").alias("links")), "links"), stage(none.select("node", F.col("node").alias("peer")), "edges")
     every = _union([f.select("node", "at", "links", F.lit(r).alias("round")) for r, f in enumerate(found)]).where("at is not null")
     last = every.groupBy("node", "at").agg(F.max_by("links", "round").alias("links"))
     links = stage(last.groupBy("node").agg(F.sum("links").alias("links")).where("links > 0"), "links")
@@ -355,9 +380,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
         seats, visits = _shards(nodes.select("shard", "node", "copies", "vec"), overlap)
         seats = stage(seats, "seats")
         homes = seats.where("home").select("node", F.col("shard").alias("at"))
-        built = seats.join(homes, "node").groupBy("shard").applyInPandas(_build, "node long, near array<long>, homes array<long>")
-        united = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("near", "homes"))))
-        lists = built.groupBy("node").agg(united.alias("e")).select("node", F.col("e.near").alias("near"), F.col("e.homes").alias("homes"))
+        built = seats.join(homes, "node").groupBy("shard").applyInPandas(_build(threshold), "node long, near array<long>, homes array<long>, cosines array<double>")
+        # one edge for each neighbour, whichever shards found it
+        united = F.flatten(F.collect_list(F.arrays_zip("near", "homes", F.transform("cosines", lambda c: F.round(c, 12)).alias("cosines"))))
+        lists = built.groupBy("node").agg(F.array_distinct(united).alias("e")).select("node", *[F.col(f"e.{c}").alias(c) for c in ("near", "homes", "cosines")])
         members = stage(seats.where("home").select("shard", "node", "copies", "vec").join(lists, "node"), "members")
         links, edges = _search(members, nodes.select("node", "vec"), visits, threshold)
         share = _audit(nodes, links, threshold, queries)
