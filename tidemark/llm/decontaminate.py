@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, short_batches
+from tidemark.llm.common import release, short_batches, stage
 from tidemark.llm.recompress import U, mix
 from tidemark.llm.tokens import text_slices
 
@@ -184,11 +184,11 @@ def _rolled(h: np.ndarray, form: int, widths: list[int]) -> Iterator[tuple[int,
             yield w, mix(x + U(w)).view(np.int64)
 
 
-def template_windows(bench: list[tuple], width: int) -> pd.DataFrame:
-    """(h, item_id, at, w): the windows of each item's template."""
+def template_windows(items: list[tuple[int, str]], width: int) -> pd.DataFrame:
+    """(h, item, at, w): the windows of each item's template."""
     rows = []
     known = Known()
-    for item, text in bench:
+    for item, text in items:
         t = Tokens(known, [text])
         n = len(t.raw)
         if n < 2:
@@ -197,7 +197,7 @@ def template_windows(bench: list[tuple], width: int) -> pd.DataFrame:
             for w, h in _rolled(codes, form, [min(_width(n, width), len(codes))]):
                 # a window of names at any place needs as many words
                 rows += [(int(v), item, int(at[i]), w) for i, v in enumerate(h) if w > 1 and (form < 2 or 2 * word[i : i + w].sum() >= w)]
-    return pd.DataFrame(rows, columns=["h", "item_id", "at", "w"]).drop_duplicates()
+    return pd.DataFrame(rows, columns=["h", "item", "at", "w"]).drop_duplicates()
 
 
 def _windows(widths: list[int], hashes: np.ndarray | None):
@@ -247,7 +247,7 @@ def _slots_agree(slots: list[tuple[str, str, str]]) -> bool:
     return True
 
 
-def _bands(diagonals: list[int], reach: int) -> list[tuple[int, int]]:
+def _bands(diagonals, reach: int) -> list[tuple[int, int]]:
     """Ranges of diagonals that hold the hits and `reach` more on either side; hits further apart are apart."""
     out: list[tuple[int, int]] = []
     for d in sorted(set(diagonals)):
@@ -323,21 +323,23 @@ def _leak(a: Tokens, t: Tokens, k: np.ndarray, j: np.ndarray, width: int, covera
     return (all_words > 0 and words >= HIGH * all_words) or 2 * sum(x == y for _, x, y in slots) > len(slots) or _slots_agree(slots)
 
 
-def _judge(bench: dict, width: int, coverage: float):
+def _judge(width: int, coverage: float):
     """For each (document, item) with hits: the best passage, its coverage and its slots."""
     templates: dict = {}
     known = Known()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
+        if len(templates) > 10_000:
+            templates.clear()
         for r in pdf.itertuples(index=False):
             t = Tokens(known, [r.text])
-            for item, diagonals in zip(r.items, r.diagonals, strict=True):
-                if item not in templates:
-                    templates[item] = Tokens(known, [bench[item]])
-                a, best = templates[item], None
+            for hit in r.hits:
+                if hit["item_text"] not in templates:
+                    templates[hit["item_text"]] = Tokens(known, [hit["item_text"]])
+                a, best = templates[hit["item_text"]], None
                 n = len(a.raw)
-                for low, high in _bands(diagonals, min(max(8, n // 4), 64)):
+                for low, high in _bands(hit["diagonals"], min(max(8, n // 4), 64)):
                     pairs = _align(a, t, low, high)
                     if not pairs:
                         continue
@@ -347,8 +349,8 @@ def _judge(bench: dict, width: int, coverage: float):
                         slots = _slots(a, t, k, j)
                         best = (key, len(slots), sum(x != y for _, x, y in slots))
                 if best and best[0][0]:
-                    out.append((r.doc_id, item, best[0][1], -best[0][2], best[1], best[2]))
-        return pd.DataFrame(out, columns=["doc_id", "item_id", "coverage", "diagonal", "n_slots", "n_changed"])
+                    out.append((r.doc_id, hit["item_id"], best[0][1], -best[0][2], best[1], best[2]))
+        return pd.DataFrame(out, columns=["doc_id", "item_id", "coverage", "diagonal", "n_slots", "n_changed"]).astype({"item_id": "Int64"})
 
     return run
 
@@ -360,29 +362,40 @@ def leaks(docs: DataFrame, bench: DataFrame, width: int = WINDOW, coverage: floa
     all of a shorter item) must be. A passage below the share asked for counts from LONG aligned tokens on. n_slots of
     the aligned tokens are placeholders, n_changed filled otherwise than in the item; diagonal: token of the document
     where the item's first token stands or would stand. Items of fewer than two tokens, null texts and null doc_ids
-    match nothing. Rows with one doc_id are judged each and the best row stays. The benchmark is collected (it is the
-    query set of this join); its windows prefilter those of documents only while they are MOST_WINDOWS at most.
+    match nothing; items that share an id are all looked for, and those without one are found under a null item_id.
+    Rows with one doc_id are judged each and the best row stays. Windows of the benchmark's templates are joined with
+    those of all documents; they prefilter documents' windows in the workers only while they are MOST_WINDOWS at most.
+    Only texts with hits are read again.
     """
     spark: SparkSession = docs.sparkSession
     short_batches(spark)
-    items = {r[0]: r[1] for r in bench.where("item_id is not null and text is not null").select("item_id", "text").collect()}
-    table = template_windows(sorted(items.items()), width)
     shape = "doc_id long, item_id long, coverage double, diagonal long, n_slots long, n_changed long"
-    if not len(table):
+    items = bench.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).distinct().withColumn("item", F.xxhash64("item_id", "item_text"))
+
+    def templates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield template_windows(list(zip(pdf["item"], pdf["item_text"], strict=True)), width)
+
+    table = stage(items.select("item", "item_text").mapInPandas(templates, "h long, item long, at int, w int"), "templates")
+    widths = sorted(r["w"] for r in table.select("w").distinct().collect())  # 4 to `width`
+    if not widths:
         return spark.createDataFrame([], shape)
-    hashes = np.unique(table["h"].to_numpy(np.int64))
-    widths = sorted(set(table["w"].tolist()))
+    some = [r["h"] for r in table.select("h").distinct().limit(MOST_WINDOWS + 1).collect()]
+    hashes = np.sort(np.array(some, np.int64)) if len(some) <= MOST_WINDOWS else None
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = keyed.mapInArrow(_windows(widths, hashes if len(hashes) <= MOST_WINDOWS else None), "doc_id long, pos int, h long")
-    hit = found.join(spark.createDataFrame(table), "h").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("d")).distinct()
-    by_doc = hit.groupBy("doc_id", "item_id").agg(F.collect_set("d").alias("diagonals")).groupBy("doc_id").agg(F.collect_list("item_id").alias("items"), F.collect_list("diagonals").alias("diagonals"))
-    judge = _judge(items, width, coverage)
+    found = keyed.mapInArrow(_windows(widths, hashes), "doc_id long, pos int, h long")
+    hit = found.join(table, "h").select("doc_id", "item", (F.col("pos") - F.col("at")).alias("d"))
+    hit = hit.groupBy("doc_id", "item").agg(F.collect_set("d").alias("diagonals"))
+    hit = hit.join(items, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "diagonals")).alias("hits"))
+    # written first: Spark then knows its size, and sends it to the texts or shuffles both
+    hit = stage(hit, "hits")
+    judge = _judge(width, coverage)
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield judge(pdf)
 
-    out = keyed.join(by_doc, "doc_id").select("doc_id", "text", "items", "diagonals").mapInPandas(over, shape)
+    out = keyed.join(hit, "doc_id").select("doc_id", "text", "hits").mapInPandas(over, shape)
     best = F.max(F.struct("coverage", "diagonal", "n_slots", "n_changed")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[F.col("b")[n].alias(n) for n in ("coverage", "diagonal", "n_slots", "n_changed")])
 
