@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -15,14 +16,21 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 500
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _STAGED: list[tuple[SparkSession, str]] = []
+_LOCAL: dict[str, str] = {}
+_LOCK = threading.Lock()
+#: Writes under way that want CLEANUP, and what the session had before the first of them.
+_CLEANING: list = [0, None]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where it is unset (local tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`. Where it is unset, a local session (tests) gets a temporary
+    folder of its own; a cluster has none that all its machines see, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        _LOCAL[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
@@ -56,12 +64,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    with _LOCK:
+        if not _CLEANING[0]:
+            _CLEANING[1] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _CLEANING[0] += 1
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        with _LOCK:
+            _CLEANING[0] -= 1
+            if not _CLEANING[0]:
+                spark.conf.set(CLEANUP, _CLEANING[1]) if _CLEANING[1] is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
@@ -116,22 +130,23 @@ def hashes(words: Column) -> Column:
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list as (node, component); component is the smallest node id.
 
-    Alternating large-star / small-star rounds: every round is two aggregations and two joins keyed by node, with
-    map-side combining, so a node with very many edges neither meets one task nor the driver.
+    Alternating large-star / small-star rounds. Smallest neighbours come from aggregations with map-side combining and
+    are written before edges are joined with them, so adaptive execution sees both sides' sizes and can split the rows
+    of a node with very many edges over tasks, or send the small side to them.
     """
-    spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
     e = stage(e, "edges")
     seen = None
     for _ in range(most_rounds):
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        big = stage(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "big")
+        least = stage(big.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = big.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         nxt = stage(small, "edges")
         sums = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        unstage(e)
+        for x in (e, low, big, least):
+            unstage(x)
         e, done = nxt, seen == (sums["n"], sums["h"])
         seen = (sums["n"], sums["h"])
         if done:

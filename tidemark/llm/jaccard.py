@@ -29,7 +29,11 @@ ROWS = 5
 
 
 def bands_for(threshold: float, recall: float, rows: int = ROWS) -> int:
-    """Bands of `rows` hashes so that a pair at `threshold` shares one with probability `recall` at least."""
+    """Bands of `rows` hashes so that a pair at `threshold` shares one with probability `recall` at least; equal sets always do."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("threshold lies in (0, 1], recall in (0, 1)")
+    if threshold == 1:
+        return 1
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
@@ -224,9 +228,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     named = classes.select("node", "low", "copies").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("class_id"))
     named = named.join(lows, "component").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
-    named = named.select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies")
+    # written before all rows are joined with it, so that the rows of a class with very many copies can be split
+    named = stage(named.select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies"), "named")
     out = stage(sig.select("doc_id", "rk", "node").join(named, "node").drop("node"), "classified")
-    for x in (sig, classes, active):
+    for x in (sig, classes, active, named):
         unstage(x)
     return out
 
