@@ -29,6 +29,8 @@ WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 16
 DIM, HIDDEN, ATTEND = 6, 12, 8
 #: Labelled rows of each class that training reads at most; more labels don't change the model's cost.
 PER_CLASS = 1500
+#: Characters of a labelled text that training reads at most; scores read whole texts.
+MOST_CHARS = 200_000
 #: Words whose projected inputs a worker remembers; when full it starts anew.
 MEMORY = 150_000
 EMPTY_LOGIT = -20.0
@@ -40,8 +42,8 @@ def words_of(text: str | None) -> list[str]:
 
 def char_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of words' character 3- and 4-grams with their ends marked, and of their first 6: (buckets, count of each word)."""
-    code = np.frombuffer("".join(f"^{w[:60]}$" for w in words).encode("utf-32-le"), np.uint32).astype(U)
-    size = np.array([min(len(w), 60) + 2 for w in words])
+    code = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32).astype(U)
+    size = np.array([len(w) + 2 for w in words])
     end = np.cumsum(size)
     owner = np.repeat(np.arange(len(words)), size)
     left = np.repeat(end, size) - np.arange(len(code))  # characters to the word's end, itself included
@@ -332,7 +334,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 5, b
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts: of each class the rows of smallest id hash among those not held out."""
+    """A bounded sample of labelled texts: of each class the `per_class` ids of smallest hash among those not held out, one
+    text each (the smallest of rows with one id) and MOST_CHARS characters of it."""
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     rows = [r for c in (0, 1) for r in y.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class).collect()]
@@ -340,13 +343,12 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
         return [], []
     few = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in rows], "doc_id long, toxic int")
     # at most 2 * per_class rows
-    got = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id").collect()
+    got = docs.where("text is not null").select("doc_id", F.substring("text", 1, MOST_CHARS).alias("text")).join(F.broadcast(few), "doc_id")
+    got = got.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in got], [r["toxic"] for r in got]
 
 
-
-
 def score(docs: DataFrame, net: Net) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row: score in 0 to 1, predicted is 1 from 0.7. Only the text is an
     input of a score; null, empty and wordless texts score near 0. Repeated rows are scored each; a null doc_id stays."""
