@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from tidemark.llm import jaccard
+from tidemark.llm.common import components
 
 
 def brute(rows, n=5, t=0.8):
@@ -68,3 +69,44 @@ def test_keep_one(spark):
 
 def test_bands():
     assert jaccard.bands_for(0.8, 0.999) == 18
+    assert jaccard.bands_for(1, 0.999) == 1
+    for bad in ((0.8, 1.0), (0.8, 0.0), (0.0, 0.9), (1.1, 0.9)):
+        with pytest.raises(ValueError, match="threshold"):
+            jaccard.bands_for(*bad)
+
+
+def test_measured_recall_at_the_threshold(spark):
+    """Pairs at a similarity of just 0.8 and a little over, found with the default number of bands."""
+    rng = random.Random(2)
+    rows, pairs = [], 0
+    while pairs < 400:
+        w = [f"p{pairs}w{i}" for i in range(rng.randrange(60, 120))]
+        at = rng.randrange(len(w) - 20, len(w))
+        v = [*w[:at], *(f"q{pairs}w{i}" for i in range(len(w) - at))]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, v))
+        if 0.8 <= len(a & b) / len(a | b) < 0.84:
+            rows += [(2 * pairs, " ".join(w)), (2 * pairs + 1, " ".join(v))]
+            pairs += 1
+    got = jaccard.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("n_links = 1").count() >= 0.995 * len(rows)
+
+
+def test_long_texts_and_empty_table(spark):
+    rng = random.Random(1)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    near = [*w[:70_000], "other", *w[70_001:]]
+    rows = [(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(w[:100_000])), (4, "a " * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.report(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
+    assert jaccard.report(df.limit(0)).count() == 0
+
+
+def test_components_of_stars_and_chains(spark):
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 500)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000 + rng.randrange(90), 2000 + rng.randrange(90)) for _ in range(70)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {n: n for e in edges for n in e}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {n: r for n, r in root.items() if any(a != b and n in (a, b) for a, b in edges)}

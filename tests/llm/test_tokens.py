@@ -1,9 +1,12 @@
 """Bit planes and packing: exact round trips and properties against the plain tokenizer."""
 
+import os
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -30,8 +33,38 @@ def test_stretches_give_the_tokenizers_ids(text):
 @settings(max_examples=60, deadline=None)
 def test_planes_round_trip(ids, block, kind):
     x = np.array(ids, np.uint32)
-    width, planes = bitplanes.to_planes(x, block * 8, kind)
-    assert len(planes) == width and (bitplanes.from_planes(planes, len(x), kind) == x).all()
+    widths, planes = bitplanes.to_planes(x, block * 8, kind)
+    assert len(planes) == sum(widths) and len(widths) == -(-len(x) // (block * 8))
+    assert (bitplanes.from_planes(widths, planes, len(x), block * 8, kind) == x).all()
+
+
+def test_planes_are_those_of_blocks():
+    """Each block has its own planes: one large id widens its block alone, and planes change with the block size."""
+    x = np.arange(1, 4097, dtype=np.uint32) % 200
+    x[3000] = 2**31
+    for kind, narrow, wide in (("bit", 8, 32), ("byte", 1, 4)):
+        widths, planes = bitplanes.to_planes(x, 1024, kind)
+        assert widths == [narrow, narrow, wide, narrow]
+        z = zstandard.ZstdDecompressor()
+        plane = np.frombuffer(z.decompress(planes[0]), np.uint8)
+        assert plane.tolist() == (np.packbits((x[:1024] & 1).astype(np.uint8), bitorder="little") if kind == "bit" else (x[:1024] & 255).astype(np.uint8)).tolist()
+        assert planes != bitplanes.to_planes(x, 2048, kind)[1] and len(bitplanes.to_planes(x, 4096, kind)[0]) == 1
+
+
+def test_index_finds_chunks(spark, tmp_path):
+    rows = [(i, f"text number {i} " * (1 + i % 5)) for i in range(200)] + [(None, "lost"), (-(2**63), "first of all")]
+    path = str(tmp_path / "d")
+    bitplanes.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, queries.WORD_BPE, chunk_ids=60, block=16)
+    index = spark.read.parquet(path + "/index").collect()
+    assert len(index) > 20 and sum(r.n_docs for r in index) == 202 and all(os.path.exists(f"{path}/chunks/{r.file}") for r in index)
+    one = index[7]
+    row = pq.ParquetFile(f"{path}/chunks/{one.file}").read().slice(one.row, 1).to_pylist()[0]
+    assert (row["shard"], row["chunk"], row["crc32"]) == (one.shard, one.chunk, one.crc32)
+    plain_ids = {i: plain(t, 2).tolist() for i, t in rows}
+    for low, high in ((50, 61), (None, 3), (190, None), (500, 600)):
+        got = {r.doc_id: r.ids for r in bitplanes.read_ids(spark, path, low, high).collect()}
+        assert got == {i: v for i, v in plain_ids.items() if i is not None and (low is None or i >= low) and (high is None or i <= high)}
+    assert {r.doc_id: r.ids for r in bitplanes.read_ids(spark, path).collect()} == plain_ids
 
 
 @pytest.mark.parametrize("kind", ["bit", "byte"])
