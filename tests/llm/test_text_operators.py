@@ -166,6 +166,26 @@ def test_preference(spark):
     assert set(x) == {1, 2, 3}
 
 
+def test_preference_pairs_share_a_prefix(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "one"), (1, 2, "user", "thanks"), (2, 0, "user", "yo"), (2, 1, "assistant", "two"), (2, 1, "assistant", "two"), (3, 0, "user", "nobody answers"), (5, None, None, None), (None, 0, "user", "lost")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn int, role string, text string, prompt string")
+    got = {r.pair_id: r for r in preference.report(df).collect()}
+    assert set(got) == {1, 2, 3, 5}
+    assert (got[1].n_common, got[1].prompt) == (1, "<|user|>\nhi<|end|>\n")
+    assert got[1].chosen == "<|assistant|>\none<|end|>\n<|user|>\nthanks<|end|>\n" and got[1].rejected == "<|assistant|>\ntwo<|end|>\n<|user|>\nthanks<|end|>\n"
+    assert got[1].chosen_mask == got[1].rejected_mask == "14-24"
+    # the next conversation has no reply, so the rejected one ends before it; without a reply both are alike
+    assert (got[2].n_common, got[2].rejected) == (1, "") and got[2].chosen.count("two") == 2
+    assert (got[3].n_common, got[3].chosen, got[3].rejected) == (1, "", "") and got[5].prompt == "<|unknown|>\n<|end|>\n"
+    assert preference.report(df.limit(0)).count() == 0
+
+
+def test_preference_long_conversation(spark):
+    rows = [(4, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(5000)] + [(5, 0, "assistant", "z" * 100_000)]
+    r = preference.report(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).where("pair_id = 4").first()
+    assert r.n_common == 4999 and r.chosen == "<|assistant|>\nturn 4999<|end|>\n" and len(r.rejected) == 100_000 + 14 + 8 and r.prompt.count("<|end|>") == 4999
+
+
 def notice(label, words=9):
     return next(t for lab, _, _, t in licenses.NOTICES if lab == label and len(t.split()) > words)
 

@@ -57,34 +57,48 @@ def preference(turns: DataFrame, train_on: str = "assistant") -> DataFrame:
     return x.select("pair_id", "chosen_conv", "rejected_conv", "n_common", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs out of one table: conversations 2k (chosen) and 2k+1 (rejected) are pair k."""
-    even = F.pmod("conv_id", F.lit(2)) == 0
-    return conversations.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.when(even, "chosen").otherwise("rejected").alias("side"), "conv_id", "turn", "role", "text")
+def alternatives(conversations: DataFrame, train_on: str = "assistant") -> DataFrame:
+    """Pairs out of one table: a conversation is chosen; rejected is the same with its last `train_on` turn replaced by
+    that of the conversation whose id is one higher, or without that turn where there is none.
+
+    pair_id is the conversation's id; rows without one belong to no pair. A conversation without such a turn is paired
+    with itself. Of turns with one number the greatest text is the last; repeated rows of it are all replaced.
+    """
+    t = conversations.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    last = t.where(F.col("role") == train_on).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
+    r = t.join(last, "conv_id", "left").join(other, "conv_id", "left")
+    is_last = (F.col("role") == train_on) & F.col("turn").eqNullSafe(F.col("last.turn")) & (F.col("text") == F.col("last.text"))
+    r = r.where(~is_last | F.col("other").isNotNull()).withColumn("text", F.when(is_last, F.col("other")).otherwise(F.col("text")))
+    side = lambda df, name: df.select(F.col("conv_id").alias("pair_id"), F.lit(name).alias("side"), "conv_id", "turn", "role", "text")
+    return side(t, "chosen").unionByName(side(r, "rejected"))
 
 
 def report(conversations: DataFrame) -> DataFrame:
-    """`preference` over neighbouring conversations, spans as text `start-end,...`."""
+    """`preference` over each conversation and its alternative, spans as text `start-end,...`."""
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
-    x = preference(neighbours(conversations))
+    x = preference(alternatives(conversations))
     return x.select("pair_id", "chosen_conv", "rejected_conv", "n_common", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
 
 
 ORACLE = """
-with t as (select conv_id // 2 as pair_id, conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
-r as (select *, '<|' || role || '|>' || chr(10) as head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as line from t),
-o as (select *, coalesce(sum(length(line)) over (partition by conv_id order by turn, role, text rows between unbounded preceding and 1 preceding), 0) as pos,
-  row_number() over (partition by conv_id order by turn, role, text) as i from r),
-p as (select pair_id, min(conv_id) filter (conv_id % 2 = 0) as chosen_conv, min(conv_id) filter (conv_id % 2 = 1) as rejected_conv from o group by pair_id),
-d as (select a.pair_id, count(*) as n from o a join o b on a.pair_id = b.pair_id and a.conv_id % 2 = 0 and b.conv_id % 2 = 1 and a.i = b.i and a.line = b.line and a.role = b.role
-  where not exists (select 1 from o c left join o e on e.conv_id = c.conv_id + 1 and e.i = c.i where c.conv_id = a.conv_id and c.i < a.i and (e.i is null or e.role <> c.role or e.text <> c.text)) group by a.pair_id),
-q as (select p.*, coalesce(n, 0) as n from p left join d using (pair_id)),
-s as (select q.pair_id, n, o.conv_id, o.i, o.role, o.text, o.head, o.line, pos - min(pos) over (partition by q.pair_id, o.conv_id, i > n) as rel from q join o on o.pair_id = q.pair_id),
-g as (select pair_id, string_agg(line, '' order by i) filter (i <= n and conv_id % 2 = 0) as prompt, string_agg(line, '' order by i) filter (i > n and conv_id % 2 = 0) as chosen,
-  string_agg(line, '' order by i) filter (i > n and conv_id % 2 = 1) as rejected,
-  string_agg((rel + length(head))::bigint || '-' || (rel + length(head) + length(text) + 7)::bigint, ',' order by i) filter (i > n and conv_id % 2 = 0 and role = 'assistant') as chosen_mask,
-  string_agg((rel + length(head))::bigint || '-' || (rel + length(head) + length(text) + 7)::bigint, ',' order by i) filter (i > n and conv_id % 2 = 1 and role = 'assistant') as rejected_mask
-  from s group by pair_id)
-select q.pair_id, chosen_conv, rejected_conv, n::bigint as n_common, coalesce(prompt, '') as prompt, coalesce(chosen, '') as chosen, coalesce(rejected, '') as rejected,
-  coalesce(chosen_mask, '') as chosen_mask, coalesce(rejected_mask, '') as rejected_mask from q join g using (pair_id)
+with t as (select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+last as (select conv_id, turn, text from (select *, row_number() over (partition by conv_id order by turn desc nulls last, text desc) as k from t where role = 'assistant') where k = 1),
+r as (select t.conv_id, t.turn, t.role, t.text, t.role = 'assistant' and t.turn is not distinct from l.turn and t.text = l.text as ends, o.text as other
+  from t left join last l on t.conv_id = l.conv_id left join last o on o.conv_id = t.conv_id + 1),
+e as (select conv_id as pair_id, 'c' as side, turn, role, text from t
+  union all select conv_id, 'r', turn, role, case when coalesce(ends, false) then other else text end from r where not coalesce(ends, false) or other is not null),
+w as (select *, '<|' || role || '|>' || chr(10) as head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as line from e),
+o as (select *, coalesce(sum(length(line)) over (partition by pair_id, side order by turn nulls first, role, text rows between unbounded preceding and 1 preceding), 0) as pos,
+  row_number() over (partition by pair_id, side order by turn nulls first, role, text) as i from w),
+d as (select c.pair_id, coalesce(min(case when r.i is null or r.role <> c.role or r.text <> c.text then c.i end) - 1, max(c.i)) as n
+  from o c left join o r on r.pair_id = c.pair_id and r.side = 'r' and r.i = c.i where c.side = 'c' group by c.pair_id),
+s as (select d.pair_id, n, o.side, o.i, o.role, o.text, o.head, o.line, pos - min(pos) over (partition by d.pair_id, o.side, i > n) as rel from d join o on o.pair_id = d.pair_id),
+g as (select pair_id, n, max(case when side = 'r' then pair_id end) as rejected_conv, string_agg(line, '' order by i) filter (i <= n and side = 'c') as prompt, string_agg(line, '' order by i) filter (i > n and side = 'c') as chosen,
+  string_agg(line, '' order by i) filter (i > n and side = 'r') as rejected,
+  string_agg((rel + length(head))::bigint || '-' || (rel + length(head) + length(text) + 7)::bigint, ',' order by i) filter (i > n and side = 'c' and role = 'assistant') as chosen_mask,
+  string_agg((rel + length(head))::bigint || '-' || (rel + length(head) + length(text) + 7)::bigint, ',' order by i) filter (i > n and side = 'r' and role = 'assistant') as rejected_mask
+  from s group by pair_id, n)
+select pair_id, pair_id as chosen_conv, rejected_conv, n::bigint as n_common, coalesce(prompt, '') as prompt, coalesce(chosen, '') as chosen, coalesce(rejected, '') as rejected,
+  coalesce(chosen_mask, '') as chosen_mask, coalesce(rejected_mask, '') as rejected_mask from g
 """
