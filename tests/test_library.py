@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import plain
 from tidemark.functions import expressions as x
 from tidemark.functions import models, statistics
 from tidemark.operators import asof_join, excursions, fold_per_key, keep_last, nearest_join, nearest_rank, range_join, running_sum, seq_gaps, systematic_sample, throttle
@@ -98,64 +99,6 @@ def test_tilt_is_capped(mid, history):
         m.learn(made, y)
 
 
-def plain_predictor(rows):
-    """The prequential model from its equations, every moment taken anew over all rows learned from."""
-    sig, clip = (lambda v: 1 / (1 + math.exp(-v))), (lambda p, e: min(max(p, e), 1 - e))
-    lo = lambda p: math.log(p / (1 - p))
-    heads = {"m": {"z_dist": 1.8, "log_tau": 0.0}, "o": {"momentum": 0.4, "efficiency": 0.0}, "b": {"ob_imbalance": 0.6}}
-    bias, score, k = dict.fromkeys(heads, 0.0), dict.fromkeys([*heads, "f"], -0.6931), 0.5
-    past, cal, err, trans, last, out = [], {b: [1.0, 0.5] for b in range(10)}, 0.1, {}, None, []
-
-    def std(name, x):
-        v = [r[name] for r in past]
-        sd = np.std(v) if len(v) > 5 else 1.0
-        return (x[name] - np.mean(v)) / (sd if sd > 1e-9 else 1.0) if len(v) > 5 else x[name]
-
-    def probs(x, mid):
-        p = {h: sig(bias[h] + sum(w * std(n, x) for n, w in ws.items())) for h, ws in heads.items()}
-        return p | {"f": sig(lo(clip(mid, 1e-4)) + k * std("z_dist", x))}
-
-    for x, mid, y in rows:
-        vols = [r["realized_vol"] for r in past]
-        mean, sd = (np.mean(vols), np.std(vols)) if vols else (0, 1)
-        if len(vols) > 10 and x["realized_vol"] > mean + 2 * sd:
-            regime = "panic"
-        else:
-            hi, low = (mean + 0.5 * sd, mean - 0.5 * sd) if len(vols) > 5 else (x["realized_vol"],) * 2
-            regime = ("high_vol" if x["realized_vol"] >= hi else "low_vol" if x["realized_vol"] <= low else "mid_vol") + "/" + ("trend" if x["efficiency"] >= 0.45 else "mean_revert" if x["efficiency"] <= 0.2 else "chop")
-        row = trans.get(last, {})
-        n = sum(row.values())
-        calm = 1 + sum(c / n * math.log(c / n) for c in row.values()) / math.log(max(2, len(row))) if n > 3 else 0.3
-        heat = (1 + 2 * (1 - calm) + 3 * max(0, err - 0.1)) * (1.5 if regime == "panic" else 1)
-        p = probs(x, mid)
-        rel = {h: math.exp(s) for h, s in score.items()}
-        own = sum(rel[h] * lo(clip(p[h], 1e-6)) for h in p) / sum(rel.values()) / heat
-        anchor = lo(clip(mid, 1e-4))
-        up = sig(anchor + max(-0.4, min(0.4, own - anchor)))
-        c = cal[min(9, int(up * 10))]
-        u = min(1, c[0] / 30)
-        p_cal = u * (c[1] + 0.5) / (c[0] + 1) + (1 - u) * up
-        out.append((up, p_cal, heat, regime))
-        past.append(x)
-        p = probs(x, mid)
-        for h, ws in heads.items():
-            z = {name: std(name, x) for name in ws}
-            for name in ws:
-                ws[name] -= 0.04 * (p[h] - y) * z[name]
-            bias[h] -= 0.04 * (p[h] - y)
-        k = min(4, max(0, k - 0.03 * (p["f"] - y) * std("z_dist", x)))
-        for h in score:
-            score[h] = 0.97 * score[h] + 0.03 * math.log(clip(p[h] if y else 1 - p[h], 1e-6))
-        c = cal[min(9, int(up * 10))]
-        c[0], c[1] = 0.995 * c[0] + 1, 0.995 * c[1] + y
-        err = 0.97 * err + 0.03 * abs(p_cal - y)
-        if last is not None:
-            trans.setdefault(last, {})
-            trans[last][regime] = trans[last].get(regime, 0) + 1
-        last = regime
-    return out
-
-
 def test_predictor_matches_its_equations():
     rng = random.Random(8)
     rows = [(dict(zip(models.FEATURES, (rng.gauss(0, 2), rng.uniform(0, 6), rng.gauss(0, 1), rng.random(), rng.uniform(-1, 1), abs(rng.gauss(0.1, 0.1))), strict=True)), rng.uniform(0.05, 0.95), rng.randrange(2)) for _ in range(250)]
@@ -164,8 +107,9 @@ def test_predictor_matches_its_equations():
         made = m.predict(tuple(x[f] for f in models.FEATURES), mid)
         got.append((made["p_up"], made["p_cal"], made["temperature"], made["regime"]))
         m.learn(made, y, "b")
-    for a, b in zip(got, plain_predictor(rows), strict=True):
-        assert a[:3] == pytest.approx(b[:3], rel=1e-7) and a[3] == b[3]
+    events = [e for i, (x, mid, y) in enumerate(rows) for e in (("predict", i, x, mid), ("learn", i, y))]
+    for a, b in zip(got, plain.predictor(events), strict=True):
+        assert a[:3] == pytest.approx(b[1:4], rel=1e-7) and a[3] == b[4]
     assert m.buckets["b"][0] == 250 and {g[3] for g in got} > {"panic", "high_vol/trend"}
 
 
@@ -212,25 +156,13 @@ def test_statistics(spark):
     assert abs(simulated_returns(spark, 2000).agg(F.stddev("r").alias("s")).first()["s"] - 0.01) < 0.001
 
 
-def plain_forward(x, m):
-    """Log-likelihood and smoothed states, row by row with plain sums over states."""
-    k, n = len(m["mu"]), len(x)
-    e = [[math.exp(-0.5 * ((v - m["mu"][s]) / m["sigma"][s]) ** 2) / (m["sigma"][s] * math.sqrt(2 * math.pi)) for s in range(k)] for v in x]
-    a, ll = [], 0.0
-    for t in range(n):
-        row = [e[t][s] * (m["pi"][s] if t == 0 else sum(a[-1][r] * m["trans"][r][s] for r in range(k))) for s in range(k)]
-        ll += math.log(sum(row))
-        a.append([v / sum(row) for v in row])
-    return ll
-
-
 def test_hidden_markov_scan():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, 1, 150), rng.normal(3, 0.5, 83), rng.normal(0, 1, 70)])
     m = statistics.hmm_fit(x, 2, rounds=7, restarts=3)
     e = statistics._emission(x, m["mu"], m["sigma"])
     rows, scale = statistics._scan(m["pi"], m["trans"], e)
-    assert np.log(scale).sum() == pytest.approx(plain_forward(x, m), rel=1e-9) and rows.sum(1) == pytest.approx(np.ones(len(x)))
+    assert np.log(scale).sum() == pytest.approx(plain.forward(x, m), rel=1e-9) and rows.sum(1) == pytest.approx(np.ones(len(x)))
     path = statistics.viterbi(x, m)
     assert (path[:140] == 0).all() and (path[160:225] == 1).all()
     # a round of learning never lowers the likelihood
@@ -272,7 +204,7 @@ def test_regressions(spark):
     assert statistics.expanding_logit(df.withColumn("y", F.lit(1.0)), "fold", ["a"], "y", 5) == {} and statistics.expanding_logit(df.limit(0), "fold", ["a"], "y", 5) == {}
     got = statistics.ols(df.withColumn("one", F.lit(1.0)), ["one", "a", "b"], "y")
     assert list(got.values()) == pytest.approx(np.linalg.lstsq(np.column_stack([np.ones(400), x]), y, rcond=None)[0], rel=1e-8)
-    betas = spark.createDataFrame([(p, "u", v) for p, v in enumerate([1.0, 2.0, 4.0])], "period int, term string, beta double")
+    betas = spark.createDataFrame([(p, "u", v) for p, v in enumerate([1.0, 2.0, 4.0, None, math.nan])], "period int, term string, beta double")
     (r,) = statistics.fama_macbeth(betas).collect()
     assert (r.periods, r.mean, r.t) == (3, pytest.approx(7 / 3), pytest.approx((7 / 3) / (np.std([1, 2, 4], ddof=1) / math.sqrt(3))))
 
@@ -281,12 +213,12 @@ def test_running_sum_and_throttle(spark):
     rng = random.Random(6)
     rows = [(rng.randrange(400), i, rng.choice([None, 1.5, -2.0, 3.0])) for i in range(300)]
     df = spark.createDataFrame(rows, "t long, i long, v double")
-    got = {r.i: r.s for r in running_sum(df, ["t", "i"], "v", F.floor(F.col("t") / 50), "s").collect()}
+    got = {r.i: r.s for r in running_sum(df, ["t", "i"], "v", "floor(t / 50)", "s").collect()}
     total = 0.0
     for _, i, v in sorted(rows, key=lambda r: r[:2]):
         total += v or 0.0
         assert got[i] == pytest.approx(total)
-    assert running_sum(df.limit(0), ["t", "i"], "v", F.floor(F.col("t") / 50), "s").count() == 0
+    assert running_sum(df.limit(0), ["t", "i"], "v", "floor(t / 50)", "s").count() == 0
     events = [(rng.choice("abc"), rng.randrange(2000), i) for i in range(700)] + [("a", None, 9999)]
     got = sorted((r.k, r.i) for r in throttle(spark.createDataFrame(events, "k string, t long, i long"), ["k"], "t", "i", 40).collect())
     want, last = [], {}

@@ -123,7 +123,8 @@ def irls(x: np.ndarray, y: np.ndarray, rounds: int = 25, tol: float = 1e-6) -> n
 
 
 def fama_macbeth(betas: DataFrame) -> DataFrame:
-    """Mean, standard error and t per term over periods of (period, term, beta)."""
+    """Mean, standard error and t per term over periods of (period, term, beta); periods without a beta don't count."""
+    betas = betas.where("beta is not null and not isnan(beta)")
     g = betas.groupBy("term").agg(F.count("*").alias("periods"), F.avg("beta").alias("mean"), (F.stddev_samp("beta") / F.sqrt(F.count("*"))).alias("se"))
     return g.withColumn("t", F.when(F.col("se") > 0, F.col("mean") / F.col("se")))
 

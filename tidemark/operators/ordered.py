@@ -52,13 +52,13 @@ def excursions(path: DataFrame, by: list[str], order: list[str], bid: str, snaps
     )
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, bucket: Column, name: str) -> DataFrame:
+def running_sum(df: DataFrame, order: list[str], value: str, bucket: str, name: str) -> DataFrame:
     """df with the running sum of `value` over the whole table in `order`, without one task that reads it all.
 
-    `bucket` is a function of the first column of `order` that never falls (a day of a time, say). Sums of buckets are
+    `bucket` is an SQL expression of the first column of `order` that never falls (the day of a time, say). Sums of buckets are
     summed up first, one row a bucket; each bucket then runs on its own from the sum before it.
     """
-    x = df.withColumn("__b", bucket)
+    x = df.withColumn("__b", F.expr(bucket))
     before = F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     sums = x.groupBy("__b").agg(F.sum(value).alias("__s")).select("__b", F.coalesce(before, F.lit(0)).alias("__before"))
     inside = F.sum(value).over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))

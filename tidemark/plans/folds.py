@@ -19,7 +19,9 @@ from tidemark.registry import query
 
 
 def _calib(spark, sf):
-    return view(spark, sf, "calib").join(view(spark, sf, "decisions").select("id", "z_dist", "confidence", "move_prob", "regime").dropDuplicates(["id"]), "id")
+    """Calibration rows with their decision's features; of rows with one id the smallest counts, so that order is fixed."""
+    once = lambda df: df.groupBy("id").agg(F.min(F.struct(*[c for c in df.columns if c != "id"])).alias("r")).select("id", "r.*")
+    return once(view(spark, sf, "calib")).join(once(view(spark, sf, "decisions").select("id", "z_dist", "confidence", "move_prob", "regime")), "id")
 
 
 # a row passes 900 s after the last that passed: pointers to the next such time, followed from the first
@@ -157,8 +159,7 @@ def _irls(spark, sf):
 @query("fama_macbeth")
 def _fm(spark, sf):
     """Mean, standard error and t of the daily coefficients over days with five rows and both outcomes."""
-    b = _irls(spark, sf).where("not isnan(beta)")
-    return fama_macbeth(b)
+    return fama_macbeth(_irls(spark, sf))
 
 
 @query("oos_validation")
@@ -169,7 +170,7 @@ def _oos(spark, sf):
     over rows, all folds at once, so only a few numbers a fold reach the driver.
     """
     k = 5
-    x = running_sum(_design(spark, sf).withColumn("one", F.lit(1)), ["ts_us", "id"], "one", F.floor(F.col("ts_us") / 86_400_000_000), "i")
+    x = running_sum(_design(spark, sf).withColumn("one", F.lit(1)), ["ts_us", "id"], "one", "floor(ts_us / 86400000000e0)", "i")
     n = x.count()
     fold = F.least(F.floor((F.col("i") - 1) / F.lit(max(1, n // k))), F.lit(k - 1)).cast("int")
     x = x.select(fold.alias("fold"), *[F.col(c).cast("double").alias(c) for c in (*_X, "y")]).persist()

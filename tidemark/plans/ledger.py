@@ -8,8 +8,7 @@ from tidemark.plans.dialect import oracle, render, sql_query, view
 from tidemark.registry import query
 
 #: Running totals over a whole table go day by day (or by stretches of ids), so that no task reads the table.
-DAY = F.floor(F.col("ts_us") / 86_400_000_000)
-STRETCH = F.floor(F.col("id") / 1_000_000)
+DAY, STRETCH = "floor(ts_us / 86400000000e0)", "floor(id / 1000000e0)"
 
 sql_query("recent_rows", "select id, ts_us, market, asset, tf, side, filled, R(pnl) as pnl from settlements order by id desc limit 50")
 sql_query("recent_filled", "select id, ts_us, market, asset, side, R(fill_price) as fill_price, won, R(pnl) as pnl from settlements where filled = 1 order by id desc limit 50")
