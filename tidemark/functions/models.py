@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from typing import Any
 
 
 def sigmoid(x: float) -> float:
@@ -234,6 +235,38 @@ class Predictor:
             seen[1] += y if made["p_cal"] >= 0.5 else 1 - y
 
 
+@dataclass
+class Mirror:
+    """The latest row of each topic of a numbered feed. A gap in the numbers makes it stale: rows are left out until a
+    snapshot (a row with `snapshot` set) starts it anew."""
+
+    seq: int | None = None
+    stale: bool = False
+    gaps: int = 0
+    latest: dict[str, Any] = field(default_factory=dict)
+
+    def apply(self, seq: int, topic: str, value: Any, snapshot: bool = False) -> str:
+        """What became of a row: snapshot, applied, repeated, gap (it is the first after one) or stale."""
+        if snapshot:
+            if not self.stale and self.seq is not None and seq <= self.seq:
+                return "repeated"
+            if self.stale:
+                self.latest.clear()
+            self.seq, self.stale = seq, False
+            self.latest[topic] = value
+            return "snapshot"
+        if self.stale:
+            return "stale"
+        if self.seq is not None and seq <= self.seq:
+            return "repeated"
+        if self.seq is not None and seq != self.seq + 1:
+            self.stale, self.gaps = True, self.gaps + 1
+            return "gap"
+        self.seq = seq
+        self.latest[topic] = value
+        return "applied"
+
+
 def l2_apply(book: dict[str, dict[float, float]], kind: str, bids: list, asks: list, changes: list) -> tuple[float | None, float | None]:
     """Apply a snapshot or changes to a price-level book; (best bid, best ask). A size of zero removes a level."""
     if kind == "book":

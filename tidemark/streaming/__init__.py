@@ -1,5 +1,5 @@
 """Structured Streaming counterparts: windows, deduplication, latest-by-key sinks and keyed folds."""
 
-from tidemark.streaming.streams import bars, dedup_rounds, event_stream, fold_stream, insert_first, run_once, upsert_latest
+from tidemark.streaming.streams import bars, dedup_rounds, event_stream, fold_stream, freeze_strikes, insert_first, run_once, settle_positions, upsert_latest
 
-__all__ = ["bars", "dedup_rounds", "event_stream", "fold_stream", "insert_first", "run_once", "upsert_latest"]
+__all__ = ["bars", "dedup_rounds", "event_stream", "fold_stream", "freeze_strikes", "insert_first", "run_once", "settle_positions", "upsert_latest"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -32,21 +33,112 @@ def dedup_rounds(rounds: DataFrame, late: str = "1 hour") -> DataFrame:
     return rounds.withWatermark("ts", late).dropDuplicatesWithinWatermark(["asset", "ts"])
 
 
-def fold_stream(ticks: DataFrame, by: str, order: str, start: Callable[[], Any], step: Callable[[Any, Any], dict | None], schema: str) -> DataFrame:
+def fold_stream(ticks: DataFrame, by: str, order: str, start: Callable[[], Any], step: Callable[[Any, Any], dict | None], schema: str, idle_ms: int | None = None) -> DataFrame:
     """Keyed fold of a stream: step(state, row) in arrival order, rows of one trigger ordered by `order`.
 
-    The state is the same object that folds batches; it is pickled between triggers and checkpointed by Spark.
+    The state is the same object that folds batches; it is pickled between triggers and checkpointed by Spark. With
+    `idle_ms` (the stream then needs a watermark) a key's state goes once the watermark is so far past its last trigger.
+    A trigger's rows of one key are sorted together, so triggers bound memory (`maxFilesPerTrigger`).
     """
     names = [f.split()[0] for f in schema.split(",")]
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = pickle.loads(state.get[0]) if state.exists else start()  # noqa: S301  our own checkpoint
         rows = pd.concat(list(pdfs)).sort_values(order)
         out = [r for row in rows.itertuples(index=False) if (r := step(held, row)) is not None]
         state.update((pickle.dumps(held),))
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + idle_ms + 1)
         yield pd.DataFrame(out, columns=names)
 
-    return ticks.groupBy(by).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return ticks.groupBy(by).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout)
+
+
+def _ms(times: pd.Series) -> list[int]:
+    """Epoch milliseconds of a column of timestamps."""
+    return [int(t.timestamp() * 1000) for t in times]
+
+
+def freeze_strikes(rounds: DataFrame, grids: tuple[int, ...] = (300, 900, 3600), late: str = "10 seconds", keep: int = 600) -> DataFrame:
+    """(asset, grid_s, window_start, price, round_at, round_id): the round in effect at each window boundary, once.
+
+    rounds: (asset, ts, price, round_id) with millisecond times. A boundary is frozen when the watermark reaches it, i.e.
+    when a round `late` after it has been seen; rounds that come later than that no longer change it, but count for the
+    boundaries after it. Boundaries before an asset's first round have no strike. Of rounds with one time the first
+    stays, and takes over a round id that only a later one has. An asset's last `keep` rounds are held as state.
+    """
+    schema = "asset string, grid_s int, window_start timestamp, price double, round_at timestamp, round_id long"
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, due = pickle.loads(state.get[0]) if state.exists else ([], {})  # noqa: S301  our own checkpoint
+        for pdf in () if state.hasTimedOut else pdfs:
+            for at, price, number in zip(_ms(pdf["ts"]), pdf["price"], pdf["round_id"], strict=True):
+                number = None if pd.isna(number) else int(number)
+                i = bisect_left(known, at, key=lambda r: r[0])
+                if i < len(known) and known[i][0] == at:
+                    if known[i][2] is None:
+                        known[i] = (*known[i][:2], number)
+                else:
+                    known.insert(i, (at, float(price), number))
+        now, out = state.getCurrentWatermarkMs(), []
+        if known:
+            for g in grids:
+                w = due.setdefault(g, -(-known[0][0] // (g * 1000)) * g * 1000)
+                while w <= now:
+                    i = bisect_right(known, w, key=lambda r: r[0])
+                    if i:
+                        at, price, number = known[i - 1]
+                        out.append((key[0], g, pd.Timestamp(w, unit="ms", tz="UTC"), price, pd.Timestamp(at, unit="ms", tz="UTC"), number))
+                    w += g * 1000
+                due[g] = w
+            del known[:-keep]
+            state.update((pickle.dumps((known, due)),))
+            state.setTimeoutTimestamp(max(min(due.values()), now + 1))
+        pdf = pd.DataFrame(out, columns=["asset", "grid_s", "window_start", "price", "round_at", "round_id"])
+        yield pdf.astype({"round_id": "Int64"})
+
+    return rounds.withWatermark("ts", late).groupBy("asset").applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def settle_positions(quotes: DataFrame, open_position: Callable[[Any], Any], late: str = "0 seconds", grace_ms: int = 5000) -> DataFrame:
+    """(market, outcome_up, filled, won, pnl, tp_pnl, peak, trough, quotes): each market's position, once it has settled.
+
+    quotes: (market, ts, window_end, up_bid, up_ask, underlying). `open_position(first quote)` makes the position; quotes
+    until the window's end move it in time order. It settles when the watermark reaches the end and the grace period,
+    against the market's first price, with the last price seen until then; after that its state is gone and later quotes
+    of the market are dropped with the watermark.
+    """
+    schema = "market string, outcome_up int, filled int, won int, pnl double, tp_pnl double, peak double, trough double, quotes long"
+    names = [f.split()[0] for f in schema.split(",")]
+    some = lambda v: None if v is None or pd.isna(v) else float(v)
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else None  # noqa: S301  our own checkpoint
+        if not state.hasTimedOut:
+            rows = pd.concat(list(pdfs)).sort_values("ts")
+            for at, end, r in zip(_ms(rows["ts"]), _ms(rows["window_end"]), rows.itertuples(index=False), strict=True):
+                if held is None:
+                    held = {"position": open_position(r), "strike": float(r.underlying), "end": end, "n": 0}
+                if at <= held["end"] + grace_ms:
+                    held["last"] = float(r.underlying)
+                if at <= held["end"]:
+                    held["position"].on_quote(some(r.up_bid), some(r.up_ask))
+                    held["n"] += 1
+        done = held is not None and state.getCurrentWatermarkMs() >= held["end"] + grace_ms
+        if done:
+            p = held["position"]
+            row = p.settle(held["last"], held["strike"]) | {"market": key[0], "peak": p.peak, "trough": p.trough, "quotes": held["n"]}
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([row], columns=names).astype({"outcome_up": "Int64", "filled": "Int64", "won": "Int64"})
+        elif held is not None:
+            state.update((pickle.dumps(held),))
+            state.setTimeoutTimestamp(max(held["end"] + grace_ms, state.getCurrentWatermarkMs() + 1))
+
+    return quotes.withWatermark("ts", late).groupBy("market").applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_latest(stream: DataFrame, path: str, key: list[str], order: str) -> DataStreamWriter:
