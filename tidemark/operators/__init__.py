@@ -1,4 +1,5 @@
-"""Operators on DataFrames: as-of and range joins, ordered folds, throttles, nearest-rank picks."""
+"""Operators on DataFrames: as-of and range joins, ordered folds, throttles, nearest-rank picks; `scores` and `variance`
+hold forecast scores and realised variance."""
 
 from tidemark.operators.asof import asof_join, nearest_join, range_join
 from tidemark.operators.folds import fold_per_key

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.registry import query
 
@@ -88,6 +89,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(render(f"select * from {name}", "spark", sf_dir))
 
 
+def rounded(df: DataFrame, digits: int | dict[str, int] = 9) -> DataFrame:
+    """df with its doubles rounded, all alike or each its own way, as R() does in the SQL."""
+    places = digits if isinstance(digits, dict) else {f.name: digits for f in df.schema if f.dataType.typeName() == "double"}
+    return df.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
 def sql_query(name: str, sql: str) -> None:
     """Register a query whose plan is one SQL text in both engines."""
     query(name, render(sql, "duckdb"))(lambda spark, sf_dir: spark.sql(render(sql, "spark", sf_dir)))

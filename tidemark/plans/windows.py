@@ -1,8 +1,9 @@
 """Ordered analytics over ticks: returns, rolling and realised variance, jumps, lead-lag, volatility regimes."""
 
 from tidemark.functions import expressions as x
+from tidemark.operators import variance as v
 from tidemark.operators.ordered import excursions, seq_gaps
-from tidemark.plans.dialect import oracle, sql_query, view
+from tidemark.plans.dialect import oracle, rounded, sql_query, view
 from tidemark.registry import query
 
 #: Simple return of a price on the one before it; null where either is no positive number.
@@ -10,10 +11,18 @@ SIMPLE = "case when price > 0e0 and lag(price) over w > 0e0 then price / lag(pri
 RET = """with r as (select asset, seq, ts_us, ts_s, price, user_id, k, case when price > 0e0 and lag(price) over w > 0e0 then ln(price / lag(price) over w) end as r, ts_s - lag(ts_s) over w as dt, row_number() over w as i
   from ticks window w as (partition by asset order by ts_us, seq))"""
 
-sql_query("log_returns", RET + " select seq, asset, R(r) as r from r where r is not null")
-sql_query("simple_returns", f"select seq, asset, R({SIMPLE}) as r from ticks window w as (partition by asset order by ts_us, seq)")
+BY, ORDER = ["asset"], ["ts_us", "seq"]
+
+
+def _returns(spark, sf):
+    """Ticks with their log returns."""
+    return view(spark, sf, "ticks").withColumn("r", v.log_return("price", BY, ORDER))
+
+
+query("log_returns", oracle(RET + " select seq, asset, R(r) as r from r where r is not null"))(lambda spark, sf: rounded(_returns(spark, sf).where("r is not null").select("seq", "asset", "r")))
+query("simple_returns", oracle(f"select seq, asset, R({SIMPLE}) as r from ticks window w as (partition by asset order by ts_us, seq)"))(lambda spark, sf: rounded(view(spark, sf, "ticks").select("seq", "asset", v.simple_return("price", BY, ORDER).alias("r"))))
 sql_query("dedupe_consecutive", "select seq, asset, k from (select seq, asset, k, lag(k) over (partition by asset order by ts_us, seq) as prev from ticks) t where prev is null or k <> prev")
-sql_query("rolling_rv", RET + """ select seq, asset, count(r) over w as n, round(sum(r * r) over w, 6) as rv, round(avg(r) over w, 6) as mean from r window w as (partition by asset order by ts_us, seq rows between 119 preceding and current row)""")
+query("rolling_rv", oracle(RET + """ select seq, asset, count(r) over w as n, round(sum(r * r) over w, 6) as rv, round(avg(r) over w, 6) as mean from r window w as (partition by asset order by ts_us, seq rows between 119 preceding and current row)"""))(lambda spark, sf: rounded(v.rolling_moments(_returns(spark, sf), BY, ORDER, "r", 120).select("seq", "asset", "n", "rv", "mean"), {"rv": 6, "mean": 6}))
 sql_query("running_moments", """
 select seq, asset, count(*) over w as n, round(avg(price) over w + 1.234567e-9, 6) as mean, round(var_pop(price) over w + 1.234567e-7, 4) as var from ticks window w as (partition by asset order by ts_us, seq rows between unbounded preceding and current row)""")
 sql_query("zscore_group", """
@@ -22,30 +31,34 @@ select seq, t.asset, R(case when sd > 0e0 then (price - mu) / sd else 0e0 end) a
 sql_query("tercile_hit_rate", RET + """, n as (select asset, r, lead(r) over (partition by asset order by ts_us, seq) as nxt from r where r is not null),
 q as (select *, row_number() over (partition by asset order by abs(r), nxt) as i, count(*) over (partition by asset) as c from n where nxt is not null)
 select asset, count(*) as n, R(avg(case when r * nxt > 0e0 then 1e0 else 0e0 end)) as hit_rate from q where i > cast(floor(c * 2 / 3e0) as bigint) group by asset""")
-sql_query("bar_rv", RET + """, b as (select asset, cast(floor((i - 2) / 30e0) as bigint) as bar, r from r where r is not null)
-select asset, bar, round(sum(r * r), 9) as rv, round(sum(r), 9) as ret from b group by asset, bar having count(*) = 30""")
+query("bar_rv", oracle(RET + """, b as (select asset, cast(floor((i - 2) / 30e0) as bigint) as bar, r from r where r is not null)
+select asset, bar, round(sum(r * r), 9) as rv, round(sum(r), 9) as ret from b group by asset, bar having count(*) = 30"""))(lambda spark, sf: rounded(v.fixed_bars(_returns(spark, sf), BY, ORDER, "r", 30)))
 HAR = RET + """, b as (select asset, cast(floor((i - 2) / 30e0) as bigint) as bar, r from r where r is not null), v as (select asset, bar, sum(r * r) as rv, sum(r) as ret from b group by asset, bar having count(*) = 30),
 h as (select asset, bar, rv, avg(rv) over (partition by asset order by bar rows between 4 preceding and current row) as rv5, avg(rv) over (partition by asset order by bar rows between 21 preceding and current row) as rv22,
   case when ret < 0e0 then ret * ret else 0e0 end as lev, lead(rv) over (partition by asset order by bar) as target, row_number() over (partition by asset order by bar) as t from v)"""
-sql_query("har_design", HAR + " select asset, bar, round(rv, 7) as rv, round(rv5, 7) as rv5, round(rv22, 7) as rv22, round(lev, 7) as lev, round(target, 7) as target from h where t >= 23 and target is not null")
+query("har_design", oracle(HAR + " select asset, bar, round(rv, 7) as rv, round(rv5, 7) as rv5, round(rv22, 7) as rv22, round(lev, 7) as lev, round(target, 7) as target from h where t >= 23 and target is not null"))(
+    lambda spark, sf: rounded(v.har_features(v.fixed_bars(_returns(spark, sf), BY, ORDER, "r", 30), BY).drop("ret"), 7)
+)
 sql_query("har_slope", HAR + " select asset, count(*) as n, round(regr_slope(target, rv), 6) as slope, round(regr_intercept(target, rv), 5) as intercept, round(regr_r2(target, rv), 6) as r2 from h where target is not null group by asset")
-sql_query("rv_estimators", RET + """, m as (select asset, avg(r) as mu from r group by asset), d as (select r.asset, r.r, r.r - mu as e, lag(r.r - mu, 1) over w as e1, lag(r.r - mu, 2) over w as e2, lag(r.r - mu, 3) over w as e3 from r join m on r.asset = m.asset where r.r is not null window w as (partition by r.asset order by r.ts_us, r.seq)),
+query("rv_estimators", oracle(RET + """, m as (select asset, avg(r) as mu from r group by asset), d as (select r.asset, r.r, r.r - mu as e, lag(r.r - mu, 1) over w as e1, lag(r.r - mu, 2) over w as e2, lag(r.r - mu, 3) over w as e3 from r join m on r.asset = m.asset where r.r is not null window w as (partition by r.asset order by r.ts_us, r.seq)),
 g as (select asset, count(*) as n, sum(r * r) as rv, sum(e * e) as g0, sum(e * e1) as g1, sum(e * e2) as g2, sum(e * e3) as g3 from d group by asset)
-select asset, n, round(rv, 6) as naive, round(greatest(rv + 2e0 * g1, 0.25e0 * rv, 1e-18), 6) as ac1, round(greatest(g0 + 2e0 * (0.75e0 * g1 + 0.5e0 * g2 + 0.25e0 * g3), 0.25e0 * rv, 1e-18), 6) as kernel from g""")
+select asset, n, round(rv, 6) as naive, round(greatest(rv + 2e0 * g1, 0.25e0 * rv, 1e-18), 6) as ac1, round(greatest(g0 + 2e0 * (0.75e0 * g1 + 0.5e0 * g2 + 0.25e0 * g3), 0.25e0 * rv, 1e-18), 6) as kernel from g"""))(lambda spark, sf: rounded(v.realized_variance(_returns(spark, sf), BY, ORDER, "r"), 6))
 sql_query("sigma_ratio", RET + """, m as (select asset, avg(r) as mu from r group by asset), d as (select r.asset, r.r, (r.r - mu) * lag(r.r - mu) over (partition by r.asset order by r.ts_us, r.seq) as c from r join m on r.asset = m.asset where r.r is not null),
 g as (select asset, sum(r * r) as rv, sum(c) as c from d group by asset) select round(avg(sqrt(greatest(rv + 2e0 * c, 0.25e0 * rv) / rv)), 7) as ratio, count(*) as assets from g""")
-sql_query("bipower", RET + """, p as (select asset, r, abs(r) * abs(lag(r) over (partition by asset order by ts_us, seq)) as b from r where r is not null)
-select asset, count(*) as n, round(1.5707963267948966e0 * sum(b), 6) as bipower, round(sum(r * r), 6) as rv from p group by asset""")
+query("bipower", oracle(RET + """, p as (select asset, r, abs(r) * abs(lag(r) over (partition by asset order by ts_us, seq)) as b from r where r is not null)
+select asset, count(*) as n, round(1.5707963267948966e0 * sum(b), 6) as bipower, round(sum(r * r), 6) as rv from p group by asset"""))(lambda spark, sf: rounded(v.bipower(_returns(spark, sf), BY, ORDER, "r"), 6))
 #: Lee-Mykland with a fixed window of 50: flags of returns against the local bipower scale, Gumbel threshold at 1 %.
 JUMPS = RET + """, p as (select asset, seq, ts_us, r, abs(r) * abs(lag(r) over (partition by asset order by ts_us, seq)) as b, row_number() over (partition by asset order by ts_us, seq) as j, count(*) over (partition by asset) as n from r where r is not null),
 l as (select *, sum(b) over (partition by asset order by ts_us, seq rows between 49 preceding and 1 preceding) as s, count(b) over (partition by asset order by ts_us, seq rows between 49 preceding and 1 preceding) as c from p),
 t as (select *, ln(greatest(n - 50, 2)) as ll, sqrt(0.6366197723675814e0) as q from l where c = 49 and s > 0e0),
 f as (select *, case when (abs(r) / sqrt(s / 48e0) - (sqrt(2e0 * ll) / q - (1.1447298858494002e0 + ln(ll)) / (2e0 * q * sqrt(2e0 * ll)))) * (q * sqrt(2e0 * ll)) > 4.600149226776579e0 then 1 else 0 end as jump from t)"""
-sql_query("lee_mykland", JUMPS + " select seq, asset, round(abs(r) / sqrt(s / 48e0), 6) as stat, jump from f")
-sql_query("variance_decompose", JUMPS + """, g as (select p.asset, count(*) as n, sum(p.r * p.r) as rv, 1.5707963267948966e0 * sum(p.b) as bv, coalesce(sum(case when f.jump = 1 then p.r * p.r end), 0e0) as jv, coalesce(sum(f.jump), 0) as jumps,
+query("lee_mykland", oracle(JUMPS + " select seq, asset, round(abs(r) / sqrt(s / 48e0), 6) as stat, jump from f"))(lambda spark, sf: rounded(v.jumps(_returns(spark, sf), BY, ORDER, "r").select("seq", "asset", "stat", "jump"), 6))
+query("variance_decompose", oracle(JUMPS + """, g as (select p.asset, count(*) as n, sum(p.r * p.r) as rv, 1.5707963267948966e0 * sum(p.b) as bv, coalesce(sum(case when f.jump = 1 then p.r * p.r end), 0e0) as jv, coalesce(sum(f.jump), 0) as jumps,
   sum(case when p.r > 0e0 then p.r * p.r else 0e0 end) as up, sum(case when p.r < 0e0 then p.r * p.r else 0e0 end) as down from p left join f on p.asset = f.asset and p.seq = f.seq group by p.asset)
 select asset, n, round(rv, 6) as rv, round(bv, 6) as bv, round(jv, 6) as jv, cast(jumps as bigint) as jumps, round(up, 6) as up_semivar, round(down, 6) as down_semivar, round(jv / rv, 7) as jump_share,
-  round(case when bv > 0e0 then least(bv, greatest(rv - jv, 0e0)) else greatest(rv - jv, 0e0) end, 6) as jump_robust, round((up - down) / rv, 7) as skew from g""")
+  round(case when bv > 0e0 then least(bv, greatest(rv - jv, 0e0)) else greatest(rv - jv, 0e0) end, 6) as jump_robust, round((up - down) / rv, 7) as skew from g"""))(
+    lambda spark, sf: rounded(v.decompose(_returns(spark, sf), BY, ORDER, "seq", "r"), {**dict.fromkeys(["rv", "bv", "jv", "up_semivar", "down_semivar", "jump_robust"], 6), "jump_share": 7, "skew": 7})
+)
 sql_query("noise_robust_vol", RET + """, w as (select asset, seq, r, dt, count(r) over f as n, sum(r) over f as sr, sum(dt) over f as sdt, sum(r * r) over f as rr from r where r is not null and dt > 0e0 window f as (partition by asset order by ts_us, seq rows between 119 preceding and current row))
 select seq, asset, n, round(case when n >= 5 then sr / sdt else 0e0 end, 8) as mu, round(greatest(case when n < 3 then 1e-7 else sqrt(rr / sdt) end, 1e-7), 7) as sigma from w""")
 KAPPA = RET + """, v as (select asset, seq, ts_us, ts_s, price, r, var_samp(r) over (partition by asset order by ts_us, seq rows between 59 preceding and current row) as v60, var_samp(r) over (partition by asset order by ts_us, seq rows between 59 preceding and 30 preceding) as old30,
