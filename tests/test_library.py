@@ -14,7 +14,10 @@ import plain
 from tidemark.functions import expressions as x
 from tidemark.functions import models, statistics
 from tidemark.operators import asof_join, excursions, fold_per_key, keep_last, nearest_join, nearest_rank, range_join, running_sum, seq_gaps, systematic_sample, throttle
-from tidemark.sources import append_rows, candles, lane_config, lanes, settled_jsonl, simulated_returns, write_snapshot
+from tidemark.operators import scores, variance
+from tidemark.sources import (
+    append_rows, candle_path, candles, lane_config, lanes, settled_jsonl, simulated_autoregression, simulated_jumps, simulated_regimes, simulated_returns, write_flag, write_snapshot,
+)
 from tidemark.streaming import bars, event_stream, fold_stream, insert_first, run_once, upsert_latest
 
 
@@ -209,6 +212,69 @@ def test_regressions(spark):
     assert (r.periods, r.mean, r.t) == (3, pytest.approx(7 / 3), pytest.approx((7 / 3) / (np.std([1, 2, 4], ddof=1) / math.sqrt(3))))
 
 
+def test_generators(spark):
+    r = np.array([x.r for x in simulated_autoregression(spark, 30_000, 0.4).orderBy("i").collect()])
+    assert len(r) == 30_000 and np.corrcoef(r[1:], r[:-1])[0, 1] == pytest.approx(0.4, abs=0.03)
+    assert r.std() == pytest.approx(0.01 / math.sqrt(1 - 0.16), rel=0.05)
+    # shocks recovered from the series don't depend on each other, also where stretches meet
+    e = r[1:] - 0.4 * r[:-1]
+    assert abs(np.corrcoef(e[1:], e[:-1])[0, 1]) < 0.03 and np.abs(e).max() < 0.06
+    j = simulated_jumps(spark, 20_000).toPandas()
+    assert 10 < j.jump.sum() < 80 and (j.r.abs() > 0.06).equals(j.jump)
+    g = simulated_regimes(spark, 10_000).toPandas()
+    assert g[g.regime == 1].r.std() > 3 * g[g.regime == 0].r.std() and (g.regime.diff().abs() == 1).sum() == 19
+
+
+def test_flags_and_layouts(tmp_path):
+    flag = tmp_path / "due"
+    assert write_flag(str(flag), True, "now") and flag.read_text() == "now"
+    assert not write_flag(str(flag), False) and not flag.exists() and not write_flag(str(flag), False)
+    assert candle_path("d", "BTC") == "d/BTC/BTCUSDT_1m.csv" and candle_path("d", "ETH", {"ETH": "ETHUSDT"}) == "d/ETHUSDT_1m.csv" and candle_path("d", "X", {}) is None
+
+
+def test_scores_on_a_users_frame(spark):
+    """Any columns and groups: scores against plain formulas, with ties, one-sided groups and missing values."""
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), round(rng.random(), 1), rng.randrange(2)) for _ in range(300)] + [("c", 0.3, 1), ("c", 0.9, 1), (None, 0.2, 1), (None, 0.1, 0), ("a", None, 1)]
+    df = spark.createDataFrame(rows, "model string, prob double, hit int")
+    s = {r.model: r for r in scores.forecast_scores(df, ["model"], "prob", "hit").collect()}
+    u = {r.model: r.auc for r in scores.auc(df, ["model"], "prob", "hit", buckets=7).collect()}
+    for m in ("a", "b", "c", None):
+        part = [(p, y) for k, p, y in rows if k == m and p is not None]
+        assert s[m].n == len(part) and s[m].brier == pytest.approx(np.mean([(p - y) ** 2 for p, y in part]))
+        q = [min(max(p, 1e-6), 1 - 1e-6) for p, _ in part]
+        assert s[m].logloss == pytest.approx(-np.mean([math.log(v if y else 1 - v) for v, (_, y) in zip(q, part, strict=True)]))
+        pos, neg = [p for p, y in part if y], [p for p, y in part if not y]
+        assert u[m] == (pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg])) if pos and neg else None)
+    table = scores.reliability(df, "prob", "hit", bins=4).orderBy("bin").collect()
+    assert [r.n for r in table] == [sum(p is not None and min(int(p * 4), 3) == b for _, p, _ in rows) for b in range(4)]
+    card = {r.who: r for r in scores.scorecard(df.where("model <> 'c'").withColumnRenamed("model", "who"), p="prob", y="hit", benchmark="a").collect()}
+    assert card["a"].verdict == "benchmark" and card["b"].verdict == ("beats market" if card["b"].brier < card["a"].brier else "behind market")
+    assert scores.auc(df.limit(0), ["model"], "prob", "hit").count() == scores.forecast_scores(df.limit(0), ["model"], "prob", "hit").count() == 0
+
+
+def test_variance_on_a_users_frame(spark):
+    rng = np.random.default_rng(8)
+    r = rng.normal(0, 0.01, 900)
+    r[[300, 600]] += 0.2
+    prices = np.exp(np.cumsum(r)) * 50
+    rows = [("x", i, float(p)) for i, p in enumerate(prices)] + [("y", 0, 5.0), ("y", 1, 0.0), ("y", 2, -1.0), ("y", 3, 7.0), ("z", 0, 1.0)]
+    df = spark.createDataFrame(rows, "coin string, step long, px double").withColumn("ret", variance.log_return("px", ["coin"], ["step"]))
+    assert df.where("coin <> 'x' and ret is not null").count() == 0
+    got = np.array([x.ret for x in df.where("coin = 'x' and ret is not null").orderBy("step").collect()])
+    assert got == pytest.approx(r[1:])
+    flags = {x.step for x in variance.jumps(df, ["coin"], ["step"], "ret").where("jump = 1").collect()}
+    assert flags == {300, 600}
+    d = variance.decompose(df, ["coin"], ["step"], "step", "ret").where("coin = 'x'").first()
+    assert (d.jumps, d.rv) == (2, pytest.approx((r[1:] ** 2).sum())) and d.jv == pytest.approx(r[300] ** 2 + r[600] ** 2)
+    assert d.bv == pytest.approx(math.pi / 2 * (np.abs(r[1:-1]) * np.abs(r[2:])).sum()) and d.jump_share > 0.4
+    v = variance.realized_variance(df, ["coin"], ["step"], "ret").where("coin = 'x'").first()
+    e = got - got.mean()
+    assert v.ac1 == pytest.approx(max((got**2).sum() + 2 * (e[1:] * e[:-1]).sum(), 0.25 * (got**2).sum()))
+    bars = variance.fixed_bars(df, ["coin"], ["step"], "ret", 20)
+    assert bars.count() == 44 and variance.har_features(bars, ["coin"]).count() == 44 - 22 - 1
+
+
 def test_running_sum_and_throttle(spark):
     rng = random.Random(6)
     rows = [(rng.randrange(400), i, rng.choice([None, 1.5, -2.0, 3.0])) for i in range(300)]

@@ -97,6 +97,7 @@ select coalesce(a.asset, b.asset) as asset, coalesce(a.w, b.w) as window_us, R(c
 sql_query("round_merge", """
 with u as (select asset, ts_us, price, cast(null as bigint) as round_id, seq as arrival from ticks where k % 10 = 0 union all select asset, ts_us, price, round_id, round_id + 1000000000 as arrival from rounds)
 select asset, ts_us, R(min_by(price, arrival)) as price, max(round_id) as round_id, count(*) as seen from u group by asset, ts_us""")
+sql_query("rounds_in_order", "select asset, round_id, row_number() over (partition by asset order by ts_us, round_id) as position, R(price) as price from rounds")
 sql_query("fresh_lookup", """
 with l as (select asset, max(ts_us) as ts_us, max_by(price, ts_us) as price from ticks where k % 3 <> 0 group by asset)
 select t.seq, t.asset, case when l.ts_us - t.ts_us between 0 and 86400000000 then round(l.price, 9) end as mirror from ticks t left join l on t.asset = l.asset where t.k = 7""")

@@ -36,10 +36,18 @@ sql_query("nearest_expiries", "select id, ts_us, asset from settlements where ts
 sql_query("next_two_expiries", "select asset, id, ts_us from (select *, row_number() over (partition by asset order by ts_us, id) as k from settlements where ts_us >= (select min(ts_us) + 864000000000 from settlements)) s where k <= 2")
 sql_query("entry_filter", "select id, asset, tf from decisions where p_cal is not null and id % 20 > 0 and id % 20 <= 16 and regime not in ('high_vol/chop', 'low_vol/trend')")
 sql_query("regime_onehot", "select id, case when regime like '%high_vol%' then 1e0 else 0e0 end as high_vol, case when regime like '%trend%' then 1e0 else 0e0 end as trending from decisions")
-sql_query("two_leg_sizing", f"""
-with l as (select id, venue, p_cal, book_mid_up, least(0.97e0, book_mid_up + 0.02e0) as ask, case when id % 5 = 0 then null else 0.04e0 end as spread from decisions where decision = 'TRADE'),
-z as (select *, floor(1000e0 * 0.02e0 / book_mid_up) as pas, case when ask > 0.02e0 and ask < 0.98e0 and abs(p_cal - book_mid_up) > coalesce(spread, 0.06e0) / 2e0 + {x.venue_fee('venue', 'ask')} then floor(1000e0 * 0.01e0 / ask) else 0e0 end as agg from l)
-select id, R(pas) as passive, R(agg) as aggressive, case when pas < 1e0 and agg < 1e0 then 'SKIP' else 'TRADE' end as decision from z""")
+# a resting leg at the mid and a crossing leg at the ask, of a flat share of equity or of capped half Kelly; a leg under
+# one contract isn't placed, and the crossing one only where the edge clears half the spread and the fee
+LEGS = f"""
+with l as (select id, venue, p_cal, book_mid_up as mid, case when side = 'up' then p_cal else 1e0 - p_cal end as p, case when side = 'up' then book_mid_up else 1e0 - book_mid_up end as price,
+  case when side = 'up' then case when id % 5 = 0 then null else book_mid_up + 0.02e0 end else 1e0 - (book_mid_up - 0.02e0) end as cross_price, case when id % 5 = 0 then 0.06e0 else 0.04e0 end as spread from decisions where decision = 'TRADE'),
+c as (select *, coalesce(cross_price > 0.02e0 and cross_price < 0.98e0 and abs(p_cal - mid) > spread / 2e0 + {x.venue_fee('venue', 'cross_price')}, false) as clears from l)"""
+PLACED = """, z as (select id, {passive} as pas, case when clears then {aggressive} else 0e0 end as agg from c),
+o as (select id, case when pas >= 1e0 then pas else 0e0 end as pas, case when agg >= 1e0 then agg else 0e0 end as agg from z)
+select id, R(pas) as passive, R(agg) as aggressive, case when pas < 1e0 and agg < 1e0 then 'SKIP' else 'TRADE' end as decision from o"""
+sql_query("two_leg_sizing", LEGS + PLACED.format(passive="1000e0 * 0.02e0 / price", aggressive="1000e0 * 0.01e0 / cross_price"))
+sql_query("two_leg_kelly", LEGS + PLACED.format(passive=f"1000e0 * {x.kelly('p', 'price')} / price", aggressive=f"1000e0 * {x.kelly('p', 'cross_price', '0.01e0')} / cross_price"))
+sql_query("earliest_close", "select asset, tf, id, ts_us from (select *, row_number() over (partition by asset, tf order by ts_us, id) as k from settlements where ts_us >= (select min(ts_us) + 864000000000 from settlements)) s where k = 1")
 sql_query("control_state", """
 select id, case when id % 101 = 0 then 'ESTOP' when run <= -200e0 then 'MAXLOSS' when id % 37 = 0 then 'HALT' else 'RUN' end as state from
   (select id, sum(coalesce(pnl, 0e0)) over (partition by asset order by id rows between 19 preceding and current row) as run from settlements) s""")

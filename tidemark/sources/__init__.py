@@ -1,5 +1,41 @@
 """Sources and sinks: JSONL, CSV candles, lane files, status snapshots, append and upsert tables, synthetic series."""
 
-from tidemark.sources.files import append_json, append_rows, candles, decisions_jsonl, find_runs, lane_config, lanes, latest_rows, quotes_jsonl, settled_jsonl, simulated_returns, write_snapshot
+from tidemark.sources.files import (
+    append_json,
+    append_rows,
+    candle_path,
+    candles,
+    decisions_jsonl,
+    find_runs,
+    lane_config,
+    lanes,
+    latest_rows,
+    quotes_jsonl,
+    settled_jsonl,
+    simulated_autoregression,
+    simulated_jumps,
+    simulated_regimes,
+    simulated_returns,
+    write_flag,
+    write_snapshot,
+)
 
-__all__ = ["append_json", "append_rows", "candles", "decisions_jsonl", "find_runs", "lane_config", "lanes", "latest_rows", "quotes_jsonl", "settled_jsonl", "simulated_returns", "write_snapshot"]
+__all__ = [
+    "append_json",
+    "append_rows",
+    "candle_path",
+    "candles",
+    "decisions_jsonl",
+    "find_runs",
+    "lane_config",
+    "lanes",
+    "latest_rows",
+    "quotes_jsonl",
+    "settled_jsonl",
+    "simulated_autoregression",
+    "simulated_jumps",
+    "simulated_regimes",
+    "simulated_returns",
+    "write_flag",
+    "write_snapshot",
+]

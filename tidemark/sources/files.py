@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SETTLED = "record_type string, venue string, side string, signal_time string, market_start_time string, market_end_time string, settlement_winning_side string, model_prob_side double, raw_model_probability double, entry_price double, avg_entry_price double, entry_fee_per_contract double, fee_paid double, contracts double, quantity double, realized_pnl double"
@@ -49,6 +50,13 @@ def find_runs(folder: str, prefix: str, last: int | None = None) -> list[str]:
     return [os.path.join(folder, n) for n in (names[-last:] if last else names)]
 
 
+def candle_path(folder: str, asset: str, symbols: dict[str, str] | None = None, name: str = "BTCUSDT_1m.csv") -> str | None:
+    """Where an asset's candles are: in a folder of its own, or with `symbols` in one file a symbol (none: no candles)."""
+    if symbols is None:
+        return f"{folder}/{asset}/{name}"
+    return f"{folder}/{symbols[asset]}_1m.csv" if asset in symbols else None
+
+
 def candles(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
     """(epoch, open, close) of CSV candles from `since`; both time formats are read."""
     x = spark.read.schema("timestamp string, open double, high double, low double, close double, volume double").option("header", "true").csv(path)
@@ -93,6 +101,43 @@ def write_snapshot(doc: dict, path: str) -> None:
     os.replace(f"{path}.new", path)
 
 
+def write_flag(path: str, due: bool, text: str = "") -> bool:
+    """A marker file that is there while something is due, and gone once it isn't; whether it is there now."""
+    if due:
+        with open(path, "w") as f:
+            f.write(text)
+    elif os.path.exists(path):
+        os.remove(path)
+    return due
+
+
+def simulated_autoregression(spark: SparkSession, n: int, phi: float, seed: int = 7, sigma: float = 0.01) -> DataFrame:
+    """(i, r): returns that keep the share `phi` of the one before; a weighted sum of the shocks that still count."""
+    reach = 0 if phi == 0 else math.ceil(math.log(1e-12) / math.log(abs(phi)))
+    stretch = max(10_000, 10 * reach)
+    shocks = spark.range(-reach, n).select(F.col("id").alias("i"), (F.randn(seed) * sigma).alias("e"))
+    # stretches with the shocks before them, each a window of its own
+    x = shocks.withColumn("s", F.explode(F.sequence(F.floor(F.col("i") / stretch), F.floor((F.col("i") + reach) / stretch))))
+    weights = F.array(*[F.lit(phi**k) for k in range(reach, -1, -1)])
+    past = F.collect_list("e").over(Window.partitionBy("s").orderBy("i").rowsBetween(-reach, 0))
+    total = F.aggregate(F.zip_with(past, weights, lambda e, w: e * w), F.lit(0.0), lambda a, v: a + v)
+    return x.withColumn("r", total).where((F.col("i") >= 0) & (F.col("s") == F.floor(F.col("i") / stretch))).select("i", "r")
+
+
+def simulated_jumps(spark: SparkSession, n: int, seed: int = 7, sigma: float = 0.01, share: float = 0.002, size: float = 0.1) -> DataFrame:
+    """(i, r, jump): normal returns, of which a share carries a jump of either sign."""
+    u = F.rand(seed + 1)
+    x = spark.range(n).select(F.col("id").alias("i"), (F.randn(seed) * sigma).alias("e"), u.alias("u"))
+    jump = F.when(F.col("u") < share / 2, size).when(F.col("u") < share, -size).otherwise(0.0)
+    return x.select("i", (F.col("e") + jump).alias("r"), (F.col("u") < share).alias("jump"))
+
+
+def simulated_regimes(spark: SparkSession, n: int, length: int = 500, calm: float = 0.005, wild: float = 0.02, seed: int = 7) -> DataFrame:
+    """(i, regime, r): normal returns whose deviation changes between two regimes every `length` rows."""
+    regime = F.floor(F.col("id") / length) % 2
+    return spark.range(n).select(F.col("id").alias("i"), regime.cast("int").alias("regime"), (F.randn(seed) * F.when(regime == 1, wild).otherwise(calm)).alias("r"))
+
+
 def simulated_returns(spark: SparkSession, n: int, seed: int = 7, sigma: float = 0.01, bounce: float = 0.0) -> DataFrame:
     """(i, r): seeded normal returns, with alternating noise of size `bounce` if wanted."""
     return spark.range(n).select(F.col("id").alias("i"), (F.randn(seed) * sigma + F.when(F.col("id") % 2 == 0, bounce).otherwise(-bounce)).alias("r"))
