@@ -14,27 +14,32 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents without a language go: null texts, texts without a letter, and those that parse no better than character
+    by character. Repeated rows are judged alike; null ids stay; other columns are not read, but for `lang` in training."""
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: the one of smallest doc_id. Of rows alike in doc_id and text one
+    stays; texts without words and rows without an id are in no group and stay."""
     return jaccard.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 13 words or more that a document of smaller id has are cut out."""
+    """Passages of 13 words or more that a document of smaller id has are cut out, and documents of which nothing is left go.
+    Rows with one id don't cut each other; rows without an id neither cut nor are cut; null texts stay."""
     return substring.strip_repeats(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, with all rows of their id. Null texts and rows without an id match nothing
+    and stay; items without a text are not looked for. An empty benchmark takes nothing."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, packed into sequences of 4096 tokens."""
+    """All that is left, packed into sequences of 4096 tokens. Every row is packed, repeated ones and those without an id
+    too; a null text is one end id. The order of ties (length, id, piece) is fixed within a partition."""
     return packing.pack(docs, WORD_BPE, end_id=1, capacity=4096)
 
 

@@ -141,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
         last = r == rounds - 1 or (r > 0 and parts == 1)
         packed = stage(todo.withColumn("part", part.cast("long")).groupBy("part").applyInPandas(_pack(capacity, last), shape), "packed")
         placed = packed.where(~F.col("again"))
-        # sequence ids: the round above bit 56, then partition and bin; full pieces have the rounds' highest code
+        # sequence ids: the round (from 1) above bit 56, then partition and bin; those of full pieces stay below bit 56
         done.append(placed.select(*base.columns, (F.col("bin") + F.lit((r + 1) << 56)).alias("sequence_id"), "offset", F.lit(r + 1).alias("round"), "bound", "bins"))
         todo = packed.where("again").select(*base.columns, "bin", "offset")
         if last:
