@@ -26,11 +26,13 @@ VIEWS = {
     "decisions": """select l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber as id, MICROS(l_shipdate) as ts_us, l_orderkey as market,
   concat('A', cast(l_suppkey % 7 as string)) as asset, case when l_returnflag = 'R' then 'kalshi' else 'polymarket' end as venue,
   case l_linenumber % 5 when 0 then '5m' when 1 then '15m' when 2 then '1h' when 3 then '4h' else '1D' end as tf,
-  case when l_linestatus = 'F' then 'directional' else 'threshold' end as kind, (l_quantity - 25.5e0) / 10e0 as z_dist, l_extendedprice as spot, (l_partkey % 89 + 5.5e0) / 100e0 as book_mid_up,
+  case when l_linestatus = 'F' then 'directional' else 'threshold' end as kind, (l_quantity - 25.5e0) / 10e0 as z_dist, l_extendedprice as spot,
+    (l_partkey % 89 + 5.5e0) / 100e0 as book_mid_up,
   least(0.99e0, greatest(0.01e0, (l_partkey % 89 + 5.5e0) / 100e0 + (l_discount - 0.05e0))) as p_cal, l_tax * 5e0 as confidence, (l_suppkey % 10) / 10e0 as move_prob,
   case when l_discount > 0.05e0 then 'up' else 'down' end as side, abs(l_discount - 0.05e0) - 0.005e0 as ev,
   concat(case l_returnflag when 'A' then 'low_vol' when 'N' then 'mid_vol' else 'high_vol' end, '/', case l_linestatus when 'F' then 'trend' else 'chop' end) as regime,
-  case when abs(l_discount - 0.05e0) - 0.005e0 > 0.01e0 and l_tax > 0.01e0 and l_suppkey % 10 > 3 then 'TRADE' else 'SKIP' end as decision from lineitem""",
+  case when abs(l_discount - 0.05e0) - 0.005e0 > 0.01e0 and l_tax > 0.01e0 and l_suppkey % 10 > 3 then 'TRADE' else 'SKIP' end as decision
+  from lineitem""",
     "settlements": """select o_orderkey as id, MICROS(o_orderdate) as ts_us, o_orderkey as market, concat('A', cast(o_custkey % 7 as string)) as asset,
   case when o_custkey % 3 = 0 then 'kalshi' else 'polymarket' end as venue,
   case substr(o_orderpriority, 1, 1) when '1' then '5m' when '2' then '15m' when '3' then '1h' when '4' then '4h' else '1D' end as tf,
@@ -40,7 +42,8 @@ VIEWS = {
   case when o_orderstatus = 'P' then null else ((case when (o_orderkey * 7919) % 100 < 30 + o_custkey % 36 then 1 else 0 end) - (0.30e0 + (o_custkey % 36) / 100e0)) * (20e0 / (0.30e0 + (o_custkey % 36) / 100e0)) end as pnl,
   cast((o_orderkey * 7919 + o_custkey) % 2 as int) as outcome_up, o_totalprice as strike from orders""",
     "calib": """select id, ts_us, market, asset, tf, book_mid_up as market_mid, p_cal, case when id % 50 = 1 then null else 1e0 / (1e0 + exp(-z_dist)) end as alpha_up,
-  case when (market * 7919 + id % 100000 * 31) % 100 < 100e0 * book_mid_up + 40e0 * (p_cal - book_mid_up) then 1 else 0 end as outcome_up from decisions""",
+  case when (market * 7919 + id % 100000 * 31) % 100 < 100e0 * book_mid_up + 40e0 * (p_cal - book_mid_up) then 1 else 0 end as outcome_up
+  from decisions""",
 }
 
 

@@ -27,8 +27,13 @@ def _calib(spark, sf):
 # a row passes 900 s after the last that passed: pointers to the next such time, followed from the first
 @query("throttle", oracle("""
 with recursive f as (select asset, ts_us, min(seq) as seq from ticks group by asset, ts_us),
-n as materialized (select asset, ts_us, min(ts_us) over (partition by asset order by ts_us range between 900000000 following and unbounded following) as to_us from f),
-k as (select asset, min(ts_us) as ts_us from f group by asset union all select n.asset, n.to_us from k join n on k.asset = n.asset and k.ts_us = n.ts_us where n.to_us is not null)
+n as materialized (select asset, ts_us, min(ts_us) over (partition by asset order by ts_us range between 900000000 following and unbounded following) as to_us
+  from f),
+k as (select asset, min(ts_us) as ts_us
+  from f
+  group by asset union all select n.asset, n.to_us
+  from k join n on k.asset = n.asset and k.ts_us = n.ts_us
+  where n.to_us is not null)
 select f.asset, f.seq from k join f on k.asset = f.asset and k.ts_us = f.ts_us"""))
 def _throttle(spark, sf):
     return throttle(view(spark, sf, "ticks").select("asset", "ts_us", "seq"), ["asset"], "ts_us", "seq", 900e6)
@@ -78,11 +83,20 @@ def _prequential(spark, sf):
 
 # a level's size is that of its last change since the last snapshot; what a snapshot held counts as its changes
 @query("l2_book_fold", oracle("""
-with e as (select asset, seq, row_number() over w as i, sum(case when seq % 50 = 0 then 1 else 0 end) over w as g, seq % 50 = 0 as snap, round(0.01 + (k % 98) / 100e0, 2) as p, cast(user_id % 9 as double) as size from ticks window w as (partition by asset order by ts_us, seq)),
+with e as (select asset, seq, row_number() over w as i, sum(case when seq % 50 = 0 then 1 else 0 end) over w as g, seq % 50 = 0 as snap,
+    round(0.01 + (k % 98) / 100e0, 2) as p, cast(user_id % 9 as double) as size
+  from ticks
+  window w as (partition by asset order by ts_us, seq)),
 c as (select asset, g, i, case when p < 0.5e0 then 'bid' else 'ask' end as side, p, size from e where not snap
-  union all select asset, g, i, s.side, s.p, s.size from e, (values ('bid', 0.4e0, 10e0), ('bid', 0.39e0, 5e0), ('ask', 0.6e0, 10e0), ('ask', 0.61e0, 5e0)) as s(side, p, size) where snap),
-l as (select e.asset, e.seq, c.side, c.p, max_by(c.size, c.i) as size from e join c on e.asset = c.asset and e.g = c.g and c.i <= e.i group by e.asset, e.seq, c.side, c.p)
-select e.asset, e.seq, max(case when side = 'bid' and l.size > 0 then l.p end) as bid, min(case when side = 'ask' and l.size > 0 then l.p end) as ask from e left join l on e.asset = l.asset and e.seq = l.seq group by e.asset, e.seq"""))
+  union all select asset, g, i, s.side, s.p, s.size
+  from e, (values ('bid', 0.4e0, 10e0), ('bid', 0.39e0, 5e0), ('ask', 0.6e0, 10e0), ('ask', 0.61e0, 5e0)) as s(side, p, size)
+  where snap),
+l as (select e.asset, e.seq, c.side, c.p, max_by(c.size, c.i) as size
+  from e join c on e.asset = c.asset and e.g = c.g and c.i <= e.i
+  group by e.asset, e.seq, c.side, c.p)
+select e.asset, e.seq, max(case when side = 'bid' and l.size > 0 then l.p end) as bid, min(case when side = 'ask' and l.size > 0 then l.p end) as ask
+  from e left join l on e.asset = l.asset and e.seq = l.seq
+  group by e.asset, e.seq"""))
 def _l2(spark, sf):
     """A snapshot every 50th event, changes between: best bid and ask after each."""
 
@@ -99,11 +113,17 @@ def _l2(spark, sf):
 
 # two trades at least stay open with each asset and eight over all of them, so that both caps bind
 @query("exposure_fold", oracle("""
-with recursive x as (select id, asset, pnl, 5e0 + id % 26 as cost, row_number() over (order by ts_us, id) as i, cast(floor(ts_us / 86400000000e0) as bigint) as day from settlements where filled = 1),
+with recursive x as (select id, asset, pnl, 5e0 + id % 26 as cost, row_number() over (order by ts_us, id) as i, cast(floor(ts_us / 86400000000e0) as bigint) as day
+  from settlements
+  where filled = 1),
 d as (select day, min(i) as first from x group by day), o as (select x.*, row_number() over (partition by x.day order by i) as n from x),
-s as (select day, 0::bigint as n, 0::bigint as id, null::varchar as asset, false as blocked, 0e0 as total, map {}::map(varchar, double) as held, 1000e0 as equity from d
-  union all select s.day, o.n, o.id, o.asset, t.b, case when t.b then s.total else s.total + o.cost end, case when t.b then s.held else map_concat(s.held, map {o.asset: t.own + o.cost}) end, s.equity + o.pnl
-  from s join o on s.day = o.day and o.n = s.n + 1, lateral (select coalesce(s.held[o.asset], 0e0) as own, s.total + o.cost > 0.1e0 * s.equity or coalesce(s.held[o.asset], 0e0) + o.cost > 0.05e0 * s.equity as b) t)
+s as (select day, 0::bigint as n, 0::bigint as id, null::varchar as asset, false as blocked, 0e0 as total, map {}::map(varchar, double) as held, 1000e0 as equity
+  from d
+  union all select s.day, o.n, o.id, o.asset, t.b, case when t.b then s.total else s.total + o.cost end,
+    case when t.b then s.held else map_concat(s.held, map {o.asset: t.own + o.cost}) end, s.equity + o.pnl
+ 
+  from s join o on s.day = o.day and o.n = s.n + 1, lateral (select coalesce(s.held[o.asset], 0e0) as own,
+    s.total + o.cost > 0.1e0 * s.equity or coalesce(s.held[o.asset], 0e0) + o.cost > 0.05e0 * s.equity as b) t)
 select day, id, asset, blocked, round(total, 6) as open_cost, round(equity, 6) as equity from s where n > 0"""))
 def _exposure(spark, sf):
     """Trades of a day taken one after the other while open cost, theirs included, stays within a tenth of equity, and an

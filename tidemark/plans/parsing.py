@@ -13,17 +13,26 @@ query("systematic_sample", oracle("select asset, seq from (select asset, seq, ro
     lambda spark, sf: systematic_sample(view(spark, sf, "ticks").select("asset", "seq"), ["asset"], ["seq"], 7, 100)
 )
 sql_query("tick_fallback", """
-with s as (select seq, asset, ts_us - ts_us % 60000000 as minute, price, case when user_id % 2 = 0 then 'coinbase' else 'binance' end as source from ticks), g as (select asset, minute, max_by(price, case when source = 'coinbase' then seq end) as cb, max_by(price, case when source = 'binance' then seq end) as bn,
-  cast(sum(case when source = 'coinbase' then 1 else 0 end) as bigint) as ncb, cast(sum(case when source = 'binance' then 1 else 0 end) as bigint) as nbn from s group by asset, minute)
-select asset, minute, R(coalesce(case when ncb > 0 then cb end, case when nbn > 0 then bn end)) as price, case when ncb > 0 then 'coinbase' else 'binance' end as source from g""")
+with s as (select seq, asset, ts_us - ts_us % 60000000 as minute, price, case when user_id % 2 = 0 then 'coinbase' else 'binance' end as source
+  from ticks),
+g as (select asset, minute, max_by(price, case when source = 'coinbase' then seq end) as cb, max_by(price, case when source = 'binance' then seq end) as bn,
+  cast(sum(case when source = 'coinbase' then 1 else 0 end) as bigint) as ncb, cast(sum(case when source = 'binance' then 1 else 0 end) as bigint) as nbn
+  from s
+  group by asset, minute)
+select asset, minute, R(coalesce(case when ncb > 0 then cb end, case when nbn > 0 then bn end)) as price, case when ncb > 0 then 'coinbase' else 'binance' end as source
+  from g""")
 sql_query("topic_prefix_filter", "select seq, concat('tick.', asset, '.', cast(user_id as string)) as topic from ticks where concat('tick.', asset) like 'tick.p%'")
 sql_query("topic_parse", "select seq, split_part(t, '.', 1) as kind, split_part(t, '.', 2) as venue, substr(t, length(split_part(t, '.', 1)) + length(split_part(t, '.', 2)) + 3) as market from (select seq, concat('book.', case when user_id % 2 = 0 then 'poly' else 'kalshi' end, '.', asset, '.', cast(user_id as string)) as t from ticks) x")
 sql_query("lane_config", "select name, data_dir, flags from (values ('lane_a', 'forward_live_a', '--mode conditional'), ('lane_b', 'forward_live_b', '--kelly')) as c(name, data_dir, flags)")
 sql_query("lanes_scan", "select asset as lane, max(ts_us) as updated_us, round(1000e0 + sum(coalesce(pnl, 0e0)), 4) as equity, count(*) as open_positions from settlements group by asset")
 sql_query("calib_clamp", """
-with c as (select cast(least(9, floor(p_cal * 10e0)) as bigint) as b, count(*) + 0e0 as n, sum(outcome_up) + 0e0 as w from calib group by cast(least(9, floor(p_cal * 10e0)) as bigint))
+with c as (select cast(least(9, floor(p_cal * 10e0)) as bigint) as b, count(*) + 0e0 as n, sum(outcome_up) + 0e0 as w
+  from calib
+  group by cast(least(9, floor(p_cal * 10e0)) as bigint))
 select b, R(least(n, 200e0)) as n, R(w * least(n, 200e0) / n) as w from c""")
-BOOK = """with o as (select o_orderkey as id, 0.30e0 + o_custkey % 40 / 100e0 as y0, 0.28e0 + o_custkey % 37 / 100e0 as y1, 0.25e0 + o_orderkey % 30 / 100e0 as n0, 0.20e0 + o_orderkey % 45 / 100e0 as n1, o_orderkey % 50 + 1e0 as s0, o_custkey % 60 + 1e0 as s1 from orders)"""
+BOOK = """with o as (select o_orderkey as id, 0.30e0 + o_custkey % 40 / 100e0 as y0, 0.28e0 + o_custkey % 37 / 100e0 as y1, 0.25e0 + o_orderkey % 30 / 100e0 as n0,
+    0.20e0 + o_orderkey % 45 / 100e0 as n1, o_orderkey % 50 + 1e0 as s0, o_custkey % 60 + 1e0 as s1
+  from orders)"""
 sql_query("book_top_kalshi", BOOK + " select id, R(greatest(y0, y1)) as up_bid, R(1e0 - greatest(n0, n1)) as up_ask, R(case when y0 >= y1 then s0 else s1 end) as up_bid_size, R(case when n0 >= n1 then s1 else s0 end) as up_ask_size from o")
 sql_query("book_top_poly", BOOK + " select id, R(greatest(y0, y1)) as bid, R(least(1e0 - n0, 1e0 - n1)) as ask, R(case when y0 = greatest(y0, y1) then s0 when y1 = greatest(y0, y1) then s1 else 0e0 end) as bid_size from o")
 sql_query("strike_regex", "select c_custkey, cast(nullif(regexp_extract(concat('KXBTC-25-T', cast(c_custkey * 25 as string), '.5'), '-T([0-9.]+)$', 1), '') as double) as strike, cast(nullif(regexp_extract(concat('bitcoin-above-', cast(c_custkey as string), '-on-may'), 'above-([0-9.]+)-on', 1), '') as double) as ladder from customer")
