@@ -33,19 +33,33 @@ INDEX = "shard int, chunk int, n_null int, first_doc long, last_doc long, n_docs
 CHUNK = "shard int, chunk int, n_null int, first_doc long, last_doc long, n_docs int, n_ids long, start long, kind string, block int, bytes long, crc32 long, widths array<int>, doc_ids binary, doc_lens binary, planes array<binary>"
 
 
+#: Shifts and masks that transpose a square of 8 x 8 bits held in 64, its own inverse.
+SQUARE = [(np.uint64(k), np.uint64(m)) for k, m in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0))]
+
+
+def _transpose(octets: np.ndarray) -> np.ndarray:
+    """Bit j of byte i and bit i of byte j change places, in each 8 bytes."""
+    x = octets.view("<u8")
+    for k, mask in SQUARE:
+        t = (x ^ (x >> k)) & mask
+        x = x ^ t ^ (t << k)
+    return x.view(np.uint8)
+
+
 def to_planes(ids: np.ndarray, block: int, kind: str = "bit", level: int = 3) -> tuple[list[int], list[bytes]]:
     """Planes of each block, and all compressed planes block by block, of unsigned 32-bit ids."""
     z = zstandard.ZstdCompressor(level=level)
     widths, planes = [], []
     for at in range(0, len(ids), block):
         x = np.ascontiguousarray(ids[at : at + block], "<u4")
-        width = max(1, int(x.max()).bit_length())
+        width, n = max(1, int(x.max()).bit_length()), len(x)
+        size = (width + 7) // 8
+        rows = np.zeros((size, -(-n // 8) * 8), np.uint8)
+        rows[:, :n] = x.view(np.uint8).reshape(-1, 4)[:, :size].T
         if kind == "byte":
-            width = (width + 7) // 8
-            rows = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4)[:, :width].T)
+            width, rows = size, rows[:, :n]
         else:
-            bits = np.unpackbits(x.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-            rows = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
+            rows = _transpose(rows.ravel()).reshape(size, -1, 8).transpose(0, 2, 1).reshape(8 * size, -1)[:width]
         widths.append(width)
         planes += [z.compress(r.tobytes()) for r in rows]
     return widths, planes
@@ -60,12 +74,12 @@ def from_planes(widths: list[int], planes: list[bytes], n: int, block: int, kind
         x = out[b * block : (b + 1) * block]
         rows = np.stack([np.frombuffer(z.decompress(p), np.uint8) for p in planes[first : first + width]])
         first += width
-        if kind == "byte":
-            x.view(np.uint8).reshape(-1, 4)[:, :width] = rows.T
-        else:
-            bits = np.zeros((len(x), 32), np.uint8)
-            bits[:, :width] = np.unpackbits(rows, axis=1, bitorder="little")[:, : len(x)].T
-            x[:] = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
+        if kind == "bit":
+            size = (width + 7) // 8
+            square = np.zeros((8 * size, rows.shape[1]), np.uint8)
+            square[:width] = rows
+            rows = _transpose(np.ascontiguousarray(square.reshape(size, 8, -1).transpose(0, 2, 1)).ravel()).reshape(size, -1)[:, : len(x)]
+        x.view(np.uint8).reshape(-1, 4)[:, : len(rows)] = rows.T
     return out
 
 
