@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import short_batches
-from tidemark.llm.tokens import encoder, text_slices
+from tidemark.llm.tokens import BATCH_BYTES, encoder, text_slices
 
 INDEX = "shard int, chunk int, n_null int, first_doc long, last_doc long, n_docs int, n_ids long, start long, kind string, block int, bytes long, crc32 long, file string, row long"
 CHUNK = "shard int, chunk int, n_null int, first_doc long, last_doc long, n_docs int, n_ids long, start long, kind string, block int, bytes long, crc32 long, widths array<int>, doc_ids binary, doc_lens binary, planes array<binary>"
@@ -106,9 +106,9 @@ def _encode(tokenizer: str, end_id: int, chunk_ids: int, block: int, kind: str):
 
         held = 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in text_slices(texts):
-                for k, data in zip(keys[i:j], enc(texts[i:j]), strict=True):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for i, j in text_slices(texts, BATCH_BYTES):
+                for k, data in zip(keys[i:j], enc(texts.slice(i, j - i)), strict=True):
                     ids.append(k)
                     raw.append(data + end)
                     lens.append(len(data) // 4 + 1)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import short_batches, stage
-from tidemark.llm.tokens import encoder, text_slices
+from tidemark.llm.tokens import BATCH_BYTES, encoder, text_slices
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces packed together in one task.
@@ -85,10 +85,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, step = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in text_slices(texts):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for i, j in text_slices(texts, BATCH_BYTES):
                 out = []
-                for key, data in zip(keys[i:j], enc(texts[i:j]), strict=True):
+                for key, data in zip(keys[i:j], enc(texts.slice(i, j - i)), strict=True):
                     data += end
                     out += [(key, p, at // 4, len(x) // 4, zlib.crc32(x)) for p, at in enumerate(range(0, len(data), step)) for x in [data[at : at + step]]]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

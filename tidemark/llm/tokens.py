@@ -7,11 +7,16 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tidemark.llm.common import held
+from tidemark.llm.stretches import spread
 
 #: Stretches kept in a worker's memory; when full it starts anew. It only saves time.
-MEMORY = 500_000
+MEMORY = 800_000
+#: Bytes of text encoded at once: the more, the more often a word is met again.
+BATCH_BYTES = 4_000_000
 #: A Latin word and ASCII signs after it: two pieces to this kind of tokenizer.
 WORD_SIGNS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 
@@ -65,21 +70,41 @@ class Encoder:
             part = rest[i : i + 20_000]
             self.known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t.lower() if t and _latin(t) and "<|" not in t else t or "" for t in texts]
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        need = set().union(*parts) if parts else set()
-        new = need - self.known.keys()
-        if len(self.known) + 2 * len(new) > MEMORY:
+    def _learn(self, names: list[str]) -> None:
+        new = [w for w in names if w not in self.known]
+        if len(self.known) + len(new) > MEMORY:
             self.known = {"": b""}
-            new = need - {""}
-        apart = {c: m.groups() for c in new if c[-1] < "@" and _latin(c) and "<|" not in c and (m := WORD_SIGNS.fullmatch(c))}
-        self._encode(list(({p for m in apart.values() for p in m} | (new - apart.keys())) - self.known.keys()))
+            new = [w for w in names if w]
+        if not new:
+            return
         known = self.known
+        # of a Latin word in capitals, and of one with signs after it, what is left is perhaps known
+        latin = {w for w in new if _latin(w) and "<|" not in w}
+        small = {w: v for w in latin if (v := w.lower()) != w}
+        plain = {small.get(w, w) for w in new} - known.keys()
+        apart = {c: m.groups() for c in plain if c[-1] < "@" and (c in latin or c.isascii()) and "<|" not in c and (m := WORD_SIGNS.fullmatch(c))}
+        self._encode(list(({p for m in apart.values() for p in m} | (plain - apart.keys())) - known.keys()))
         for c, (word, signs) in apart.items():
             known[c] = known[word] + known[signs]
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        for w, v in small.items():
+            known[w] = known[v]
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        if not len(texts):
+            return []
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn(names)
+        found = list(map(self.known.__getitem__, names))
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(lens) - lens
+        lens = lens[at]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        data = ids[spread(starts[at], lens)]
+        ends = ends[parts.offsets.to_numpy()].tolist()
+        return [data[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -87,8 +112,16 @@ def encoder(path: str) -> Encoder:
     return held(("encoder", path), lambda: Encoder(path))
 
 
-def text_slices(texts: list[str | None], chars: int = 2_000_000):
-    """Index ranges of about `chars` characters, one text at least."""
+def text_slices(texts: list[str | None] | pa.Array, chars: int = 2_000_000):
+    """Index ranges of about `chars` characters (of an Arrow array: bytes), one text at least."""
+    if isinstance(texts, pa.Array):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+        i, before = 0, 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, before + chars, "right")))
+            yield i, j
+            i, before = j, int(ends[j - 1])
+        return
     i = 0
     while i < len(texts):
         j, n = i, 0
