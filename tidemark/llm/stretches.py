@@ -26,9 +26,10 @@ def stretches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     parts = pc.split_pattern(texts, " ")
     offsets = parts.offsets.to_numpy().astype(np.int64)
     coded = parts.flatten().dictionary_encode()
-    index, names = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
+    index, names = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     offsets = offsets - offsets[0]
-    loose = np.fromiter((not w or w[-1].isspace() for w in names), bool, len(names))
+    words = coded.dictionary
+    loose = pc.or_(pc.equal(words, ""), pc.not_equal(pc.utf8_rtrim_whitespace(words), words)).to_numpy(zero_copy_only=False)
     odd = loose[index]
     filled = offsets[:-1] < offsets[1:]
     odd[offsets[1:][filled] - 1] = False

@@ -16,7 +16,7 @@ from tidemark.llm.stretches import spread
 #: Stretches kept in a worker's memory; when full it starts anew. It only saves time.
 MEMORY = 800_000
 #: Bytes of text encoded at once: the more, the more often a word is met again.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 8_000_000
 #: A Latin word and ASCII signs after it: two pieces to this kind of tokenizer.
 WORD_SIGNS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 
@@ -40,9 +40,12 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # lower-case ASCII words need neither the normalizer nor the rules that set words apart
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {"": b""}
         vocabulary = self.tok.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -53,19 +56,21 @@ class Encoder:
 
     def _encode(self, some: list[str]) -> None:
         """Ids of stretches. Latin words go many to a call: each is one piece, whose last token alone ends a word."""
-        words = [w for w in some if w.isalpha() and _latin(w)]
-        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
-        rest = [w for w in some if not (w.isalpha() and _latin(w))]
-        for i in range(0, len(groups), 40):
-            part = groups[i : i + 40]
-            for group, e in zip(part, self.tok.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
-                if len(ends) != len(group):
-                    rest += group
-                    continue
-                data = ids.tobytes()
-                self.known.update(zip(group, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        ascii, latin, rest = [], [], []
+        for w in some:
+            (rest if not w.isalpha() else ascii if w.isascii() and w.islower() else latin if _latin(w) else rest).append(w)
+        for tok, words in ((self.plain, ascii), (self.tok, latin)):
+            groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+            for i in range(0, len(groups), 40):
+                part = groups[i : i + 40]
+                for group, e in zip(part, tok.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False), strict=True):
+                    ids = np.array(e.ids, "<u4")
+                    ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+                    if len(ends) != len(group):
+                        rest += group
+                        continue
+                    data = ids.tobytes()
+                    self.known.update(zip(group, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
             self.known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
@@ -81,9 +86,10 @@ class Encoder:
         # of a Latin word in capitals, and of one with signs after it, what is left is perhaps known
         latin = {w for w in new if _latin(w) and "<|" not in w}
         small = {w: v for w in latin if (v := w.lower()) != w}
-        plain = {small.get(w, w) for w in new} - known.keys()
+        plain = {v for w in new if (v := small.get(w, w)) not in known}
         apart = {c: m.groups() for c in plain if c[-1] < "@" and (c in latin or c.isascii()) and "<|" not in c and (m := WORD_SIGNS.fullmatch(c))}
-        self._encode(list(({p for m in apart.values() for p in m} | (plain - apart.keys())) - known.keys()))
+        words = {p for m in apart.values() for p in m if p not in known}
+        self._encode([*words, *(w for w in plain if w not in apart and w not in words)])
         for c, (word, signs) in apart.items():
             known[c] = known[word] + known[signs]
         for w, v in small.items():
@@ -95,7 +101,7 @@ class Encoder:
             return []
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
-        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        names, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         self._learn(names)
         found = list(map(self.known.__getitem__, names))
         lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
