@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitplanes, decontaminate, jaccard, langid, licenses, packing, preference, substring, toxicity, vectors
+from tidemark.llm import agenda, bitplanes, crosstokens, decontaminate, jaccard, langid, licenses, packing, preference, spelling, substring, toxicity, vectors
 from tidemark.llm.common import scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,18 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.report(_table(spark, sf_dir, "conversations"))
 
 
+def op11_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agenda.report(_table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstokens.report(_table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bit_planes": op2_bit_planes,
@@ -70,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_vector_graph": op8_vector_graph,
     "op10_preference": op10_preference,
+    "op11_piece_agenda": op11_piece_agenda,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_cross_tokens": op13_cross_tokens,
 }
 
 SQL: dict[str, str] = {
