@@ -27,10 +27,10 @@ from tidemark.llm.common import held, short_batches, stage
 from tidemark.llm.stretches import joined, spread, stretches
 
 #: Bytes of text in a block (or one longer text), and stretches that a worker remembers.
-BLOCK_BYTES = 8_000_000
-MEMORY = 800_000
+BLOCK_BYTES = 4_000_000
+MEMORY = 400_000
 #: Characters of stretches whose tokens are aligned at once.
-AXIS_CHARS = 1_000_000
+AXIS_CHARS = 300_000
 
 #: Group number of each token: how many ends both sides have in common before it.
 NUMBERED = """
