@@ -118,3 +118,13 @@ def test_without_prefilter(spark, monkeypatch):
     bench = spark.createDataFrame([(1, LONG)], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "MOST_WINDOWS", 3)
     assert [r.doc_id for r in decontaminate.leaks(docs, bench).collect()] == [1]
+
+
+def test_documents_that_meet_many_items(spark, monkeypatch):
+    """Items that share a window: a document's hits are dealt to rows of a few items, and each is judged."""
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    tail = "the river keeper counted the barrels near the mill before the flood came"
+    bench = spark.createDataFrame([(k, f"{tail} {chr(97 + k % 26) * 5} {chr(97 + k // 26) * 6}") for k in range(100)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {tail} and went"), (2, "nothing of this kind was ever written down here by anyone")], "doc_id long, text string")
+    got = decontaminate.leaks(docs, bench).collect()
+    assert {r.doc_id for r in got} == {1} and {r.item_id for r in got} == set(range(100))

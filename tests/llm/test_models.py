@@ -83,7 +83,7 @@ def test_very_long_and_very_short_vectors(spark):
 
 
 def test_recall_below_target_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "_audit", lambda *a: 0.5)
+    monkeypatch.setattr(vectors, "_audit", lambda *a: (0.5, 9))
     df = spark.createDataFrame([(i, [1.0, 0.01 * i], 0) for i in range(4)], "vec_id long, embedding array<float>, label int")
     with pytest.raises(RuntimeError, match="recall 0.5"):
         vectors.near_duplicates(df)
@@ -187,3 +187,23 @@ def test_toxicity_edges(spark):
     assert got.count() == 6 and got.where("score between 0 and 0.1 and predicted = 0").count() == 6
     assert got.where("held_out is null").count() == 0
     assert toxicity.report(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_audit_can_fail(spark):
+    """Rare links, of which some are lost: the sample meets them; without a link the share is null."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8))
+    x[1::100] = x[::100] + 1e-6
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(7, k, 1, v.tolist()) for k, v in enumerate(x)], "shard long, node long, copies long, vec array<double>")
+    found = [(k, 1) for c in range(0, 600, 100) for k in (c, c + 1)]
+    frame = lambda some: spark.createDataFrame(some, "node long, links long")
+    assert vectors._audit(rows, frame(found), 0.98, 40)[0] == 1.0
+    share, met = vectors._audit(rows, frame([(k, 1) for k, _ in found[1:]]), 0.98, 2000)
+    assert met == 12 and share == 11 / 12
+    assert vectors._audit(rows.where("node % 100 > 1"), frame([]), 0.98, 40) == (None, 0)
+
+
+def test_vectors_without_links_say_that_nothing_was_met(spark):
+    docs = spark.createDataFrame([(k, [float(k == j) for j in range(4)], 0) for k in range(4)], "vec_id long, embedding array<double>, label int")
+    assert {(r.audited_recall, r.audited_links, r.n_links) for r in vectors.near_duplicates(docs).collect()} == {(None, 0, 0)}

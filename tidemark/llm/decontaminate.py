@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import release, short_batches, stage
@@ -44,6 +44,8 @@ LATIN = re.compile(r"[0-9²³¹¼½¾]+(?:[.,:/][0-9²³¹¼½¾]+)*|[^\W\d_²³
 WINDOW = 8
 #: Windows of benchmark templates that may be sent to every executor; with more, windows are not prefiltered.
 MOST_WINDOWS = 1_000_000
+#: Items that one row of a document's hits holds at most, with their texts.
+HITS = 50
 #: Aligned tokens that make a leak also below the share asked for.
 LONG = 13
 #: Share of an item's words (not slots) from which on slots need not agree.
@@ -386,7 +388,9 @@ def leaks(docs: DataFrame, bench: DataFrame, width: int = WINDOW, coverage: floa
     found = keyed.mapInArrow(_windows(widths, hashes), "doc_id long, pos int, h long")
     hit = found.join(table, "h").select("doc_id", "item", (F.col("pos") - F.col("at")).alias("d"))
     hit = hit.groupBy("doc_id", "item").agg(F.collect_set("d").alias("diagonals"))
-    hit = hit.join(items, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "diagonals")).alias("hits"))
+    # a document that meets very many items has a row for each HITS of them
+    part = F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("item")) - 1) / HITS)
+    hit = hit.withColumn("part", part).join(items, "item").groupBy("doc_id", "part").agg(F.collect_list(F.struct("item_id", "item_text", "diagonals")).alias("hits")).drop("part")
     # written first: Spark then knows its size, and sends it to the texts or shuffles both
     hit = stage(hit, "hits")
     judge = _judge(width, coverage)

@@ -184,26 +184,25 @@ def held_out(doc_id: Column) -> Column:
 def training_text(docs: DataFrame, per_language: int = 150, letters: int = 30_000) -> dict[str, str]:
     """Training text of each language from a bounded sample of labelled documents that are not held out.
 
-    About 2 * `per_language` documents a language, those of smallest id hash, give words until there are `letters`
-    characters, so no more than so many are read of each. Depends on ids, languages and texts alone; of rows with one
-    id and language the smallest text counts.
+    Of documents of up to `letters` characters, about 2 * `per_language` a language, those of smallest id hash, are
+    taken whole until there are `letters` characters; a language that has only longer ones is learned from its
+    shortest. Depends on ids, languages and texts alone; of rows with one id and language the smallest text counts.
     """
-    x = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
+    labelled = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
+    x = labelled.where(F.length("text") <= letters)
     counts = {r["lang"]: r["count"] for r in x.groupBy("lang").count().collect()}
-    if not counts:
+    longer = [r["lang"] for r in labelled.select("lang").distinct().collect() if r["lang"] not in counts]
+    rows = [(r["lang"], 0, r["b"]["text"]) for r in labelled.where(F.col("lang").isin(longer)).groupBy("lang").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("b")).collect()] if longer else []
+    if not counts and not rows:
         return {}
-    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 2.0 * per_language / n))])
+    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 2.0 * per_language / n))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
     hashed = F.xxhash64("doc_id")
-    rows = x.where(F.pmod(hashed, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).groupBy("lang", hashed.alias("h")).agg(F.min(F.substring("text", 1, letters)).alias("text")).collect()
+    rows += [tuple(r) for r in x.where(F.pmod(hashed, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).groupBy("lang", hashed.alias("h")).agg(F.min("text").alias("text")).collect()]
     out: dict[str, list[str]] = {}
-    for r in sorted(rows):
-        words = out.setdefault(r["lang"], [])
-        size = sum(map(len, words)) + len(words)
-        for w in WORD.findall(r["text"].lower()):
-            if size >= letters:
-                break
-            words.append(w)
-            size += len(w) + 1
+    for lang, _, text in sorted(rows):
+        words = out.setdefault(lang, [])
+        if sum(map(len, words)) + len(words) < letters:
+            words += WORD.findall(text.lower())
     return {lang: f" {' '.join(words)} " for lang, words in out.items()}
 
 

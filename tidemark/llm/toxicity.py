@@ -29,8 +29,8 @@ WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 16
 DIM, HIDDEN, ATTEND = 6, 12, 8
 #: Labelled rows of each class that training reads at most; more labels don't change the model's cost.
 PER_CLASS = 1500
-#: Characters of a labelled text that training reads at most; scores read whole texts.
-MOST_CHARS = 200_000
+#: Characters of a class's texts at which training takes no further one; each is read whole.
+MOST_CHARS = 20_000_000
 #: Words whose projected inputs a worker remembers; when full it starts anew.
 MEMORY = 150_000
 EMPTY_LOGIT = -20.0
@@ -335,7 +335,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 5, b
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
     """A bounded sample of labelled texts: of each class the `per_class` ids of smallest hash among those not held out, one
-    text each (the smallest of rows with one id) and MOST_CHARS characters of it."""
+    whole text each (the smallest of rows with one id), as far as texts don't exceed MOST_CHARS characters together. A
+    longer first text is taken all the same, as a class needs one."""
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     rows = [r for c in (0, 1) for r in y.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class).collect()]
@@ -343,8 +344,15 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
         return [], []
     few = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in rows], "doc_id long, toxic int")
     # at most 2 * per_class rows
-    got = docs.where("text is not null").select("doc_id", F.substring("text", 1, MOST_CHARS).alias("text")).join(F.broadcast(few), "doc_id")
-    got = got.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    mine = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    sizes = {(r["doc_id"], r["toxic"]): r["n"] for r in mine.groupBy("doc_id", "toxic").agg(F.length(F.min("text")).alias("n")).collect()}
+    taken, total = [], {0: 0, 1: 0}
+    for r in rows:
+        n = sizes.get((r["doc_id"], int(r["toxic"])))
+        if n is not None and (not total[int(r["toxic"])] or total[int(r["toxic"])] + n <= MOST_CHARS):
+            taken.append(r["doc_id"])
+            total[int(r["toxic"])] += n
+    got = mine.where(F.col("doc_id").isin(taken)).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in got], [r["toxic"] for r in got]
 

@@ -337,11 +337,16 @@ def _search(members: DataFrame, vectors: DataFrame, visits: DataFrame, threshold
     return links, edges
 
 
-def _audit(rows: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
-    """Share of true links of a bounded sample of nodes that were found, by comparing them with all vectors."""
-    sample = rows.select("shard", "node", "vec").orderBy(F.xxhash64("node", F.lit(5))).limit(queries).toPandas()
+def _audit(rows: DataFrame, links: DataFrame, threshold: float, queries: int) -> tuple[float | None, int]:
+    """(share of true links of a bounded sample of nodes that were found, true links met), by comparing the sample with all
+    vectors. Half of it is drawn from all nodes, half from those that were found to have links, as links may be rare. The
+    share is None if no link was met."""
+    order, few = F.xxhash64("node", F.lit(5)), max(1, queries // 2)
+    all_of = rows.select("shard", "node", "vec")
+    linked = all_of.join(links.select("node").distinct(), "node", "left_semi").select("shard", "node", "vec")
+    sample = pd.concat([x.orderBy(order).limit(few).toPandas() for x in (all_of, linked)]).drop_duplicates("node")
     if not len(sample):
-        return 1.0
+        return None, 0
     asked = {label: (part["node"].to_numpy(), _matrix(part["vec"])) for label, part in sample.groupby("shard")}
     b = rows.sparkSession.sparkContext.broadcast(asked)
 
@@ -355,18 +360,19 @@ def _audit(rows: DataFrame, links: DataFrame, threshold: float, queries: int) ->
 
     true = rows.select("shard", "node", "copies", "vec").mapInPandas(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     both = true.join(links.groupBy("node").agg(F.sum("links").alias("found")), "node", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("found", F.lit(0)))).alias("found")).first()
-    return 1.0 if not both["n"] else both["found"] / both["n"]
+    return (both["found"] / both["n"], both["n"]) if both["n"] else (None, 0)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.99, queries: int = 256, overlap: int = 3) -> DataFrame:
-    """(vec_id, n_links, component_id, kept, audited_recall) of each row of vectors(vec_id, embedding, label).
+    """(vec_id, n_links, component_id, kept, audited_recall, audited_links) of each row of vectors(vec_id, embedding, label).
 
     Only vectors with one label, not null, are compared. A vector that is null or zero or holds null or non-finite
     components has no links and is its own component. Identical vectors are linked with each other. Repeated rows count
     as vectors of their own; rows with one vec_id share a component id if linked. Extra columns are not read; an empty
     table gives no rows. `kept` marks the smallest vec_id of each component. `audited_recall` is the share of true links
-    of a sample of `queries` vectors that was found; below `recall` the shards are cut anew with twice the overlap, and
-    after the third such attempt an error is raised.
+    of a sample of `queries` vectors that was found, null if the sample has none; `audited_links` is their number. Below
+    `recall` the shards are cut anew with twice the overlap, and after the third such attempt an error is raised.
+    Identical vectors are told by a hash, whose collision is an error.
     """
     size = F.size("embedding")
     real = F.expr("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
@@ -375,7 +381,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     vec = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
     base = v.where(good).select("vec_id", vec.alias("vec"), F.xxhash64("label", size).alias("shard"))
     base = stage(base.withColumn("key", F.xxhash64("shard", "vec", F.hash("vec"))), "vectors")
-    nodes = stage(base.groupBy("shard", "key").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("vec").alias("vec")).withColumn("node", F.xxhash64("shard", "key")).drop("key"), "nodes")
+    nodes = stage(base.groupBy("shard", "key").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.when(F.min("vec") == F.max("vec"), F.min("vec")).otherwise(F.raise_error(F.lit("two vectors have one hash"))).alias("vec")).withColumn("node", F.xxhash64("shard", "key")).drop("key"), "nodes")
     for attempt in range(3):
         seats, visits = _shards(nodes.select("shard", "node", "copies", "vec"), overlap)
         seats = stage(seats, "seats")
@@ -386,8 +392,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
         lists = built.groupBy("node").agg(F.array_distinct(united).alias("e")).select("node", *[F.col(f"e.{c}").alias(c) for c in ("near", "homes", "cosines")])
         members = stage(seats.where("home").select("shard", "node", "copies", "vec").join(lists, "node"), "members")
         links, edges = _search(members, nodes.select("node", "vec"), visits, threshold)
-        share = _audit(nodes, links, threshold, queries)
-        if share >= recall:
+        share, met = _audit(nodes, links, threshold, queries)
+        if share is None or share >= recall:
             break
         if attempt == 2:
             raise RuntimeError(f"audited recall {share:.4f} is below {recall} also with {overlap} shards a vector")
@@ -401,7 +407,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     near = near.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     named = base.select("vec_id", F.xxhash64("shard", "key").alias("node")).join(near, "node").select("vec_id", "n_links", "component_id")
     rest = v.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    named = named.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumn("audited_recall", F.lit(float(share)))
+    named = named.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumns({"audited_recall": F.lit(share).cast("double"), "audited_links": F.lit(met).cast("long")})
     out = stage(named, "named")
     for x in (base, nodes, seats, members, links, edges):
         unstage(x)
