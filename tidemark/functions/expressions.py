@@ -50,11 +50,20 @@ def entropy(p: str) -> str:
     return f"(-({q} * ln({q}) + (1e0 - {q}) * ln(1e0 - {q})) / ln(2e0))"
 
 
-def digital_prob(spot: str, strike: str, sigma: str, tau: str, mu: str = "0e0") -> str:
-    """P(spot ends over strike) of a lognormal with per-second drift and volatility; 0.5 for degenerate inputs, clamped by 1e-6."""
-    d = f"((ln({spot} / {strike}) + ({mu} - {sigma} * {sigma} / 2e0) * {tau}) / ({sigma} * sqrt({tau})))"
+def digital_z(spot: str, strike: str, sigma: str, tau: str, mu: str = "0e0") -> str:
+    """Deviations that a lognormal's end lies over the strike, with per-second drift and volatility; null for degenerate inputs."""
     ok = f"{spot} > 0e0 and {strike} > 0e0 and {sigma} > 0e0 and {tau} > 0e0"
-    return f"(case when {ok} then {clamp(normal_cdf(d), '1e-6', '1e0 - 1e-6')} else 0.5e0 end)"
+    return f"(case when {ok} then (ln({spot} / {strike}) + ({mu} - {sigma} * {sigma} / 2e0) * {tau}) / ({sigma} * sqrt({tau})) end)"
+
+
+def digital_of(z: str) -> str:
+    """Probability of `digital_z`: 0.5 for degenerate inputs, clamped by 1e-6. It uses z many times, so a query binds z to a column first."""
+    return f"(case when {z} is not null then {clamp(normal_cdf(z), '1e-6', '1e0 - 1e-6')} else 0.5e0 end)"
+
+
+def digital_prob(spot: str, strike: str, sigma: str, tau: str, mu: str = "0e0") -> str:
+    """P(spot ends over strike) as one expression, for short inputs."""
+    return digital_of(digital_z(spot, strike, sigma, tau, mu))
 
 
 def bridge_prob(spot: str, strike: str, sigma: str, minutes: str) -> str:

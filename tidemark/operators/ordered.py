@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import running_totals
+
 
 def seq_gaps(df: DataFrame, by: list[str], seq: str) -> DataFrame:
     """Rows whose sequence number isn't the previous one plus one, with the numbers missing before them."""
@@ -52,17 +54,14 @@ def excursions(path: DataFrame, by: list[str], order: list[str], bid: str, snaps
     )
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, bucket: str, name: str) -> DataFrame:
-    """df with the running sum of `value` over the whole table in `order`, without one task that reads it all.
+def running_sum(df: DataFrame, order: list[str], value: str, bucket: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """df with the running sum of `value` in `order`, over the whole table or each key, without one task that reads it all.
 
     `bucket` is an SQL expression of the first column of `order` that never falls (the day of a time, say). Sums of buckets are
-    summed up first, one row a bucket; each bucket then runs on its own from the sum before it.
+    summed up first, one row a bucket; each bucket then runs on its own from the sum before it. Rows without a bucket, as
+    their first order column is null, come first; every row stays.
     """
-    x = df.withColumn("__b", F.expr(bucket))
-    before = F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    sums = x.groupBy("__b").agg(F.sum(value).alias("__s")).select("__b", F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.sum(value).over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return x.join(sums, "__b").withColumn(name, F.col("__before") + F.coalesce(inside, F.lit(0))).drop("__b", "__before")
+    return running_totals(df, by or [], order, {name: F.col(value)}, bucket)
 
 
 def throttle(df: DataFrame, by: list[str], time: str, seq: str, least_gap: float) -> DataFrame:

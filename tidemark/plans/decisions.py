@@ -84,7 +84,9 @@ select d.name, coalesce(u.v, d.v) as v from d left join u on d.name = u.name""")
 sql_query("sigmoid_logit", f"select id, R({x.sigmoid('z_dist')}) as s, R({x.logit('p_cal')}) as l from decisions")
 sql_query("entropy", f"select id, R({x.entropy('p_cal')}) as h from decisions")
 sql_query("normal_cdf", f"select id, R({x.normal_cdf('z_dist')}) as phi, R({x.normal_cdf('(z_dist * 4e0)')}) as phi4 from decisions")
-sql_query("digital_prob", f"select id, R({x.digital_prob('spot', '(spot * (1e0 + z_dist / 100e0))', '(0.0001e0 + confidence / 1e3)', '(60e0 + id % 900)')}) as p from decisions")
+sql_query("digital_prob", f"""with i as (select id, spot, spot * (1e0 + z_dist / 100e0) as strike, 0.0001e0 + confidence / 1e3 as sigma, 60e0 + id % 900 as tau from decisions),
+z as (select id, {x.digital_z('spot', 'strike', 'sigma', 'tau')} as z from i)
+select id, R({x.digital_of('z')}) as p from z""")
 sql_query("bridge_prob", f"select id, R({x.bridge_prob('spot', '(spot * (1e0 + z_dist / 200e0))', '(0.001e0 + confidence / 1e2)', '(id % 15 + 0e0)')}) as p from decisions")
 sql_query("venue_fee", f"select id, R({x.venue_fee('venue', 'book_mid_up')}) as fee, R({x.taker_fee('book_mid_up')}) as taker from decisions")
 sql_query("kelly", f"select id, R({x.kelly('p_cal', 'book_mid_up')}) as capped, R({x.kelly('p_cal', 'book_mid_up', '0.25e0', '1e0')}) as wide from decisions")

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import expressions as x
-from tidemark.operators import running_sum
-from tidemark.plans.dialect import oracle, render, sql_query, view
+from tidemark.operators import breach, drawdown, running_sum, running_totals, scan
+from tidemark.plans.dialect import oracle, render, rounded, sql_query, view
 from tidemark.registry import query
 
 #: Running totals over a whole table go day by day (or by stretches of ids), so that no task reads the table.
@@ -75,17 +75,32 @@ select R(up_rate) as up_rate, R(last_rate) as last_rate, days, R(falling) as fal
 query("equity_curve", oracle("select id, round(1000e0 + sum(coalesce(pnl, 0e0)) over (order by ts_us, id rows between unbounded preceding and current row), 4) as equity from settlements where filled = 1"))(
     lambda spark, sf: running_sum(view(spark, sf, "settlements").where("filled = 1").select("id", "ts_us", "pnl"), ["ts_us", "id"], "pnl", DAY, "run").select("id", F.round(F.lit(1000.0) + F.col("run"), 4).alias("equity"))
 )
-sql_query("equity_curve_calc", """
+query("equity_curve_calc", oracle("""
 select id, asset, round(sum(coalesce(pnl, 0e0)) over w, 4) as cum_pnl, count(*) over w as settled_seq, R(avg(won) over w) as winrate,
     R(avg(cast(filled as double)) over w) as fill_rate
   from settlements
-window w as (partition by asset order by ts_us, id rows between unbounded preceding and current row)""")
+window w as (partition by asset order by ts_us, id rows between unbounded preceding and current row)"""))(
+    lambda spark, sf: running_totals(view(spark, sf, "settlements"), ["asset"], ["ts_us", "id"], {"pnls": F.col("pnl"), "settled_seq": F.lit(1), "wins": F.col("won"), "known": F.when(F.col("won").isNotNull(), 1), "fills": F.col("filled")}, DAY)
+    .selectExpr("id", "asset", "round(pnls, 4) as cum_pnl", "settled_seq", "round(case when known > 0 then wins / known end, 9) as winrate", "round(fills / settled_seq, 9) as fill_rate")
+)
 TP = """with t as (select *, case when won = 1 or (id * 31) % 4 = 0 then 1 else 0 end as tp_exited,
   case when filled = 1 and (won = 1 or (id * 31) % 4 = 0) then (0.9e0 - fill_price) * (20e0 / fill_price) when filled = 1 then pnl end as tp_pnl
   from settlements)"""
-sql_query("tp_curve", TP + """ select id, asset, round(100e0 + sum(tp_pnl) over (partition by asset order by ts_us, id rows between unbounded preceding and current row), 4) as tp_cum_pnl
+query("tp_curve", oracle(TP + """ select id, asset, round(100e0 + sum(tp_pnl) over (partition by asset order by ts_us, id rows between unbounded preceding and current row), 4) as tp_cum_pnl
   from t
-  where tp_pnl is not null""")
+  where tp_pnl is not null"""))(
+    lambda spark, sf: scan(spark.sql(render(TP + " select id, asset, ts_us, tp_pnl from t where tp_pnl is not null", "spark", sf)), ["asset"], ["ts_us", "id"], drawdown("tp_pnl"), DAY)
+    .selectExpr("id", "asset", "round(100e0 + cum, 4) as tp_cum_pnl")
+)
+query("equity_drawdown", oracle("""
+with c as (select asset, ts_us, id, sum(coalesce(pnl, 0e0)) over (partition by asset order by ts_us, id rows between unbounded preceding and current row) as cum
+  from settlements),
+p as (select *, greatest(0e0, max(cum) over (partition by asset order by ts_us, id rows between unbounded preceding and current row)) as peak from c)
+select id, asset, round(cum, 4) as cum, round(peak, 4) as peak, round(peak - cum, 4) as drawdown,
+    round(max(peak - cum) over (partition by asset order by ts_us, id rows between unbounded preceding and current row), 4) as worst
+  from p"""))(
+    lambda spark, sf: rounded(scan(view(spark, sf, "settlements").select("id", "asset", "ts_us", "pnl"), ["asset"], ["ts_us", "id"], drawdown("pnl"), DAY).select("id", "asset", "cum", "peak", "drawdown", "worst"), 4)
+)
 TP_TOTALS = "select cast(sum(tp_exited) as bigint) as exits, count(tp_pnl) as settled, cast(sum(case when tp_pnl > 0e0 then 1 else 0 end) as bigint) as wins, round(max_by(cum, id), 3) as last_cum from {c}"
 query("tp_totals", oracle(TP + ", c as (select *, sum(tp_pnl) over (order by ts_us, id rows between unbounded preceding and current row) as cum from t where tp_pnl is not null) " + TP_TOTALS.format(c="c")))(
     lambda spark, sf: spark.sql(TP_TOTALS, c=running_sum(spark.sql(render(TP + " select id, ts_us, tp_exited, tp_pnl from t where tp_pnl is not null", "spark", sf)), ["ts_us", "id"], "tp_pnl", DAY, "cum"))
@@ -94,12 +109,15 @@ sql_query("tp_ledger", TP + """ select asset, tp_exited, count(*) as n, round(su
   from t
   where filled = 1
   group by asset, tp_exited""")
-sql_query("maxloss_trip", """
+query("maxloss_trip", oracle("""
 with r as (select *, ts_us - ts_us % 86400000000 as day, sum(coalesce(pnl,
     0e0)) over (partition by ts_us - ts_us % 86400000000 order by id rows between unbounded preceding and current row) as run
   from settlements),
 b as (select *, row_number() over (partition by day order by id) as k from r where run <= -40e0)
-select day, id, round(run, 4) as day_pnl, 40e0 as loss_limit from b where k = 1""")
+select day, id, round(run, 4) as day_pnl, 40e0 as loss_limit from b where k = 1"""))(
+    lambda spark, sf: scan(view(spark, sf, "settlements").selectExpr("id", "ts_us - ts_us % 86400000000 as day", "pnl"), ["day"], ["id"], breach("pnl", 40.0), STRETCH)
+    .where("first").selectExpr("day", "id", "round(run, 4) as day_pnl", "40e0 as loss_limit")
+)
 query("error_streak", oracle("""
 with e as (select id, filled, sum(filled) over (order by id rows between unbounded preceding and current row) as isle from settlements),
 s as (select isle, count(*) as streak, min(id) as first_id, max(id) as last_id from e where filled = 0 group by isle)

@@ -1,6 +1,9 @@
 """Ordered analytics over ticks: returns, rolling and realised variance, jumps, lead-lag, volatility regimes."""
 
+from pyspark.sql import functions as F
+
 from tidemark.functions import expressions as x
+from tidemark.operators import decayed, scan, windowed
 from tidemark.operators import variance as v
 from tidemark.operators.ordered import excursions, seq_gaps
 from tidemark.plans.dialect import oracle, rounded, sql_query, view
@@ -13,19 +16,23 @@ RET = """with r as (select asset, seq, ts_us, ts_s, price, user_id, k, case when
   from ticks window w as (partition by asset order by ts_us, seq))"""
 
 BY, ORDER = ["asset"], ["ts_us", "seq"]
+#: Rows of a key are numbered day by day, then cut into parts of equal size.
+CUT = {"bucket": "floor(ts_us / 86400000000e0)"}
 
 
 def _returns(spark, sf):
     """Ticks with their log returns."""
-    return view(spark, sf, "ticks").withColumn("r", v.log_return("price", BY, ORDER))
+    return v.log_returns(view(spark, sf, "ticks"), BY, ORDER, "price", **CUT)
 
 
 query("log_returns", oracle(RET + " select seq, asset, R(r) as r from r where r is not null"))(lambda spark, sf: rounded(_returns(spark, sf).where("r is not null").select("seq", "asset", "r")))
-query("simple_returns", oracle(f"select seq, asset, R({SIMPLE}) as r from ticks window w as (partition by asset order by ts_us, seq)"))(lambda spark, sf: rounded(view(spark, sf, "ticks").select("seq", "asset", v.simple_return("price", BY, ORDER).alias("r"))))
-sql_query("dedupe_consecutive", "select seq, asset, k from (select seq, asset, k, lag(k) over (partition by asset order by ts_us, seq) as prev from ticks) t where prev is null or k <> prev")
+query("simple_returns", oracle(f"select seq, asset, R({SIMPLE}) as r from ticks window w as (partition by asset order by ts_us, seq)"))(lambda spark, sf: rounded(v.simple_returns(view(spark, sf, "ticks"), BY, ORDER, "price", **CUT).select("seq", "asset", "r")))
+query("dedupe_consecutive", oracle("select seq, asset, k from (select seq, asset, k, lag(k) over (partition by asset order by ts_us, seq) as prev from ticks) t where prev is null or k <> prev"))(
+    lambda spark, sf: v.changed(view(spark, sf, "ticks").select("seq", "asset", "ts_us", "k"), BY, ORDER, "k", **CUT).select("seq", "asset", "k")
+)
 query("rolling_rv", oracle(RET + """ select seq, asset, count(r) over w as n, round(sum(r * r) over w, 6) as rv, round(avg(r) over w, 6) as mean
   from r
-  window w as (partition by asset order by ts_us, seq rows between 119 preceding and current row)"""))(lambda spark, sf: rounded(v.rolling_moments(_returns(spark, sf), BY, ORDER, "r", 120).select("seq", "asset", "n", "rv", "mean"), {"rv": 6, "mean": 6}))
+  window w as (partition by asset order by ts_us, seq rows between 119 preceding and current row)"""))(lambda spark, sf: rounded(v.rolling_moments(_returns(spark, sf), BY, ORDER, "r", 120, **CUT).select("seq", "asset", "n", "rv", "mean"), {"rv": 6, "mean": 6}))
 sql_query("running_moments", """
 select seq, asset, count(*) over w as n, round(avg(price) over w + 1.234567e-9, 6) as mean, round(var_pop(price) over w + 1.234567e-7, 4) as var
   from ticks
@@ -42,7 +49,7 @@ select asset, count(*) as n, R(avg(case when r * nxt > 0e0 then 1e0 else 0e0 end
   where i > cast(floor(c * 2 / 3e0) as bigint)
   group by asset""")
 query("bar_rv", oracle(RET + """, b as (select asset, cast(floor((i - 2) / 30e0) as bigint) as bar, r from r where r is not null)
-select asset, bar, round(sum(r * r), 9) as rv, round(sum(r), 9) as ret from b group by asset, bar having count(*) = 30"""))(lambda spark, sf: rounded(v.fixed_bars(_returns(spark, sf), BY, ORDER, "r", 30)))
+select asset, bar, round(sum(r * r), 9) as rv, round(sum(r), 9) as ret from b group by asset, bar having count(*) = 30"""))(lambda spark, sf: rounded(v.fixed_bars(_returns(spark, sf), BY, ORDER, "r", 30, **CUT)))
 HAR = RET + """, b as (select asset, cast(floor((i - 2) / 30e0) as bigint) as bar, r from r where r is not null),
 v as (select asset, bar, sum(r * r) as rv, sum(r) as ret from b group by asset, bar having count(*) = 30),
 h as (select asset, bar, rv, avg(rv) over (partition by asset order by bar rows between 4 preceding and current row) as rv5,
@@ -51,7 +58,7 @@ h as (select asset, bar, rv, avg(rv) over (partition by asset order by bar rows
     row_number() over (partition by asset order by bar) as t
   from v)"""
 query("har_design", oracle(HAR + " select asset, bar, round(rv, 7) as rv, round(rv5, 7) as rv5, round(rv22, 7) as rv22, round(lev, 7) as lev, round(target, 7) as target from h where t >= 23 and target is not null"))(
-    lambda spark, sf: rounded(v.har_features(v.fixed_bars(_returns(spark, sf), BY, ORDER, "r", 30), BY).drop("ret"), 7)
+    lambda spark, sf: rounded(v.har_features(v.fixed_bars(_returns(spark, sf), BY, ORDER, "r", 30, **CUT), BY).drop("ret"), 7)
 )
 sql_query("har_slope", HAR + " select asset, count(*) as n, round(regr_slope(target, rv), 6) as slope, round(regr_intercept(target, rv), 5) as intercept, round(regr_r2(target, rv), 6) as r2 from h where target is not null group by asset")
 query("rv_estimators", oracle(RET + """, m as (select asset, avg(r) as mu from r group by asset),
@@ -62,7 +69,7 @@ d as (select r.asset, r.r, r.r - mu as e, lag(r.r - mu, 1) over w as e1, lag(r.r
 g as (select asset, count(*) as n, sum(r * r) as rv, sum(e * e) as g0, sum(e * e1) as g1, sum(e * e2) as g2, sum(e * e3) as g3 from d group by asset)
 select asset, n, round(rv, 6) as naive, round(greatest(rv + 2e0 * g1, 0.25e0 * rv, 1e-18), 6) as ac1,
     round(greatest(g0 + 2e0 * (0.75e0 * g1 + 0.5e0 * g2 + 0.25e0 * g3), 0.25e0 * rv, 1e-18), 6) as kernel
-  from g"""))(lambda spark, sf: rounded(v.realized_variance(_returns(spark, sf), BY, ORDER, "r"), 6))
+  from g"""))(lambda spark, sf: rounded(v.realized_variance(_returns(spark, sf), BY, ORDER, "r", **CUT), 6))
 sql_query("sigma_ratio", RET + """, m as (select asset, avg(r) as mu from r group by asset),
 d as (select r.asset, r.r, (r.r - mu) * lag(r.r - mu) over (partition by r.asset order by r.ts_us, r.seq) as c
   from r join m on r.asset = m.asset
@@ -72,7 +79,7 @@ g as (select asset, sum(r * r) as rv, sum(c) as c
   group by asset) select round(avg(sqrt(greatest(rv + 2e0 * c, 0.25e0 * rv) / rv)), 7) as ratio, count(*) as assets
   from g""")
 query("bipower", oracle(RET + """, p as (select asset, r, abs(r) * abs(lag(r) over (partition by asset order by ts_us, seq)) as b from r where r is not null)
-select asset, count(*) as n, round(1.5707963267948966e0 * sum(b), 6) as bipower, round(sum(r * r), 6) as rv from p group by asset"""))(lambda spark, sf: rounded(v.bipower(_returns(spark, sf), BY, ORDER, "r"), 6))
+select asset, count(*) as n, round(1.5707963267948966e0 * sum(b), 6) as bipower, round(sum(r * r), 6) as rv from p group by asset"""))(lambda spark, sf: rounded(v.bipower(_returns(spark, sf), BY, ORDER, "r", **CUT), 6))
 #: Lee-Mykland with a fixed window of 50: flags of returns against the local bipower scale, Gumbel threshold at 1 %.
 JUMPS = RET + """, p as (select asset, seq, ts_us, r, abs(r) * abs(lag(r) over (partition by asset order by ts_us, seq)) as b,
     row_number() over (partition by asset order by ts_us, seq) as j, count(*) over (partition by asset) as n
@@ -84,7 +91,7 @@ l as (select *, sum(b) over (partition by asset order by ts_us, seq rows between
 t as (select *, ln(greatest(n - 50, 2)) as ll, sqrt(0.6366197723675814e0) as q from l where c = 49 and s > 0e0),
 f as (select *, case when (abs(r) / sqrt(s / 48e0) - (sqrt(2e0 * ll) / q - (1.1447298858494002e0 + ln(ll)) / (2e0 * q * sqrt(2e0 * ll)))) * (q * sqrt(2e0 * ll)) > 4.600149226776579e0 then 1 else 0 end as jump
   from t)"""
-query("lee_mykland", oracle(JUMPS + " select seq, asset, round(abs(r) / sqrt(s / 48e0), 6) as stat, jump from f"))(lambda spark, sf: rounded(v.jumps(_returns(spark, sf), BY, ORDER, "r").select("seq", "asset", "stat", "jump"), 6))
+query("lee_mykland", oracle(JUMPS + " select seq, asset, round(abs(r) / sqrt(s / 48e0), 6) as stat, jump from f"))(lambda spark, sf: rounded(v.jumps(_returns(spark, sf), BY, ORDER, "r", **CUT).select("seq", "asset", "stat", "jump"), 6))
 query("variance_decompose", oracle(JUMPS + """, g as (select p.asset, count(*) as n, sum(p.r * p.r) as rv, 1.5707963267948966e0 * sum(p.b) as bv,
     coalesce(sum(case when f.jump = 1 then p.r * p.r end), 0e0) as jv, coalesce(sum(f.jump), 0) as jumps,
   sum(case when p.r > 0e0 then p.r * p.r else 0e0 end) as up, sum(case when p.r < 0e0 then p.r * p.r else 0e0 end) as down
@@ -94,7 +101,7 @@ select asset, n, round(rv, 6) as rv, round(bv, 6) as bv, round(jv, 6) as jv, cas
     round(down, 6) as down_semivar, round(jv / rv, 7) as jump_share,
   round(case when bv > 0e0 then least(bv, greatest(rv - jv, 0e0)) else greatest(rv - jv, 0e0) end, 6) as jump_robust, round((up - down) / rv, 7) as skew
   from g"""))(
-    lambda spark, sf: rounded(v.decompose(_returns(spark, sf), BY, ORDER, "seq", "r"), {**dict.fromkeys(["rv", "bv", "jv", "up_semivar", "down_semivar", "jump_robust"], 6), "jump_share": 7, "skew": 7})
+    lambda spark, sf: rounded(v.decompose(_returns(spark, sf), BY, ORDER, "seq", "r", **CUT), {**dict.fromkeys(["rv", "bv", "jv", "up_semivar", "down_semivar", "jump_robust"], 6), "jump_share": 7, "skew": 7})
 )
 sql_query("noise_robust_vol", RET + """, w as (select asset, seq, r, dt, count(r) over f as n, sum(r) over f as sr, sum(dt) over f as sdt, sum(r * r) over f as rr
   from r
@@ -113,8 +120,9 @@ sql_query("kappa_regime", KAPPA + f" select seq, asset, round(kappa + 1.234567e-
 sql_query("structural_alpha", KAPPA + f""", s as (select seq, asset, price, price * 1.001e0 as strike, 1.25e0 * sqrt(rr / sdt) * {x.sigma_multiplier('coalesce(kappa, 1e0)')} as sigma, 0e0 as mu,
     900e0 - (seq % 900) as tau
   from q
-  where n >= 12)
-select seq, asset, round({x.digital_prob('price', 'strike', 'sigma', 'tau')}, 7) as alpha_up from s""")
+  where n >= 12),
+z as (select seq, asset, {x.digital_z('price', 'strike', 'sigma', 'tau')} as z from s)
+select seq, asset, round({x.digital_of('z')}, 7) as alpha_up from z""")
 sql_query("per_minute_vol", """
 with m as (select asset, cast(floor(ts_us / 3600000000e0) as bigint) as minute, max_by(price, ts_us) as close
   from ticks
@@ -234,13 +242,25 @@ r as (select *, row_number() over (partition by tf, cell, leg order by ts_us des
 select tf, cell, leg, count(*) as seen, round(sum(power(0.99e0, after)), 6) as n, round(sum(y * power(0.99e0, after)), 6) as s
   from r
   group by tf, cell, leg""")
-sql_query("ewma_drift_vol", RET + """, d as (select asset, r, dt, sum(dt) over (partition by asset order by ts_us desc, seq desc rows between unbounded preceding and current row) - dt as age
+#: Running sums of returns, squares and spans whose weight halves in a day; what a row adds is not aged by its own span.
+EWMA = decayed(["r", "rr", "dt"], lambda rows: 0.5 ** (rows["dt"].to_numpy(float) / 86400), ["s_r", "s_rr", "s_dt"])
+
+
+def _drift_vol(spark, sf):
+    """Decayed mean and volatility per second of each asset: the last row of a scan over its returns."""
+    gap = windowed(_returns(spark, sf).select("asset", "seq", "ts_us", "ts_s", "r"), BY, ORDER, lambda w: {"dt": F.col("ts_s") - F.lag("ts_s").over(w)}, 1, **CUT)
+    x = scan(gap.where("r is not null and dt > 0e0").withColumn("rr", F.col("r") * F.col("r")), BY, ORDER, EWMA, **CUT)
+    last = x.groupBy("asset").agg(F.count("*").alias("n"), F.max_by(F.struct("s_r", "s_rr", "s_dt"), F.struct("ts_us", "seq")).alias("s"))
+    return last.selectExpr("asset", "n", "round(s.s_r / s.s_dt, 9) as mu", "round(sqrt(s.s_rr / s.s_dt), 7) as sigma")
+
+
+query("ewma_drift_vol", oracle(RET + """, d as (select asset, r, dt, sum(dt) over (partition by asset order by ts_us desc, seq desc rows between unbounded preceding and current row) - dt as age
   from r
   where r is not null and dt > 0e0)
 select asset, count(*) as n, round(sum(r * power(0.5e0, age / 86400e0)) / sum(dt * power(0.5e0, age / 86400e0)), 9) as mu,
     round(sqrt(sum(r * r * power(0.5e0, age / 86400e0)) / sum(dt * power(0.5e0, age / 86400e0))), 7) as sigma
   from d
-  group by asset""")
+  group by asset"""))(_drift_vol)
 sql_query("alpha_backtest", f"""
 with q as (select market, asset, seq, ts_us, underlying as price, {x.mid('up_bid', 'up_ask')} as mid,
     row_number() over (partition by market order by ts_us desc, seq desc) as back, count(*) over (partition by market) as n,
@@ -254,7 +274,8 @@ e as (select q.market, q.price, q.strike, q.tau, q.mid, sqrt(v.rv / v.span) as s
   from quotes
   group by market) o on q.market = o.market
   where q.back = 4 and v.rv > 0e0),
-p as (select mid, case when fin > strike then 1 else 0 end as y, {x.digital_prob('price', 'strike', 'sigma', 'greatest(tau, 1e0)')} as alpha from e)
+z as (select mid, case when fin > strike then 1 else 0 end as y, {x.digital_z('price', 'strike', 'sigma', 'greatest(tau, 1e0)')} as z from e),
+p as (select mid, y, {x.digital_of('z')} as alpha from z)
 select count(*) as n, R(avg((alpha - y) * (alpha - y))) as brier_alpha, R(avg((mid - y) * (mid - y))) as brier_mid,
     R(avg(-(y * ln(alpha) + (1 - y) * ln(1e0 - alpha)))) as logloss_alpha
   from p""")
