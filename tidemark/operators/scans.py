@@ -29,13 +29,14 @@ def same(left: list[str], right: list[str]) -> Column:
 
 
 def with_before(df: DataFrame, by: list[str], bucket: str, totals: dict[str, Column]) -> DataFrame:
-    """df with its bucket `__b` and, for each of `totals` (aggregates over rows), what all earlier buckets of the key sum up
-    to. Buckets are one row each; rows with a null bucket come first, and a null key is a key."""
-    x = df.withColumn("__b", F.expr(bucket))
-    sums = x.groupBy(*by, "__b").agg(*[c.alias(f"__s_{n}") for n, c in totals.items()])
-    earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*[F.col(k).alias(f"__k_{k}") for k in [*by, "__b"]], *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(n) for n in totals])
-    return x.join(before, same([*by, "__b"], [f"__k_{k}" for k in [*by, "__b"]])).drop(*[f"__k_{k}" for k in [*by, "__b"]])
+    """df with its bucket as `__key` (the key's columns and the bucket in one struct, so that nulls meet nulls) and, for each
+    of `totals` (aggregates over rows), what all earlier buckets of the key sum up to, null buckets first. Rows are dealt by
+    `__key` once, for the join and for windows over buckets."""
+    x = df.withColumn("__key", F.struct(*by, F.expr(bucket).alias("__b")))
+    sums = x.groupBy("__key").agg(*[c.alias(n) for n, c in totals.items()])
+    earlier = Window.partitionBy(*[f"__key.{k}" for k in by]).orderBy("__key.__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__key", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in totals])
+    return x.join(before, "__key")
 
 
 def positions(df: DataFrame, by: list[str], order: list[str], bucket: str, name: str = "i") -> DataFrame:
@@ -44,33 +45,34 @@ def positions(df: DataFrame, by: list[str], order: list[str], bucket: str, name:
     `bucket` is an SQL expression of the first column of `order` that never falls (the day of a time, say); each bucket is
     numbered on its own. Rows that are alike in `order` are numbered in any order.
     """
-    inside = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order))
-    return with_before(df, by, bucket, {"__before": F.count("*")}).withColumn(name, F.col("__before") + inside).drop("__b", "__before")
+    inside = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
+    return with_before(df, by, bucket, {"__before": F.count("*")}).withColumn(name, F.col("__before") + inside).drop("__key", "__before")
 
 
-def halo(df: DataFrame, by: list[str], order: list[str], bucket: str, before: int, after: int = 0, size: int = SIZE) -> DataFrame:
+def halo(df: DataFrame, by: list[str], order: list[str], bucket: str | None, before: int, after: int = 0, size: int = SIZE, at: str | None = None) -> DataFrame:
     """df in parts of `size` rows a key: `__i` is a row's place, `__part` its part, and `__own` whether it belongs there or
-    is one of the `before` rows ahead of the part or of the `after` rows behind it."""
+    is one of the `before` rows ahead of the part or of the `after` rows behind it. Rows that `positions` has
+    numbered need no bucket: `at` names the column of their places."""
     if before > size or after > size:
         raise ValueError("a halo reaches into one neighbouring part at most: take larger parts")
-    x = positions(df, by, order, bucket, "__i")
-    home, at = F.floor((F.col("__i") - 1) / size), F.pmod(F.col("__i") - 1, F.lit(size))
-    parts = F.filter(F.array(home, F.when(at >= size - before, home + 1), F.when(at < after, home - 1)), lambda p: p.isNotNull() & (p >= 0))
+    x = df.withColumn("__i", F.col(at)) if at else positions(df, by, order, bucket, "__i")
+    home, place = F.floor((F.col("__i") - 1) / size), F.pmod(F.col("__i") - 1, F.lit(size))
+    parts = F.filter(F.array(home, F.when(place >= size - before, home + 1), F.when(place < after, home - 1)), lambda p: p.isNotNull() & (p >= 0))
     return x.withColumn("__home", home).withColumn("__part", F.explode(parts)).withColumn("__own", F.col("__part") == F.col("__home")).drop("__home")
 
 
-def windowed(df: DataFrame, by: list[str], order: list[str], columns: Callable[[WindowSpec], dict[str, Column]] | list, before: int, after: int = 0, bucket: str | None = None, size: int = SIZE) -> DataFrame:
+def windowed(df: DataFrame, by: list[str], order: list[str], columns: Callable[[WindowSpec], dict[str, Column]] | list, before: int, after: int = 0, bucket: str | None = None, size: int = SIZE, at: str | None = None) -> DataFrame:
     """df with columns made of a key's ordered window, which may use `before` rows ahead of a row and `after` behind it. Of
     several functions, later ones may use what earlier ones made; `before` and `after` are then what they reach together.
 
-    Without `bucket` the window is the whole key, one task; with it (see `positions`) the key is cut into parts with halos.
+    Without `bucket` or `at` the window is the whole key, one task; with one of them (see `halo`) the key is cut into parts.
     """
     steps = columns if isinstance(columns, list) else [columns]
-    if bucket is None:
+    if bucket is None and at is None:
         w = Window.partitionBy(*by).orderBy(*order)
         return reduce(lambda x, f: x.withColumns(f(w)), steps, df)
     w = Window.partitionBy(*by, "__part").orderBy("__i")
-    x = reduce(lambda x, f: x.withColumns(f(w)), steps, halo(df, by, order, bucket, before, after, size))
+    x = reduce(lambda x, f: x.withColumns(f(w)), steps, halo(df, by, order, bucket, before, after, size, at))
     return x.where("__own").drop("__i", "__part", "__own")
 
 
@@ -79,9 +81,9 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], values: dict[
     adds nothing. Sums of earlier buckets are added to those within a row's own."""
     x = df.withColumns({f"__v_{n}": c for n, c in values.items()})
     x = with_before(x, by, bucket, {f"__before_{n}": F.sum(f"__v_{n}") for n in values})
-    inside = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumns({n: F.col(f"__before_{n}") + F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)) for n in values})
-    return x.drop("__b", *[f"__{k}_{n}" for n in values for k in ("v", "before")])
+    return x.drop("__key", *[f"__{k}_{n}" for n in values for k in ("v", "before")])
 
 
 @dataclass(frozen=True)
@@ -130,13 +132,13 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str], monoid: Monoid, lift
         yield pdf, starts, before, after
 
 
-def scan(df: DataFrame, by: list[str], order: list[str], monoid: Monoid, bucket: str, size: int = SIZE) -> DataFrame:
+def scan(df: DataFrame, by: list[str], order: list[str], monoid: Monoid, bucket: str | None, size: int = SIZE, at: str | None = None) -> DataFrame:
     """df with the monoid's columns, run over each key in `order` on as many tasks as the key has parts of `size` rows.
 
     Between parts go one row a part with the monoid's element. Rows are streamed through sorted partitions, so neither a
-    part nor many small keys cost memory. `bucket` is that of `positions`; an empty table gives none.
+    part nor many small keys cost memory. `bucket` is that of `positions`, `at` that of `halo`; an empty table gives none.
     """
-    x = positions(df, by, order, bucket, "__i").withColumn("__part", F.floor((F.col("__i") - 1) / size))
+    x = (df.withColumn("__i", F.col(at)) if at else positions(df, by, order, bucket, "__i")).withColumn("__part", F.floor((F.col("__i") - 1) / size))
     names = [f"__m{k}" for k in range(len(monoid.unit))]
     keys = [*by, "__part"]
 

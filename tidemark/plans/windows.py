@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import expressions as x
-from tidemark.operators import decayed, scan, windowed
+from tidemark.operators import decayed, positions, scan, windowed
 from tidemark.operators import variance as v
 from tidemark.operators.ordered import excursions, seq_gaps
 from tidemark.plans.dialect import oracle, rounded, sql_query, view
@@ -248,9 +248,14 @@ EWMA = decayed(["r", "rr", "dt"], lambda rows: 0.5 ** (rows["dt"].to_numpy(float
 
 def _drift_vol(spark, sf):
     """Decayed mean and volatility per second of each asset: the last row of a scan over its returns."""
-    gap = windowed(_returns(spark, sf).select("asset", "seq", "ts_us", "ts_s", "r"), BY, ORDER, lambda w: {"dt": F.col("ts_s") - F.lag("ts_s").over(w)}, 1, **CUT)
-    x = scan(gap.where("r is not null and dt > 0e0").withColumn("rr", F.col("r") * F.col("r")), BY, ORDER, EWMA, **CUT)
-    last = x.groupBy("asset").agg(F.count("*").alias("n"), F.max_by(F.struct("s_r", "s_rr", "s_dt"), F.struct("ts_us", "seq")).alias("s"))
+    ticks = positions(view(spark, sf, "ticks").select("asset", "seq", "ts_us", "ts_s", "price"), BY, ORDER, **CUT)
+    both = (F.col("price") > 0) & (F.col("before") > 0) & (F.col("ts_s") > F.col("since"))
+    steps = windowed(ticks, BY, ORDER, lambda w: {"before": F.lag("price").over(w), "since": F.lag("ts_s").over(w)}, 1, at="i")
+    # a row without a return or a span leaves the sums as they are
+    r = F.when(both, F.log(F.col("price") / F.col("before")))
+    steps = steps.select("asset", "i", r.alias("r"), (r * r).alias("rr"), F.when(both, F.col("ts_s") - F.col("since")).otherwise(0.0).alias("dt"))
+    x = scan(steps, BY, ["i"], EWMA, None, at="i")
+    last = x.groupBy("asset").agg(F.count("r").alias("n"), F.max_by(F.struct("s_r", "s_rr", "s_dt"), "i").alias("s")).where("n > 0")
     return last.selectExpr("asset", "n", "round(s.s_r / s.s_dt, 9) as mu", "round(sqrt(s.s_rr / s.s_dt), 7) as sigma")
 
 
