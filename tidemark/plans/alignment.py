@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expressions as x
 from tidemark.operators import asof_join, nearest_join, range_join
-from tidemark.plans.dialect import oracle, render, sql_query, view
+from tidemark.operators.selection import ranks
+from tidemark.plans.dialect import oracle, render, rounded, sql_query, view
 from tidemark.registry import query
 
 #: As-of joins cut an asset's rows to days, so that five assets are more than five tasks.
@@ -98,12 +99,22 @@ def _pairs(name: str, sql: str) -> None:
 
 _pairs("cross_venue_ev", f""", r as (select *, abs(pm - km) as div, row_number() over (partition by asset, window_start_us order by abs(pm - km) desc, ps, ks) as i from j)
 select asset, window_start_us, ps, ks, R(div) as divergence, R(div - {x.taker_fee('ka')}) as ev from r where i = 1 and div >= 0.02e0""")
-_pairs("basis_quantiles", """, b as (select asset, abs(pm - km) as b, row_number() over (partition by asset order by abs(pm - km), ps, ks) as i, count(*) over (partition by asset) as n
+BASIS = """, b as (select asset, abs(pm - km) as b, row_number() over (partition by asset order by abs(pm - km), ps, ks) as i, count(*) over (partition by asset) as n
   from j)
 select asset, max(n) as n, R(avg(b)) as mean, R(max(case when i = cast(floor(n / 2e0) as bigint) + 1 then b end)) as median,
     R(max(case when i = cast(floor(0.9e0 * n) as bigint) + 1 then b end)) as p90
   from b
-  group by asset""")
+  group by asset"""
+
+
+@query("basis_quantiles", oracle(PAIRS + BASIS))
+def _basis(spark, sf):
+    """Mean, median and 90th percentile of the distance between two venues' prices, by ranks within an asset."""
+    b = spark.sql(render(BUCKETED + " select asset, abs(pm - km) as b from j", "spark", sf))
+    at = ranks(b, ["asset"], "b", {"median": F.floor(F.col("n") / 2), "p90": F.floor(0.9 * F.col("n"))})
+    return rounded(at.join(b.groupBy("asset").agg(F.avg("b").alias("mean")), "asset"))
+
+
 _pairs("arb_lock", f""", c as (select asset, window_start_us, least(pa + (1e0 - kb) + {x.taker_fee('kb')}, ka + (1e0 - pb) + {x.taker_fee('ka')}) as cost from j)
 select asset, window_start_us, R(min(cost)) as cost, R(1e0 - min(cost)) as locked, min(cost) < 1e0 as lockable from c group by asset, window_start_us""")
 BUCKETS = "case when left_h < 1e0 then '0-1' when left_h < 2e0 then '1-2' when left_h < 4e0 then '2-4' when left_h < 8e0 then '4-8' when left_h < 12e0 then '8-12' when left_h < 16e0 then '12-16' end"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expressions as x
 from tidemark.operators import breach, drawdown, running_sum, running_totals, scan
+from tidemark.operators.selection import ranks
 from tidemark.plans.dialect import oracle, render, rounded, sql_query, view
 from tidemark.registry import query
 
@@ -211,12 +212,14 @@ select cast(floor(ts_us / 86400000000e0) as bigint) as day, count(*) as cycles,
   group by cast(floor(ts_us / 86400000000e0) as bigint)""")
 sql_query("feed_staleness", "select asset, max(ts_us) as updated_us, R(((select max(ts_us) from ticks) - max(ts_us)) / 1e6) as stale_s from rounds group by asset")
 sql_query("source_activity", "select asset as source, count(*) as events, max(ts_us) as last_us, R(((select max(ts_us) from ticks) - max(ts_us)) / 1e6) as age_s from ticks group by asset")
-sql_query("latency_percentiles", """
+query("latency_percentiles", oracle("""
 with r as (select asset, price, row_number() over (partition by asset order by price, seq) as i, count(*) over (partition by asset) as n from ticks)
 select asset, max(n) as n, R(max(case when i = cast(floor(n / 2e0) as bigint) + 1 then price end)) as p50,
     R(max(case when i = cast(floor(0.95e0 * (n - 1)) as bigint) + 1 then price end)) as p95
   from r
-  group by asset""")
+  group by asset"""))(
+    lambda spark, sf: rounded(ranks(view(spark, sf, "ticks").select("asset", "price"), ["asset"], "price", {"p50": F.floor(F.col("n") / 2), "p95": F.floor(0.95 * (F.col("n") - 1))}))
+)
 sql_query("api_budget", """
 with c as (select asset as host, price as ms, k >= 90 as failed, seq, row_number() over (partition by asset order by seq desc) as back from ticks),
 l as (select host, ms, row_number() over (partition by host order by ms, seq) as i, count(*) over (partition by host) as n from c where back <= 50),
