@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 from typing import Any
 
 import pandas as pd
@@ -106,10 +107,11 @@ def freeze_strikes(rounds: DataFrame, grids: tuple[int, ...] = (300, 900, 3600),
 def settle_positions(quotes: DataFrame, open_position: Callable[[Any], Any], late: str = "0 seconds", grace_ms: int = 5000) -> DataFrame:
     """(market, outcome_up, filled, won, pnl, tp_pnl, peak, trough, quotes): each market's position, once it has settled.
 
-    quotes: (market, ts, window_end, up_bid, up_ask, underlying). `open_position(first quote)` makes the position; quotes
-    until the window's end move it in time order. It settles when the watermark reaches the end and the grace period,
-    against the market's first price, with the last price seen until then; after that its state is gone and later quotes
-    of the market are dropped with the watermark.
+    quotes: (market, ts, window_end, up_bid, up_ask, underlying). A quote counts when the watermark has reached it, so
+    positions see quotes in time order, in whatever order they come within `late`. `open_position(first quote)` makes the
+    position; quotes until the window's end move it. It settles when the watermark reaches the end and the grace period,
+    against the market's first price, with the last price until then; after that its state is gone. Quotes after the grace
+    period are ignored, whenever they come, and a market whose first quote comes after its end has no position.
     """
     schema = "market string, outcome_up int, filled int, won int, pnl double, tp_pnl double, peak double, trough double, quotes long"
     names = [f.split()[0] for f in schema.split(",")]
@@ -117,26 +119,34 @@ def settle_positions(quotes: DataFrame, open_position: Callable[[Any], Any], lat
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = pickle.loads(state.get[0]) if state.exists else None  # noqa: S301  our own checkpoint
-        if not state.hasTimedOut:
-            rows = pd.concat(list(pdfs)).sort_values("ts")
-            for at, end, r in zip(_ms(rows["ts"]), _ms(rows["window_end"]), rows.itertuples(index=False), strict=True):
-                if held is None:
-                    held = {"position": open_position(r), "strike": float(r.underlying), "end": end, "n": 0}
-                if at <= held["end"] + grace_ms:
-                    held["last"] = float(r.underlying)
-                if at <= held["end"]:
-                    held["position"].on_quote(some(r.up_bid), some(r.up_ask))
+        for pdf in () if state.hasTimedOut else pdfs:
+            for at, end, r in zip(_ms(pdf["ts"]), _ms(pdf["window_end"]), pdf.itertuples(index=False), strict=True):
+                if at <= end + grace_ms:
+                    held = held or {"position": None, "strike": None, "last": None, "end": end, "n": 0, "waiting": []}
+                    held["waiting"].append((at, some(r.up_bid), some(r.up_ask), some(r.underlying), SimpleNamespace(**r._asdict())))
+        if held is None:
+            return
+        now, end = state.getCurrentWatermarkMs(), held["end"]
+        first_last = lambda q: (q[0], *((v is not None, v or 0.0) for v in q[1:4]))
+        for at, bid, ask, price, r in sorted((q for q in held["waiting"] if q[0] <= now), key=first_last):
+            if held["position"] is None and at <= end:
+                held["position"], held["strike"] = open_position(r), price
+            if held["position"] is not None:
+                held["last"] = price
+                if at <= end:
+                    held["position"].on_quote(bid, ask)
                     held["n"] += 1
-        done = held is not None and state.getCurrentWatermarkMs() >= held["end"] + grace_ms
-        if done:
-            p = held["position"]
+        held["waiting"] = [q for q in held["waiting"] if q[0] > now]
+        if now < end + grace_ms:
+            state.update((pickle.dumps(held),))
+            state.setTimeoutTimestamp(max(min([q[0] for q in held["waiting"]] + [end + grace_ms]), now + 1))
+            return
+        if state.exists:
+            state.remove()
+        p = held["position"]
+        if p is not None:
             row = p.settle(held["last"], held["strike"]) | {"market": key[0], "peak": p.peak, "trough": p.trough, "quotes": held["n"]}
-            if state.exists:
-                state.remove()
             yield pd.DataFrame([row], columns=names).astype({"outcome_up": "Int64", "filled": "Int64", "won": "Int64"})
-        elif held is not None:
-            state.update((pickle.dumps(held),))
-            state.setTimeoutTimestamp(max(held["end"] + grace_ms, state.getCurrentWatermarkMs() + 1))
 
     return quotes.withWatermark("ts", late).groupBy("market").applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
