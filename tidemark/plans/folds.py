@@ -7,12 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import models
-from tidemark.functions.statistics import expanding_logit, fama_macbeth, gennorm_up, har_walk, hmm_fit, implied_scale, irls, ols, standardize, viterbi
-from tidemark.operators import fold_per_key, running_sum, throttle
+from tidemark.functions.statistics import expanding_logit, fama_macbeth, gennorm_up, har_walk, implied_scale, irls, ols, standardize
+from tidemark.operators import fold_per_key, markov, positions, running_sum, throttle
 from tidemark import registry
 from tidemark.plans.dialect import oracle, view
 from tidemark.registry import query
@@ -213,33 +213,34 @@ def _returns(spark, sf):
     return registry.queries()["log_returns"](spark, sf)
 
 
+def _series(spark, sf):
+    """Log returns with their places, for models of whole series in parts."""
+    return positions(_returns(spark, sf).join(view(spark, sf, "ticks").select("seq", "ts_us"), "seq"), ["asset"], ["ts_us", "seq"], "floor(ts_us / 86400000000e0)")
+
+
 @query("hmm_fit")
 def _hmm(spark, sf):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = hmm_fit(pdf.sort_values("seq")["r"].to_numpy(), 2, restarts=3)
-        return pd.DataFrame({"asset": pdf["asset"].iloc[0], "state": [0, 1], "mu": m["mu"], "sigma": m["sigma"], "stay": np.diag(m["trans"]), "loglik": m["loglik"]})
-
-    return _returns(spark, sf).groupBy("asset").applyInPandas(run, "asset string, state long, mu double, sigma double, stay double, loglik double")
+    models = markov.fit(_series(spark, sf), "asset", "r", "i", [2], restarts=3)
+    rows = [(a, s, float(m.mu[s]), float(m.sigma[s]), float(m.trans[s, s]), m.loglik) for (a, _), m in models.items() for s in (0, 1)]
+    return spark.createDataFrame(rows, "asset string, state long, mu double, sigma double, stay double, loglik double")
 
 
 @query("hmm_viterbi")
 def _viterbi(spark, sf):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        x = pdf["r"].to_numpy()
-        return pd.DataFrame({"asset": pdf["asset"], "seq": pdf["seq"], "state": viterbi(x, hmm_fit(x, 2, restarts=3))})
-
-    return _returns(spark, sf).groupBy("asset").applyInPandas(run, "asset string, seq long, state long")
+    x = _series(spark, sf)
+    models = {a: m for (a, _), m in markov.fit(x, "asset", "r", "i", [2], restarts=3).items()}
+    return markov.paths(x, "asset", "r", "i", models).select("asset", "seq", "state")
 
 
 @query("hmm_bic")
 def _bic(spark, sf):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("seq")["r"].to_numpy()
-        ll = [hmm_fit(x, k, restarts=3)["loglik"] for k in (1, 2, 3)]
-        return pd.DataFrame({"asset": pdf["asset"].iloc[0], "k": [1, 2, 3], "loglik": ll, "bic": [-2 * v + (k * k + k - 1) * math.log(len(x)) for k, v in zip((1, 2, 3), ll, strict=True)], "lr": [0.0, 2 * (ll[1] - ll[0]), 2 * (ll[2] - ll[1])]})
-
-    return _returns(spark, sf).groupBy("asset").applyInPandas(run, "asset string, k long, loglik double, bic double, lr double")
+    x = _series(spark, sf)
+    models = markov.fit(x, "asset", "r", "i", [1, 2, 3], restarts=3)
+    lik = spark.createDataFrame([(a, k, m.loglik) for (a, k), m in models.items()], "asset string, k long, loglik double")
+    n = x.groupBy(F.col("asset").alias("of")).agg(F.count("*").alias("n"))
+    fits = lik.join(n, F.col("asset").eqNullSafe(F.col("of")))
+    lr = F.coalesce(2 * (F.col("loglik") - F.lag("loglik").over(Window.partitionBy("asset").orderBy("k"))), F.lit(0.0))
+    return fits.select("asset", "k", "loglik", (-2 * F.col("loglik") + (F.col("k") * F.col("k") + F.col("k") - 1) * F.log("n")).alias("bic"), lr.alias("lr"))
 
 
 @query("gennorm_prob")
