@@ -92,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
     "op10_preference": preference.ORACLE,
+    "op12_spelling_variants": spelling.oracle(),
     "op7_substring_dedup": r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
 g as (select doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 12)) as i from d where len(w) >= 13)),
