@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import models
 from tidemark.operators import asof_join
-from tidemark.streaming import run_once, settle_positions
+from tidemark.streaming import freeze_strikes, run_once, settle_positions
 from tidemark.streaming.timed import failover, stream_asof, use_rocksdb
 
 T0 = 1_700_000_100
@@ -128,3 +128,21 @@ def test_positions_in_any_order_and_long_after_the_end(spark, tmp_path, seed):
         outcome, n, peak, trough = want[r.market]
         assert (int(r.outcome_up), int(r.quotes), r.peak) == (outcome, n, pytest.approx(peak))
         assert pd.isna(r.trough) if trough is None else r.trough == pytest.approx(trough)
+
+
+def test_older_rounds_within_the_delay_and_idle_assets(spark, tmp_path):
+    """The first trigger's round is not the earliest; an asset that falls silent has strikes for its idle time only."""
+    schema = "asset string, ts timestamp, price double, round_id long"
+    files = [
+        [("A", at(620), 3.0, 3), ("I", at(10), 9.0, 1)],
+        [("A", at(290), 1.0, 1), ("A", at(310), 2.0, 2)],
+        [("A", at(1300), 4.0, 4)],
+        [("A", at(2000), 5.0, 5)],
+        [("A", at(2001), 6.0, 6), ("I", at(1960), 8.0, 2)],
+        [("A", at(2600), 7.0, 7)],
+        [("A", at(2601), 7.0, 8)],
+    ]
+    got = drain(freeze_strikes(feed(spark, tmp_path / "in", files, schema), grids=(300,), late="600 seconds", idle_ms=700_000), tmp_path, "out")
+    rows = {(r.asset, int(r.window_start.timestamp()) - T0): r.price for r in got.itertuples()}
+    assert {k: v for k, v in rows.items() if k[0] == "A"} == {("A", 300): 1.0, ("A", 600): 2.0, ("A", 900): 3.0, ("A", 1200): 3.0, ("A", 1500): 4.0, ("A", 1800): 4.0}
+    assert {k: v for k, v in rows.items() if k[0] == "I"} == {("I", 300): 9.0, ("I", 600): 9.0}

@@ -63,18 +63,20 @@ def _ms(times: pd.Series) -> list[int]:
     return [int(t.timestamp() * 1000) for t in times]
 
 
-def freeze_strikes(rounds: DataFrame, grids: tuple[int, ...] = (300, 900, 3600), late: str = "10 seconds", keep: int = 600) -> DataFrame:
+def freeze_strikes(rounds: DataFrame, grids: tuple[int, ...] = (300, 900, 3600), late: str = "10 seconds", keep: int = 600, idle_ms: int | None = None) -> DataFrame:
     """(asset, grid_s, window_start, price, round_at, round_id): the round in effect at each window boundary, once.
 
     rounds: (asset, ts, price, round_id) with millisecond times. A boundary is frozen when the watermark reaches it, i.e.
     when a round `late` after it has been seen; rounds that come later than that no longer change it, but count for the
     boundaries after it. Boundaries before an asset's first round have no strike. Of rounds with one time the first
-    stays, and takes over a round id that only a later one has. An asset's last `keep` rounds are held as state.
+    stays, and takes over a round id that only a later one has. An asset's last `keep` rounds are held as state. With
+    `idle_ms`, a boundary so far behind the asset's last round has no strike, and an asset's state goes once the watermark
+    is so far past its newest round.
     """
     schema = "asset string, grid_s int, window_start timestamp, price double, round_at timestamp, round_id long"
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known, due = pickle.loads(state.get[0]) if state.exists else ([], {})  # noqa: S301  our own checkpoint
+        known, frozen = pickle.loads(state.get[0]) if state.exists else ([], {})  # noqa: S301  our own checkpoint
         for pdf in () if state.hasTimedOut else pdfs:
             for at, price, number in zip(_ms(pdf["ts"]), pdf["price"], pdf["round_id"], strict=True):
                 number = None if pd.isna(number) else int(number)
@@ -86,18 +88,26 @@ def freeze_strikes(rounds: DataFrame, grids: tuple[int, ...] = (300, 900, 3600),
                     known.insert(i, (at, float(price), number))
         now, out = state.getCurrentWatermarkMs(), []
         if known:
+            # a boundary is due until it is frozen: older rounds may come before the first one is
+            due = {g: frozen[g] + g * 1000 if g in frozen else -(-known[0][0] // (g * 1000)) * g * 1000 for g in grids}
+            gone = idle_ms is not None and now > known[-1][0] + idle_ms
             for g in grids:
-                w = due.setdefault(g, -(-known[0][0] // (g * 1000)) * g * 1000)
-                while w <= now:
+                w = due[g]
+                while w <= (min(now, known[-1][0] + idle_ms) if gone else now):
                     i = bisect_right(known, w, key=lambda r: r[0])
-                    if i:
+                    if i and (idle_ms is None or w - known[i - 1][0] <= idle_ms):
                         at, price, number = known[i - 1]
                         out.append((key[0], g, pd.Timestamp(w, unit="ms", tz="UTC"), price, pd.Timestamp(at, unit="ms", tz="UTC"), number))
+                    frozen[g] = w
                     w += g * 1000
                 due[g] = w
-            del known[:-keep]
-            state.update((pickle.dumps((known, due)),))
-            state.setTimeoutTimestamp(max(min(due.values()), now + 1))
+            if gone:
+                if state.exists:
+                    state.remove()
+            else:
+                del known[:-keep]
+                state.update((pickle.dumps((known, frozen)),))
+                state.setTimeoutTimestamp(max(min(due.values()), now + 1))
         pdf = pd.DataFrame(out, columns=["asset", "grid_s", "window_start", "price", "round_at", "round_id"])
         yield pdf.astype({"round_id": "Int64"})
 
