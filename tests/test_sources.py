@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.statistics import irls, standardize
+from tidemark.functions.statistics import fama_macbeth, irls, standardize
 from tidemark.operators.design import Design, Group, one_hot
-from tidemark.sources import sqlite
+from tidemark.sources import simulated_panel, sqlite
 
 
 @pytest.fixture
@@ -62,3 +62,12 @@ def test_feature_groups(spark):
     assert [r.beta for t in ("intercept", "logit_mid") for r in fits if (r.combination, r.period, r.term) == ("base", 1, t)] == pytest.approx(want.tolist())
     with pytest.raises(ValueError, match="names"):
         design.rows(df, ["dist"], ["z"])
+
+
+def test_planted_signals_are_found(spark):
+    """The panel's signal has a mean coefficient of its size over periods, and what has no part in outcomes has none."""
+    panel = simulated_panel(spark, 30, 200)
+    design = Design({"mid": Group({"odds": F.log(F.col("mid") / (1 - F.col("mid")))}), "signal": Group({"signal": F.col("signal")}), "noise": Group({"noise": F.col("noise")})})
+    t = {r.term: r for r in fama_macbeth(design.fits(panel, {"all": ["mid", "signal", "noise"]}, "y", "period")).collect()}
+    assert t["signal"].t > 10 and t["odds"].t > 3 and abs(t["noise"].t) < 3
+    assert t["signal"].mean == pytest.approx(1.2 / 3**0.5, abs=0.1)  # per standard deviation of the signal

@@ -39,6 +39,24 @@ def _throttle(spark, sf):
     return throttle(view(spark, sf, "ticks").select("asset", "ts_us", "seq"), ["asset"], "ts_us", "seq", 900e6)
 
 
+# an error is logged if none of its source was in the two hours before; errors left out since are counted
+@query("error_log", oracle("""
+with recursive e as (select asset, ts_us, seq from ticks where k >= 90),
+f as (select asset, ts_us, min(seq) as seq from e group by asset, ts_us),
+n as materialized (select asset, ts_us, min(ts_us) over (partition by asset order by ts_us range between 7200000000 following and unbounded following) as to_us from f),
+k as (select asset, min(ts_us) as ts_us from f group by asset
+  union all select n.asset, n.to_us from k join n on k.asset = n.asset and k.ts_us = n.ts_us where n.to_us is not null),
+p as (select k.asset, k.ts_us, f.seq from k join f on k.asset = f.asset and k.ts_us = f.ts_us)
+select p.asset, p.seq, (select count(*) from e where e.asset = p.asset and (e.ts_us, e.seq) < (p.ts_us, p.seq)
+    and (e.ts_us, e.seq) > coalesce((select max((q.ts_us, q.seq)) from p q where q.asset = p.asset and (q.ts_us, q.seq) < (p.ts_us, p.seq)), (0, 0))) as left_out
+  from p"""))
+def _error_log(spark, sf):
+    errors = view(spark, sf, "ticks").where("k >= 90").select("asset", "ts_us", "seq")
+    numbered = positions(errors, ["asset"], ["ts_us", "seq"], "floor(ts_us / 86400000000e0)")
+    logged = throttle(errors, ["asset"], "ts_us", "seq", 7200e6).join(numbered, ["asset", "seq"])
+    return logged.select("asset", "seq", (F.col("i") - F.coalesce(F.lag("i").over(Window.partitionBy("asset").orderBy("i")), F.lit(0)) - 1).alias("left_out"))
+
+
 @query("online_head")
 def _online_head(spark, sf):
     def step(head, r):

@@ -239,7 +239,15 @@ g as (select tf, cell, avg(case when up_leg = 1 then outcome_up end) - avg(case
 select tf, cell, n, R(gap) as gap from g order by abs(gap) desc, tf, cell""".replace("{band}", x.band("market_mid")))
 
 # sets
-sql_query("venue_union", "select venue, count(*) as n from (select venue, asset from quotes where venue = 'polymarket' union all select venue, asset from quotes where venue = 'kalshi') u where asset in (select asset from quotes group by asset having count(*) > 10) group by venue")
+@query("venue_union", oracle("select venue, count(*) as n from (select venue, asset from quotes where venue = 'polymarket' union all select venue, asset from quotes where venue = 'kalshi') u where asset in (select asset from quotes group by asset having count(*) > 10) group by venue"))
+def _venues(spark, sf):
+    """Rows of both venues, of the assets that are configured: those with more than ten quotes."""
+    quotes = view(spark, sf, "quotes").select("venue", "asset")
+    configured = quotes.groupBy("asset").agg(F.count("*").alias("n")).where("n > 10").select("asset")
+    both = quotes.where("venue = 'polymarket'").unionByName(quotes.where("venue = 'kalshi'"))
+    return both.join(configured, "asset", "left_semi").groupBy("venue").agg(F.count("*").alias("n"))
+
+
 sql_query("token_set_diff", """
 with a as (select distinct market from quotes where venue = 'polymarket'), b as (select distinct market from quotes where venue = 'kalshi')
 select 'gone' as side, market

@@ -14,6 +14,7 @@ from tidemark.sources.files import (
     settled_jsonl,
     simulated_autoregression,
     simulated_jumps,
+    simulated_panel,
     simulated_regimes,
     simulated_returns,
     write_flag,
@@ -34,6 +35,7 @@ __all__ = [
     "settled_jsonl",
     "simulated_autoregression",
     "simulated_jumps",
+    "simulated_panel",
     "simulated_regimes",
     "simulated_returns",
     "write_flag",

@@ -141,3 +141,12 @@ def simulated_regimes(spark: SparkSession, n: int, length: int = 500, calm: floa
 def simulated_returns(spark: SparkSession, n: int, seed: int = 7, sigma: float = 0.01, bounce: float = 0.0) -> DataFrame:
     """(i, r): seeded normal returns, with alternating noise of size `bounce` if wanted."""
     return spark.range(n).select(F.col("id").alias("i"), (F.randn(seed) * sigma + F.when(F.col("id") % 2 == 0, bounce).otherwise(-bounce)).alias("r"))
+
+
+def simulated_panel(spark: SparkSession, periods: int, rows: int, on_mid: float = 0.5, on_signal: float = 1.2, seed: int = 7) -> DataFrame:
+    """(period, mid, signal, noise, y): outcomes whose log-odds are known sums of those of a noisy price and of a signal; the
+    column `noise` has no part in them."""
+    u = F.rand(seed) * 0.6 + 0.2 + F.randn(seed + 1) * 0.15
+    x = spark.range(periods * rows).select(F.floor(F.col("id") / rows).alias("period"), F.least(F.greatest(u, F.lit(0.05)), F.lit(0.95)).alias("mid"), (F.rand(seed + 2) * 2 - 1).alias("signal"), (F.randn(seed + 3) * 0.1).alias("noise"), F.rand(seed + 4).alias("u"))
+    odds = on_mid * F.log(F.col("mid") / (1 - F.col("mid"))) + on_signal * F.col("signal")
+    return x.withColumn("y", (F.col("u") < 1 / (1 + F.exp(-odds))).cast("int")).drop("u")
