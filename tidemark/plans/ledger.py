@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import expressions as x
+from tidemark.operators import ledger as book
 from tidemark.operators import breach, drawdown, running_sum, running_totals, scan
 from tidemark.operators.selection import ranks
 from tidemark.plans.dialect import oracle, render, rounded, sql_query, view
@@ -11,52 +12,80 @@ from tidemark.registry import query
 #: Running totals over a whole table go day by day (or by stretches of ids), so that no task reads the table.
 DAY, STRETCH = "floor(ts_us / 86400000000e0)", "floor(id / 1000000e0)"
 
+FEE = x.venue_fee("venue", "fill_price")
+
+
+def _filled(spark, sf):
+    """Settlements that were filled."""
+    return view(spark, sf, "settlements").where("filled = 1")
+
+
 sql_query("recent_rows", "select id, ts_us, market, asset, tf, side, filled, R(pnl) as pnl from settlements order by id desc limit 50")
 sql_query("recent_filled", "select id, ts_us, market, asset, side, R(fill_price) as fill_price, won, R(pnl) as pnl from settlements where filled = 1 order by id desc limit 50")
-sql_query("settlement_totals", """
+query("settlement_totals", oracle("""
 select round(coalesce(sum(case when filled = 1 then pnl end), 0e0), 4) as pnl, cast(coalesce(sum(filled), 0) as bigint) as filled,
     cast(coalesce(sum(won), 0) as bigint) as won,
-  count(*) as settled, round(coalesce(avg(case when filled = 1 then won end), 0e0), 9) as winrate from settlements""")
-sql_query("pnl_today", """
+  count(*) as settled, round(coalesce(avg(case when filled = 1 then won end), 0e0), 9) as winrate from settlements"""))(
+    lambda spark, sf: rounded(book.totals(view(spark, sf, "settlements")), {"pnl": 4, "winrate": 9})
+)
+query("pnl_today", oracle("""
 with d as (select max(ts_us) - max(ts_us) % 86400000000 as midnight from settlements)
 select midnight, round(coalesce(sum(pnl), 0e0), 4) as pnl, count(pnl) as trades
   from d left join settlements on filled = 1 and ts_us >= midnight
-  group by midnight""")
-sql_query("throughput_decisions", "select tf, asset, count(*) as evaluated, cast(sum(case when decision = 'TRADE' then 1 else 0 end) as bigint) as trades from decisions group by tf, asset")
-sql_query("throughput_settlements", "select tf, asset, count(*) as filled, R(avg(won)) as winrate, round(sum(pnl), 4) as pnl from settlements where filled = 1 group by tf, asset")
-sql_query("throughput", """
+  group by midnight"""))(
+    lambda spark, sf: rounded(book.last_day(view(spark, sf, "settlements"), "ts_us", "pnl"), {"pnl": 4})
+)
+query("throughput_decisions", oracle("select tf, asset, count(*) as evaluated, cast(sum(case when decision = 'TRADE' then 1 else 0 end) as bigint) as trades from decisions group by tf, asset"))(
+    lambda spark, sf: view(spark, sf, "decisions").groupBy("tf", "asset").agg(F.count("*").alias("evaluated"), F.count_if(F.col("decision") == "TRADE").alias("trades"))
+)
+query("throughput_settlements", oracle("select tf, asset, count(*) as filled, R(avg(won)) as winrate, round(sum(pnl), 4) as pnl from settlements where filled = 1 group by tf, asset"))(
+    lambda spark, sf: rounded(book.trades(_filled(spark, sf), ["tf", "asset"], pnl="pnl").withColumnRenamed("n", "filled").drop("wins"), {"winrate": 9, "pnl": 4})
+)
+query("throughput", oracle("""
 with d as (select tf, count(*) as evaluated, cast(sum(case when decision = 'TRADE' then 1 else 0 end) as bigint) as trades
   from decisions
   group by tf),
 s as (select tf, count(*) as filled, avg(won) as winrate, sum(pnl) as pnl from settlements where filled = 1 and tf <> '4h' group by tf)
 select coalesce(d.tf, s.tf) as tf, coalesce(evaluated, 0) as evaluated, coalesce(trades, 0) as trades, coalesce(filled, 0) as filled, R(winrate) as winrate,
     round(coalesce(pnl, 0e0), 4) as pnl
-from d full outer join s on d.tf = s.tf""")
-sql_query("winrate_by_asset_tf", "select asset, tf, count(*) as n, R(avg(won)) as winrate from settlements where filled = 1 group by asset, tf")
+from d full outer join s on d.tf = s.tf"""))(
+    lambda spark, sf: rounded(book.throughput(view(spark, sf, "decisions"), _filled(spark, sf).where("tf <> '4h'"), ["tf"]), {"winrate": 9, "pnl": 4})
+)
+query("winrate_by_asset_tf", oracle("select asset, tf, count(*) as n, R(avg(won)) as winrate from settlements where filled = 1 group by asset, tf"))(
+    lambda spark, sf: rounded(book.trades(_filled(spark, sf), ["asset", "tf"]).select("asset", "tf", "n", "winrate"))
+)
 sql_query("ev_by_regime", "select regime, count(*) as n, R(avg(ev)) as ev from decisions group by regime")
 sql_query("markets_having_20", "select market, count(*) as n from quotes group by market having count(*) >= 20")
 sql_query("ll_span", "select count(*) as n, min(ts_us) as first_us, max(ts_us) as last_us, R((max(ts_us) - min(ts_us)) / 1e6) as elapsed_s from ticks")
 sql_query("distinct_assets", "select distinct asset from ticks where price > 0")
-sql_query("daily_up_rate", """
+query("daily_up_rate", oracle("""
 select cast(floor(ts_us / 86400000000e0) as bigint) as day, count(*) as n, R(avg(outcome_up)) as up_rate
   from settlements
-  group by cast(floor(ts_us / 86400000000e0) as bigint) having count(*) >= 5""")
-sql_query("equal_weight_days", """
+  group by cast(floor(ts_us / 86400000000e0) as bigint) having count(*) >= 5"""))(
+    lambda spark, sf: rounded(book.daily_rate(view(spark, sf, "settlements"), "ts_us", "outcome_up", 5))
+)
+query("equal_weight_days", oracle("""
 with d as (select cast(floor(ts_us / 86400000000e0) as bigint) as day, count(*) as n, avg(outcome_up) as r
   from settlements
   group by cast(floor(ts_us / 86400000000e0) as bigint))
-select count(*) as days, R(avg(r)) as mean_rate, max(day) as last_day, R(max_by(r, day)) as last_rate from d""")
-sql_query("asset_drift", """
+select count(*) as days, R(avg(r)) as mean_rate, max(day) as last_day, R(max_by(r, day)) as last_rate from d"""))(
+    lambda spark, sf: rounded(book.equal_days(book.daily_rate(view(spark, sf, "settlements"), "ts_us", "outcome_up")))
+)
+query("asset_drift", oracle("""
 select asset, count(*) as n, R(min_by(price, ts_us)) as first_price, R(max_by(price, ts_us)) as last_price,
     R(100e0 * case when min_by(price, ts_us) > 0e0 then max_by(price, ts_us) / min_by(price, ts_us) - 1e0 end) as drift_pct
   from ticks
-  group by asset""")
-sql_query("down_regime", """
+  group by asset"""))(
+    lambda spark, sf: rounded(book.drift(view(spark, sf, "ticks"), ["asset"], "ts_us", "price").withColumn("drift_pct", F.col("drift") * 100).drop("drift"))
+)
+query("down_regime", oracle("""
 with d as (select asset, case when min_by(price, ts_us) > 0e0 then max_by(price, ts_us) / min_by(price, ts_us) - 1e0 end as drift
   from ticks
   group by asset)
 select count(*) as assets, R(avg(case when drift < 0e0 then 1e0 else 0e0 end)) as falling, avg(case when drift < 0e0 then 1e0 else 0e0 end) >= 0.6e0 as down
-  from d""")
+  from d"""))(
+    lambda spark, sf: rounded(book.falling(book.drift(view(spark, sf, "ticks"), ["asset"], "ts_us", "price")))
+)
 sql_query("switch_check", f"""
 with d as (select asset, case when min_by(price, ts_us) > 0e0 then max_by(price, ts_us) / min_by(price, ts_us) - 1e0 end as drift
   from ticks
@@ -138,13 +167,19 @@ sql_query("calib_emit", "select id, market, asset, tf, R(market_mid) as market_m
 
 # attribution
 NET = f"won - fill_price - {x.venue_fee('venue', 'fill_price')}"
-sql_query("pnl_attribution", f"""
+query("pnl_attribution", oracle(f"""
 select count(*) as n, round(sum((won - fill_price) * 20e0 / fill_price), 4) as gross,
     round(sum({x.venue_fee('venue', 'fill_price')} * 20e0 / fill_price), 4) as fees, round(sum(({NET}) * 20e0 / fill_price), 4) as net, R(avg(won)) as winrate
-from settlements where filled = 1""")
-sql_query("settled_by_asset", f"select asset, count(*) as n, R(avg(won)) as winrate, R(avg(fill_price)) as entry, R(avg({NET})) as net_per_contract, round(sum(pnl), 4) as pnl from settlements where filled = 1 group by asset")
+from settlements where filled = 1"""))(
+    lambda spark, sf: rounded(book.attribution(_filled(spark, sf), "won", "fill_price", F.expr(FEE)), {"gross": 4, "fees": 4, "net": 4, "winrate": 9})
+)
+query("settled_by_asset", oracle(f"select asset, count(*) as n, R(avg(won)) as winrate, R(avg(fill_price)) as entry, R(avg({NET})) as net_per_contract, round(sum(pnl), 4) as pnl from settlements where filled = 1 group by asset"))(
+    lambda spark, sf: rounded(book.trades(_filled(spark, sf), ["asset"], pnl="pnl", entry=F.col("fill_price"), net_per_contract=book.net("won", "fill_price", F.expr(FEE))).drop("wins"), {"winrate": 9, "entry": 9, "net_per_contract": 9, "pnl": 4})
+)
 sql_query("net_per_contract", f"select id, R({NET}) as net, R(case when fill_price is null then null else fill_price + 0.02e0 - fill_price - {x.venue_fee('venue', 'fill_price')} end) as stated_edge from settlements")
-sql_query("group_stat", f"select coalesce(side, 'None') as label, count(*) as n, cast(sum(won) as bigint) as wins, R(avg(fill_price)) as price, R(avg({NET})) as net from settlements where filled = 1 group by coalesce(side, 'None')")
+query("group_stat", oracle(f"select coalesce(side, 'None') as label, count(*) as n, cast(sum(won) as bigint) as wins, R(avg(fill_price)) as price, R(avg({NET})) as net from settlements where filled = 1 group by coalesce(side, 'None')"))(
+    lambda spark, sf: rounded(book.trades(_filled(spark, sf).withColumn("label", F.coalesce("side", F.lit("None"))), ["label"], price=F.col("fill_price"), net=book.net("won", "fill_price", F.expr(FEE))).drop("winrate"))
+)
 sql_query("selectivity_rules", f"""
 with t as (select asset, won, ((id * 13) % 100 - 50) / 500e0 as edge, {NET} as net, 20e0 / fill_price as contracts from settlements where filled = 1),
 r as (select t.*, k.rule as rule
@@ -168,7 +203,9 @@ sql_query("bucket_edge", """
 select regime, tf, count(*) as n, R(avg(case when (p_cal >= 0.5e0) = (id % 2 = 0) then 1e0 else 0e0 end)) as winrate
   from decisions
   group by regime, tf having count(*) >= 3 order by n desc, regime, tf limit 14""")
-sql_query("regime_shares", "select regime, count(*) as n, R(count(*) / (sum(count(*)) over () + 0e0)) as share from decisions group by regime")
+query("regime_shares", oracle("select regime, count(*) as n, R(count(*) / (sum(count(*)) over () + 0e0)) as share from decisions group by regime"))(
+    lambda spark, sf: rounded(book.shares(view(spark, sf, "decisions"), "regime"))
+)
 sql_query("filled_trade_join", """
 with j as (select s.market, s.id as sid, d.id as did, s.pnl, s.won, d.p_cal, d.ev, row_number() over (partition by s.market order by d.ts_us, d.id) as k
   from settlements s join decisions d on s.market = d.market
@@ -210,8 +247,12 @@ select cast(floor(ts_us / 86400000000e0) as bigint) as day, count(*) as cycles,
     count(distinct user_id) as callers, cast(sum(case when k >= 95 then 1 else 0 end) as bigint) as errors, max(ts_us) as last_us
   from ticks
   group by cast(floor(ts_us / 86400000000e0) as bigint)""")
-sql_query("feed_staleness", "select asset, max(ts_us) as updated_us, R(((select max(ts_us) from ticks) - max(ts_us)) / 1e6) as stale_s from rounds group by asset")
-sql_query("source_activity", "select asset as source, count(*) as events, max(ts_us) as last_us, R(((select max(ts_us) from ticks) - max(ts_us)) / 1e6) as age_s from ticks group by asset")
+query("feed_staleness", oracle("select asset, max(ts_us) as updated_us, R(((select max(ts_us) from ticks) - max(ts_us)) / 1e6) as stale_s from rounds group by asset"))(
+    lambda spark, sf: rounded(book.staleness(view(spark, sf, "rounds"), "asset", "ts_us", view(spark, sf, "ticks"))).selectExpr("asset", "last_us as updated_us", "age_s as stale_s")
+)
+query("source_activity", oracle("select asset as source, count(*) as events, max(ts_us) as last_us, R(((select max(ts_us) from ticks) - max(ts_us)) / 1e6) as age_s from ticks group by asset"))(
+    lambda spark, sf: rounded(book.staleness(view(spark, sf, "ticks"), "asset", "ts_us")).withColumnRenamed("asset", "source")
+)
 query("latency_percentiles", oracle("""
 with r as (select asset, price, row_number() over (partition by asset order by price, seq) as i, count(*) over (partition by asset) as n from ticks)
 select asset, max(n) as n, R(max(case when i = cast(floor(n / 2e0) as bigint) + 1 then price end)) as p50,
