@@ -1,5 +1,6 @@
 """SQLite tables and designs of feature groups on users' frames."""
 
+import json
 import sqlite3
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.statistics import fama_macbeth, irls, standardize
 from tidemark.operators.design import Design, Group, one_hot
-from tidemark.sources import simulated_panel, sqlite
+from tidemark.sources import find_runs, simulated_panel, sqlite, storage, write_flag, write_snapshot
 
 
 @pytest.fixture
@@ -71,3 +72,16 @@ def test_planted_signals_are_found(spark):
     t = {r.term: r for r in fama_macbeth(design.fits(panel, {"all": ["mid", "signal", "noise"]}, "y", "period")).collect()}
     assert t["signal"].t > 10 and t["odds"].t > 3 and abs(t["noise"].t) < 3
     assert t["signal"].mean == pytest.approx(1.2 / 3**0.5, abs=0.1)  # per standard deviation of the signal
+
+
+def test_small_files_through_hadoop(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    for n in ("run-2", "run-10", "run-1", "other"):
+        (tmp_path / n).mkdir()
+    assert find_runs(base, "run-", 2, spark) == [f"{base}/run-10", f"{base}/run-2"] and find_runs(str(tmp_path), "run-", 2) == [f"{tmp_path}/run-10", f"{tmp_path}/run-2"]
+    assert find_runs(f"{base}/missing", "run-", spark=spark) == []
+    for doc in ({"a": 1}, {"a": "é"}):
+        write_snapshot(doc, f"{base}/s.json", spark)
+        assert json.loads(storage.read_text(spark, f"{base}/s.json")) == doc
+    assert write_flag(f"{base}/flag", True, "due", spark) and (tmp_path / "flag").read_text() == "due"
+    assert not write_flag(f"{base}/flag", False, spark=spark) and not write_flag(f"{base}/flag", False, spark=spark)

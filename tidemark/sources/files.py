@@ -9,6 +9,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources import storage
+
 SETTLED = "record_type string, venue string, side string, signal_time string, market_start_time string, market_end_time string, settlement_winning_side string, model_prob_side double, raw_model_probability double, entry_price double, avg_entry_price double, entry_fee_per_contract double, fee_paid double, contracts double, quantity double, realized_pnl double"
 DECISION = "record_type string, venue string, signal_time string, market_start_time string, market_end_time string, selected_side string, decision_reason string, should_enter boolean, time_to_settlement_minutes double, probability_up double, model_probability double, confidence double, entry_price double, observed_best_ask double, observed_best_bid double"
 QUOTE = "record_type string, venue string, selected_side string, market_start_time string, market_end_time string, quote_timestamp string, observed_best_bid double, observed_best_ask double, observed_bid_size double, observed_ask_size double"
@@ -44,9 +46,9 @@ def quotes_jsonl(spark: SparkSession, path: str, seconds: int = 900) -> DataFram
     return x.where(F.abs(epoch("market_end_time") - epoch("market_start_time") - seconds) <= 1)
 
 
-def find_runs(folder: str, prefix: str, last: int | None = None) -> list[str]:
-    """Run folders by name, the last few of them."""
-    names = sorted(n for n in os.listdir(folder) if n.startswith(prefix))
+def find_runs(folder: str, prefix: str, last: int | None = None, spark: SparkSession | None = None) -> list[str]:
+    """Run folders by name, the last few of them; with a session the folder may be on any store that Spark reaches."""
+    names = [n for n in (sorted(os.listdir(folder)) if spark is None else storage.names(spark, folder)) if n.startswith(prefix)]
     return [os.path.join(folder, n) for n in (names[-last:] if last else names)]
 
 
@@ -94,15 +96,22 @@ def latest_rows(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(F.col(order).desc()).limit(n)
 
 
-def write_snapshot(doc: dict, path: str) -> None:
-    """Replace a small JSON document at once."""
+def write_snapshot(doc: dict, path: str, spark: SparkSession | None = None) -> None:
+    """Replace a small JSON document at once; with a session, on any store that Spark reaches."""
+    if spark is not None:
+        storage.write_text(spark, path, json.dumps(doc))
+        return
     with open(f"{path}.new", "w") as f:
         json.dump(doc, f)
     os.replace(f"{path}.new", path)
 
 
-def write_flag(path: str, due: bool, text: str = "") -> bool:
-    """A marker file that is there while something is due, and gone once it isn't; whether it is there now."""
+def write_flag(path: str, due: bool, text: str = "", spark: SparkSession | None = None) -> bool:
+    """A marker file that is there while something is due, and gone once it isn't; whether it is there now. With a session,
+    on any store that Spark reaches."""
+    if spark is not None:
+        storage.write_text(spark, path, text) if due else storage.remove(spark, path)
+        return storage.exists(spark, path)
     if due:
         with open(path, "w") as f:
             f.write(text)
