@@ -28,25 +28,27 @@ def same(left: list[str], right: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)], F.lit(True))
 
 
-def with_before(df: DataFrame, by: list[str], bucket: str, totals: dict[str, Column]) -> DataFrame:
+def with_before(df: DataFrame, by: list[str], bucket: str, totals: dict[str, Column], whole: dict[str, Column] | None = None) -> DataFrame:
     """df with its bucket as `__key` (the key's columns and the bucket in one struct, so that nulls meet nulls) and, for each
-    of `totals` (aggregates over rows), what all earlier buckets of the key sum up to, null buckets first. Rows are dealt by
-    `__key` once, for the join and for windows over buckets."""
+    of `totals` (aggregates over rows), what all earlier buckets of the key sum up to, null buckets first; for each of
+    `whole`, what all buckets sum up to. Rows are dealt by `__key` once, for the join and for windows over buckets."""
+    whole = whole or {}
     x = df.withColumn("__key", F.struct(*by, F.expr(bucket).alias("__b")))
-    sums = x.groupBy("__key").agg(*[c.alias(n) for n, c in totals.items()])
-    earlier = Window.partitionBy(*[f"__key.{k}" for k in by]).orderBy("__key.__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("__key", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in totals])
+    sums = x.groupBy("__key").agg(*[c.alias(n) for n, c in {**totals, **whole}.items()])
+    key = Window.partitionBy(*[f"__key.{k}" for k in by])
+    earlier = key.orderBy("__key.__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__key", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in totals], *[F.sum(n).over(key).alias(n) for n in whole])
     return x.join(before, "__key")
 
 
-def positions(df: DataFrame, by: list[str], order: list[str], bucket: str, name: str = "i") -> DataFrame:
-    """df with each row's place within its key, from 1, in `order`.
+def positions(df: DataFrame, by: list[str], order: list[str], bucket: str, name: str = "i", whole: dict[str, Column] | None = None) -> DataFrame:
+    """df with each row's place within its key, from 1, in `order`; and `whole`, sums or counts over all of its key.
 
     `bucket` is an SQL expression of the first column of `order` that never falls (the day of a time, say); each bucket is
     numbered on its own. Rows that are alike in `order` are numbered in any order.
     """
     inside = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
-    return with_before(df, by, bucket, {"__before": F.count("*")}).withColumn(name, F.col("__before") + inside).drop("__key", "__before")
+    return with_before(df, by, bucket, {"__before": F.count("*")}, whole).withColumn(name, F.col("__before") + inside).drop("__key", "__before")
 
 
 def halo(df: DataFrame, by: list[str], order: list[str], bucket: str | None, before: int, after: int = 0, size: int = SIZE, at: str | None = None) -> DataFrame:

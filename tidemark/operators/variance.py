@@ -70,17 +70,20 @@ def har_features(bars: DataFrame, by: list[str], bar: str = "bar", rv: str = "rv
     return x.where((F.col("__t") > month) & F.col("target").isNotNull()).drop("__t")
 
 
-def _of_key(df: DataFrame, by: list[str], name: str, total: Column) -> DataFrame:
-    """df with an aggregate of its key, joined from one row a key."""
-    g = df.groupBy(*by).agg(total.alias(name)).select(*[F.col(k).alias(f"__k_{k}") for k in by], name)
-    return df.join(g, same(by, [f"__k_{k}" for k in by])).drop(*[f"__k_{k}" for k in by])
+def _numbered(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], bucket: str | None) -> tuple[DataFrame, dict]:
+    """df with sums or counts over each key, and what `windowed` needs to cut it: places that come from the same pass."""
+    if bucket:
+        return positions(df, by, order, bucket, "__at", sums), {"at": "__at"}
+    g = df.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()]).select(*[F.col(k).alias(f"__k_{k}") for k in by], *sums)
+    return df.join(g, same(by, [f"__k_{k}" for k in by])).drop(*[f"__k_{k}" for k in by]), {}
 
 
 def realized_variance(df: DataFrame, by: list[str], order: list[str], r: str, bucket: str | None = None, size: int = SIZE) -> DataFrame:
     """(by, n, naive, ac1, kernel): sum of squares, with the first autocovariance, and with three Bartlett-weighted ones of
     centred returns; both corrected ones stay above a quarter of the first."""
-    x = _of_key(df.where(F.col(r).isNotNull()), by, "__mean", F.avg(r)).withColumn("__e", F.col(r) - F.col("__mean"))
-    x = windowed(x, by, order, lambda w: {f"__e{k}": F.lag("__e", k).over(w) for k in (1, 2, 3)}, 3, bucket=bucket, size=size)
+    x, cut = _numbered(df.where(F.col(r).isNotNull()), by, order, {"__sum": F.sum(r), "__n": F.count("*")}, bucket)
+    x = x.withColumn("__e", F.col(r) - F.col("__sum") / F.col("__n"))
+    x = windowed(x, by, order, lambda w: {f"__e{k}": F.lag("__e", k).over(w) for k in (1, 2, 3)}, 3, size=size, **cut)
     g = x.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col(r) * F.col(r)).alias("naive"), *[F.sum(F.col("__e") * F.col(f"__e{k}" if k else "__e")).alias(f"__g{k}") for k in range(4)])
     kernel = F.col("__g0") + 2 * (0.75 * F.col("__g1") + 0.5 * F.col("__g2") + 0.25 * F.col("__g3"))
     floor = 0.25 * F.col("naive")
@@ -100,7 +103,7 @@ def bipower(df: DataFrame, by: list[str], order: list[str], r: str, bucket: str
 
 def _tested(df: DataFrame, by: list[str], order: list[str], r: str, window: int, level: float, bucket: str | None, size: int) -> DataFrame:
     """Rows with a return, `__b`, and `stat` and `jump`, both null where the local window isn't full."""
-    x = _of_key(df.where(F.col(r).isNotNull()), by, "__n", F.count("*"))
+    x, cut = _numbered(df.where(F.col(r).isNotNull()), by, order, {"__n": F.count("*")}, bucket)
 
     def products(w):
         return {"__b": F.abs(r) * F.abs(F.lag(r).over(w))}
@@ -110,13 +113,13 @@ def _tested(df: DataFrame, by: list[str], order: list[str], r: str, window: int,
         return {"__s": F.sum("__b").over(w), "__c": F.count("__b").over(w)}
 
     # products reach back one row, their sums `window` - 1 more
-    x = windowed(x, by, order, [products, local], window, bucket=bucket, size=size)
+    x = windowed(x, by, order, [products, local], window, size=size, **cut)
     full = (F.col("__c") == window - 1) & (F.col("__s") > 0)
     ll, q = F.log(F.greatest(F.col("__n") - window, F.lit(2))), math.sqrt(2 / math.pi)
     stat = F.abs(r) / F.sqrt(F.col("__s") / (window - 2))
     centre = F.sqrt(2 * ll) / q - (math.log(math.pi) + F.log(ll)) / (2 * q * F.sqrt(2 * ll))
     jump = F.when((stat - centre) * (q * F.sqrt(2 * ll)) > -math.log(-math.log(1 - level)), 1).otherwise(0)
-    return x.withColumns({"stat": F.when(full, stat), "jump": F.when(full, jump)}).drop("__n", "__s", "__c")
+    return x.withColumns({"stat": F.when(full, stat), "jump": F.when(full, jump)}).drop("__n", "__s", "__c", "__at")
 
 
 def jumps(df: DataFrame, by: list[str], order: list[str], r: str, window: int = 50, level: float = 0.01, bucket: str | None = None, size: int = SIZE) -> DataFrame:
