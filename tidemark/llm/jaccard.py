@@ -246,7 +246,7 @@ def report(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """The documents, one of each class: the one of smallest doc_id. Texts without words stay; of rows alike in doc_id
-    and text one stays. Columns are unchanged."""
+    and text one stays, and different texts under that smallest doc_id all stay. Columns are unchanged."""
     found = near_duplicates(docs.select("doc_id", "text"), n, threshold, recall)
     gone = found.where("doc_id <> class_id").select("doc_id", F.col("rk").alias("__rk")).distinct()
     x = docs.withColumn("__rk", F.hash("text")).join(gone, ["doc_id", "__rk"], "left_anti")

@@ -13,7 +13,8 @@ program):
 * then the full overlap is counted, and the stretches of the few blocks that are left are searched.
 
 Of a family of templates that nearly contain each other (licenses with and without a clause), those with the most words
-found label a block. Words outside all templates can't be shared, so blocks are reduced to template words first.
+found label a block. A match is one of word sets: a stretch that holds a notice's words in another order meets it, too.
+Words outside all templates can't be shared, so blocks are reduced to template words first.
 """
 
 from __future__ import annotations

@@ -28,7 +28,8 @@ def preference(turns: DataFrame, train_on: str = "assistant") -> DataFrame:
 
     Turns are ordered by turn, then role and text. A null role is 'unknown', a null text empty. Repeated rows are turns
     of their own. A side that is missing is an empty conversation with a null conv_id: nothing is common then. If both
-    sides are alike, both completions are empty. Rows with a null pair_id or another side belong to no pair. Extra columns are not read.
+    sides are alike, both completions are empty. Rows with a null pair_id or another side belong to no pair. Extra columns are not read. A
+    pair's turns come together in one row, as its texts do: a pair has to fit into a row of Spark (2 GB), else it fails.
     """
     t = turns.where(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected"))
     t = t.select("pair_id", "side", "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

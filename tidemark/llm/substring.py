@@ -1,13 +1,17 @@
 """Substring deduplication by recompression: find every repeated passage of 13 words or more.
 
 Method. Each document's word sequence is recompressed (see `recompress`): rounds that name runs and pairs, alike in
-all documents. Two kinds of symbols are shuffled:
+all documents. A name is a 64-bit hash of what it stands for, so tasks give equal content equal names without an
+exchange between rounds; Spark brings equal names together. Two kinds of symbols are shuffled:
 
 * long symbols (64 words up to the whole document). One that also stands in a document with a smaller id proves its
   whole span repeated, so none of the windows inside has to be looked at again;
 * anchors: each window of 13 words names one interior symbol, with its context, that every occurrence of the window
   must hold. Only windows whose anchor stands in two documents can repeat; they alone are verified, window by window.
 
+Long symbols and windows carry a second name, made of other hashes of words: passages count as equal if both names are.
+Words themselves are not compared again.
+
 Cost follows the text, not the square of any group: every shuffle is an aggregation with map-side combining, or a join
 of rows with such an aggregate that was written before, so that adaptive execution splits (or broadcasts to) hot keys.
 """
