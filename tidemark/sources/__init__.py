@@ -1,4 +1,4 @@
-"""Sources and sinks: JSONL, CSV candles, lane files, status snapshots, append and upsert tables, synthetic series."""
+"""Sources and sinks: JSONL, CSV candles, lane files, status snapshots, append tables, SQLite tables, log folders, synthetic series."""
 
 from tidemark.sources.files import (
     append_json,
@@ -20,6 +20,8 @@ from tidemark.sources.files import (
     write_flag,
     write_snapshot,
 )
+from tidemark.sources.logs import log_stream, parsed
+from tidemark.sources.sqlite import sqlite_table
 
 __all__ = [
     "append_json",
@@ -30,6 +32,8 @@ __all__ = [
     "find_runs",
     "lane_config",
     "lanes",
+    "log_stream",
+    "parsed",
     "latest_rows",
     "quotes_jsonl",
     "settled_jsonl",
@@ -38,6 +42,7 @@ __all__ = [
     "simulated_panel",
     "simulated_regimes",
     "simulated_returns",
+    "sqlite_table",
     "write_flag",
     "write_snapshot",
 ]

@@ -37,6 +37,7 @@ class _AsOf(StatefulProcessor):
         n = self.count.get()[0] if self.count.exists() else 0
         due = set()
         for pdf in rows:
+            # columns come in the order of the union, under names of Spark's own
             pdf = pdf.rename(columns=dict(zip(pdf.columns[-5:], ["at", "tie", "is_left", "l", "r"], strict=True)))
             for at, tie, is_left, mine, theirs in zip(pdf["at"].tolist(), pdf["tie"].tolist(), pdf["is_left"].tolist(), pdf["l"], pdf["r"], strict=True):
                 row = list((mine if is_left else theirs).values())
@@ -90,6 +91,7 @@ def stream_asof(left: DataFrame, right: DataFrame, by: str, on: str, values: lis
     `on` is a timestamp of both, in whole milliseconds. A left row is emitted once the watermark, `late` behind the newest
     row of either, has passed it; rows that come later than that are dropped. Of right rows with one time the one of the
     largest `tie` counts (without it, or if equal, the last to come). Without a match within the tolerance values are null.
+    Rows without a time are left out, a null `tie` is 0.
     State holds left rows until the watermark, and right rows from there back to the tolerance, without one the last.
     """
     names = left.columns
@@ -99,8 +101,8 @@ def stream_asof(left: DataFrame, right: DataFrame, by: str, on: str, values: lis
     types = StructType([*[left.schema[c] for c in names], *[StructField(prefix + c, right.schema[c].dataType) for c in [on, *values]]])
     empty = lambda df, cols: F.lit(None).cast(StructType([df.schema[c] for c in cols]))
     lt = left.select(*tag, F.lit(0).cast("long").alias("tie_no"), F.lit(True).alias("is_left"), packed(left, names).alias("left_row"), empty(right, [on, *values]).alias("right_row"))
-    rt = right.select(*tag, (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("tie_no"), F.lit(False).alias("is_left"), empty(left, names).alias("left_row"), packed(right, [on, *values]).alias("right_row"))
-    both = lt.unionByName(rt).withWatermark(on, late)
+    rt = right.select(*tag, F.coalesce(F.col(tie).cast("long") if tie else F.lit(0), F.lit(0)).cast("long").alias("tie_no"), F.lit(False).alias("is_left"), empty(left, names).alias("left_row"), packed(right, [on, *values]).alias("right_row"))
+    both = lt.unionByName(rt).where(F.col(on).isNotNull()).withWatermark(on, late)
 
     return both.groupBy(by).transformWithStateInPandas(_AsOf(tolerance_ms, [on, *values], types.names), types, "append", "eventTime")
 
