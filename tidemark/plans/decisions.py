@@ -1,15 +1,39 @@
 """Decision path: predicates, gates, sizing and control as expressions over decisions and quotes."""
 
+from pyspark.sql import functions as F
+
 from tidemark.functions import expressions as x
-from tidemark.plans.dialect import sql_query
+from tidemark.operators import decisions as path
+from tidemark.plans.dialect import oracle, rounded, sql_query, view
+from tidemark.registry import query
 
 MID = x.mid("up_bid", "up_ask")
-sql_query("mid_fallback", f"select seq, R({MID}) as mid from quotes")
-sql_query("spread", "select seq, R(up_ask - up_bid) as spread, R(coalesce(up_ask - up_bid, 0.06e0)) as spread_or_default from quotes")
-sql_query("orient_up", "select seq, R(case when user_side = 'down' then 1e0 - up_ask else up_bid end) as up_bid, R(case when user_side = 'down' then 1e0 - up_bid else up_ask end) as up_ask from (select *, case when seq % 2 = 0 then 'down' else 'up' end as user_side from quotes) q")
-sql_query("ob_imbalance", f"select seq, R({x.imbalance('up_bid_size', 'up_ask_size')}) as imbalance from quotes")
-sql_query("liquidity_filter", f"select seq, venue, R({MID}) as mid from quotes where {MID} is not null and coalesce(up_ask - up_bid, 0e0) <= 0.12e0")
-sql_query("candidate_filter", """
+BID, ASK = F.col("up_bid"), F.col("up_ask")
+
+
+def _coming(spark, sf):
+    """Settlements from ten days after the first one on."""
+    s = view(spark, sf, "settlements")
+    start = s.agg((F.min("ts_us") + 864_000_000_000).alias("start"))  # one row
+    return s.join(start, F.col("ts_us") >= F.col("start")).drop("start")
+
+
+query("mid_fallback", oracle(f"select seq, R({MID}) as mid from quotes"))(
+    lambda spark, sf: rounded(view(spark, sf, "quotes").select("seq", path.mid(BID, ASK).alias("mid")))
+)
+query("spread", oracle("select seq, R(up_ask - up_bid) as spread, R(coalesce(up_ask - up_bid, 0.06e0)) as spread_or_default from quotes"))(
+    lambda spark, sf: rounded(view(spark, sf, "quotes").select("seq", (ASK - BID).alias("spread"), F.coalesce(ASK - BID, F.lit(0.06)).alias("spread_or_default")))
+)
+query("orient_up", oracle("select seq, R(case when user_side = 'down' then 1e0 - up_ask else up_bid end) as up_bid, R(case when user_side = 'down' then 1e0 - up_bid else up_ask end) as up_ask from (select *, case when seq % 2 = 0 then 'down' else 'up' end as user_side from quotes) q"))(
+    lambda spark, sf: rounded(view(spark, sf, "quotes").select("seq", *[c.alias(n) for c, n in zip(path.oriented(F.when(F.col("seq") % 2 == 0, "down").otherwise("up"), BID, ASK), ("up_bid", "up_ask"), strict=True)]))
+)
+query("ob_imbalance", oracle(f"select seq, R({x.imbalance('up_bid_size', 'up_ask_size')}) as imbalance from quotes"))(
+    lambda spark, sf: rounded(view(spark, sf, "quotes").select("seq", path.imbalance(F.col("up_bid_size"), F.col("up_ask_size")).alias("imbalance")))
+)
+query("liquidity_filter", oracle(f"select seq, venue, R({MID}) as mid from quotes where {MID} is not null and coalesce(up_ask - up_bid, 0e0) <= 0.12e0"))(
+    lambda spark, sf: rounded(path.liquid(view(spark, sf, "quotes"), "up_bid", "up_ask").select("seq", "venue", path.mid(BID, ASK).alias("mid")))
+)
+@query("candidate_filter", oracle("""
 with c as (select d.*, (id % 200) as mins_left, case tf when '5m' then 5e0 when '15m' then 15e0 when '1h' then 60e0 when '4h' then 240e0 else 1440e0 end as w,
     spot * (1e0 + (id % 21 - 10) / 100e0) as strike
   from decisions d)
@@ -17,9 +41,20 @@ select id, market, asset, tf, mins_left
   from c
   where strike is not null and spot is not null and spot > 0e0 and strike > 0e0 and mins_left >= greatest(0.5e0, 0.05e0 * w) and mins_left <= least(0.95e0 * w, 180e0)
   and (kind <> 'threshold' or abs(ln(spot / strike)) <= case when tf = '1h' then 0.08e0 else 0.04e0 end)
-  and not exists (select 1 from settlements s where s.market = c.market and s.filled = 0)""")
-sql_query("undecided", "select d.id, d.market from decisions d where not exists (select 1 from settlements s where s.market = d.market and s.filled = 1)")
-sql_query("trade_gate", """
+  and not exists (select 1 from settlements s where s.market = c.market and s.filled = 0)"""))
+def _candidates(spark, sf):
+    """Decisions in reach whose market has no settlement without a fill."""
+    d = view(spark, sf, "decisions").selectExpr(
+        "id", "market", "asset", "tf", "kind", "spot", "id % 200 as mins_left", "case tf when '5m' then 5e0 when '15m' then 15e0 when '1h' then 60e0 when '4h' then 240e0 else 1440e0 end as w", "spot * (1e0 + (id % 21 - 10) / 100e0) as strike"
+    )
+    lost = view(spark, sf, "settlements").where("filled = 0")
+    return path.without(path.in_reach(d, "mins_left", "w", "spot", "strike", "kind", "tf"), lost, ["market"]).select("id", "market", "asset", "tf", "mins_left")
+
+
+query("undecided", oracle("select d.id, d.market from decisions d where not exists (select 1 from settlements s where s.market = d.market and s.filled = 1)"))(
+    lambda spark, sf: path.without(view(spark, sf, "decisions").select("id", "market"), view(spark, sf, "settlements").where("filled = 1"), ["market"])
+)
+query("trade_gate", oracle("""
 with g as (select *, case when p_cal > book_mid_up then 'up' else 'down' end as lean,
     case when p_cal > book_mid_up then book_mid_up else 1e0 - book_mid_up end as price, row_number() over (partition by asset order by ts_us, id) as seen
   from decisions),
@@ -27,7 +62,9 @@ e as (select *, abs(p_cal - book_mid_up) as edge, abs(p_cal - book_mid_up) - 0.0
   from g
   where price > 0.02e0 and price < 0.98e0)
 select id, lean, R(price) as price, R(net) as ev, case when seen > 40 and abs(p_cal - book_mid_up) <= 0.2e0 and book_mid_up between 0.3e0 and 0.65e0 and ((lean = 'up' and z_dist >= 0e0) or (lean = 'down' and z_dist <= 0e0))
-  and net > 0.01e0 and confidence > 0.05e0 and move_prob > 0.35e0 then 'TRADE' else 'SKIP' end as gate from e""")
+  and net > 0.01e0 and confidence > 0.05e0 and move_prob > 0.35e0 then 'TRADE' else 'SKIP' end as gate from e"""))(
+    lambda spark, sf: rounded(path.gated(view(spark, sf, "decisions"), ["asset"], ["ts_us", "id"], "floor(ts_us / 86400000000e0)").select("id", "lean", "price", "ev", "gate"))
+)
 sql_query("side_select", f"""
 with cell as (select tf, {x.band('market_mid')} as band, case when avg(case when p_cal > market_mid then outcome_up end) - avg(case when p_cal <= market_mid then outcome_up end) < -0.08e0 then -1 else 1 end as factor
   from calib
@@ -47,7 +84,9 @@ p as (select id, tf, case when tf = '15m' then 0e0 when tf = '1h' then 1e0 + abs
   where tf <> '1h' or abs(ln(spot / strike)) <= 0.10e0)
 select id, tf, R(priority) as priority from p order by priority, id limit 95""")
 sql_query("nearest_expiries", "select id, ts_us, asset from settlements where ts_us >= (select min(ts_us) + 864000000000 from settlements) order by ts_us, id limit 12")
-sql_query("next_two_expiries", "select asset, id, ts_us from (select *, row_number() over (partition by asset order by ts_us, id) as k from settlements where ts_us >= (select min(ts_us) + 864000000000 from settlements)) s where k <= 2")
+query("next_two_expiries", oracle("select asset, id, ts_us from (select *, row_number() over (partition by asset order by ts_us, id) as k from settlements where ts_us >= (select min(ts_us) + 864000000000 from settlements)) s where k <= 2"))(
+    lambda spark, sf: path.first_of_each(_coming(spark, sf), ["asset"], ["ts_us", "id"], 2).select("asset", "id", "ts_us")
+)
 sql_query("entry_filter", "select id, asset, tf from decisions where p_cal is not null and id % 20 > 0 and id % 20 <= 16 and regime not in ('high_vol/chop', 'low_vol/trend')")
 sql_query("regime_onehot", "select id, case when regime like '%high_vol%' then 1e0 else 0e0 end as high_vol, case when regime like '%trend%' then 1e0 else 0e0 end as trending from decisions")
 # a resting leg at the mid and a crossing leg at the ask, of a flat share of equity or of capped half Kelly; a leg under
@@ -66,7 +105,9 @@ o as (select id, case when pas >= 1e0 then pas else 0e0 end as pas, case when ag
 select id, R(pas) as passive, R(agg) as aggressive, case when pas < 1e0 and agg < 1e0 then 'SKIP' else 'TRADE' end as decision from o"""
 sql_query("two_leg_sizing", LEGS + PLACED.format(passive="1000e0 * 0.02e0 / price", aggressive="1000e0 * 0.01e0 / cross_price"))
 sql_query("two_leg_kelly", LEGS + PLACED.format(passive=f"1000e0 * {x.kelly('p', 'price')} / price", aggressive=f"1000e0 * {x.kelly('p', 'cross_price', '0.01e0')} / cross_price"))
-sql_query("earliest_close", "select asset, tf, id, ts_us from (select *, row_number() over (partition by asset, tf order by ts_us, id) as k from settlements where ts_us >= (select min(ts_us) + 864000000000 from settlements)) s where k = 1")
+query("earliest_close", oracle("select asset, tf, id, ts_us from (select *, row_number() over (partition by asset, tf order by ts_us, id) as k from settlements where ts_us >= (select min(ts_us) + 864000000000 from settlements)) s where k = 1"))(
+    lambda spark, sf: path.first_of_each(_coming(spark, sf).select("asset", "tf", "id", "ts_us"), ["asset", "tf"], ["ts_us", "id"])
+)
 sql_query("control_state", """
 select id, case when id % 101 = 0 then 'ESTOP' when run <= -200e0 then 'MAXLOSS' when id % 37 = 0 then 'HALT' else 'RUN' end as state from
   (select id, sum(coalesce(pnl, 0e0)) over (partition by asset order by id rows between 19 preceding and current row) as run from settlements) s""")
