@@ -8,7 +8,11 @@ from tidemark.plans.dialect import oracle, rounded, sql_query, view
 from tidemark.registry import query
 
 MID = x.mid("up_bid", "up_ask")
-BID, ASK = F.col("up_bid"), F.col("up_ask")
+
+
+def _sides():
+    """Columns of UP's bid and ask (made when a query runs, as they need a session)."""
+    return F.col("up_bid"), F.col("up_ask")
 
 
 def _coming(spark, sf):
@@ -19,19 +23,19 @@ def _coming(spark, sf):
 
 
 query("mid_fallback", oracle(f"select seq, R({MID}) as mid from quotes"))(
-    lambda spark, sf: rounded(view(spark, sf, "quotes").select("seq", path.mid(BID, ASK).alias("mid")))
+    lambda spark, sf: rounded(view(spark, sf, "quotes").select("seq", path.mid(*_sides()).alias("mid")))
 )
 query("spread", oracle("select seq, R(up_ask - up_bid) as spread, R(coalesce(up_ask - up_bid, 0.06e0)) as spread_or_default from quotes"))(
-    lambda spark, sf: rounded(view(spark, sf, "quotes").select("seq", (ASK - BID).alias("spread"), F.coalesce(ASK - BID, F.lit(0.06)).alias("spread_or_default")))
+    lambda spark, sf: rounded(view(spark, sf, "quotes").select("seq", F.expr("up_ask - up_bid").alias("spread"), F.expr("coalesce(up_ask - up_bid, 0.06e0)").alias("spread_or_default")))
 )
 query("orient_up", oracle("select seq, R(case when user_side = 'down' then 1e0 - up_ask else up_bid end) as up_bid, R(case when user_side = 'down' then 1e0 - up_bid else up_ask end) as up_ask from (select *, case when seq % 2 = 0 then 'down' else 'up' end as user_side from quotes) q"))(
-    lambda spark, sf: rounded(view(spark, sf, "quotes").select("seq", *[c.alias(n) for c, n in zip(path.oriented(F.when(F.col("seq") % 2 == 0, "down").otherwise("up"), BID, ASK), ("up_bid", "up_ask"), strict=True)]))
+    lambda spark, sf: rounded(view(spark, sf, "quotes").select("seq", *[c.alias(n) for c, n in zip(path.oriented(F.when(F.col("seq") % 2 == 0, "down").otherwise("up"), *_sides()), ("up_bid", "up_ask"), strict=True)]))
 )
 query("ob_imbalance", oracle(f"select seq, R({x.imbalance('up_bid_size', 'up_ask_size')}) as imbalance from quotes"))(
     lambda spark, sf: rounded(view(spark, sf, "quotes").select("seq", path.imbalance(F.col("up_bid_size"), F.col("up_ask_size")).alias("imbalance")))
 )
 query("liquidity_filter", oracle(f"select seq, venue, R({MID}) as mid from quotes where {MID} is not null and coalesce(up_ask - up_bid, 0e0) <= 0.12e0"))(
-    lambda spark, sf: rounded(path.liquid(view(spark, sf, "quotes"), "up_bid", "up_ask").select("seq", "venue", path.mid(BID, ASK).alias("mid")))
+    lambda spark, sf: rounded(path.liquid(view(spark, sf, "quotes"), "up_bid", "up_ask").select("seq", "venue", path.mid(*_sides()).alias("mid")))
 )
 @query("candidate_filter", oracle("""
 with c as (select d.*, (id % 200) as mins_left, case tf when '5m' then 5e0 when '15m' then 15e0 when '1h' then 60e0 when '4h' then 240e0 else 1440e0 end as w,
