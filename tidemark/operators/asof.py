@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -72,3 +73,39 @@ def range_join(left: DataFrame, right: DataFrame, by: list[str], on: str, lookba
     gap = F.col(on) - F.col(f"r_{right_on}")
     out = lt.join(r, [*by, "__b"]).where((gap > 0) & (gap <= lookback)).drop("__b")
     return out if extra is None else out.where(extra)
+
+
+def interval_parts(left: DataFrame, right: DataFrame, by: list[str], on: str, before: int, after: int, make: list[Callable[[WindowSpec], dict[str, Column]]], tie: str | None = None) -> DataFrame:
+    """What the right rows within [left.on - before, left.on + after] amount to, per key, without pairing rows.
+
+    Times are integers, cut to stretches as long as the interval, so an interval is the end of one stretch and the start of
+    the next. Each is a running window over its stretch's right rows, the end read backwards, with a left row placed where its
+    share is complete. Result: one row for each left row and share of its interval that isn't empty, with the left columns,
+    `head` (whether it is the earlier share) and the columns of `make`: functions of the window up to a row, of which later ones
+    may use what earlier ones made. In them `r` is the right row, a struct that is null on left rows; aggregates should skip
+    nulls. Right rows of one time are in the order of `tie`. Shares of one left row are merged by the caller's grouping.
+    """
+    width = before + after + 1
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*by, on)])
+    first = lambda t: t - F.pmod(t, F.lit(width))
+    low, high = F.col(on) - before, F.col(on) + after
+    share = lambda head, t: F.struct(F.lit(head).alias("head"), t.alias("t"))
+    # an interval that is a whole stretch has one share
+    shares = F.array(share(True, low), F.when(first(low) != first(high), share(False, high)))
+    lt = left.where(known).select(*by, F.explode(F.filter(shares, lambda s: s.isNotNull())).alias("__s"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__tie"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(left_struct(right)).alias("r"))
+    r = right.where(known).select(*by, F.explode(F.array(share(True, F.col(on)), share(False, F.col(on)))).alias("__s"), F.lit(0).alias("__side"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("__tie"), F.lit(None).cast(left_struct(left)).alias("__l"), F.struct(*right.columns).alias("r"))
+    turned = lambda c: F.when(F.col("head"), -F.col(c)).otherwise(F.col(c))
+    both = r.unionByName(lt).select(*by, "__s.head", F.col("__s.t").alias("__t"), "__side", "__tie", "__l", "r").withColumn("__b", first(F.col("__t")))
+    both = both.withColumns({"__at": turned("__t"), "__tie": turned("__tie")})
+    w = Window.partitionBy(*by, "head", "__b").orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = reduce(lambda x, f: x.withColumns(f(w)), [lambda w: {"__n": F.count("r").over(w)}, *make], both).where("__side = 1 and __n > 0")
+    return out.select("__l.*", "head", *out.columns[len(both.columns) + 1 :])
+
+
+def interval_totals(left: DataFrame, right: DataFrame, by: list[str], on: str, before: int, after: int, keys: list[str], sums: dict[str, Column] | None = None, highest: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, n, sums, highest) over the right rows within [left.on - before, left.on + after] of all left rows with those keys:
+    how many, sums and largest values of columns of the right row `r`. Keys without such rows are left out."""
+    sums, highest = sums or {}, highest or {}
+    run = lambda w: {"n": F.count("r").over(w), **{n: F.sum(c).over(w) for n, c in sums.items()}, **{n: F.max(c).over(w) for n, c in highest.items()}}
+    parts = interval_parts(left, right, by, on, before, after, [run])
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in highest])

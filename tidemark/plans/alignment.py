@@ -1,9 +1,10 @@
 """Alignment: as-of strikes and prices, nearest quotes of two venues, lookbacks, fills and take-profits."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expressions as x
-from tidemark.operators import asof_join, nearest_join, range_join
+from tidemark.operators import asof_join, interval_parts, nearest_join, range_join
 from tidemark.operators.selection import ranks
 from tidemark.plans.dialect import oracle, render, rounded, sql_query, view
 from tidemark.registry import query
@@ -63,13 +64,40 @@ select round_id, asset, count(r) as n, round(sum(r * r), 6) as rv, round(sum(cas
     case when count(r) >= 5 then 'own' else 'fallback' end as kind
   from l
   group by round_id, asset having count(r) >= 1"""
-query("causal_var_features", oracle("""
+
+
+@query("causal_var_features", oracle("""
 with w as (select round_id, r.asset, t.seq, t.price, t.ts_us as tick_us
   from rounds r join ticks t on r.asset = t.asset and r.ts_us - t.ts_us > 0 and r.ts_us - t.ts_us <= 43200000000),
-""" + CAUSAL.format(w="w")))(
-    lambda spark, sf: spark.sql("with " + CAUSAL, w=range_join(view(spark, sf, "rounds").select("round_id", "asset", "ts_us"), view(spark, sf, "ticks").select("asset", "ts_us", "price", "seq"), ["asset"], "ts_us", 43_200_000_000)
-    .selectExpr("round_id", "asset", "r_seq as seq", "r_price as price", "r_ts_us as tick_us"))
-)
+""" + CAUSAL.format(w="w")))
+def _causal(spark, sf):
+    """Returns between neighbouring ticks of a round's interval: running sums within each share of it, and the return
+    between the last tick of the earlier share and the first of the later one. Rounds that share an id are paired."""
+    rounds, ticks = view(spark, sf, "rounds").select("round_id", "asset", "ts_us"), view(spark, sf, "ticks").select("asset", "ts_us", "price", "seq")
+    known = rounds.groupBy("round_id", "asset").agg(F.min("ts_us").alias("ts_us"), F.count("*").alias("times"))
+    ret = lambda a, b: F.when((a > 0) & (b > 0), F.log(b / a))
+    square = lambda r: {"n": F.count(r), "rv": F.sum(r * r), "up": F.sum(F.when(r > 0, r * r).otherwise(F.lit(0.0)))}
+
+    def step(w):
+        prev, price = F.last("r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))["price"], F.col("r.price")
+        return {"x": F.when(F.col("head"), ret(price, prev)).otherwise(ret(prev, price)), "edge": F.first("r", ignorenulls=True).over(w)["price"]}
+
+    run = lambda w: {n: c.over(w) for n, c in square(F.col("x")).items()}
+    once = known.where("times = 1").drop("times")
+    parts = interval_parts(once, ticks, ["asset"], "ts_us", 43_200_000_000, -1, [step, run], tie="seq")
+    whole = parts.groupBy("round_id", "asset").agg(*[F.sum(c).alias(c) for c in ("n", "rv", "up")], F.max(F.when(F.col("head"), F.col("edge"))).alias("a"), F.max(F.when(~F.col("head"), F.col("edge"))).alias("b"))
+    whole = whole.withColumn("x", ret(F.col("a"), F.col("b"))).withColumn("n", F.col("n") + F.when(F.col("x").isNull(), 0).otherwise(1)).where("n >= 1")
+    plus = lambda c, x: F.coalesce(F.col(c), F.lit(0.0)) + F.coalesce(x, F.lit(0.0))
+    x, columns = F.col("x"), ["round_id", "asset", "n", "rv", "up"]
+    whole = whole.select("round_id", "asset", "n", plus("rv", x * x).alias("rv"), plus("up", F.when(x > 0, x * x)).alias("up"))
+    again = rounds.join(known.where("times > 1").select("round_id", "asset"), ["round_id", "asset"])
+    pairs = range_join(again, ticks, ["asset"], "ts_us", 43_200_000_000)
+    before = F.lag("r_price").over(Window.partitionBy("round_id", "asset").orderBy("r_ts_us", "r_seq"))
+    pairs = pairs.withColumn("x", ret(before, F.col("r_price"))).groupBy("round_id", "asset").agg(*[c.alias(n) for n, c in square(x).items()]).where("n >= 1").select(columns)
+    kind = F.when(F.col("n") >= 5, "own").otherwise("fallback").alias("kind")
+    return rounded(whole.unionByName(pairs), {"rv": 6, "up": 6}).select(*columns, kind)
+
+
 sql_query("nearest_in_band", """
 with d as (select market, seq, ts_us, abs(ts_us - (window_start_us + 43200000000)) as gap from quotes),
 r as (select *, row_number() over (partition by market order by gap, ts_us, seq) as i from d where gap <= 21600000000)
