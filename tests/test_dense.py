@@ -46,7 +46,7 @@ def test_interval_totals(spark, width):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["causal_var_features"])
+@pytest.mark.parametrize("name", ["causal_var_features", "lookback_join"])
 @pytest.mark.parametrize("ids", [2000, 700])
 def test_rounds_are_not_paired_with_ticks(spark, tmp_path, monkeypatch, name, ids):
     """Only rounds whose id another one has meet their ticks one by one, and only where order counts."""

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expressions as x
-from tidemark.operators import asof_join, interval_parts, nearest_join, range_join
+from tidemark.operators import asof_join, interval_parts, interval_totals, nearest_join, range_join
 from tidemark.operators.selection import ranks
 from tidemark.plans.dialect import oracle, render, rounded, sql_query, view
 from tidemark.registry import query
@@ -55,8 +55,8 @@ with {TWO}, s as (select seq, asset, ts_us + 5000000 as ts_us
     .selectExpr("seq", "asset", "r_seq as book_seq", "round((ts_us - 5000000 - r_ts_us) / 1e6, 6) as lag_s")
 )
 query("lookback_join", oracle("select r.round_id, r.asset, count(*) as n, round(avg(t.price), 7) as mean_price, max(t.seq) as last_seq from rounds r join ticks t on r.asset = t.asset and r.ts_us - t.ts_us > 0 and r.ts_us - t.ts_us <= 14400000000 group by r.round_id, r.asset"))(
-    lambda spark, sf: range_join(view(spark, sf, "rounds").select("round_id", "asset", "ts_us"), view(spark, sf, "ticks").select("asset", "ts_us", "price", "seq"), ["asset"], "ts_us", 14_400_000_000)
-    .groupBy("round_id", "asset").agg(F.count("*").alias("n"), F.round(F.avg("r_price"), 7).alias("mean_price"), F.max("r_seq").alias("last_seq"))
+    lambda spark, sf: interval_totals(view(spark, sf, "rounds").select("round_id", "asset", "ts_us"), view(spark, sf, "ticks").select("asset", "ts_us", "price", "seq"), ["asset"], "ts_us", 14_400_000_000, -1, ["round_id", "asset"], {"total": F.col("r.price")}, {"last_seq": F.col("r.seq")})
+    .select("round_id", "asset", "n", F.round(F.col("total") / F.col("n"), 7).alias("mean_price"), "last_seq")
 )
 CAUSAL = """l as (select round_id, asset, case when price > 0e0 and lag(price) over p > 0e0 then ln(price / lag(price) over p) end as r from {w}
   window p as (partition by round_id, asset order by tick_us, seq))
