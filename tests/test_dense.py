@@ -55,3 +55,9 @@ def test_rounds_are_not_paired_with_ticks(spark, tmp_path, monkeypatch, name, id
     monkeypatch.setattr(alignment, "range_join", lambda left, *a, **k: (paired.append(left.count()), join(left, *a, **k))[1])
     assert compare(spark, folder(spark, tmp_path, 2000, ids), QUERIES[name], SQL[name]) is None
     assert sum(paired) == 0 or (ids < 2000 and name == "causal_var_features")
+
+
+def test_lead_and_lag_join_no_rows(spark):
+    """Neighbours come from windows: a join on asset and group alone would pair all of their rows."""
+    plan = QUERIES["leadlag_ccf"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" in plan

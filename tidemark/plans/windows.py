@@ -1,5 +1,6 @@
 """Ordered analytics over ticks: returns, rolling and realised variance, jumps, lead-lag, volatility regimes."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expressions as x
@@ -194,7 +195,7 @@ select asset, cast(sum(case when was = 1 and fresh = 0 then 1 else 0 end) as big
     cast(sum(case when was = 0 and fresh = 1 then 1 else 0 end) as bigint) as to_md
   from t
   group by asset""")
-sql_query("leadlag_ccf", """
+@query("leadlag_ccf", oracle("""
 with p as (select asset, user_id % 20 as m, ts_us, seq, price, k / 100e0 as mid from ticks),
 r as (select asset, m, row_number() over w as i, case when price > 0e0 and lag(price) over w > 0e0 then ln(price / lag(price) over w) end as a, mid - lag(mid) over w as b
   from p
@@ -208,7 +209,25 @@ z as (select r.asset, r.m, i, case when sa > 0e0 then (a - ma) / sa else 0e0 end
   where a is not null),
 c as (select l.k as lag_k, x.za, y.zb
   from z x cross join (values (-4), (-3), (-2), (-1), (0), (1), (2), (3), (4)) as l(k) join z y on x.asset = y.asset and x.m = y.m and y.i = x.i + l.k)
-select lag_k, count(*) as n, R(corr(za, zb)) as ccf from c group by lag_k""")
+select lag_k, count(*) as n, R(corr(za, zb)) as ccf from c group by lag_k"""))
+def _leadlag(spark, sf):
+    """Correlation of returns with changes of the mid up to four rows away: neighbours come from one window, not from a join."""
+    key = Window.partitionBy("asset", "m")
+    w, lags = key.orderBy("ts_us", "seq"), range(-4, 5)
+    p = view(spark, sf, "ticks").where("asset is not null and user_id is not null").selectExpr("asset", "user_id % 20 as m", "ts_us", "seq", "price", "k / 100e0 as mid")
+    before = F.lag("price").over(w)
+    r = p.withColumns({"a": F.when((F.col("price") > 0) & (before > 0), F.log(F.col("price") / before)), "b": F.col("mid") - F.lag("mid").over(w)})
+    r = r.withColumn("b", F.when(F.col("a").isNotNull(), F.col("b")))
+    r = r.withColumns({f"{how.__name__}_{c}": how(c).over(key) for c in ("a", "b") for how in (F.avg, F.stddev_samp)} | {"n": F.count("a").over(key)})
+    z = lambda c: F.when(F.col(f"stddev_samp_{c}") > 0, (F.col(c) - F.col(f"avg_{c}")) / F.col(f"stddev_samp_{c}")).otherwise(0.0)
+    r = r.withColumn("z", F.when(F.col("a").isNotNull() & (F.col("n") >= 5), F.struct(z("a").alias("a"), z("b").alias("b"))))
+    r = r.select(F.col("z.a").alias("x"), *[F.lead("z", k).over(w).alias(f"y{k}") if k >= 0 else F.lag("z", -k).over(w).alias(f"y{k}") for k in lags]).where("x is not null")
+    sums = r.agg(*[F.struct(F.count(F.col(f"y{k}")).alias("n"), F.corr("x", F.col(f"y{k}")["b"]).alias("ccf")).alias(f"s{k}") for k in lags])
+    out = sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag_k"), F.col(f"s{k}.n").alias("n"), F.col(f"s{k}.ccf").alias("ccf")) for k in lags])).alias("s")).select("s.*")
+    return rounded(out.where("n > 0"))
+
+
+
 sql_query("build_features", f"""
 with p as (select seq, asset, ts_us, ts_s, price, k, {SIMPLE} as r, abs(price - lag(price) over w) as step, row_number() over w as i
   from ticks
