@@ -3,13 +3,16 @@
 import datetime
 import os
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from oracle import compare
 from tidemark import registry
 from tidemark.operators import interval_totals
+from tidemark.operators.bands import count_distances
 from tidemark.plans import alignment
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +64,24 @@ def test_lead_and_lag_join_no_rows(spark):
     """Neighbours come from windows: a join on asset and group alone would pair all of their rows."""
     plan = QUERIES["leadlag_ccf"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" in plan
+
+
+@pytest.mark.parametrize("name", ["cross_venue_ev", "basis_quantiles", "arb_lock"])
+def test_venues_are_not_paired_row_by_row(spark, tmp_path, name):
+    """Ticks of a second apart: the same rows as all pairs give, and no join but the one with the widest quote of a window."""
+    path = folder(spark, tmp_path, 2400, 2400)
+    assert compare(spark, path, QUERIES[name], SQL[name]) is None
+    joins = QUERIES[name](spark, path)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins <= {"cross_venue_ev": 1, "basis_quantiles": 1, "arb_lock": 0}[name]
+
+
+def test_counted_distances():
+    """Distances and how often they occur, for values on a grid and for values that are all different."""
+    rng = np.random.default_rng(2)
+    for grid in (4, 10**6):
+        t, s = rng.integers(0, 300, 200), rng.integers(0, 300, 170)
+        v, w = rng.integers(0, grid, 200) / 4, rng.integers(0, grid, 170) / 4
+        want = Counter(abs(v[i] - w[j]) for i in range(200) for j in range(170) if abs(int(t[i]) - int(s[j])) <= 25)
+        d, n = count_distances(t, v, s, w, 25)
+        assert dict(zip(d.tolist(), n.tolist(), strict=True)) == want
+    assert len(count_distances(t[:0], v[:0], s, w, 25)[0]) == 0

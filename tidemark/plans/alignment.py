@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expressions as x
 from tidemark.operators import asof_join, interval_parts, interval_totals, nearest_join, range_join
-from tidemark.operators.selection import ranks
+from tidemark.operators.bands import band_distances
+from tidemark.operators.scans import with_before
 from tidemark.plans.dialect import oracle, render, rounded, sql_query, view
 from tidemark.registry import query
 
@@ -117,16 +118,31 @@ PAIRED = """, j as (select p.asset, p.window_start_us, p.mid as pm, k.mid as km,
   on p.asset = k.asset and p.window_start_us = k.window_start_us and abs(p.ts_us - k.ts_us) <= 1200000000 {same}
   where p.venue = 'polymarket' and k.venue = 'kalshi')"""
 PAIRS = QUOTED + PAIRED.format(k="w", same="")
-#: The same by an equi-join: times are cut to buckets of the band's width, and the other side stands in three of them.
-BUCKETED = QUOTED + ", n as (select w.*, b + d.v as near from w cross join (values (-1), (0), (1)) as d(v))" + PAIRED.format(k="n", same="and p.b = k.near")
+#: Quotes of two venues are compared within 20 minutes.
+BAND = 1_200_000_000
 
 
-def _pairs(name: str, sql: str) -> None:
-    query(name, oracle(PAIRS + sql))(lambda spark, sf: spark.sql(render(BUCKETED + sql, "spark", sf)))
+def _quoted(spark, sf):
+    """Two-sided quotes of both venues."""
+    w = spark.sql(render(QUOTED + " select asset, window_start_us, venue, seq, ts_us, up_bid, up_ask, mid from w", "spark", sf))
+    return w.where("venue = 'polymarket'"), w.where("venue = 'kalshi'")
+
+
+@query("cross_venue_ev", oracle(PAIRS + f""", r as (select *, abs(pm - km) as div, row_number() over (partition by asset, window_start_us order by abs(pm - km) desc, ps, ks) as i from j)
+select asset, window_start_us, ps, ks, R(div) as divergence, R(div - {x.taker_fee('ka')}) as ev from r where i = 1 and div >= 0.02e0"""))
+def _cross_venue(spark, sf):
+    """Widest pair of each market window. A quote is farthest from the highest or lowest quote of the other venue within the
+    band; only the first quote of a window that is farthest meets the other venue's rows."""
+    p, k = _quoted(spark, sf)
+    key = ["asset", "window_start_us"]
+    ends = lambda w: {"high": F.max("r.mid").over(w), "low": F.min("r.mid").over(w)}
+    parts = interval_parts(p, k, key, "ts_us", BAND, BAND, [ends]).withColumn("div", F.greatest(F.abs(F.col("mid") - F.col("high")), F.abs(F.col("mid") - F.col("low"))))
+    top = parts.groupBy(*key).agg(F.max(F.struct("div", (-F.col("seq")).alias("back"), "ts_us", "mid")).alias("p")).where("p.div >= 0.02e0")
+    near = k.join(top, key).where((F.abs(F.col("p.ts_us") - F.col("ts_us")) <= BAND) & (F.abs(F.col("p.mid") - F.col("mid")) == F.col("p.div")))
+    pair = near.groupBy(*key).agg(F.min(F.struct("seq", "up_ask")).alias("k"), F.first("p").alias("p"))
+    return pair.selectExpr(*key, "-p.back as ps", "k.seq as ks", "round(p.div, 9) as divergence", f"round(p.div - {x.taker_fee('k.up_ask')}, 9) as ev")
 
 
-_pairs("cross_venue_ev", f""", r as (select *, abs(pm - km) as div, row_number() over (partition by asset, window_start_us order by abs(pm - km) desc, ps, ks) as i from j)
-select asset, window_start_us, ps, ks, R(div) as divergence, R(div - {x.taker_fee('ka')}) as ev from r where i = 1 and div >= 0.02e0""")
 BASIS = """, b as (select asset, abs(pm - km) as b, row_number() over (partition by asset order by abs(pm - km), ps, ks) as i, count(*) over (partition by asset) as n
   from j)
 select asset, max(n) as n, R(avg(b)) as mean, R(max(case when i = cast(floor(n / 2e0) as bigint) + 1 then b end)) as median,
@@ -137,14 +153,31 @@ select asset, max(n) as n, R(avg(b)) as mean, R(max(case when i = cast(floor(n /
 
 @query("basis_quantiles", oracle(PAIRS + BASIS))
 def _basis(spark, sf):
-    """Mean, median and 90th percentile of the distance between two venues' prices, by ranks within an asset."""
-    b = spark.sql(render(BUCKETED + " select asset, abs(pm - km) as b from j", "spark", sf))
-    at = ranks(b, ["asset"], "b", {"median": F.floor(F.col("n") / 2), "p90": F.floor(0.9 * F.col("n"))})
-    return rounded(at.join(b.groupBy("asset").agg(F.avg("b").alias("mean")), "asset"))
+    """Mean, median and 90th percentile of the distance between two venues' prices, from how often each distance occurs."""
+    p, k = _quoted(spark, sf)
+    b = band_distances(p, k, ["asset", "window_start_us"], "ts_us", "mid", BAND).withColumn("sum", F.col("distance") * F.col("pairs"))
+    x = with_before(b.groupBy("asset", "distance").agg(F.sum("pairs").alias("pairs"), F.sum("sum").alias("sum")), ["asset"], "floor(256 * distance)", {"before": F.sum("pairs")}, {"n": F.sum("pairs"), "whole": F.sum("sum")})
+    upto = F.col("before") + F.sum("pairs").over(Window.partitionBy("__key").orderBy("distance"))
+    x = x.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("pairs"))
+    at = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("upto")), F.col("distance")))
+    n = F.max("n").alias("n")
+    return rounded(x.groupBy("asset").agg(n, F.max(F.col("whole") / F.col("n")).alias("mean"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(0.9 * F.col("n"))).alias("p90")))
+
+
+@query("arb_lock", oracle(PAIRS + f""", c as (select asset, window_start_us, least(pa + (1e0 - kb) + {x.taker_fee('kb')}, ka + (1e0 - pb) + {x.taker_fee('ka')}) as cost from j)
+select asset, window_start_us, R(min(cost)) as cost, R(1e0 - min(cost)) as locked, min(cost) < 1e0 as lockable from c group by asset, window_start_us"""))
+def _arb(spark, sf):
+    """Cheapest pair of opposite legs. A pair's cost is a sum of a term of each venue, so that a quote meets the other venue's
+    cheapest terms within the band, and its cost is taken from their prices."""
+    p, k = _quoted(spark, sf)
+    k = k.selectExpr("*", f"1e0 - up_bid + {x.taker_fee('up_bid')} as down", f"up_ask + {x.taker_fee('up_ask')} as up")
+    least = lambda w: {"kb": F.min(F.when(F.col("r").isNotNull(), F.struct("r.down", "r.up_bid"))).over(w)["up_bid"], "ka": F.min(F.when(F.col("r").isNotNull(), F.struct("r.up", "r.up_ask"))).over(w)["up_ask"]}
+    parts = interval_parts(p, k, ["asset", "window_start_us"], "ts_us", BAND, BAND, [least])
+    cost = F.expr(f"least(up_ask + (1e0 - kb) + {x.taker_fee('kb')}, ka + (1e0 - up_bid) + {x.taker_fee('ka')})")
+    found = parts.groupBy("asset", "window_start_us").agg(F.min(cost).alias("cost"))
+    return found.selectExpr("asset", "window_start_us", "round(cost, 9) as cost", "round(1e0 - cost, 9) as locked", "cost < 1e0 as lockable")
 
 
-_pairs("arb_lock", f""", c as (select asset, window_start_us, least(pa + (1e0 - kb) + {x.taker_fee('kb')}, ka + (1e0 - pb) + {x.taker_fee('ka')}) as cost from j)
-select asset, window_start_us, R(min(cost)) as cost, R(1e0 - min(cost)) as locked, min(cost) < 1e0 as lockable from c group by asset, window_start_us""")
 BUCKETS = "case when left_h < 1e0 then '0-1' when left_h < 2e0 then '1-2' when left_h < 4e0 then '2-4' when left_h < 8e0 then '4-8' when left_h < 12e0 then '8-12' when left_h < 16e0 then '12-16' end"
 LATEST = f"""with q as (select market, asset, seq, ts_us, underlying, {x.mid('up_bid', 'up_ask')} as mid, (window_start_us + 86400000000 - ts_us) / 3.6e9 as left_h
   from quotes),
