@@ -71,3 +71,15 @@ def test_stages_keep_columns_and_stand_odd_input(spark, tmp_path):
             assert out.count() <= frame.count()
         assert corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).count() == frame.count()
     assert langid.keep_identified(df).count() == 3
+
+
+def test_a_new_held_thing_gives_freed_memory_back(monkeypatch):
+    """Also where nothing was held before: stages that hold nothing leave freed memory in their workers too."""
+    from tidemark.llm import common
+
+    trimmed = []
+    monkeypatch.setattr(common, "trim", lambda: trimmed.append(1))
+    monkeypatch.setattr(common, "_HELD", {})
+    assert [common.held(k, lambda: k) for k in (("a",), ("a",), ("b",))] == [("a",), ("a",), ("b",)] and len(trimmed) == 2
+    monkeypatch.undo()
+    common.trim()

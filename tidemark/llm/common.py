@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,7 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     """
     if key not in _HELD:
         release()
+        trim()
         _HELD[key] = make()
     return _HELD[key]
 
@@ -110,6 +113,16 @@ def release() -> None:
         gc.collect()
 
 
+def trim() -> None:
+    """Give memory that earlier stages have freed in this worker back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        return
+
+
 def short_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
