@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions.statistics import hmm_fit, viterbi
 from tidemark.operators import markov
+from tidemark.operators.selection import ranks
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +62,41 @@ def test_restarts_are_those_of_the_series(rows, series):
     for k in ("a", "b"):
         want = hmm_fit(series[k], 2, rounds=3, restarts=3)
         assert got[k, 2].loglik == pytest.approx(want["loglik"], abs=1e-9) and got[k, 2].mu == pytest.approx(want["mu"], abs=1e-9)
+
+
+def test_rounds_read_one_row_a_part(spark, rows, series):
+    x = markov._cut(rows.unionByName(rows.where("k = 'b'").withColumn("k", F.lit(None).cast("string"))), "k", "v", "i", 37)
+    try:
+        got = {(r.key, r.part): r.v for r in x.collect()}
+        assert x.count() == len(got) == 11 + 3 + 1 + 3
+        for k, v in [*series.items(), (None, series["b"])]:
+            assert np.concatenate([got[k, p] for p in range(-(-len(v) // 37))]).tolist() == v.tolist()
+        # ranks of first models don't deal rows by key: only the join of one row a key sorts
+        found = ranks(x.select("key", F.explode("v").alias("x")), ["key"], "x", {"mid": F.floor(F.col("n") / 2)}, few=True)
+        assert found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") <= 1
+        assert {r.key: r.mid for r in found.collect()} == {k: np.sort(v)[len(v) // 2] for k, v in [*series.items(), (None, series["b"])]}
+    finally:
+        x.unpersist()
+
+
+@pytest.mark.parametrize("n", [1, 2, 11, 399, 1003])
+def test_blocks_and_rows_left_over_count_as_a_plain_loop(n):
+    m = markov.Model(np.array([0.2, 0.5, 0.3]), np.array([[0.9, 0.1, 0.0], [0.05, 0.9, 0.05], [0.3, 0.3, 0.4]]), np.array([-1.0, 0.0, 2.0]), np.array([0.1, 1.0, 2.0]))
+    x, enter, behind = np.random.default_rng(n).normal(size=n) * 3, np.array([0.6, 0.3, 0.1]), np.array([0.2, 0.3, 0.5])
+    x[n // 2] = 90.0  # unlikely in each state
+    e = markov._emission(x, m.mu, m.sigma)
+    for first in (True, False):
+        alpha, beta = [enter * e[0] if first else enter @ m.trans * e[0]], [behind]
+        for t in range(1, n):
+            alpha.append(alpha[-1] / alpha[-1].sum() @ m.trans * e[t])
+            back = m.trans @ (e[n - t] * beta[0])
+            beta.insert(0, back / back.sum())
+        g = np.array(alpha) * np.array(beta)
+        g /= g.sum(1, keepdims=True)
+        before = ([] if first else [enter]) + [a / a.sum() for a in alpha[:-1]]
+        steps = [m.trans * np.outer(a, e[t] * beta[t]) for t, a in enumerate(before, int(first))]
+        xi = sum((s / s.sum() for s in steps), np.zeros((3, 3)))
+        d = x[:, None] - m.mu
+        want = np.concatenate([g[0] if first else np.zeros(3), g.sum(0), (g * d).sum(0), (g * d * d).sum(0), xi.ravel()])
+        assert markov.counts(x, m, enter, behind, first) == pytest.approx(want, rel=1e-9, abs=1e-9)
+        assert np.array(markov._densities(x, m)).tolist() == e.tolist()

@@ -9,7 +9,7 @@ One round of Baum-Welch is one Spark job for all keys and all models that are fi
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.functions.statistics import _emission, _scan
+from tidemark.functions.statistics import _emission
 from tidemark.operators.scans import SIZE
 from tidemark.operators.selection import ranks
 
@@ -28,7 +28,8 @@ MOST_KEYS = 100_000
 
 @dataclass
 class Model:
-    """States by probability of the first row, transitions, means and deviations; `done` once it doesn't change any more."""
+    """States by probability of the first row, transitions, means and deviations; `done` once it doesn't change any more;
+    `rows` that it is fitted to."""
 
     pi: np.ndarray
     trans: np.ndarray
@@ -36,28 +37,83 @@ class Model:
     sigma: np.ndarray
     loglik: float = -math.inf
     done: bool = False
+    rows: int = 0
 
     def ordered(self) -> Model:
         """States by ascending mean."""
         o = np.argsort(self.mu, kind="stable")
-        return Model(self.pi[o], self.trans[np.ix_(o, o)], self.mu[o], self.sigma[o], self.loglik, self.done)
+        return replace(self, pi=self.pi[o], trans=self.trans[np.ix_(o, o)], mu=self.mu[o], sigma=self.sigma[o])
+
+
+def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Matrix products of two stacks (k, k, n): rows lie last, so that numpy's loops run over them and not over states."""
+    out = x[:, 0, None] * y[0]
+    for i in range(1, len(y)):
+        out += x[:, i, None] * y[i]
+    return out
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """What each matrix or vector of a stack sums up to; the stack is divided by it."""
+    total = np.maximum(x.reshape(-1, x.shape[-1]).sum(0), 1e-300)
+    x /= total
+    return total
+
+
+def _grids(e: np.ndarray) -> list[tuple[slice, int, np.ndarray]]:
+    """Rows (k, n) as blocks of one length, then those left over as blocks of one row: (rows, blocks, (length, k, blocks)).
+    Steps are taken in all blocks side by side."""
+    n = e.shape[1]
+    length = max(1, math.isqrt(n // 10))
+    blocks = n // length
+    whole = blocks * length
+    out = [(slice(0, whole), blocks, np.ascontiguousarray(e[:, :whole].reshape(-1, blocks, length).transpose(2, 0, 1)))]
+    return out + [(slice(whole, n), n - whole, np.ascontiguousarray(e[None, :, whole:]))] * (whole < n)
+
+
+def _block_products(a: np.ndarray, grids: list) -> tuple[np.ndarray, np.ndarray]:
+    """(matrices of sum one, logs of their sizes) of all blocks in order."""
+    found, sizes = [], []
+    for _, blocks, e in grids:
+        m, total = a[:, :, None] * e[0], np.empty((len(e), blocks))
+        total[0] = _scaled(m)
+        for t in range(1, len(e)):
+            m = a.T @ m
+            m *= e[t]
+            total[t] = _scaled(m)
+        found.append(m)
+        sizes.append(np.log(total).sum(0))
+    return np.concatenate(found, axis=2), np.concatenate(sizes)
+
+
+def _prefixes(m: np.ndarray) -> np.ndarray:
+    """Products of each matrix of a stack with all before it, of sum one, by doubling steps."""
+    m, shift = m.copy(), 1
+    while shift < m.shape[2]:
+        more = _times(m[:, :, :-shift], m[:, :, shift:])
+        _scaled(more)
+        m[:, :, shift:] = more
+        shift *= 2
+    return m
 
 
 def product(a: np.ndarray, e: np.ndarray, first: bool) -> tuple[np.ndarray, float]:
     """(matrix of sum one, log of its size) of a part: from states before it to states at its end. The first part of a key
     starts with its own row's states, without a transition."""
-    m = a[None, :, :] * e[:, None, :]
+    rows = e.T[:, int(first) :]
+    top = rows.max(0)
+    rows = rows / top  # rows that are unlikely in all states don't vanish
+    m, size = _block_products(a, _grids(rows)) if rows.shape[1] else (np.empty((*a.shape, 0)), np.empty(0))
     if first:
-        m[0] = np.diag(e[0])
-    size = np.zeros(len(m))
-    while True:
-        total = np.maximum(m.sum((1, 2)), 1e-300)
-        m, size = m / total[:, None, None], size + np.log(total)
-        if len(m) == 1:
-            return m[0], float(size[0])
-        odd = len(m) % 2
-        rest, rest_size = m[len(m) - odd :], size[len(m) - odd :]
-        m, size = np.concatenate([m[: len(m) - odd : 2] @ m[1::2], rest]), np.concatenate([size[: len(size) - odd : 2] + size[1::2], rest_size])
+        start = np.diag(e[0])[:, :, None].copy()
+        size = np.concatenate([np.log(_scaled(start)), size])
+        m = np.concatenate([start, m], axis=2)
+    while m.shape[2] > 1:
+        n = m.shape[2] // 2 * 2
+        pairs = _times(m[:, :, :n:2], m[:, :, 1:n:2])
+        size = np.concatenate([size[:n:2] + size[1:n:2] + np.log(_scaled(pairs)), size[n:]])
+        m = np.concatenate([pairs, m[:, :, n:]], axis=2)
+    return m[:, :, 0], float(size[0] + np.log(top).sum())
 
 
 def ends(parts: list[tuple[np.ndarray, float]], pi: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], float]:
@@ -76,54 +132,106 @@ def ends(parts: list[tuple[np.ndarray, float]], pi: np.ndarray) -> tuple[list[np
     return before, behind[::-1], loglik
 
 
+def _densities(x: np.ndarray, m: Model) -> np.ndarray:
+    """Density of each row (n, k) in each state, held state by state."""
+    return np.stack([_emission(x, mu, sigma)[:, 0] for mu, sigma in zip(m.mu, m.sigma, strict=True)]).T
+
+
 def counts(x: np.ndarray, m: Model, enter: np.ndarray, behind: np.ndarray, first: bool) -> np.ndarray:
     """Expected counts of a part in one row: states at its first row, weight, sum and squares about the model's means of
     each state, transitions."""
-    e = _emission(x, m.mu, m.sigma)
-    alpha = _scan(enter if first else enter @ m.trans, m.trans, e)[0]
-    back = _scan(behind, m.trans.T, e[::-1])[0][::-1]  # emission times what is behind, up to a factor a row
-    g = alpha * np.concatenate([back[1:] @ m.trans.T, behind[None, :]])
-    g /= np.maximum(g.sum(1, keepdims=True), 1e-300)
-    prev, ahead = (alpha[:-1], back[1:]) if first else (np.concatenate([enter[None, :], alpha[:-1]]), back)
-    ahead = ahead / np.maximum(np.einsum("ti,ij,tj->t", prev, m.trans, ahead), 1e-300)[:, None]
-    xi = m.trans * (prev.T @ ahead)
-    d = x[:, None] - m.mu
-    return np.concatenate([g[0] if first else np.zeros(len(m.mu)), g.sum(0), (g * d).sum(0), (g * d * d).sum(0), xi.ravel()])
+    a, k = m.trans, len(m.mu)
+    e, d = _densities(x, m).T, x - m.mu[:, None]
+    e = e / e.max(0)
+    start, weight, s1, s2, xi = np.zeros(k), np.zeros(k), np.zeros(k), np.zeros(k), np.zeros((k, k))
+    if first:
+        enter = enter * e[:, 0]
+        enter = enter / max(float(enter.sum()), 1e-300)
+    e, rest = e[:, int(first) :], d[:, int(first) :]
+    before_first = behind
+    if e.shape[1]:
+        grids = _grids(e)
+        blocks = _block_products(a, grids)[0]
+        ahead = _prefixes(blocks)
+        after = _prefixes(blocks[:, :, ::-1].transpose(1, 0, 2))[:, :, ::-1]  # of transposed blocks: what is behind each, itself included
+        enters = np.concatenate([enter[:, None], np.einsum("i,ijn->jn", enter, ahead[:, :, :-1])], axis=1)
+        leaves = np.concatenate([np.einsum("i,ijn->jn", behind, after[:, :, 1:]), behind[:, None]], axis=1)
+        before_first = behind @ after[:, :, 0]
+        at = 0
+        for rows, n, g in grids:
+            v, w = enters[:, at : at + n], leaves[:, at : at + n]
+            at += n
+            _scaled(v), _scaled(w)
+            prev, state, back = np.empty_like(g), np.empty_like(g), np.empty_like(g)
+            for t in range(len(g)):
+                prev[t] = v
+                state[t] = a.T @ v
+                v = state[t] * g[t]
+                _scaled(v)
+            for t in reversed(range(len(g))):
+                back[t] = g[t] * w
+                w = a @ back[t]
+                _scaled(w)
+            state *= back
+            total = np.maximum(state.sum(1, keepdims=True), 1e-300)
+            state /= total
+            back /= total
+            xi += (prev @ back.transpose(0, 2, 1)).sum(0)
+            dev = _grids(rest)[0][2] if rows.start == 0 else rest[None, :, rows]
+            weight += state.sum((0, 2))
+            state *= dev
+            s1 += state.sum((0, 2))
+            state *= dev
+            s2 += state.sum((0, 2))
+    if first:
+        start = enter * before_first
+        start = start / max(float(start.sum()), 1e-300)
+        weight, s1, s2 = weight + start, s1 + start * d[:, 0], s2 + start * d[:, 0] ** 2
+    return np.concatenate([start, weight, s1, s2, (a * xi).ravel()])
 
 
 def improved(m: Model, c: np.ndarray, loglik: float, tol: float) -> Model:
     """The next model from summed counts, or the same one if its likelihood has settled."""
     k = len(m.mu)
     if abs(loglik - m.loglik) < tol:
-        return Model(m.pi, m.trans, m.mu, m.sigma, m.loglik, True)
+        return replace(m, done=True)
     pi, weight, s1, s2 = (c[i * k : (i + 1) * k] for i in range(4))
     weight, xi = np.maximum(weight, 1e-9), c[4 * k :].reshape(k, k)
     shift = s1 / weight
     trans = xi / np.maximum(xi.sum(1, keepdims=True), 1e-9) if xi.sum() > 0 else m.trans
-    return Model(pi, trans, m.mu + shift, np.sqrt(np.maximum(s2 / weight - shift**2, 1e-18)), loglik)
+    return replace(m, pi=pi, trans=trans, mu=m.mu + shift, sigma=np.sqrt(np.maximum(s2 / weight - shift**2, 1e-18)), loglik=loglik)
 
 
 def _cut(df: DataFrame, key: str, value: str, at: str, size: int) -> DataFrame:
-    """Rows in parts, dealt once and kept: (key, part, at, x)."""
+    """A row for each part with its values in order, dealt once and kept: (key, part, v)."""
     part = F.floor((F.col(at) - 1) / size)
     x = df.select(F.col(key).alias("key"), part.alias("part"), F.col(at).alias("at"), F.col(value).cast("double").alias("x"))
-    return x.repartition("key", "part").persist(StorageLevel.MEMORY_AND_DISK)
 
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[["key", "part"]].head(1).assign(v=[pdf["x"].to_numpy()[np.argsort(pdf["at"].to_numpy(), kind="stable")]])
+
+    packed = x.groupBy("key", "part").applyInPandas(pack, StructType([x.schema["key"], *StructType.fromDDL("part long, v array<double>").fields]))
+    # a fixed number of partitions, which AQE doesn't merge: rounds find them dealt by part
+    return packed.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "part").persist(StorageLevel.MEMORY_AND_DISK)
 
-def _starts(x: DataFrame, states: list[int], restarts: int, seed: int) -> dict:
+
+def _starts(parts: DataFrame, states: list[int], restarts: int, seed: int, size: int) -> dict:
     """First models of each key: at quantiles, and with `restarts` at seeded draws of its values, those of `hmm_fit`."""
+    if parts.select("key").distinct().limit(MOST_KEYS + 1).count() > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys: fit them in groups")
+    x = parts.select("key", F.explode("v").alias("x"))
     n = F.col("n")
     wanted = {f"q{k}_{i}": F.floor(n * ((i + 0.5) / k)) for k in states for i in range(k)}
     spread = x.groupBy(F.col("key").alias("k")).agg(F.var_pop("x").alias("var"))
-    rows = ranks(x, ["key"], "x", wanted).join(spread, F.col("key").eqNullSafe(F.col("k"))).limit(MOST_KEYS + 1).collect()
-    if len(rows) > MOST_KEYS:
-        raise ValueError(f"more than {MOST_KEYS} keys: fit them in groups")
+    rows = ranks(x, ["key"], "x", wanted, few=True).join(spread, F.col("key").eqNullSafe(F.col("k"))).collect()  # a row a key
     drawn = {(row["key"], k, r): (np.random.default_rng(seed + r).choice(row["n"], k) + 1).tolist() for row in rows for k in states if k > 1 for r in range(1, restarts)}
     values: dict = {}
     if drawn:
         kind = x.schema["key"].dataType.simpleString()
         places = x.sparkSession.createDataFrame(sorted({(key, p) for (key, _, _), ps in drawn.items() for p in ps}, key=str), f"of {kind}, place long")
-        found = x.join(places, F.col("key").eqNullSafe(F.col("of")) & (F.col("at") == F.col("place"))).select("of", "place", "x").collect()  # k values a start
+        of_part = F.col("part") == F.floor((F.col("place") - 1) / size)
+        value = F.get("v", F.pmod(F.col("place") - 1, F.lit(size)).cast("int")).alias("x")
+        found = parts.join(places, F.col("key").eqNullSafe(F.col("of")) & of_part).select("of", "place", value).collect()  # k values a start
         values = {(v["of"], v["place"]): v["x"] for v in found}
     out = {}
     for row in rows:
@@ -133,7 +241,7 @@ def _starts(x: DataFrame, states: list[int], restarts: int, seed: int) -> dict:
                 sigma = np.full(k, math.sqrt(max(row["var"] / k, 1e-18))) * (np.linspace(0.6, 1.6, k) if k > 1 else 1.0)
                 trans = np.full((k, k), 0.1 / (k - 1)) if k > 1 else np.ones((1, 1))
                 np.fill_diagonal(trans, 0.9 if k > 1 else 1.0)
-                out[row["key"], k, r] = Model(np.full(k, 1 / k), trans, mu, sigma)
+                out[row["key"], k, r] = Model(np.full(k, 1 / k), trans, mu, sigma, rows=row["n"])
     return out
 
 
@@ -146,11 +254,10 @@ def _round(x: DataFrame, models: dict) -> dict:
     kind = x.schema["key"].dataType.simpleString()
 
     def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("at")["x"].to_numpy()
-        rows = []
+        v, rows = pdf["v"].iloc[0], []
         for k, r in of.get(key[0], []):
             m = shared.value[key[0], k, r]
-            matrix, size = product(m.trans, _emission(v, m.mu, m.sigma), key[1] == 0)
+            matrix, size = product(m.trans, _densities(v, m), key[1] == 0)
             rows.append((key[0], key[1], k, r, matrix.ravel(), size))
         return pd.DataFrame(rows, columns=["key", "part", "k", "r", "m", "size"])
 
@@ -160,7 +267,7 @@ def _round(x: DataFrame, models: dict) -> dict:
         return pdf[["key", "part", "k", "r"]].assign(enter=before, behind=behind, loglik=loglik)
 
     def count(key: tuple, pdf: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("at")["x"].to_numpy()
+        v = pdf["v"].iloc[0]
         rows = [(key[0], p.k, p.r, p.loglik, counts(v, shared.value[key[0], p.k, p.r], np.array(p.enter), np.array(p.behind), key[1] == 0)) for p in met.itertuples()]
         return pd.DataFrame(rows, columns=["key", "k", "r", "loglik", "c"])
 
@@ -182,7 +289,7 @@ def fit(df: DataFrame, key: str, value: str, at: str, states: list[int], rounds:
     """
     x = _cut(df, key, value, at, size)
     try:
-        models = _starts(x, states, restarts, seed)
+        models = _starts(x, states, restarts, seed, size)
         for _ in range(rounds):
             todo = {n: m for n, m in models.items() if not m.done}
             if not todo:

@@ -17,14 +17,15 @@ def _range(value: Column, low: Column, high: Column, n: int) -> Column:
     return F.when(high > low, F.least(F.floor(share * n), F.lit(n - 1))).otherwise(0)
 
 
-def ranks(df: DataFrame, by: list[str], value: str, wanted: dict[str, Column], passes: int = 2, n: int = RANGES) -> DataFrame:
+def ranks(df: DataFrame, by: list[str], value: str, wanted: dict[str, Column], passes: int = 2, n: int = RANGES, few: bool = False) -> DataFrame:
     """(by, n, one column per wanted rank) of each key: the value at an index, from 0, of its sorted values.
 
     `wanted` maps names to expressions of `n`, the number of values of the key (floor(0.95 * (n - 1)), say); an index
     outside of the values gives null. Each pass counts all keys' values within ranges, map-side, finds the range that an
     index falls in, and takes its smallest and largest value as the next range; equal values need no order. What is left
     after `passes`, about one of n ** passes values, is ranked. Null values and NaN don't count; a key without values
-    has no row. Infinite values are an error, as ranges of them have no width.
+    has no row. Infinite values are an error, as ranges of them have no width. If keys are `few`, the ranges go to all
+    tasks, and rows aren't dealt by key, which would leave most tasks without any.
     """
     x = df.select(*by, F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v)")
     x = x.withColumn("__v", F.when(F.abs("__v") == float("inf"), F.raise_error(F.lit("ranks of infinite values"))).otherwise(F.col("__v")))
@@ -36,7 +37,7 @@ def ranks(df: DataFrame, by: list[str], value: str, wanted: dict[str, Column], p
     def inside(at: DataFrame) -> DataFrame:
         """Values within the ranges that are still wanted."""
         q = at.select(*[F.col(k).alias(f"__k_{k}") for k in by], "__name", "__index", "__low", "__high")
-        return x.join(q, same(by, left)).where((F.col("__v") >= F.col("__low")) & (F.col("__v") <= F.col("__high"))).drop(*left)
+        return x.join(F.broadcast(q) if few else q, same(by, left)).where((F.col("__v") >= F.col("__low")) & (F.col("__v") <= F.col("__high"))).drop(*left)
 
     for _ in range(passes):
         cut = inside(at).withColumn("__r", _range(F.col("__v"), F.col("__low"), F.col("__high"), n))
