@@ -1,6 +1,7 @@
 """The vector graph against all pairs, the network's gradients against differences, and toxicity on held-out rows."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,33 @@ def test_search_follows_lists_into_other_shards():
     assert got[got["at"] == 2].iloc[0].links == 3 and {(r.node, r.peer) for r in got.itertuples() if r.at is pd.NA} == {(3, 2)}
 
 
+def test_visits_of_near_copies_are_bounded():
+    """Where all members are near all queries, a visit names each shard to go on to once, not the members there, and follows
+    edges without holding vectors of all pairs; all links are found."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=64) + rng.normal(size=(1536, 64)) * 0.08
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    seats = pd.DataFrame({"node": np.arange(1536), "at": np.arange(1536) // 1024, "home": np.arange(1536) < 1024, "vec": list(x)})
+    members = seats.assign(shard=0, copies=1).merge(vectors._build(0.98)(seats), on="node").query("home")
+    queries = pd.DataFrame({"node": np.arange(600), "vec": list(x[:600]), "entries": [[]] * 600})
+    tracemalloc.start()
+    got = vectors._visit(0.98)(members, queries)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    asked = got[got["at"] == 0]
+    want = (x[:600] @ x[:1024].T >= 0.98).sum(1) - 1
+    assert want.sum() > 400_000 and list(asked.links) == list(want)
+    assert peak < 120 and all(list(t) == [1] for t in asked.to) and all(len(v) == 1 for v in asked.via)
+
+
+def test_a_visit_begins_at_all_members_with_edges_to_its_sources():
+    """Two members that no list within their shard connects, both with edges to shard 1: the entry is only one of them."""
+    x = np.array([[0.0, 1.0], [1.0, 0.01], [1.0, -0.01]])
+    members = pd.DataFrame({"shard": 2, "node": [5, 6, 7], "copies": 1, "vec": list(x), "near": [[], [0], [0]], "homes": [[], [1], [1]], "cosines": [[], [0.9999], [0.9999]]})
+    queries = pd.DataFrame({"node": [0], "vec": [np.array([1.0, 0.0])], "entries": [[6]], "sources": [[1]]})
+    assert vectors._visit(0.98)(members, queries).iloc[0].links == 2
+
+
 def test_many_shards_at_default_settings(spark):
     """A label of many shards, with a group of near copies that clusters cut apart, against all pairs."""
     rng = np.random.default_rng(6)

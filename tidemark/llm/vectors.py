@@ -4,9 +4,10 @@ Vectors of a label are dealt to overlapping cluster shards of bounded size; each
 and the lists of a vector from all its shards are united into one flat graph. A vector and its list live in one home
 shard, that of its nearest centre. A search is a round of visits: a query visits the home shards of its clusters, goes
 greedily from the shard's medoid along lists, then expands through all that lies near the range until nothing more does.
-Edges that lead out of the shard from vectors near the range make the next round's visits (query, shard, entries), a
-join on the shard, until no query has a shard left to visit. So a search follows the united lists wherever they lead,
-and rows are made for visits, never for pairs of vectors.
+Edges that lead out of the shard from vectors near the range make the next round's visits (query, shard, sources), a
+join on the shard, until no query has a shard left to visit. Edges go both ways, so the shard that is visited knows itself
+which of its members they lead to: a visit names the shards it comes from, and begins at all members that have edges to
+them. So a search follows the united lists wherever they lead, and rows are made for visits, never for pairs of vectors.
 
 Every link is verified by cosine in double precision, at the home of the vector that is found, hence once. A bounded
 sample of queries is compared with all vectors of its labels after each attempt to audit recall; short of the target,
@@ -27,8 +28,10 @@ from tidemark.llm.common import components, stage, unstage
 
 #: Members of a shard, and rows dealt to one task while shards are cut and visited.
 SHARD, DEAL = 2048, 20_000
-#: Queries of a shard that search at once.
-TOGETHER = 1024
+#: Queries of a shard that search at once, and places of their tables of shards to visit.
+TOGETHER, PLACES = 1024, 1 << 22
+#: Pairs whose vectors are gathered at once, and edges that are followed one by one at once.
+PAIRS, EDGES = 20_000, 1 << 18
 FOUND = "node long, at long, links long, peer long, to array<long>, via array<long>"
 DEGREE, CANDIDATES, BEAM, SLACK = 16, 40, 20, 0.2
 #: Rounds of visits; queries are seldom under way after the third.
@@ -79,26 +82,38 @@ def _along(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(at)), size), np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def _slices(size: np.ndarray, most: int) -> list[np.ndarray]:
+    """Indices cut where their sizes add up to another `most`."""
+    return np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1)
+
+
 def search(x: np.ndarray, first: np.ndarray, nears: np.ndarray, y: np.ndarray, start: np.ndarray, near: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, member, cosine) of all members that searches come upon with cosine at `near` or more.
 
-    x: members, with lists nears[first[i] : first[i + 1]], y: queries, start: members at which each query begins (-1: none).
+    x: members, with lists nears[first[i] : first[i + 1]], y: queries, start: whether a query (row) begins at a member
+    (column). Where all lies near everything, each query finds all members, by all of their edges: memory is that of a few
+    values a query and member, not of the edges or of gathered vectors.
     """
     n, m = len(y), len(x)
     seen = np.zeros((n, m), bool)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def look(qq: np.ndarray, vv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def measure(qq: np.ndarray, vv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unseen pairs, once each, with their cosines; those near the range are kept."""
-        new = (vv >= 0) & ~seen[qq, vv]
-        _, once = np.unique(qq[new] * m + vv[new], return_index=True)
-        qq, vv = qq[new][once], vv[new][once]
         seen[qq, vv] = True
-        s = np.einsum("ij,ij->i", y[qq], x[vv])
+        s = np.empty(len(qq))
+        for k in range(0, len(qq), PAIRS):
+            s[k : k + PAIRS] = np.einsum("ij,ij->i", y[qq[k : k + PAIRS]], x[vv[k : k + PAIRS]])
         ok = s >= near
         found.append((qq[ok], vv[ok], s[ok]))
         return qq, vv, s
 
+    def look(qq: np.ndarray, vv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for any pairs."""
+        new = ~seen[qq, vv]
+        pair = np.unique(qq[new] * m + vv[new])
+        return measure(pair // m, pair % m)
+
     ids, val, done = np.full((n, beam), -1), np.full((n, beam), -np.inf), np.zeros((n, beam), bool)
 
     def merge(qq: np.ndarray, vv: np.ndarray, s: np.ndarray) -> None:
@@ -114,7 +129,10 @@ def search(x: np.ndarray, first: np.ndarray, nears: np.ndarray, y: np.ndarray, s
         top = np.argsort(-all_s, axis=1, kind="stable")[:, :beam]
         ids, val, done = (np.take_along_axis(a, top, 1) for a in (all_v, all_s, all_d))
 
-    merge(*look(np.repeat(np.arange(n), start.shape[1]), start.ravel()))
+    qq, vv = np.nonzero(start)
+    for k in range(0, len(qq), EDGES):
+        merge(*measure(qq[k : k + EDGES], vv[k : k + EDGES]))
+    degree = np.diff(first)
     while True:
         open_ = np.where(done | (ids < 0), -np.inf, val)
         q = np.flatnonzero(np.isfinite(open_).any(1))
@@ -122,16 +140,28 @@ def search(x: np.ndarray, first: np.ndarray, nears: np.ndarray, y: np.ndarray, s
             break
         best = open_[q].argmax(1)
         done[q, best] = True
-        of, edge = _along(first, ids[q, best])
-        merge(*look(q[of], nears[edge]))
-    todo = list(found)
-    while todo:
-        qq, vv, _ = todo.pop()
-        for k in range(0, len(qq), 20_000):
-            before = len(found)
-            of, edge = _along(first, vv[k : k + 20_000])
-            look(qq[k + of], nears[edge])
-            todo += [f for f in found[before:] if len(f[0])]
+        at = ids[q, best]
+        for some in _slices(degree[at], EDGES):
+            of, edge = _along(first, at[some])
+            merge(*look(q[some][of], nears[edge]))
+    news = 0
+    while news < len(found):
+        qq, vv = (np.concatenate([f[c] for f in found[news:]]) for c in (0, 1))
+        news = len(found)
+        if degree[vv].sum() <= EDGES:
+            of, edge = _along(first, vv)
+            look(qq[of], nears[edge])
+        else:  # member by member, each for all the queries that have come upon it
+            reached = np.zeros((m, n), bool)
+            order = np.argsort(vv, kind="stable")
+            cut = np.searchsorted(vv[order], np.arange(m + 1))
+            for v in np.flatnonzero(np.diff(cut)):
+                who = np.zeros(n, bool)
+                who[qq[order[cut[v] : cut[v + 1]]]] = True
+                reached[nears[first[v] : first[v + 1]]] |= who
+            measure(*np.nonzero(reached.T & ~seen))
+        if not len(found[-1][0]):
+            break
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -236,14 +266,6 @@ def _ragged(lists) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), size), values
 
 
-def _padded(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """Values of sorted rows as a matrix, -1 where a row has no more."""
-    rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
-    out = np.full((n, int(rank.max()) + 1 if len(rank) else 1), -1)
-    out[row, rank] = value
-    return out
-
-
 def _visit(threshold: float):
     widest = np.arccos(min(1.0, threshold - SLACK / 2)) + 1e-9
 
@@ -258,19 +280,32 @@ def _visit(threshold: float):
         at = np.minimum(np.searchsorted(node, near), len(node) - 1)
         here = (homes == shard) & (node[at] == near)
         first, nears = np.searchsorted(row[here], np.arange(len(node) + 1)), at[here]
-        away = homes != shard
-        out_row, out_node, out_home, out_angle = row[away], near[away], homes[away], np.arccos(np.clip(cosines[away], -1, 1))
+        # of the edges from a member to another shard the shortest counts: if one may lead near a query, it does
+        away = np.flatnonzero(homes != shard)
+        others, to_other = np.unique(homes[away], return_inverse=True)
+        angle = np.arccos(np.clip(cosines[away], -1, 1))
+        order = np.lexsort((near[away], angle, to_other, row[away]))
+        away, to_other, angle = away[order], to_other[order], angle[order]
+        once = np.flatnonzero(np.diff(row[away] * len(others) + to_other, prepend=-1))
+        out_row, out_node, out_other, out_angle = row[away][once], near[away][once], to_other[once], angle[once]
         first_out = np.searchsorted(out_row, np.arange(len(node) + 1))
         medoid = int((x @ x.mean(0)).argmax())
         who = queries["node"].to_numpy()
+        sources = queries["sources"] if "sources" in queries else pd.Series([None] * len(queries))
         root, rows = np.arange(len(node)), []
-        for k in range(0, len(who), TOGETHER):
-            some = queries.iloc[k : k + TOGETHER]
+        together = max(1, min(TOGETHER, PLACES // max(1, len(others))))
+        for k in range(0, len(who), together):
+            some = queries.iloc[k : k + together]
+            start = np.zeros((len(some), len(node)), bool)
+            start[:, medoid] = True
             r, entry = _ragged(some["entries"])
             e = np.minimum(np.searchsorted(node, entry), len(node) - 1)
             there = node[e] == entry
-            start = np.concatenate([np.full((len(some), 1), medoid), _padded(r[there], e[there], len(some))], 1)
-            q, v, s = search(x, first, nears, y[k : k + TOGETHER], start, threshold - SLACK)
+            start[r[there], e[there]] = True
+            r, source = _ragged(sources.iloc[k : k + together])
+            for o in np.flatnonzero(np.isin(others, source)):
+                start[np.ix_(r[source == others[o]], out_row[out_other == o])] = True
+            q, v, s = search(x, first, nears, y[k : k + together], start, threshold - SLACK)
             linked = (s >= threshold) & (who[k + q] != node[v])
             lq, lv = q[linked], v[linked]
             links = np.bincount(lq, copies[lv], len(some)).astype(np.int64)
@@ -286,16 +321,20 @@ def _visit(threshold: float):
                 if (new == root).all():
                     break
                 root = new
-            # edges that lead away from what lies near the range, unless the angles say that their end can't lie near it
+            # shards that edges lead to from what lies near the range, unless the angles say that their ends can't lie near it
             close = s >= threshold - SLACK / 2
             q, v, angle = q[close], v[close], np.arccos(np.clip(s[close], -1, 1))
-            of, edge = _along(first_out, v)
-            near_enough = out_angle[edge] <= angle[of] + widest
-            q, edge = q[of][near_enough], edge[near_enough]
-            pair = np.unique(np.stack([q, out_home[edge], out_node[edge]]), axis=1) if len(q) else np.zeros((3, 0), np.int64)
-            cut = np.searchsorted(pair[0], np.arange(1, len(some)))
-            to, via = np.split(pair[1], cut), np.split(pair[2], cut)
-            rows.append(pd.DataFrame({"node": who[k : k + TOGETHER], "at": shard, "links": links, "peer": np.where(peer < len(node), node[np.minimum(peer, len(node) - 1)], who[k : k + TOGETHER]), "to": pd.Series(to, dtype=object), "via": pd.Series(via, dtype=object)}))
+            none = np.iinfo(np.int64).max
+            ways = np.full(len(some) * len(others), none)
+            for part in _slices(first_out[v + 1] - first_out[v], EDGES):
+                of, edge = _along(first_out, v[part])
+                near_enough = out_angle[edge] <= angle[part][of] + widest
+                of, edge = of[near_enough], edge[near_enough]
+                np.minimum.at(ways, q[part][of] * len(others) + out_other[edge], out_node[edge])
+            place = np.flatnonzero(ways < none)
+            cut = np.searchsorted(place, np.arange(1, len(some)) * len(others))
+            to, via = np.split(others[place % max(1, len(others))], cut), np.split(ways[place], cut)
+            rows.append(pd.DataFrame({"node": who[k : k + together], "at": shard, "links": links, "peer": np.where(peer < len(node), node[np.minimum(peer, len(node) - 1)], who[k : k + together]), "to": pd.Series(to, dtype=object), "via": pd.Series(via, dtype=object)}))
         joined = np.flatnonzero(root != np.arange(len(node)))
         rows.append(pd.DataFrame({"node": node[joined], "at": pd.Series([None] * len(joined), dtype="Int64"), "links": 0, "peer": node[root[joined]], "to": pd.Series([np.zeros(0, np.int64)] * len(joined), dtype=object), "via": pd.Series([np.zeros(0, np.int64)] * len(joined), dtype=object)}))
         return pd.concat([r.astype({"at": "Int64"}) for r in rows if len(r)])
@@ -305,7 +344,7 @@ def _visit(threshold: float):
 
 def _search(members: DataFrame, vectors: DataFrame, visits: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Links (node, links) and edges (node, peer) of components, from rounds of visits until none is left to make."""
-    visits = visits.withColumn("entries", F.array().cast("array<long>"))
+    visits = visits.withColumns({c: F.array().cast("array<long>") for c in ("entries", "sources")})
     made, found = [], []
     for _ in range(MOST_ROUNDS):
         visits = stage(visits, "visits")
@@ -318,7 +357,7 @@ def _search(members: DataFrame, vectors: DataFrame, visits: DataFrame, threshold
         now = stage(now, "found")
         made.append(visits.select("shard", "node"))
         found.append(now)
-        ways = now.select("node", F.explode(F.arrays_zip("to", "via")).alias("w")).groupBy(F.col("w.to").alias("shard"), "node").agg(F.collect_set("w.via").alias("entries"))
+        ways = now.select("node", "at", F.explode(F.arrays_zip("to", "via")).alias("w")).groupBy(F.col("w.to").alias("shard"), "node").agg(F.collect_set("w.via").alias("entries"), F.collect_set("at").alias("sources"))
         # a shard of the first round is searched once more from where lists lead into it; after that, only new ones
         visits = ways
         if len(made) > 1:
