@@ -1,14 +1,17 @@
 """Queries without SQL, on whole small tables, against plain loops over the same rows."""
 
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 
 import plain
 from tidemark import registry
-from tidemark.functions import statistics
+from tidemark.functions import blocks, models, statistics
+from tidemark.operators import fold_blocks
 from tidemark.plans import folds
 from tidemark.plans.dialect import view
 
@@ -81,6 +84,64 @@ def test_prequential_model(spark, calib):
             assert a[:3] == pytest.approx(want[:3], rel=1e-6) and a[3] == want[3]
 
 
+@pytest.mark.parametrize(("rows", "step"), [(1, 200), (37, 40), (37, 900), (700, 1), (700, 4000), (150, 0)])
+def test_delayed_model_over_blocks(rows, step):
+    """Blocks of any size, times that are mostly equal or all different, waits of many rows or of none: as event by event."""
+    rng = random.Random(rows + step)
+    at, t = [], 0
+    for i in range(700):
+        t += step * (rng.random() < 0.02) * 50 if step == 4000 else rng.randrange(step) if step else 10**4 * (i == 600)
+        at.append(t)
+    x = [(rng.gauss(0, 2), rng.uniform(0, 6), rng.gauss(0, 1), rng.choice([0.2, 0.45, rng.random()]), rng.uniform(-1, 1), 0.1 + abs(rng.gauss(0, 0.1)) * (rng.random() < 0.8)) for _ in at]
+    mid, y = [rng.uniform(0.01, 0.99) for _ in at], [rng.randrange(2) for _ in at]
+    model, want = models.Predictor(), []
+    open_ = {}
+    for _, kind, i in sorted([(t, 1, i) for i, t in enumerate(at)] + [(t + 3605, 0, i) for i, t in enumerate(at)]):
+        if kind:
+            open_[i] = model.predict(x[i], mid[i])
+            want.append(open_[i])
+        else:
+            model.learn(open_.pop(i), y[i])
+    state, got = blocks.Delayed(3605), []
+    for k in range(0, len(at), rows):
+        some = slice(k, k + rows)
+        made = state.run(np.array(at[some]), np.array(x[some]), np.array(mid[some]), np.array(y[some], float))
+        got += [dict(zip(made, v, strict=True)) for v in zip(*made.values(), strict=True)]
+    for a, b in zip(got, want, strict=True):
+        assert all(a[c] == pytest.approx(b[c], rel=1e-9) for c in ("p_up", "p_cal", "move_prob", "temperature", "confidence")) and a["regime"] == b["regime"]
+    assert len({r["regime"] for r in want}) > 5 or step == 1
+
+
+def test_heads_over_blocks():
+    """Heads of one, two and three features, with and without a market's odds: as row by row, with the state left behind."""
+    rng = np.random.default_rng(2)
+    x, mid, y = rng.normal(size=(600, 3)) * [1, 5, 0.1], rng.uniform(0.01, 0.99, 600), rng.integers(0, 2, 600).astype(float)
+    for m in (mid, None):
+        one, other = (models.Ensemble(uses=((0,), (2, 1), (0, 1, 2)), weight=[[1.8], [0.4, 0.0], [0.1, 0.2, 0.3]]) for _ in range(2))
+        want = [one.learn(tuple(v), None if m is None else m[i], int(y[i])) for i, v in enumerate(x)]
+        got = [blocks.learn(other, x[s], None if m is None else m[s], y[s]) for s in (slice(0, 3), slice(3, 300), slice(300, 300), slice(300, 600))]
+        assert np.concatenate([g.p for g in got]) == pytest.approx(np.array(want), rel=1e-9)
+        for f in ("n", "k", "mean", "m2", "bias", "score"):
+            assert getattr(other, f) == pytest.approx(getattr(one, f), rel=1e-9)
+        assert all(a == pytest.approx(b, rel=1e-9) for a, b in zip(other.weight, one.weight, strict=True))
+
+
+def test_folds_take_blocks_and_each_key_a_task(spark, monkeypatch):
+    """No row is handed to Python code by itself; keys don't share partitions, null is a key, an unknown one an error."""
+    monkeypatch.setattr("tidemark.operators.folds.BLOCK", 8)
+    df = spark.range(200).selectExpr("id", "case when id % 3 > 0 then concat('k', id % 3) end as k", "200 - id as t")
+    step = lambda state, rows: (state.append(len(rows)), rows.assign(n=len(state), task=TaskContext.get().partitionId())[["id", "n", "task"]])[1]
+    got = fold_blocks(df, "k", ["k1", "k2"], ["t"], list, step, "k string, id long, n long, task long").collect()
+    assert len(got) == 200 and len({(r.k, r.task) for r in got}) == len({r.task for r in got}) == 3
+    for part in by(got, lambda r: r.k).values():
+        assert [r.id for r in part] == sorted((r.id for r in part), reverse=True) and [r.n for r in part] == sorted(r.n for r in part)
+    with pytest.raises(Exception, match="wasn't named"):
+        fold_blocks(df, "k", ["k1"], ["t"], list, step, "k string, id long, n long, task long").collect()
+    for name in ("prequential_model", "online_head", "fair_value_head"):
+        monkeypatch.setattr(folds, "fold_per_key", None)
+        registry.queries()[name](spark, SF)
+
+
 def test_har(spark):
     larger = "/root/testdata/sf0.01"
     bars = by(registry.queries()["bar_rv"](spark, larger).collect(), lambda r: r.asset)
