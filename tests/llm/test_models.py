@@ -79,6 +79,8 @@ def test_visits_of_near_copies_are_bounded():
     want = (x[:600] @ x[:1024].T >= 0.98).sum(1) - 1
     assert want.sum() > 400_000 and list(asked.links) == list(want)
     assert peak < 120 and all(list(t) == [1] for t in asked.to) and all(len(v) == 1 for v in asked.via)
+    got = vectors._visit(0.98)(members, queries.assign(been=[[0, 1], [0]] * 300))
+    assert [list(t) for t in got[got["at"] == 0].to] == [[], [1]] * 300  # a query that has been sent to a shard isn't again
 
 
 def test_a_visit_begins_at_all_members_with_edges_to_its_sources():

@@ -288,10 +288,9 @@ def _visit(threshold: float):
         away, to_other, angle = away[order], to_other[order], angle[order]
         once = np.flatnonzero(np.diff(row[away] * len(others) + to_other, prepend=-1))
         out_row, out_node, out_other, out_angle = row[away][once], near[away][once], to_other[once], angle[once]
-        first_out = np.searchsorted(out_row, np.arange(len(node) + 1))
         medoid = int((x @ x.mean(0)).argmax())
         who = queries["node"].to_numpy()
-        sources = queries["sources"] if "sources" in queries else pd.Series([None] * len(queries))
+        sources, been = (queries[c] if c in queries else pd.Series([None] * len(queries)) for c in ("sources", "been"))
         root, rows = np.arange(len(node)), []
         together = max(1, min(TOGETHER, PLACES // max(1, len(others))))
         for k in range(0, len(who), together):
@@ -326,12 +325,19 @@ def _visit(threshold: float):
             q, v, angle = q[close], v[close], np.arccos(np.clip(s[close], -1, 1))
             none = np.iinfo(np.int64).max
             ways = np.full(len(some) * len(others), none)
-            for part in _slices(first_out[v + 1] - first_out[v], EDGES):
-                of, edge = _along(first_out, v[part])
+            new = np.ones((len(some), len(others)), bool)
+            r, shards = _ragged(been.iloc[k : k + together])
+            for o in np.flatnonzero(np.isin(others, shards)):
+                new[r[shards == others[o]], o] = False
+            use = np.flatnonzero(new.any(0)[out_other])
+            first_use = np.searchsorted(out_row[use], np.arange(len(node) + 1))
+            for part in _slices(first_use[v + 1] - first_use[v], EDGES):
+                of, edge = _along(first_use, v[part])
+                edge = use[edge]
                 near_enough = out_angle[edge] <= angle[part][of] + widest
                 of, edge = of[near_enough], edge[near_enough]
                 np.minimum.at(ways, q[part][of] * len(others) + out_other[edge], out_node[edge])
-            place = np.flatnonzero(ways < none)
+            place = np.flatnonzero((ways < none) & new.ravel())
             cut = np.searchsorted(place, np.arange(1, len(some)) * len(others))
             to, via = np.split(others[place % max(1, len(others))], cut), np.split(ways[place], cut)
             rows.append(pd.DataFrame({"node": who[k : k + together], "at": shard, "links": links, "peer": np.where(peer < len(node), node[np.minimum(peer, len(node) - 1)], who[k : k + together]), "to": pd.Series(to, dtype=object), "via": pd.Series(via, dtype=object)}))
@@ -352,6 +358,9 @@ def _search(members: DataFrame, vectors: DataFrame, visits: DataFrame, threshold
             break
         size = visits.groupBy("shard").agg(F.ceil(F.count("*") / DEAL).alias("parts"))
         asked = visits.join(size, "shard").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(4)), "parts")).drop("parts").join(vectors, "node")
+        if made:  # only new shards are gone on to, of the first round's ones once more
+            sent = _union([*made, visits.select("shard", "node")]).groupBy("node").agg(F.collect_set("shard").alias("been"))
+            asked = asked.join(sent, "node")
         spread = members.join(size, "shard").withColumn("salt", F.explode(F.expr("sequence(0L, parts - 1L)"))).drop("parts")
         now = spread.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInPandas(_visit(threshold), FOUND)
         now = stage(now, "found")
